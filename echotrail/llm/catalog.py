@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, repeats
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
 }
 #: DuckDB SQL for the same rows, where SQL can express the operator.
 ORACLES: dict[str, str] = {}

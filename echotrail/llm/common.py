@@ -108,9 +108,17 @@ def _clean_up() -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame's leaves, for sizing partitions."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(1, int(size.toString()))
+    """Bytes of the files a DataFrame reads (all their columns), for sizing partitions.
+
+    A DataFrame over no files (of a test, say) counts as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            total += int(str(leaf.stats().sizeInBytes()))
+    return total
 
 
 def partitions_for(spark: SparkSession, total_bytes: int, target: int) -> int:

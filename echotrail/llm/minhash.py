@@ -5,8 +5,8 @@ empty ones; bands of ``ROWS`` bins are the buckets. In each bucket every
 member is paired with the bucket's least document only (a star), so a bucket
 of n documents gives n - 1 candidates. A star alone would lose a link between
 two members that are both unlike the centre; after the stars' verified links
-are merged, the buckets that still hold more than one component are found
-(they are few) and the pairs between different components in them are
+are merged, the documents of buckets that still hold more than one component
+are joined across components by exact prefix filtering, and these pairs are
 verified as well. Links are always confirmed on the full shingle sets.
 
 Exact copies (equal shingle sets) are merged by a partial-aggregated minimum
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +110,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both, ["a", "b", "left", "right"], run, "a long, b long")
 
 
+def sharing_rare_shingles(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of ``docs(doc_id, n, component)`` in different components that may be linked.
+
+    Exact prefix filtering: linked sets of n and m shingles have at least
+    o = ceil(3/7 (n + m)) in common, so with a common order of all shingles,
+    rarest first, they share one among the first n - o + 1 and m - o + 1 (of
+    n, at most n - ceil(3/4 n) + 1). Documents that differ from a group's
+    others in rare shingles of their own get no candidates, however large the
+    group is. Only the documents outside a
+    shingle's largest component meet the others.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(3)]
+        size = [len(x) for x in own]
+        flat = [np.repeat(batch.column(i).to_numpy(), size) for i in range(3)]
+        return pa.record_batch([*map(pa.array, flat), pa.array(np.concatenate(own))], names=["doc_id", "n", "component", "shingle"])
+
+    rows = map_batches(docs.join(sets, "doc_id"), ["doc_id", "n", "component", "shingles"], run, "doc_id long, n long, component long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1")
+    rows = rows.join(common, "shingle")
+    in_doc = W.partitionBy("doc_id")
+    place = F.row_number().over(in_doc.orderBy("freq", "shingle")) + F.col("n") - F.count("*").over(in_doc)
+    rows = rows.select("*", place.alias("place"))
+    rows = rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
+    by_component = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    largest = by_component.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("components"))
+    largest = largest.filter("components > 1").select("shingle", F.col("top.component").alias("largest"))
+    rows = rows.join(largest, "shingle")
+    p = rows.filter("component <> largest").alias("p")
+    q = rows.hint("merge").alias("q")
+    overlap = F.ceil((F.col("p.n") + F.col("q.n")) * 3 / 7)  # least intersection of a linked pair
+    meet = (
+        (F.col("p.shingle") == F.col("q.shingle"))
+        & (F.col("p.component") != F.col("q.component"))
+        & ((F.col("q.component") == F.col("q.largest")) | (F.col("p.doc_id") < F.col("q.doc_id")))
+        & (F.col("p.place") <= F.col("p.n") - overlap + 1)
+        & (F.col("q.place") <= F.col("q.n") - overlap + 1)
+    )
+    return p.join(q, meet).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``."""
     work = work or Work(spark, "minhash")
@@ -152,13 +195,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     )
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
     rest = work.save(labelled.join(mixed.filter("lo < hi and size > 2").select("bucket"), "bucket"), "rest")
-    p, q = rest.alias("p"), rest.alias("q")
-    across = (
-        p.join(q.hint("merge"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") < F.col("q.component")))
-        .filter("p.doc_id <> p.centre and q.doc_id <> q.centre")
-        .select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b"))
-    )
-    more = work.save(verified(near_in_size(across).select("a", "b").distinct(), sets), "links_1")
+    across = near_in_size(sharing_rare_shingles(rest.select("doc_id", "n", "component").distinct(), sets))
+    more = work.save(verified(across.select("a", "b").distinct(), sets), "links_1")
     if not more.isEmpty():
         found = work.save(connected_components(links.union(more), work, "cc_1"), "components_1")
     named = found.select(F.col("node").alias("rep"), "component")

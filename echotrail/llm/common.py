@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; they bound a Python worker's memory
 #: whatever the texts' lengths are.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _local_dir: list[str] = []
 

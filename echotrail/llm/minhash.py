@@ -16,7 +16,8 @@ Recall: a pair at similarity 0.75 shares no band with probability
 (1 - 0.75**5)**40 = 2e-5, and less for closer pairs.
 
 Nulls and texts without words have an empty set, ``n_shingles`` 0, and link
-with nothing. Repeated doc_ids are not supported by the contract (the id is
+with nothing. A row with a null doc_id has no component and isn't kept.
+Repeated doc_ids are not supported by the contract (the id is
 the key), but don't crash: rows with one id share a result.
 """
 
@@ -159,7 +160,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
 
     # copies: one representative (the least id) for each distinct set
     copies = (
-        drawn.filter("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("same", "rep")
+        drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("same", "rep")
     )
     classes = work.save(
         drawn.select("doc_id", "n_shingles", "same").join(copies, "same", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
@@ -167,7 +168,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     )
     lesser = classes.filter("rep <> doc_id").select("doc_id").distinct()
     members = (
-        drawn.filter("n_shingles > 0").join(lesser, "doc_id", "left_anti")
+        drawn.filter("n_shingles > 0 and doc_id is not null").join(lesser, "doc_id", "left_anti")
         .select("doc_id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     )
     least = members.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("bucket", "centre")
@@ -203,7 +204,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     return (
         classes.join(named, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
 

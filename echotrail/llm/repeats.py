@@ -24,6 +24,7 @@ All steps are exact (64-bit hashes aside); no window is left out. "Earliest"
 is the smaller doc_id, then the smaller start. Null and empty texts, and
 texts under 100 bytes, lose nothing. Rows that repeat a doc_id are one
 document's place in that order: of equal windows at the same place none goes.
+A null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ WIDTH, GRAM = 100, 32
 BLOCK, PARTITION = 1 << 20, 16 << 20
 #: An anchor with so many different runs is dealt out window by window.
 HOT = 20_000
+#: Stands for a null doc_id, which comes before all others.
+NO_ID = -(2**63)
 
 #: Kinds of packed rows; texts come behind the rows they need.
 RUNS, REPEATS, UNSETTLED, HOT_UNSETTLED, STRINGS, TEXT = range(6)
@@ -366,7 +369,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work
     """
     work = work or Work(spark, "repeats")
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     parts = partitions_for(spark, 2 * input_bytes(docs), PARTITION)
     buckets = 4 * parts
     null = [F.lit(None).cast("binary").alias(c) for c in ("keys", "spans", "docs", "starts", "counts")]
@@ -385,7 +388,8 @@ def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work
         yield finish(ids, texts, [covered(lookup(REPEATS, doc), len(text)) for doc, text in zip(ids, texts, strict=True)])
 
     both = repeats.union(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return both.mapInArrow(_with_texts((REPEATS,), ("docs", "starts", "counts"), each), schema)
+    found = both.mapInArrow(_with_texts((REPEATS,), ("docs", "starts", "counts"), each), schema)
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _digest(ids, texts, spans) -> pa.RecordBatch:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, quality, repeats, rules
+from . import langid, media, minhash, packing, quality, repeats, rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
+    "op6_media_columns": media.op6_media_columns,
     "op7_quality_rules": rules.op7_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_language_id": langid.op10_language_id,
 }
 #: DuckDB SQL for the same rows, where SQL can express the operator.
 ORACLES: dict[str, str] = {}

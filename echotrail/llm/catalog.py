@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, media, minhash, packing, quality, repeats, rules
+from . import html, langid, media, minhash, packing, quality, repeats, rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op4_html_extraction": html.op4_html_extraction,
     "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op6_media_columns": media.op6_media_columns,
     "op7_quality_rules": rules.op7_quality_rules,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import html, langid, media, minhash, packing, quality, repeats, rules
+from . import attribution, html, langid, media, minhash, packing, pieces, quality, repeats, rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op6_media_columns": media.op6_media_columns,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op8_token_counts": attribution.op8_token_counts,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": langid.op10_language_id,
 }

@@ -47,7 +47,7 @@ def interarrival_stats(transactions: DataFrame) -> DataFrame:
     Successive by (time, amount, target).
     """
     order = W.partitionBy("user", "side").orderBy("time", "amount", "target")
-    gaps = sides(transactions).withColumn("gap", F.datediff("day", F.lag("day").over(order)))
+    gaps = sides(transactions).withColumn("gap", F.datediff(F.col("day"), F.lag("day").over(order)))
     return gaps.groupBy("user").agg(*_moments("credit", "gap", "credit_interarr"), *_moments("debit", "gap", "debit_interarr"))
 
 

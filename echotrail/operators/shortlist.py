@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .knn import nearest, similarity
+from .knn import distance, nearest, similarity
 
 
 def pair_connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -83,15 +84,11 @@ def beam_shortlist(spark: SparkSession, vectors: DataFrame, edges: DataFrame, ex
         return spark.createDataFrame([], ", ".join(f"n_{i} long" for i in range(len(exemplars))) + ", score double")
 
     def to_exemplar(i: int) -> Column:
-        from .knn import distance
-
         return similarity(distance(F.col("vector"), F.array(*[F.lit(float(v)) for v in known[exemplars[i]]])))
 
     sources = edges.select(F.col("src").alias("id")).distinct()
     own = vectors.join(sources, "id", "left_semi").select(F.col("id").alias("n_0"), to_exemplar(0).alias("score"))
     frontier = own.orderBy(F.desc("score"), "n_0").limit(beam).union(own.filter(F.col("n_0") == exemplars[0])).distinct()
-    from .knn import distance
-
     for i in range(1, len(exemplars)):
         last = f"n_{i - 1}"
         here = vectors.select(F.col("id").alias(last), F.col("vector").alias("here"))
@@ -99,7 +96,7 @@ def beam_shortlist(spark: SparkSession, vectors: DataFrame, edges: DataFrame, ex
         grown = frontier.join(edges.select(F.col("src").alias(last), F.col("dst").alias(f"n_{i}")), last).join(here, last).join(there, f"n_{i}")
         for j in range(i):
             grown = grown.filter(F.col(f"n_{j}") != F.col(f"n_{i}"))
-        near = F.row_number().over(_by(last, [f"n_{j}" for j in range(i - 1)], distance(F.col("here"), F.col("vector")), f"n_{i}"))
+        near = F.row_number().over(W.partitionBy(*[f"n_{j}" for j in range(i)]).orderBy(distance(F.col("here"), F.col("vector")), f"n_{i}"))
         grown = grown.withColumn("near", near).filter(F.col("near") <= reach)
         roles = [f"n_{j}" for j in range(i + 1)]
         grown = grown.select(*roles, (F.col("score") + to_exemplar(i)).alias("score"))
@@ -109,8 +106,3 @@ def beam_shortlist(spark: SparkSession, vectors: DataFrame, edges: DataFrame, ex
     roles = [f"n_{j}" for j in range(len(exemplars))]
     return frontier.orderBy(F.desc("score"), *roles).limit(limit)
 
-
-def _by(last: str, chain: list[str], order: Column, tie: str):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(last, *chain).orderBy(order, tie)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries, graph_queries, index_queries  # noqa: F401
+from . import behaviour_queries, feature_queries, graph_queries, index_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hmm import QueryModel, SessionModel
+from ..sources.work import save
 from .features import normalized
 from .observe import aggregate_links
 
@@ -32,7 +33,7 @@ def rescore(found: DataFrame, query_match: int, bandwidth: float = 0.75, scale:
     few vectors, sent with the function). Matches without observations have
     no row.
     """
-    sequences = normalized_observations(found)
+    sequences = save(normalized_observations(save(found, "observations")), "sequences")
     own = sequences.filter(F.col("match") == query_match).first()
     if own is None:
         return found.sparkSession.createDataFrame([], "match long, score double, start int, states array<int>")
@@ -68,6 +69,7 @@ def session_scores(features: DataFrame, query_match: int, columns: list[str], ga
     """
     point = F.struct("ms", F.array(*columns).alias("v"))
     sequences = features.groupBy("match").agg(F.array_sort(F.collect_list(point)).alias("o"))
+    sequences = save(sequences, "sessions")
     own = sequences.filter(F.col("match") == query_match).first()
     if own is None:
         return features.sparkSession.createDataFrame([], "match long, log_probability double")

@@ -48,7 +48,8 @@ def cartesian_shortlist(vectors: DataFrame, edges: DataFrame, exemplars: list[in
     """
     roles = len(exemplars)
     asked = vectors.filter(F.col("id").isin(*exemplars))
-    near = nearest(vectors, asked, k)
+    found = nearest(vectors, asked, k)
+    near = vectors.sparkSession.createDataFrame(found.collect(), found.schema)  # k rows a role, used once for each role
     each = [
         near.filter(F.col("query") == x).select(F.col("neighbour").alias(f"n_{i}"), F.col("rank").alias(f"rank_{i}"), similarity(F.col("distance")).alias(f"s_{i}"))
         for i, x in enumerate(exemplars)

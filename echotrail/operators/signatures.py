@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import save
 from .pattern import Pattern
 
 
@@ -16,21 +17,27 @@ def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame
     type path that reaches it in as many hops, the greatest total weight.
 
     path: the types from the first hop to the end, as an array (any number of
-    types). Each level is an equi-join on the frontier, grouped at once, so a
-    level holds a row per (node, end, path) rather than per path of nodes.
+    types). Each level is an equi-join on the frontier, grouped at once on
+    plain columns, so a level holds a row per (node, end, path) rather than
+    per path of nodes. The edges are written once: with their size known, the
+    planner sends a small edge table to the nodes' partitions, and only a
+    large one is joined by shuffling the (longer) paths.
     """
     steps = edges.filter("src <> dst").join(types.select(F.col("node").alias("dst"), "type"), "dst").select("src", "dst", "type", "w")
-    level = steps.select(F.col("src").alias("node"), F.array("type").alias("path"), F.col("dst").alias("end"), F.col("w").alias("weight"))
-    level = level.groupBy("node", "path", "end").agg(F.max("weight").alias("weight"))
-    out = level.withColumn("depth", F.lit(1))
-    near = level.select("node", "end").distinct()
+    steps = save(steps, "steps")
+    level = steps.groupBy(F.col("src").alias("node"), F.col("dst").alias("end"), F.col("type").alias("t_1")).agg(F.max("w").alias("weight"))
+    as_row = lambda x, d: x.select("node", F.lit(d).alias("depth"), F.array(*[F.col(f"t_{i}") for i in range(1, d + 1)]).alias("path"), "end", "weight")
+    out = as_row(level, 1)
+    near = save(level.select("node", "end").distinct(), "near") if depth > 1 else level
     for d in range(2, depth + 1):
-        longer = level.join(steps, F.col("end") == F.col("src")).filter("dst <> node")
-        longer = longer.groupBy("node", F.array_append("path", F.col("type")).alias("path"), F.col("dst").alias("end")).agg(F.max(F.col("weight") + F.col("w")).alias("weight"))
-        level = longer.join(near, ["node", "end"], "left_anti").select("node", "path", "end", "weight")
-        out = out.unionByName(level.withColumn("depth", F.lit(d)))
-        near = near.union(level.select("node", "end")).distinct()
-    return out.select("node", "depth", "path", "end", "weight")
+        path = [F.col(f"t_{i}") for i in range(1, d)]
+        longer = level.repartition("node").join(steps, F.col("end") == F.col("src")).filter("dst <> node")
+        longer = longer.groupBy("node", F.col("dst").alias("end"), *path, F.col("type").alias(f"t_{d}")).agg(F.max(F.col("weight") + F.col("w")).alias("weight"))
+        level = longer.join(near, ["node", "end"], "left_anti")
+        out = out.union(as_row(level, d))
+        if d < depth:
+            near = save(near.union(level.select("node", "end")).distinct(), "near")
+    return out
 
 
 def topology_signature(paths: DataFrame) -> DataFrame:

@@ -15,14 +15,14 @@ from .registry import query, table
 #: Added before rounding, in queries and oracles alike: a mean that ends in ...5 may differ in its last bit between engines.
 OFF_TIES = 1e-8
 
-_RATES_SQL = """rates as (select cast(o_orderdate as date) as day, round(avg(o_totalprice) / 100000, 6) as rate from orders
+_RATES_SQL = f"""rates as (select cast(o_orderdate as date) as day, round(avg(o_totalprice) / 100000 + {OFF_TIES}, 6) as rate from orders
   where extract(day from o_orderdate) <= 20 group by 1)"""
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate for the first 20 days of each month, so that interior days are missing."""
     orders = table(spark, sf_dir, "orders").filter(F.dayofmonth("o_orderdate") <= 20)
-    return orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice") / 100000, 6).alias("rate"))
+    return orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice") / 100000 + OFF_TIES, 6).alias("rate"))
 
 
 @query(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -19,3 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="echotrail-"))
     return _local[0]
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later uses read it instead of computing it again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,9 @@ from .common import map_batches, slices, table, texts_of
 from .tokens import decoded
 
 U = np.uint64
-RATE, SEED, VARIANTS = 0.1, 7, 8
+RATE, SEED, VARIANTS = 0.1, 7, 4
+#: Segmented units a process remembers at most.
+REMEMBERED = 400_000
 #: Symbols from which on a unit goes through a heap.
 LONG = 128
 _META = 0x2581
@@ -221,7 +223,9 @@ def segment(p: Pieces, symbols: np.ndarray, first: np.ndarray, key: np.ndarray,
     return out
 
 
-def encode_batch(p: Pieces, texts: list[str], variants: np.ndarray, seed: int = SEED, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(
+    p: Pieces, texts: list[str], variants: np.ndarray, seed: int = SEED, rate: float = RATE, memory: Memory | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids, and each text's offsets in them."""
     joined = "".join([f" {t}" if t else "" for t in texts])
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
@@ -253,16 +257,35 @@ def encode_batch(p: Pieces, texts: list[str], variants: np.ndarray, seed: int =
         doc = np.searchsorted(ends, start, side="right")
         key = K.mix(total + variants[doc].astype(np.uint64) * K.ODD[5] + U(seed) * K.ODD[6] + size.astype(np.uint64))
     unique, at, which = np.unique(key, return_index=True, return_inverse=True)
-    n = size[at]
+    place, known = memory.find(unique) if memory is not None else (np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=bool))
+    fresh = ~known
+    flat, begin, length = _segmented(p, points, start[at[fresh]], size[at[fresh]], unique[fresh], rate)
+    begins, lengths = np.empty(len(unique), dtype=np.int64), np.empty(len(unique), dtype=np.int64)
+    begins[fresh], lengths[fresh] = begin, length
+    if memory is not None:
+        begins[known], lengths[known] = memory.begin[place[known]] + len(flat), memory.length[place[known]]
+        ids = np.concatenate((flat, memory.flat))
+        memory.add(unique[fresh], flat, begin, length)
+    else:
+        ids = flat
+    many = lengths[which]
+    upto = np.concatenate(([0], np.cumsum(many)))
+    out = ids[np.repeat(begins[which] - upto[:-1], many) + np.arange(upto[-1])]
+    offsets = upto[np.searchsorted(start, np.concatenate(([0], ends)))]
+    return out, offsets
+
+
+def _segmented(p: Pieces, points: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of some units one after another, and where each unit's begin and how many they are."""
     first = np.concatenate(([0], np.cumsum(n)))
-    gather = np.repeat(start[at] - first[:-1], n) + np.arange(first[-1])
-    own = points[gather]
-    found = segment(p, p.char_ids[own], first, unique, rate)
+    own = points[np.repeat(start - first[:-1], n) + np.arange(first[-1])]
+    found = segment(p, p.char_ids[own], first, key, rate)
     head = np.flatnonzero(found > -2)
     ids, source = found[head], own[head]
     # characters without a piece become their UTF-8 bytes
     width = np.ones(len(ids), dtype=np.int64)
     spelled = np.flatnonzero(ids == -1)
+    flat = ids
     if len(spelled):
         data = [chr(c).encode("utf-8", "surrogatepass") for c in source[spelled].tolist()]
         width[spelled] = [len(d) for d in data]
@@ -270,15 +293,44 @@ def encode_batch(p: Pieces, texts: list[str], variants: np.ndarray, seed: int =
         flat = np.repeat(ids, width)
         for i, d in zip(place[spelled].tolist(), data, strict=True):
             flat[i : i + len(d)] = p.byte_ids[list(d)]
-    else:
-        flat, place = ids, np.arange(len(ids))
-    per_unit = np.bincount(np.repeat(np.arange(len(n)), n)[head], weights=width, minlength=len(n)).astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(per_unit)))
-    many = per_unit[which]
-    upto = np.concatenate(([0], np.cumsum(many)))
-    out = flat[np.repeat(begin[which] - upto[:-1], many) + np.arange(upto[-1])]
-    offsets = upto[np.searchsorted(start, np.concatenate(([0], ends)))]
-    return out, offsets
+    unit = np.repeat(np.arange(len(n)), n)[head]
+    length = np.bincount(unit, weights=width, minlength=len(n)).astype(np.int64)
+    return flat, np.cumsum(length) - length, length
+
+
+class Memory:
+    """Segmentations of units already seen, by their key; a bounded, growing-only table.
+
+    It only saves time: a unit's segmentation is a function of its key.
+    """
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.keys, self.flat = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.begin, self.length = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted ``keys`` are in the table, and whether they are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return place, self.keys[place] == keys
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        if not len(keys) or len(self.keys) + len(keys) > self.most:
+            return
+        joined = np.concatenate((self.keys, keys))
+        order = np.argsort(joined, kind="stable")
+        self.keys = joined[order]
+        self.begin = np.concatenate((self.begin, begin + len(self.flat)))[order]
+        self.length = np.concatenate((self.length, length))[order]
+        self.flat = np.concatenate((self.flat, flat))
+
+
+@lru_cache(maxsize=2)
+def memory_of(path: str, rate: float) -> Memory:
+    """One memory to a process, model and rate (seed and variant are part of the keys)."""
+    return Memory()
 
 
 def decode(p: Pieces, ids: list[int]) -> str:
@@ -301,7 +353,7 @@ def encoded(docs: DataFrame, path: str | None = None, seed: int = SEED, rate: fl
         order = np.argsort(variant, kind="stable").tolist()
         for lo, hi in slices([texts[i].encode() for i in order]):
             some = order[lo:hi]
-            flat, offsets = encode_batch(p, [texts[i] for i in some], variant[some], seed, rate)
+            flat, offsets = encode_batch(p, [texts[i] for i in some], variant[some], seed, rate, memory_of(path, rate))
             flat = flat.astype("<u4")
             for k, i in enumerate(some):
                 own = flat[offsets[k] : offsets[k + 1]]

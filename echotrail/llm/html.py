@@ -44,8 +44,9 @@ SIBLINGS = {  # an open element of the second set ends where the first begins
 }
 BARRIERS = frozenset("table ul ol dl select body html article section div main".split())
 #: Words in a class, id or role that name something other than the article.
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription"
+    r"(?:^|\s|(?<!has)(?<!with)(?<!no)[_-])(?:ad(?:s|box|slot|unit|wrap\w*|container|\d+)?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription"
     r"|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|replies"
     r"|share|sharing|social|related|recommend\w*|pagination|pager|tags?|skip|contentinfo|complementary|search|hidden|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -75,7 +76,7 @@ def _named_other(tag: str, attributes: str, parent: Node) -> bool:
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "")
+        name, value = name.lower(), _CAMEL.sub("-", next((v for v in values if v), ""))
         if name in ("class", "id", "role") and (OTHER.search(value) or (SITE_HEADER.search(value) and not any(a.tag == "article" for a in _ancestors(parent)))):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -132,6 +133,9 @@ def parse(page: str) -> Node:
         if tag == "body" and now.tag == "head":
             now = now.parent
         node = Node(tag, now, _named_other(tag, m[3], now))
+        if tag in ("article", "main"):  # what holds the article is no advert, whatever its class says
+            for outer in _ancestors(now):
+                outer.other = outer.other and outer.tag in DROPPED
         if tag == "br":
             now.children.append(" ")
             continue

@@ -31,6 +31,9 @@ CAPACITY, END_ID = 1024, 2
 #: Length groups and rounds of the linear program; pieces up to CAPACITY / SMALL stay out of it.
 GROUPS, ROUNDS, RATE, SMALL = 48, 300, 1.0, 16
 
+#: Pieces ranked in one bucket, on average.
+RANKED = 250_000
+
 #: A configuration: (length, multiplicity) pairs, and how many rows have it.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
@@ -218,7 +221,7 @@ def packed(spark: SparkSession, docs: DataFrame, path: str | None = None, capaci
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = Places(plan(histogram, capacity))
     # rank within a length: a bucket's earlier buckets, then the order in the bucket
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + sum(histogram.values()) // RANKED)
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")

@@ -45,6 +45,8 @@ from .suffix_array import equal_prefix_classes, suffix_array
 WIDTH, GRAM = 100, 32
 #: Symbols sorted at once, and bytes of packed rows to a partition.
 BLOCK, PARTITION = 1 << 20, 16 << 20
+#: Shuffle partitions at most.
+MOST_PARTITIONS = 20_000
 #: An anchor with so many different runs is dealt out window by window.
 HOT = 20_000
 #: Stands for a null doc_id, which comes before all others.
@@ -193,27 +195,39 @@ def _find_runs(buckets: int):
     return run
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], kind: int, take, finish) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind, gathered bucket by bucket (they come sorted); other rows pass.
+
+    Only one bucket is held at a time, whatever the partition's size.
+    """
+    bucket, held = None, []
+    for batch in batches:
+        kinds, buckets = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
+        for i in np.flatnonzero(kinds == kind).tolist():
+            if buckets[i] != bucket:
+                if held:
+                    yield from finish(held)
+                bucket, held = buckets[i], []
+            held.append(take(batch, i))
+        if (kinds != kind).any():
+            yield batch.filter(pa.array(kinds != kind))
+    if held:
+        yield from finish(held)
+
+
 def _settle_runs(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Runs]] = {}
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            own = np.flatnonzero(kind == RUNS)
-            for i in own.tolist():
-                held.setdefault(batch.column("bucket")[i].as_py(), []).append(Runs.unpack(batch, i, ("keys", "spans", "docs", "starts", "counts")))
-            if len(own) < batch.num_rows:
-                yield batch.filter(pa.array(kind != RUNS))
-        while held:
-            first, later = _settle(Runs.join(held.popitem()[1]))
-            rows = _packed(REPEATS, _places(later), later.docs % buckets) if len(later) else []
-            many = _per_anchor(first)
-            for kind, at in ((UNSETTLED, (many > 1) & (many < HOT)), (HOT_UNSETTLED, many >= HOT)):
-                some = first.take(np.flatnonzero(at))
-                if len(some):
-                    rows += _packed(kind, Runs(keys=some.keys, **_places(some).arrays), some.docs % buckets)
-            yield from _batches(rows)
+    def finish(held: list[Runs]) -> Iterator[pa.RecordBatch]:
+        first, later = _settle(Runs.join(held))
+        rows = _packed(REPEATS, _places(later), later.docs % buckets) if len(later) else []
+        many = _per_anchor(first)
+        for kind, at in ((UNSETTLED, (many > 1) & (many < HOT)), (HOT_UNSETTLED, many >= HOT)):
+            some = first.take(np.flatnonzero(at))
+            if len(some):
+                rows += _packed(kind, Runs(keys=some.keys, **_places(some).arrays), some.docs % buckets)
+        yield from _batches(rows)
 
-    return run
+    take = lambda batch, i: Runs.unpack(batch, i, ("keys", "spans", "docs", "starts", "counts"))
+    return lambda batches: _by_bucket(batches, RUNS, take, finish)
 
 
 def _with_texts(kinds: tuple[int, ...], names: tuple[str, ...], each):
@@ -328,18 +342,13 @@ def repeated_windows(runs: Runs, data: np.ndarray) -> Runs:
 
 
 def _sort_strings(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[Runs, bytes]]] = {}
-        for batch in batches:
-            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                held.setdefault(bucket, []).append((Runs.unpack(batch, i, ("keys", "docs", "starts", "counts")), batch.column("data")[i].as_py()))
-        while held:
-            parts = held.popitem()[1]
-            later = repeated_windows(Runs.join([r for r, _ in parts]), np.frombuffer(b"".join(d for _, d in parts), dtype=np.uint8))
-            if len(later):
-                yield from _batches(_packed(REPEATS, later, later.docs % buckets))
+    def finish(held: list[tuple[Runs, bytes]]) -> Iterator[pa.RecordBatch]:
+        later = repeated_windows(Runs.join([r for r, _ in held]), np.frombuffer(b"".join(d for _, d in held), dtype=np.uint8))
+        if len(later):
+            yield from _batches(_packed(REPEATS, later, later.docs % buckets))
 
-    return run
+    take = lambda batch, i: (Runs.unpack(batch, i, ("keys", "docs", "starts", "counts")), batch.column("data")[i].as_py())
+    return lambda batches: _by_bucket(batches, STRINGS, take, finish)
 
 
 def covered(runs: Runs | None, length: int) -> list[tuple[int, int]]:
@@ -370,17 +379,18 @@ def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work
     work = work or Work(spark, "repeats")
     bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    parts = partitions_for(spark, 2 * input_bytes(docs), PARTITION)
-    buckets = 4 * parts
+    sized = partitions_for(spark, 2 * input_bytes(docs), PARTITION)
+    # a task holds one bucket at a time, so a huge corpus may have many buckets to a partition
+    parts, buckets = min(sized, MOST_PARTITIONS), 4 * sized
     null = [F.lit(None).cast("binary").alias(c) for c in ("keys", "spans", "docs", "starts", "counts")]
     texts = docs.select(F.pmod("doc_id", F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), "doc_id", *null, "data")
 
-    runs = docs.mapInArrow(_find_runs(buckets), _PACKED).repartition(parts, "bucket")
+    runs = docs.mapInArrow(_find_runs(buckets), _PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
     settled = work.save(runs.mapInArrow(_settle_runs(buckets), _PACKED), "settled")
     work.free_shuffles()
     unsettled = settled.filter(F.col("kind").isin(UNSETTLED, HOT_UNSETTLED))
     strings = unsettled.union(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_cut_strings(buckets), _PACKED)
-    sorted_out = work.save(strings.repartition(parts, "bucket").mapInArrow(_sort_strings(buckets), _PACKED), "sorted")
+    sorted_out = work.save(strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_strings(buckets), _PACKED), "sorted")
     work.free_shuffles()
     repeats = settled.filter(F.col("kind") == REPEATS).union(sorted_out)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, html, langid, media, minhash, packing, pieces, quality, repeats, rules
+from . import attribution, html, langid, media, minhash, oracles, packing, pieces, quality, repeats, rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -17,4 +17,8 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
 }
 #: DuckDB SQL for the same rows, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op5_suffix_array_dedup": oracles.REPEATS,
+    "op7_quality_rules": oracles.quality_rules(rules.OFF_TIES),
+}

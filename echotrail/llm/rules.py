@@ -25,6 +25,8 @@ from .common import Work, map_batches, slices, table, texts_of
 from .stats import document_counts
 
 GAMMA, REACH, LEAST = 1.02, 3.0, 100
+#: Added before the query rounds, so that no value ends in ...5.
+OFF_TIES = 1e-8
 #: Ratio, and the least distance of its cutoff from the third quartile.
 RULES = {
     "symbol_ratio": ("n_symbols / word_chars", 0.05),
@@ -104,5 +106,5 @@ def quality_rules(spark: SparkSession, docs: DataFrame, work: Work | None = None
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(spark, table(spark, sf_dir, "documents"))
-    more = [c for k in RULES for c in (k, f"{k}_cutoff")]
+    more = [F.round(F.col(c) + OFF_TIES, 6).alias(c) for k in RULES for c in (k, f"{k}_cutoff")]
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *more)

@@ -381,7 +381,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     sized = partitions_for(spark, 2 * input_bytes(docs), PARTITION)
     # a task holds one bucket at a time, so a huge corpus may have many buckets to a partition
-    parts, buckets = min(sized, MOST_PARTITIONS), 4 * sized
+    parts, buckets = min(sized, MOST_PARTITIONS), 16 * sized
     null = [F.lit(None).cast("binary").alias(c) for c in ("keys", "spans", "docs", "starts", "counts")]
     texts = docs.select(F.pmod("doc_id", F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), "doc_id", *null, "data")
 

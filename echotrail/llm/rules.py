@@ -30,7 +30,7 @@ OFF_TIES = 1e-8
 #: Ratio, and the least distance of its cutoff from the third quartile.
 RULES = {
     "symbol_ratio": ("n_symbols / word_chars", 0.05),
-    "repeat_ratio": ("n_repeat_words / n_words", 0.35),
+    "repeat_ratio": ("n_repeat_words / n_words", 0.45),
     "dup_line_ratio": ("n_dup_lines / n_lines", 0.6),
     "word_length": ("word_chars / n_words", 2.0),
 }

@@ -47,6 +47,8 @@ WIDTH, GRAM = 100, 32
 BLOCK, PARTITION = 1 << 20, 16 << 20
 #: Shuffle partitions at most.
 MOST_PARTITIONS = 20_000
+#: Runs gathered before they are packed into rows.
+FLUSH = 500_000
 #: An anchor with so many different runs is dealt out window by window.
 HOT = 20_000
 #: Stands for a null doc_id, which comes before all others.
@@ -174,32 +176,59 @@ def _places(runs: Runs) -> Runs:
     return Runs(docs=runs.docs, starts=runs.starts, counts=runs.counts)
 
 
+class Gathered:
+    """Runs kept back until there are ``most`` of them, so that few, large rows are packed."""
+
+    def __init__(self, emit, most: int = FLUSH):
+        self.emit, self.most, self.parts, self.size = emit, most, [], 0
+
+    def add(self, *part) -> Iterator[pa.RecordBatch]:
+        """``part`` begins with runs."""
+        if len(part[0]):
+            self.parts.append(part)
+            self.size += len(part[0])
+            if self.size >= self.most:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            parts, self.parts, self.size = self.parts, [], 0
+            yield from _batches(self.emit(*zip(*parts, strict=True)))
+
+
 def _find_runs(buckets: int):
+    def emit(parts: tuple[Runs, ...]) -> list[dict]:
+        first, later = _settle(Runs.join(list(parts)))
+        rows = _packed(REPEATS, _places(later), later.docs % buckets) if len(later) else []
+        # of a very common anchor's runs only HOT go by anchor; the others are unsettled whatever the rest is
+        lead = np.concatenate(([True], first.keys[1:] != first.keys[:-1]))
+        nth = np.arange(len(first)) - np.maximum.accumulate(np.where(lead, np.arange(len(first)), 0))
+        over = first.take(np.flatnonzero(nth >= HOT))
+        if len(over):
+            rows += _packed(HOT_UNSETTLED, Runs(keys=over.keys, **_places(over).arrays), over.docs % buckets)
+        first = first.take(np.flatnonzero(nth < HOT))
+        return rows + _packed(RUNS, first, (first.keys % np.uint64(buckets)).astype(np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = Gathered(emit)
         for batch in batches:
-            first, later = _settle(runs_of(texts_of(batch.column(1)), ids_of(batch.column(0))))
-            rows = []
-            if len(later):
-                rows += _packed(REPEATS, _places(later), later.docs % buckets)
-            if len(first):
-                # of a very common anchor's runs only HOT go by anchor; the others are unsettled whatever the rest is
-                lead = np.concatenate(([True], first.keys[1:] != first.keys[:-1]))
-                nth = np.arange(len(first)) - np.maximum.accumulate(np.where(lead, np.arange(len(first)), 0))
-                over = first.take(np.flatnonzero(nth >= HOT))
-                if len(over):
-                    rows += _packed(HOT_UNSETTLED, Runs(keys=over.keys, **_places(over).arrays), over.docs % buckets)
-                first = first.take(np.flatnonzero(nth < HOT))
-                rows += _packed(RUNS, first, (first.keys % np.uint64(buckets)).astype(np.int64))
-            yield from _batches(rows)
+            yield from gathered.add(runs_of(texts_of(batch.column(1)), ids_of(batch.column(0))))
+        yield from gathered.flush()
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], kind: int, take, finish) -> Iterator[pa.RecordBatch]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], kind: int, take, settle, gathered: dict[int, Gathered]) -> Iterator[pa.RecordBatch]:
     """Rows of one kind, gathered bucket by bucket (they come sorted); other rows pass.
 
     Only one bucket is held at a time, whatever the partition's size.
+    ``settle(held)`` gives (kind, runs) for ``gathered``.
     """
+
+    def finish(held: list) -> Iterator[pa.RecordBatch]:
+        for k, runs in settle(held):
+            yield from gathered[k].add(runs)
+
     bucket, held = None, []
     for batch in batches:
         kinds, buckets = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
@@ -213,31 +242,40 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kind: int, take, finish) -> It
             yield batch.filter(pa.array(kinds != kind))
     if held:
         yield from finish(held)
+    for g in gathered.values():
+        yield from g.flush()
+
+
+def _to_documents(kind: int, buckets: int) -> Gathered:
+    def emit(parts: tuple[Runs, ...]) -> list[dict]:
+        runs = Runs.join(list(parts))
+        return _packed(kind, runs, runs.docs % buckets)
+
+    return Gathered(emit)
 
 
 def _settle_runs(buckets: int):
-    def finish(held: list[Runs]) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[Runs]) -> Iterator[tuple[int, Runs]]:
         first, later = _settle(Runs.join(held))
-        rows = _packed(REPEATS, _places(later), later.docs % buckets) if len(later) else []
+        yield REPEATS, _places(later)
         many = _per_anchor(first)
         for kind, at in ((UNSETTLED, (many > 1) & (many < HOT)), (HOT_UNSETTLED, many >= HOT)):
             some = first.take(np.flatnonzero(at))
-            if len(some):
-                rows += _packed(kind, Runs(keys=some.keys, **_places(some).arrays), some.docs % buckets)
-        yield from _batches(rows)
+            yield kind, Runs(keys=some.keys, **_places(some).arrays)
 
     take = lambda batch, i: Runs.unpack(batch, i, ("keys", "spans", "docs", "starts", "counts"))
-    return lambda batches: _by_bucket(batches, RUNS, take, finish)
+    return lambda batches: _by_bucket(batches, RUNS, take, settle, {k: _to_documents(k, buckets) for k in (REPEATS, UNSETTLED, HOT_UNSETTLED)})
 
 
-def _with_texts(kinds: tuple[int, ...], names: tuple[str, ...], each):
+def _with_texts(names: tuple[str, ...], make):
     """Texts with the packed runs of their bucket, which come first.
 
-    ``each(ids, texts, lookup)`` gives record batches; ``lookup(kind, doc)``
-    the runs of a document.
+    ``make()`` gives a task's ``each(ids, texts, lookup)`` and ``flush()``,
+    which give record batches; ``lookup(kind, doc)`` gives a document's runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, flush = make()
         bucket, parts, runs = None, {}, {}
         for batch in batches:
             buckets, kind = batch.column("bucket").to_numpy(), batch.column("kind").to_numpy()
@@ -263,6 +301,7 @@ def _with_texts(kinds: tuple[int, ...], names: tuple[str, ...], each):
 
                 some = batch.slice(a, b - a)
                 yield from each(some.column("doc_id").to_pylist(), texts_of(some.column("data")), lookup)
+        yield from flush()
 
     return run
 
@@ -270,25 +309,29 @@ def _with_texts(kinds: tuple[int, ...], names: tuple[str, ...], each):
 def _cut_strings(buckets: int):
     """The bytes of unsettled runs, dealt by anchor; of a hot anchor's runs window by window."""
 
-    def each(ids, texts, lookup):
-        held, data = [], []
-        for doc, text in zip(ids, texts, strict=True):
-            for kind in (UNSETTLED, HOT_UNSETTLED):
-                own = lookup(kind, doc)
-                if own is None:
-                    continue
-                if kind == HOT_UNSETTLED:
-                    n = own.counts
-                    starts = np.repeat(own.starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    whole = K.window_hashes(np.frombuffer(text, dtype=np.uint8), WIDTH)
-                    own = Runs(keys=whole[starts], docs=np.repeat(own.docs, n), starts=starts, counts=np.ones(len(starts), dtype=np.int32))
-                held.append(own)
-                data += [text[s : s + c + WIDTH - 1] for s, c in zip(own.starts.tolist(), own.counts.tolist(), strict=True)]
-        if held:
-            runs = Runs.join(held)
-            yield from _batches(_packed(STRINGS, runs, (runs.keys % np.uint64(buckets)).astype(np.int64), data))
+    def emit(parts: tuple[Runs, ...], data: tuple[list[bytes], ...]) -> list[dict]:
+        runs = Runs.join(list(parts))
+        return _packed(STRINGS, runs, (runs.keys % np.uint64(buckets)).astype(np.int64), [x for d in data for x in d])
 
-    return _with_texts((UNSETTLED, HOT_UNSETTLED), ("keys", "docs", "starts", "counts"), each)
+    def make():
+        gathered = Gathered(emit, FLUSH // 4)  # these carry their bytes
+
+        def each(ids, texts, lookup):
+            for doc, text in zip(ids, texts, strict=True):
+                for kind in (UNSETTLED, HOT_UNSETTLED):
+                    own = lookup(kind, doc)
+                    if own is None:
+                        continue
+                    if kind == HOT_UNSETTLED:
+                        n = own.counts
+                        starts = np.repeat(own.starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        whole = K.window_hashes(np.frombuffer(text, dtype=np.uint8), WIDTH)
+                        own = Runs(keys=whole[starts], docs=np.repeat(own.docs, n), starts=starts, counts=np.ones(len(starts), dtype=np.int32))
+                    yield from gathered.add(own, [text[s : s + c + WIDTH - 1] for s, c in zip(own.starts.tolist(), own.counts.tolist(), strict=True)])
+
+        return each, gathered.flush
+
+    return _with_texts(("keys", "docs", "starts", "counts"), make)
 
 
 def repeated_windows(runs: Runs, data: np.ndarray) -> Runs:
@@ -342,13 +385,11 @@ def repeated_windows(runs: Runs, data: np.ndarray) -> Runs:
 
 
 def _sort_strings(buckets: int):
-    def finish(held: list[tuple[Runs, bytes]]) -> Iterator[pa.RecordBatch]:
-        later = repeated_windows(Runs.join([r for r, _ in held]), np.frombuffer(b"".join(d for _, d in held), dtype=np.uint8))
-        if len(later):
-            yield from _batches(_packed(REPEATS, later, later.docs % buckets))
+    def settle(held: list[tuple[Runs, bytes]]) -> Iterator[tuple[int, Runs]]:
+        yield REPEATS, repeated_windows(Runs.join([r for r, _ in held]), np.frombuffer(b"".join(d for _, d in held), dtype=np.uint8))
 
     take = lambda batch, i: (Runs.unpack(batch, i, ("keys", "docs", "starts", "counts")), batch.column("data")[i].as_py())
-    return lambda batches: _by_bucket(batches, STRINGS, take, finish)
+    return lambda batches: _by_bucket(batches, STRINGS, take, settle, {REPEATS: _to_documents(REPEATS, buckets)})
 
 
 def covered(runs: Runs | None, length: int) -> list[tuple[int, int]]:
@@ -381,7 +422,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     sized = partitions_for(spark, 2 * input_bytes(docs), PARTITION)
     # a task holds one bucket at a time, so a huge corpus may have many buckets to a partition
-    parts, buckets = min(sized, MOST_PARTITIONS), 16 * sized
+    parts, buckets = min(sized, MOST_PARTITIONS), 4 * sized
     null = [F.lit(None).cast("binary").alias(c) for c in ("keys", "spans", "docs", "starts", "counts")]
     texts = docs.select(F.pmod("doc_id", F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), "doc_id", *null, "data")
 
@@ -394,11 +435,14 @@ def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work
     work.free_shuffles()
     repeats = settled.filter(F.col("kind") == REPEATS).union(sorted_out)
 
-    def each(ids, texts, lookup):
-        yield finish(ids, texts, [covered(lookup(REPEATS, doc), len(text)) for doc, text in zip(ids, texts, strict=True)])
+    def make():
+        def each(ids, texts, lookup):
+            yield finish(ids, texts, [covered(lookup(REPEATS, doc), len(text)) for doc, text in zip(ids, texts, strict=True)])
+
+        return each, lambda: iter(())
 
     both = repeats.union(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    found = both.mapInArrow(_with_texts((REPEATS,), ("docs", "starts", "counts"), each), schema)
+    found = both.mapInArrow(_with_texts(("docs", "starts", "counts"), make), schema)
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -111,16 +111,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both, ["a", "b", "left", "right"], run, "a long, b long")
 
 
-def sharing_rare_shingles(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def sharing_rare_shingles(docs: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of ``docs(doc_id, n, component)`` in different components that may be linked.
 
     Exact prefix filtering: linked sets of n and m shingles have at least
     o = ceil(3/7 (n + m)) in common, so with a common order of all shingles,
     rarest first, they share one among the first n - o + 1 and m - o + 1 (of
     n, at most n - ceil(3/4 n) + 1). Documents that differ from a group's
-    others in rare shingles of their own get no candidates, however large the
-    group is. Only the documents outside a
+    others in rare shingles of their own get no candidates, however large the group is. Only the documents outside a
     shingle's largest component meet the others.
+
+    The aggregates are written before they are joined, so that every join on
+    a shingle stands alone in its stage and a common shingle's rows are split
+    by the adaptive skew join.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -130,16 +133,16 @@ def sharing_rare_shingles(docs: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.record_batch([*map(pa.array, flat), pa.array(np.concatenate(own))], names=["doc_id", "n", "component", "shingle"])
 
     rows = map_batches(docs.join(sets, "doc_id"), ["doc_id", "n", "component", "shingles"], run, "doc_id long, n long, component long, shingle long")
-    common = rows.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1")
+    common = work.save(rows.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1"), "common")
     rows = rows.join(common, "shingle")
     in_doc = W.partitionBy("doc_id")
     place = F.row_number().over(in_doc.orderBy("freq", "shingle")) + F.col("n") - F.count("*").over(in_doc)
     rows = rows.select("*", place.alias("place"))
-    rows = rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
+    rows = work.save(rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1), "prefixes")
     by_component = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     largest = by_component.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("components"))
-    largest = largest.filter("components > 1").select("shingle", F.col("top.component").alias("largest"))
-    rows = rows.join(largest, "shingle")
+    largest = work.save(largest.filter("components > 1").select("shingle", F.col("top.component").alias("largest")), "largest")
+    rows = work.save(rows.join(largest, "shingle"), "met")
     p = rows.filter("component <> largest").alias("p")
     q = rows.hint("merge").alias("q")
     overlap = F.ceil((F.col("p.n") + F.col("q.n")) * 3 / 7)  # least intersection of a linked pair
@@ -196,7 +199,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     )
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
     rest = work.save(labelled.join(mixed.filter("lo < hi and size > 2").select("bucket"), "bucket"), "rest")
-    across = near_in_size(sharing_rare_shingles(rest.select("doc_id", "n", "component").distinct(), sets))
+    across = near_in_size(sharing_rare_shingles(rest.select("doc_id", "n", "component").distinct(), sets, work))
     more = work.save(verified(across.select("a", "b").distinct(), sets), "links_1")
     if not more.isEmpty():
         found = work.save(connected_components(links.union(more), work, "cc_1"), "components_1")

@@ -119,3 +119,13 @@ def daily_series(transactions: DataFrame) -> DataFrame:
     span = days.groupBy("user").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     every = span.select("user", F.explode(F.sequence("lo", "hi")).alias("day"))
     return every.join(days, ["user", "day"], "left").fillna(0.0, ["credit", "debit", "total"])
+
+
+def clustered_types(features: DataFrame, k: int, seed: int = 1, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The features with a node type 1..k from seeded k-means; users alike share a type."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    points = VectorAssembler(inputCols=list(columns), outputCol="_point").transform(features.drop("type"))
+    found = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(points).transform(points)
+    return found.withColumn("type", F.col("_cluster") + 1).drop("_point", "_cluster")

@@ -35,6 +35,41 @@ def links_among(transactions: DataFrame, ids: DataFrame, start=None, end=None, l
     return found.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
+def one_hop(transactions: DataFrame, ids: DataFrame, start=None, end=None) -> DataFrame:
+    """Transactions with at least one end among ``ids(id)``, in an inclusive time range."""
+    found = transactions
+    if start is not None:
+        found = found.filter(F.col("time") >= F.lit(start))
+    if end is not None:
+        found = found.filter(F.col("time") <= F.lit(end))
+    own = ids.select("id").distinct()
+    out = found.join(own.withColumnRenamed("id", "source"), "source", "left_semi").select(transactions.columns)
+    into = found.join(own.withColumnRenamed("id", "target"), "target", "left_semi").join(own.withColumnRenamed("id", "source"), "source", "left_anti")
+    return out.union(into.select(transactions.columns))
+
+
+def data_summary(transactions: DataFrame) -> DataFrame:
+    """(key, value): the numbers of entities, links and pairs, the USD moved, and the first and last day."""
+    ends = transactions.select(F.col("source").alias("n")).union(transactions.select("target")).agg(F.countDistinct("n").cast("string").alias("entities"))
+    rest = transactions.agg(
+        F.count("*").cast("string").alias("links"), F.countDistinct(F.least("source", "target"), F.greatest("source", "target")).cast("string").alias("pairs"),
+        F.round(F.sum("usd"), 2).cast("decimal(20,2)").cast("string").alias("usd"), F.to_date(F.min("time")).cast("string").alias("first"), F.to_date(F.max("time")).cast("string").alias("last"),
+    )
+    both = ends.join(F.broadcast(rest))  # one row each
+    return both.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in both.columns]), F.array(*both.columns))).alias("key", "value"))
+
+
+def accounts(transactions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per entity: how many transactions and counterparts it has, its USD in and out, and its first and last day."""
+    flat = transactions.select(F.col("source").alias("entity"), F.col("target").alias("other"), (-F.col("usd")).alias("v"), "time").union(
+        transactions.select("target", "source", "usd", "time")
+    )
+    return flat.join(entities.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(
+        F.count("*").alias("n"), F.countDistinct("other").alias("counterparts"), F.sum(F.when(F.col("v") > 0, F.col("v")).otherwise(0.0)).alias("incoming"),
+        F.sum(F.when(F.col("v") < 0, -F.col("v")).otherwise(0.0)).alias("outgoing"), F.to_date(F.min("time")).alias("first"), F.to_date(F.max("time")).alias("last"),
+    )
+
+
 def members(matches: DataFrame) -> DataFrame:
     """(match, role, node) of ``matches(match, n_0, n_1, ...)``."""
     roles = [c for c in matches.columns if c.startswith("n_")]
@@ -55,20 +90,23 @@ def _flow(i: int, j: int) -> Column:
     return F.coalesce(F.sum(F.when(forth, F.col("usd")).when(back, -F.col("usd"))), F.lit(0.0)).alias(f"flow_{i}_{j}")
 
 
-def observations(links: DataFrame, roles: int, bucket: int = BUCKET) -> DataFrame:
+def observations(links: DataFrame, roles: int, bucket: int = BUCKET, since: str = "bucket") -> DataFrame:
     """One vector per match and bucket of ``bucket`` transactions in time order.
 
     f0: the time within the bucket; f1: from the last bucket's start to this
     one's; then the net flow of each pair of roles. A bucket that lasts d > 0
     has f0 and f1 over d (a last, unfull one f1 over its end minus the last
     bucket's start). Times are in milliseconds. Transactions at the same time
-    go by their roles and USD.
+    go by their roles and USD. since="transaction": f1 counts from the last
+    transaction instead of the last bucket's start.
     """
+    if since not in ("bucket", "transaction"):
+        raise ValueError("since must be bucket or transaction")
     order = W.partitionBy("match").orderBy("time", "role_s", "role_t", "usd")
     numbered = links.withColumns({"ms": millis("time"), "bucket": F.floor((F.row_number().over(order) - 1) / bucket).cast("long")})
     flows = [_flow(i, j) for i in range(roles) for j in range(i + 1, roles)]
     rows = numbered.groupBy("match", "bucket").agg(F.min("ms").alias("first"), F.max("ms").alias("last"), F.count("*").alias("n"), *flows)
-    before = F.lag("first").over(W.partitionBy("match").orderBy("bucket"))
+    before = F.lag("first" if since == "bucket" else "last").over(W.partitionBy("match").orderBy("bucket"))
     rows = rows.withColumns({"before": F.coalesce(before, F.col("first")), "d": (F.col("last") - F.col("first")).cast("double")})
     gap = (F.col("first") - F.col("before")).cast("double")
     f0 = F.when(F.col("d") > 0, 1.0).otherwise(0.0)

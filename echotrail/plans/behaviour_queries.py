@@ -181,3 +181,35 @@ def time_series_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
     everyone = txn.select(F.col("source").alias("entity")).union(txn.select("target"))
     found = O.time_series(txn, everyone, "2024-01-01", 4, 7)
     return found.select("entity", "bin", *[F.round(c, 4).alias(c) for c in ("incoming", "outgoing", "net")])
+
+
+@query(
+    "one_hop_links",
+    f"""with {V.EVENT_SQL} select {_LINK_COLUMNS} from txn where (source between 1 and 20 or target between 1 and 20) and time between timestamp '{START}' and timestamp '{END}'""",
+)
+def one_hop_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, end = F.lit(START).cast("timestamp"), F.lit(END).cast("timestamp")
+    return O.one_hop(V.txn_event(spark, sf_dir), _ids(spark), start, end).select(*_LINK_COLUMNS.split(", "))
+
+
+@query(
+    "data_summary",
+    f"""with {V.EVENT_SQL}, s as (select cast((select count(distinct n) from (select source as n from txn union all select target from txn)) as varchar) as entities,
+    cast(count(*) as varchar) as links, cast(count(distinct least(source, target) * 10000000 + greatest(source, target)) as varchar) as pairs,
+    cast(cast(round(sum(usd), 2) as decimal(20, 2)) as varchar) as usd, cast(cast(min(time) as date) as varchar) as first, cast(cast(max(time) as date) as varchar) as last from txn)
+    select unnest(['entities', 'links', 'pairs', 'usd', 'first', 'last']) as key, unnest([entities, links, pairs, usd, first, last]) as value from s""",
+)
+def data_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.data_summary(V.txn_event(spark, sf_dir))
+
+
+@query(
+    "entity_accounts",
+    f"""with {V.TRADE_SQL}, flat as (select source as entity, target as other, -usd as v, time from txn union all select target, source, usd, time from txn)
+    select entity, count(*) as n, count(distinct other) as counterparts, round(sum(case when v > 0 then v else 0 end) + {OFF_TIES}, 2) as incoming,
+    round(sum(case when v < 0 then -v else 0 end) + {OFF_TIES}, 2) as outgoing, cast(min(time) as date) as first, cast(max(time) as date) as last from flat group by 1""",
+)
+def entity_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn = V.txn_trade(spark, sf_dir)
+    everyone = txn.select(F.col("source").alias("entity")).union(txn.select("target"))
+    return _round(O.accounts(txn, everyone), 2)

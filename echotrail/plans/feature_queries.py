@@ -251,3 +251,15 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("spectra")
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spectra(X.daily_series(V.txn_event(spark, sf_dir)))
+
+
+@query("clustered_types")
+def clustered_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in four types by their normalised features."""
+    found = X.normalized(X.log_transform(X.user_features(V.txn_event(spark, sf_dir))))
+    return X.clustered_types(found, 4).select("user", "type")
+
+
+@query("user_table", f'with {_FEATURES_SQL} select "user", 1 as type, {_round_sql(X.FEATURES)} from features')
+def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(X.user_table(X.user_features(V.txn_event(spark, sf_dir))))

@@ -27,18 +27,44 @@ from echotrail.streaming import aggregates
 
 # A scenario of transactions. Two fan-outs with fan-in, a cycle that happens twice, and noise.
 SCENARIO = """
-a b 2012-10-15 12:00 5000 | b a 2012-11-12 13:00 3000 | a b 2013-10-15 14:00 1000 | a c 2013-10-16 15:00 800 | b d 2013-10-17 16:00 950 | c d 2013-10-18 17:00 750
-e f 2013-09-15 18:00 1200 | e g 2013-09-17 19:00 1300 | f h 2013-09-18 20:00 1100 | g h 2013-09-20 21:00 1250 | e h 2013-09-01 12:00 600 | h e 2013-09-02 13:00 500
-f g 2013-09-03 12:00 400 | g f 2013-09-04 14:00 350 | f g 2013-09-22 12:00 600 | f g 2013-09-23 13:00 1000 | g f 2013-09-24 15:00 800
-i j 2013-08-15 12:00 1000 | j k 2013-08-16 13:00 1200 | k l 2013-08-17 14:00 1000 | l i 2013-08-18 15:00 1300
-i j 2013-08-01 12:00 1100 | j k 2013-08-02 12:00 1200 | k l 2013-08-03 12:00 1300 | l i 2013-08-04 12:00 1400
-m a 2013-07-15 12:00 200 | n b 2013-07-16 12:00 300 | o e 2013-07-17 12:00 200 | p h 2013-07-18 12:00 400
-c q 2013-07-19 12:00 300 | d r 2013-07-20 12:00 200 | f s 2013-07-21 12:00 100 | g t 2013-07-22 12:00 500
+a b 2012-10-15 12:00 5000
+b a 2012-11-12 13:00 3000
+a b 2013-10-15 14:00 1000
+a c 2013-10-16 15:00 800
+b d 2013-10-17 16:00 950
+c d 2013-10-18 17:00 750
+e f 2013-09-15 18:00 1200
+e g 2013-09-17 19:00 1300
+f h 2013-09-18 20:00 1100
+g h 2013-09-20 21:00 1250
+e h 2013-09-01 12:00 600
+h e 2013-09-02 13:00 500
+f g 2013-09-03 12:00 400
+g f 2013-09-04 14:00 350
+f g 2013-09-22 12:00 600
+f g 2013-09-23 13:00 1000
+g f 2013-09-24 15:00 800
+i j 2013-08-15 12:00 1000
+j k 2013-08-16 13:00 1200
+k l 2013-08-17 14:00 1000
+l i 2013-08-18 15:00 1300
+i j 2013-08-01 12:00 1100
+j k 2013-08-02 12:00 1200
+k l 2013-08-03 12:00 1300
+l i 2013-08-04 12:00 1400
+m a 2013-07-15 12:00 200
+n b 2013-07-16 12:00 300
+o e 2013-07-17 12:00 200
+p h 2013-07-18 12:00 400
+c q 2013-07-19 12:00 300
+d r 2013-07-20 12:00 200
+f s 2013-07-21 12:00 100
+g t 2013-07-22 12:00 500
 """
 
 
 def _scenario() -> list[tuple]:
-    rows = [x.split() for line in SCENARIO.strip().split("\n") for x in line.split("|")]
+    rows = [line.split() for line in SCENARIO.strip().split("\n")]
     return [(i, ord(s) - 97, ord(t) - 97, dt.datetime.fromisoformat(f"{d} {h}"), float(v), float(v)) for i, (s, t, d, h, v) in enumerate(rows)]
 
 
@@ -171,6 +197,8 @@ def test_observations_of_a_fan(spark, scenario):
     links = O.match_links(scenario.filter("time >= '2013-10-01'"), fan)
     got = O.observations(links, 4).orderBy("bucket").collect()
     assert [(r.n, r.f0) for r in got] == [(2, 1.0), (2, 1.0)]
+    late = O.observations(links, 4, since="transaction").orderBy("bucket").collect()
+    assert late[1].f1 == pytest.approx(25 / 25)
     assert got[0].f1 == 0.0 and got[1].f1 == pytest.approx(50 / 25)  # 50 h from bucket to bucket, 25 h long
     assert (got[0].flow_0_1, got[0].flow_0_2, got[1].flow_1_3, got[1].flow_2_3) == (1000.0, 800.0, 950.0, 750.0)
 
@@ -217,6 +245,10 @@ def test_flows(spark, scenario):
     focus = spark.createDataFrame([(7,)], "entity long")
     both = O.flow_aggregation(scenario, own, focus).collect()
     assert {(r.direction, r.usd) for r in both} == {("out", 600.0), ("in", 500.0)}
+    assert {r.transid for r in O.one_hop(scenario, own.withColumnRenamed("entity", "id")).collect()} == {r[0] for r in _scenario() if 4 in r[1:3]}
+    one = O.accounts(scenario, own).first()
+    assert (one.n, one.counterparts, one.incoming, one.outgoing) == (5, 4, 700.0, 3100.0)
+    assert {r.key: r.value for r in O.data_summary(scenario).collect()}["links"] == "33"
     bins = O.time_series(scenario, own, "2013-09-01", 3, 10).orderBy("bin").collect()
     assert [(r.incoming, r.outgoing) for r in bins] == [(500.0, 600.0), (0.0, 2500.0), (0.0, 0.0)]
 
@@ -297,6 +329,8 @@ def test_files(spark, tmp_path, scenario):
     assert sorted(tuple(r) for r in readers.read_graph(spark, str(tmp_path / "g.txt")).collect()) == [(1, 2, 5.0), (2, 1, 5.0), (2, 3, 1.0), (3, 2, 1.0)]
     (tmp_path / "y.txt").write_text("1\t2\n#c\n2\t1\n")
     assert readers.read_types(spark, str(tmp_path / "y.txt")).count() == 2
+    pattern, nodes = readers.read_pattern(spark, str(tmp_path / "g.txt"))
+    assert pattern.edges == ((0, 1), (1, 2)) and nodes == [1, 2, 3] and not readers.table_exists(spark, "nothing_here")
     (tmp_path / "f.tsv").write_text("id\ta\tb\np1\t0.5\t1\n")
     assert list(readers.read_features(spark, str(tmp_path / "f.tsv")).first().vector) == [0.5, 1.0]
     writers.write_transactions(scenario, str(tmp_path / "txn"))

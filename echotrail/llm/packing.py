@@ -2,10 +2,13 @@
 
 Only the histogram of piece lengths (at most CAPACITY counts) reaches the
 driver, whatever the corpus' size. There, the configuration linear program of
-bin packing is solved by multiplicative weights: each round prices the best
-configuration by knapsack dynamic programming. The solution is rounded down,
-and what it leaves is placed best-fit, longest first, on counts rather than
-single pieces. (Best-fit alone is tried as well; the better plan is taken.)
+bin packing is solved by multiplicative weights: a length's price is its own
+size times a weight that grows while it lags behind in coverage, and each
+round adds the best configuration at these prices, found by knapsack dynamic
+programming. Of the solution, the all but full configurations are rounded
+down; what they leave is placed best-fit, longest first, on counts rather
+than single pieces. Several shares of the solution are tried (none as well);
+the plan with the fewest rows is taken.
 The pieces then find their places by their rank within their length, so no
 group of pieces meets in one task.
 
@@ -16,8 +19,6 @@ are packed like other rows. An empty table packs into nothing.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,10 @@ from .common import Work, map_batches, table, texts_of
 from .tokens import decoded, encoder, vocabulary
 
 CAPACITY, END_ID = 1024, 2
-#: Length groups and rounds of the linear program; pieces up to CAPACITY / SMALL stay out of it.
-GROUPS, ROUNDS, RATE, SMALL = 48, 300, 1.0, 16
+#: Rounds of the linear program, how fast weights grow, and the part of the capacity up to which pieces stay out of it.
+ROUNDS, RATE, SMALL = 800, 8.0, 5
+#: How full a configuration must be to be taken, and the shares of the solution that are tried.
+FULL, SHARES = 0.998, (0.75, 0.5, 0.25, 0.0)
 
 #: Pieces ranked in one bucket, on average.
 RANKED = 250_000
@@ -61,18 +64,17 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray
     return out
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """The configuration program by multiplicative weights: a weight per configuration that covers all counts."""
-    scale = counts.mean() / counts
-    covered = np.zeros(len(sizes))
-    used: dict[tuple[int, ...], float] = {}
-    for _ in range(ROUNDS):
-        price = np.exp(-RATE * (covered - covered.min())) * scale
+def fractional(sizes: np.ndarray, counts: np.ndarray, bins: float, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """The configuration program by multiplicative weights: how many of ``bins`` rows each configuration gets."""
+    rounds = max(1, min(ROUNDS, int(bins)))
+    covered, used = np.zeros(len(sizes)), {}
+    for t in range(1, rounds + 1):
+        price = sizes * np.exp(RATE * np.clip(t / rounds - covered, -3, 3))
         a = knapsack(price, sizes, capacity)
-        used[tuple(a.tolist())] = used.get(tuple(a.tolist()), 0) + 1
-        covered += a * scale
-    least = covered.min()
-    return {a: x * counts.mean() / least for a, x in used.items()} if least > 0 else {}
+        config = tuple((int(sizes[i]), int(a[i])) for i in np.flatnonzero(a))
+        used[config] = used.get(config, 0.0) + bins / rounds
+        covered += a * (bins / rounds) / counts
+    return used
 
 
 class _Stock:
@@ -120,40 +122,22 @@ def best_fit(histogram: dict[int, int], capacity: int, bins: list[tuple[tuple[in
     return [x for group in room.values() for x in group]
 
 
-def _instances(pattern: tuple[int, ...], groups: list[list[int]], stock: _Stock, most: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Rows of a pattern of length groups, with the longest pieces left in each."""
-    while most > 0:
-        config, ahead = [], dict(stock.left)
-        for g, m in enumerate(pattern):
-            for _ in range(m):
-                length = next((x for x in groups[g] if ahead.get(x, 0) > 0), None)
-                if length is not None:
-                    ahead[length] -= 1
-                    config.append(length)
-        got = stock.take(tuple(config), most) if config else None
-        if got is None:
-            return
-        most -= got[1]
-        yield got
-
-
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Configurations and their counts that hold exactly the pieces of the histogram."""
     whole = histogram.get(capacity, 0)
     rest = {k: v for k, v in histogram.items() if v > 0 and k < capacity}
-    found = best_fit(rest, capacity)
-    large = sorted((k for k in rest if k > capacity // SMALL), reverse=True)
-    if large:
-        counts = np.array([rest[k] for k in large])
-        cut = np.minimum((np.cumsum(counts) - counts) * GROUPS // counts.sum(), GROUPS - 1)
-        groups = [[k for k, c in zip(large, cut, strict=True) if c == g] for g in np.unique(cut)]
-        sizes, total = np.array([g[0] for g in groups]), np.array([sum(rest[k] for k in g) for g in groups])
-        solution = fractional(sizes, total, capacity)
+    sizes = np.array(sorted(k for k in rest if k > capacity // SMALL))
+    solution = fractional(sizes, np.array([rest[k] for k in sizes.tolist()]), sum(k * v for k, v in rest.items()) / capacity, capacity) if len(sizes) else {}
+    full = sorted(((c, x) for c, x in solution.items() if sum(k * m for k, m in c) >= FULL * capacity), key=lambda p: (-sum(k * m for k, m in p[0]), p[0]))
+    found = None
+    for share in SHARES:
         stock, bins = _Stock(rest), []
-        for pattern, x in sorted(solution.items(), key=lambda p: -float(np.dot(p[0], sizes))):
-            bins += _instances(pattern, groups, stock, int(x))
+        for config, x in full:
+            got = stock.take(tuple(k for k, m in config for _ in range(m)), int(x * share))
+            if got:
+                bins.append(got)
         rounded = best_fit({k: v for k, v in stock.left.items() if v}, capacity, bins)
-        if sum(n for _, n in rounded) <= sum(n for _, n in found):
+        if found is None or sum(n for _, n in rounded) < sum(n for _, n in found):
             found = rounded
     if whole:
         found.append(((capacity,), whole))

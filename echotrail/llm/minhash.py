@@ -118,8 +118,9 @@ def sharing_rare_shingles(docs: DataFrame, sets: DataFrame, work: Work) -> DataF
     o = ceil(3/7 (n + m)) in common, so with a common order of all shingles,
     rarest first, they share one among the first n - o + 1 and m - o + 1 (of
     n, at most n - ceil(3/4 n) + 1). Documents that differ from a group's
-    others in rare shingles of their own get no candidates, however large the group is. Only the documents outside a
-    shingle's largest component meet the others.
+    others in rare shingles of their own get no candidates, however large the
+    group is. Only the documents outside a shingle's largest component meet
+    the others.
 
     The aggregates are written before they are joined, so that every join on
     a shingle stands alone in its stage and a common shingle's rows are split
@@ -161,26 +162,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     work = work or Work(spark, "minhash")
     drawn = work.save(sketches(docs), "sketches")
 
-    # copies: one representative (the least id) for each distinct set
+    # copies: one representative (the least id) for each distinct set; only it keeps its buckets
     copies = (
         drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("same", "rep")
     )
-    classes = work.save(
-        drawn.select("doc_id", "n_shingles", "same").join(copies, "same", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
-        "classes",
-    )
-    lesser = classes.filter("rep <> doc_id").select("doc_id").distinct()
-    members = (
-        drawn.filter("n_shingles > 0 and doc_id is not null").join(lesser, "doc_id", "left_anti")
-        .select("doc_id", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    )
+    rep = F.coalesce("rep", "doc_id")
+    own = F.when((F.col("n_shingles") > 0) & (F.col("doc_id") == rep), F.col("buckets"))
+    classes = work.save(drawn.join(copies, "same", "left").select("doc_id", F.col("n_shingles").alias("n"), rep.alias("rep"), own.alias("buckets")), "classes")
+    members = classes.select("doc_id", "n", F.explode("buckets").alias("bucket"))
     least = members.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("bucket", "centre")
     shared = work.save(members.join(least, "bucket"), "buckets")
     work.drop("sketches")
     work.free_shuffles()
 
-    involved = shared.select("doc_id").distinct()
+    # the ids have no bound, so they are shuffled at every size, never broadcast
+    involved = shared.select("doc_id").distinct().hint("merge")
     sets = work.save(shingle_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")), "sets", "snappy")
+    work.free_shuffles()
     size = work.save(shared.select("doc_id", "n").distinct(), "sizes")
 
     def near_in_size(pairs: DataFrame) -> DataFrame:
@@ -203,10 +201,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     more = work.save(verified(across.select("a", "b").distinct(), sets), "links_1")
     if not more.isEmpty():
         found = work.save(connected_components(links.union(more), work, "cc_1"), "components_1")
+    work.drop("sets", "buckets", "rest", "common", "prefixes", "largest", "met")
     named = found.select(F.col("node").alias("rep"), "component")
     return (
         classes.join(named, "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import save
+
 #: Query vectors that go over all rows at once; more go in further passes.
 QUERIES_AT_ONCE = 4096
 #: Distances held at once, in numbers.
@@ -42,11 +44,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
     which keeps its own best k of each; only those are ranked globally. Ties
     go by the neighbour's id.
     """
-    asked = sorted((r[0], r[1]) for r in queries.select(key, vector).collect())
-    passes = [_pass(vectors, asked[i : i + QUERIES_AT_ONCE], k, key, vector) for i in range(0, len(asked), QUERIES_AT_ONCE)]
+    passes = -(-queries.count() // QUERIES_AT_ONCE)
     if not passes:
         return vectors.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
-    found = reduce(lambda x, y: x.union(y), passes)
+    parts = []
+    for i in range(passes):
+        # a block's vectors are all the driver ever holds; with several, each pass is written
+        block = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(passes)) == i)
+        asked = sorted((r[0], r[1]) for r in block.select(key, vector).collect())
+        if asked:
+            one = _pass(vectors, asked, k, key, vector)
+            parts.append(one if passes == 1 else save(one, "nearest"))
+    found = reduce(lambda x, y: x.union(y), parts)
     place = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour")) - 1
     return found.withColumn("rank", place).filter(F.col("rank") < k)
 

@@ -162,10 +162,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Work | None = No
     work = work or Work(spark, "minhash")
     drawn = work.save(sketches(docs), "sketches")
 
-    # copies: one representative (the least id) for each distinct set; only it keeps its buckets
-    copies = (
-        drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("same", "rep")
-    )
+    # copies: one representative (the least id) for each distinct set; only it keeps its buckets. They are written,
+    # so that the join with a large group of copies can be split.
+    copies = drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    copies = work.save(copies.filter("n > 1").select("same", "rep"), "copies")
     rep = F.coalesce("rep", "doc_id")
     own = F.when((F.col("n_shingles") > 0) & (F.col("doc_id") == rep), F.col("buckets"))
     classes = work.save(drawn.join(copies, "same", "left").select("doc_id", F.col("n_shingles").alias("n"), rep.alias("rep"), own.alias("buckets")), "classes")

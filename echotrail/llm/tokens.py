@@ -50,9 +50,19 @@ class Encoder:
             self._slow = Tokenizer.from_file(self.path)
         return self._slow
 
-    def ids(self, text: str) -> np.ndarray:
-        if self._fast is not None and not _COMMON.search(text):
+    def _quick(self, text: str) -> np.ndarray | None:
+        """The ids through the ranks, or None where ``tokenizers`` must do it."""
+        if self._fast is None or _COMMON.search(text):
+            return None
+        try:
             return np.asarray(self._fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        except ValueError:  # its splitter's stack is too small for a run of a million spaces
+            return None
+
+    def ids(self, text: str) -> np.ndarray:
+        quick = self._quick(text)
+        if quick is not None:
+            return quick
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +70,8 @@ class Encoder:
 
         A character split over several tokens belongs to all of them.
         """
-        if self._fast is not None and not _COMMON.search(text):
-            ids = np.asarray(self._fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        ids = self._quick(text)
+        if ids is not None:
             ends = np.cumsum(self.sizes[ids])
             starts = ends - self.sizes[ids]
             if not text.isascii():

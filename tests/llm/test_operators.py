@@ -297,7 +297,7 @@ def test_encoder_agrees_with_the_library(rows):
     from tokenizers import Tokenizer
 
     encode, slow = tokens.encoder(tokens.vocabulary()), Tokenizer.from_file(tokens.vocabulary())
-    odd = ["<|endoftext|> x", "日本語 text", "a b", "naïve — “quoted” 12,5€", "😀 x", "it's we'll  \n\n end ", "x" * 5000]
+    odd = ["<|endoftext|> x", "日本語 text", "a b", "naïve — “quoted” 12,5€", "😀 x", "it's we'll  \n\n end ", "x" * 5000, "a" + " " * 1_200_000 + "b"]
     for text in [r[1] or "" for r in rows] + odd:
         want = slow.encode(text, add_special_tokens=False)
         ids, starts, ends = encode.offsets(text)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ REMEMBERED = 400_000
 LONG = 128
 _META = 0x2581
 _NONE = np.int64(2**62)
+_MASK = 2**64 - 1
+_ODDS = [int(K.ODD[i]) for i in (2, 3, 4)]
 
 
 def model_file() -> str:
@@ -97,6 +99,16 @@ class Pieces:
             self.values[slot[placed]] = values[placed]
             keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """The merges for one pair at a time."""
+        own = self.keys >= 0
+        return dict(zip(self.keys[own].tolist(), self.values[own].tolist(), strict=True))
+
+    @cached_property
+    def rank_list(self) -> list[int]:
+        return self.rank.tolist()
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((keys.astype(np.uint64) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
@@ -122,40 +134,48 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _limit(rate: float) -> int:
+    return min(int(rate * 2**64), 2**64 - 1) if rate > 0 else 0
+
+
 def skipped(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
     """Whether the candidate of joining [begin, middle) and [middle, end) of a unit is dropped."""
     if rate <= 0:
         return np.zeros(len(key), dtype=bool)
     with np.errstate(over="ignore"):
         h = K.mix(key + begin.astype(np.uint64) * K.ODD[2] + middle.astype(np.uint64) * K.ODD[3] + end.astype(np.uint64) * K.ODD[4])
-    return h < U(min(int(rate * 2**64), 2**64 - 1))
+    return h < U(_limit(rate))
+
+
+def _dropped(key: int, begin: int, middle: int, end: int, limit: int) -> bool:
+    """``skipped`` for one candidate, on plain integers."""
+    x = (key + begin * _ODDS[0] + middle * _ODDS[1] + end * _ODDS[2]) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31) < limit
 
 
 def segment_by_heap(p: Pieces, symbols: np.ndarray, key: int, rate: float) -> tuple[list[int], list[int]]:
     """One unit's segmentation with an agenda; the pieces (-1 without one) and their first symbols."""
     n = len(symbols)
     ids, end, before, behind = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    rank, merges, limit = p.rank_list, p.merges, _limit(rate)
     agenda: list[tuple[int, int, int, int, int]] = []
-    one = np.array([key], dtype=np.uint64)
 
     def offer(i: int) -> None:
         j = behind[i]
-        if j >= n or ids[i] < 0 or ids[j] < 0:
-            return
-        m = int(p.merged(np.array([ids[i]]), np.array([ids[j]]))[0])
-        if m >= 0:
-            heapq.heappush(agenda, (int(p.rank[m]), i, end[i], end[j], m))
+        m = merges.get(ids[i] << 32 | ids[j]) if j < n and ids[i] >= 0 and ids[j] >= 0 else None
+        if m is not None and not (limit and _dropped(key, i, end[i], end[j], limit)):
+            heapq.heappush(agenda, (rank[m], i, end[i], end[j], m))
 
     for i in range(n - 1):
         offer(i)
     dead = [False] * n
     while agenda:
         _, i, middle, stop, m = heapq.heappop(agenda)
-        j = behind[i] if not dead[i] else n
-        if dead[i] or end[i] != middle or j >= n or end[j] != stop:
-            continue
-        if skipped(one, np.array([i]), np.array([middle]), np.array([stop]), rate)[0]:
+        if dead[i] or end[i] != middle or behind[i] >= n or end[behind[i]] != stop:
             continue
+        j = behind[i]
         ids[i], end[i], dead[j] = m, stop, True
         behind[i] = behind[j]
         if behind[i] < n:

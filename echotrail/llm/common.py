@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes (session settings of this engine)."""
+    """Bound Arrow and Parquet batches by rows and bytes (session settings of this engine)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # rows of text that the Parquet reader decodes at once: its vectors double their size as they fill
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def shared_dir(spark: SparkSession) -> str:

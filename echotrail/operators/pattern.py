@@ -117,7 +117,7 @@ def top_matches_in_batches(edges: DataFrame, pattern: Pattern, k: int, steps: tu
     scores less than edges * h; once the k-th score is above that, no more is
     needed (ties stay for the tie-break, hence strictly above).
     """
-    n = len(pattern.edges)
+    n, order = len(pattern.edges), [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
     levels = [0.0] if edges.isEmpty() else edges.agg(F.percentile_approx("w", F.array(*[F.lit(s) for s in steps]), 10000)).first()[0]
     for i, h in enumerate(levels):
         if i == len(levels) - 1 or h <= 0:
@@ -126,8 +126,8 @@ def top_matches_in_batches(edges: DataFrame, pattern: Pattern, k: int, steps: tu
         parts = []
         for e in pattern.edges:  # matches whose edge e is heavy
             first = Pattern((e, *[x for x in pattern.edges if x != e]), pattern.types)
-            parts.append(_seeded(heavy, edges, first, pattern))
-        found = reduce(lambda x, y: x.unionByName(y), parts).distinct().orderBy(F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]).limit(k)
+            parts.append(_seeded(heavy, edges, first, pattern).orderBy(*order).limit(k))
+        found = reduce(lambda x, y: x.unionByName(y), parts).distinct().orderBy(*order).limit(k)
         last = found.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
         if last.n == k and last.least > n * h:
             return found

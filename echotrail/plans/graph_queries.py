@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import marginal as M
 from ..operators import pattern as P
+from ..operators.graphs import _Rounds
 from . import views as V
 from .pattern_sql import match_sql, top_sql
 from .registry import query
@@ -102,15 +103,25 @@ def event_edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
     return M.symmetric_edges(M.marginal_graph(V.txn_event(spark, sf_dir)).filter(F.col("num_trans") >= least))
 
 
+def written_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All event edges, written once, so that long join chains don't make them anew and know their size."""
+    return _Rounds(spark, "event_edges").save(event_edges(spark, sf_dir))
+
+
 def _event_sql(body: str, least: int = 1) -> str:
     graph = V.GRAPH_SQL if least == 1 else V.GRAPH_SQL[:-1] + f" having count(*) >= {least})"
     return f"with {V.EVENT_SQL}, {graph}, {V.SYM_SQL} {body}"
 
 
 def _pattern_query(name: str, pattern: P.Pattern, least: int = 1, **options) -> None:
+    """A search over all edges. ``least`` bounds the edges of the SQL alone, which would take too long over all."""
+
     @query(name, _event_sql(top_sql(pattern, TOP, **options), least))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return P.top_matches(event_edges(spark, sf_dir, least), pattern, TOP, **options)
+        if least == 1:
+            return P.top_matches(event_edges(spark, sf_dir), pattern, TOP, **options)
+        edges = written_event_edges(spark, sf_dir)
+        return P.top_matches(edges, pattern, TOP, **options) if options else P.top_matches_in_batches(edges, pattern, TOP)
 
 
 _pattern_query("pattern_edge_topk", P.EDGE)
@@ -146,3 +157,9 @@ def pattern_typed_triangle_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pattern_dedup_nodeset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.one_per_node_set(P.matches(event_edges(spark, sf_dir, 2), P.SQUARE, all_images=True))
+
+
+@query("pattern_dedup_nodeset_all")
+def pattern_dedup_nodeset_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all edges. A square's images have one score, and the one kept of each has the least node tuple already."""
+    return P.one_per_node_set(P.matches(written_event_edges(spark, sf_dir), P.SQUARE))

@@ -14,7 +14,7 @@ from ..operators import signatures as S
 from ..operators.pattern import TRIANGLE, Pattern
 from . import views as V
 from .feature_queries import _LOGS_SQL, OFF_TIES
-from .graph_queries import event_edges
+from .graph_queries import event_edges, written_event_edges
 from .registry import query, table
 
 _BASE = f"with {V.EVENT_SQL}, {V.GRAPH_SQL}, {V.USER_TYPES_SQL}, {V.SYM_SQL}"
@@ -203,3 +203,24 @@ def graph_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def neighbourhood_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbourhood_sizes(event_edges(spark, sf_dir, 3))
+
+
+@query("connected_components_all")
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.connected_components(event_edges(spark, sf_dir))
+
+
+@query("shortest_paths_all")
+def shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = written_event_edges(spark, sf_dir)
+    return G.shortest_paths(edges, edges.agg(F.min("src").alias("node")))
+
+
+@query("graph_diameter_all")
+def graph_diameter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.diameter(written_event_edges(spark, sf_dir))
+
+
+@query("neighbourhood_sizes_all")
+def neighbourhood_sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbourhood_sizes(written_event_edges(spark, sf_dir))

@@ -3,13 +3,17 @@
 The segmentation is BPE's: of all adjacent pairs whose join is a piece, the
 best-scored (the leftmost of equals) is merged, until none is left. With
 dropout, a candidate merge is skipped for good if a keyed hash of it (seed,
-variant of the document, the unit's text, the candidate's place) falls under
-the rate, so a seed always gives the same segmentation, and other seeds or
-variants give others. A unit is a run of spaces and what follows up to the
-next space; no piece crosses units.
-
-All distinct units of a batch are segmented at once: each round finds every
-unit's best candidate and merges it. Very long units go through a heap.
+document, the unit's place in it and text, the candidate's place) falls under
+the rate, so a seed always gives the same segmentation, and other seeds,
+documents or places give others. A unit is a run of spaces and what follows up
+to the next space; no piece crosses units.
+
+Distinct units are segmented without dropout once and remembered with the
+merges made. Where none of these is skipped at an occurrence, its segmentation
+is that one, as a skipped candidate that would not have been merged changes
+nothing. The other occurrences of a batch are segmented one by one, all at
+once: each round finds every unit's best candidate and merges it. Very long
+units go through a heap.
 
 A space stands before every text that isn't empty; decoding takes it away.
 Characters without a piece, and U+2581 (which pieces use for the space), are
@@ -33,7 +37,7 @@ from .common import map_batches, slices, table, texts_of
 from .tokens import decoded
 
 U = np.uint64
-RATE, SEED, VARIANTS = 0.1, 7, 4
+RATE, SEED = 0.1, 7
 #: Segmented units a process remembers at most.
 REMEMBERED = 400_000
 #: Symbols from which on a unit goes through a heap.
@@ -186,10 +190,12 @@ def segment_by_heap(p: Pieces, symbols: np.ndarray, key: int, rate: float) -> tu
     return [ids[i] for i in range(n) if not dead[i]], [i for i in range(n) if not dead[i]]
 
 
-def segment(p: Pieces, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+def segment(p: Pieces, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, rate: float, made: list | None = None) -> np.ndarray:
     """The piece at each symbol's place that begins one (-1: its bytes), -2 elsewhere.
 
     ``first`` are the units' offsets in ``symbols``, ``key`` their hash keys.
+    The merges of each round (units, and begin, middle and end in a byte each)
+    are put into ``made``, but for units that go through the heap.
     """
     out = np.full(len(symbols), -2, dtype=np.int64)
     size = np.diff(first)
@@ -232,6 +238,9 @@ def segment(p: Pieces, symbols: np.ndarray, first: np.ndarray, key: np.ndarray,
             lead = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
             count, least = np.diff(np.append(lead, len(pos))), least[least != _NONE]
         win = np.flatnonzero(best == np.repeat(least, count))
+        if made is not None:
+            base = first[unit[win]]
+            made.append((unit[win], (pos[win] - base) << 16 | (end[win] - base) << 8 | (end[win + 1] - base)))
         ids[win] = by_rank[best[win] >> 24]
         end[win] = end[win + 1]
         stay = np.ones(len(pos), dtype=bool)
@@ -244,9 +253,9 @@ def segment(p: Pieces, symbols: np.ndarray, first: np.ndarray, key: np.ndarray,
 
 
 def encode_batch(
-    p: Pieces, texts: list[str], variants: np.ndarray, seed: int = SEED, rate: float = RATE, memory: Memory | None = None
+    p: Pieces, texts: list[str], docs: np.ndarray, seed: int = SEED, rate: float = RATE, memory: Memory | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids, and each text's offsets in them."""
+    """All texts' ids, and each text's offsets in them; ``docs`` are the documents' hash keys."""
     joined = "".join([f" {t}" if t else "" for t in texts])
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
     length = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
@@ -275,31 +284,64 @@ def encode_batch(
             total[lo:hi] = (sums[s + size[lo:hi]] - sums[s]) * down[s]
             lo = hi
         doc = np.searchsorted(ends, start, side="right")
-        key = K.mix(total + variants[doc].astype(np.uint64) * K.ODD[5] + U(seed) * K.ODD[6] + size.astype(np.uint64))
-    unique, at, which = np.unique(key, return_index=True, return_inverse=True)
-    place, known = memory.find(unique) if memory is not None else (np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=bool))
+        own = K.mix(total + size.astype(np.uint64))
+        place = (start - (ends - length)[doc]).astype(np.uint64)
+        key = K.mix(own + docs[doc].astype(np.uint64) * K.ODD[5] + U(seed) * K.ODD[6] + K.mix(place + U(1)))
+    unique, at, which = np.unique(own, return_index=True, return_inverse=True)
+    memory = memory if memory is not None else Memory()
+    found, known = memory.find(unique)
     fresh = ~known
-    flat, begin, length = _segmented(p, points, start[at[fresh]], size[at[fresh]], unique[fresh], rate)
-    begins, lengths = np.empty(len(unique), dtype=np.int64), np.empty(len(unique), dtype=np.int64)
-    begins[fresh], lengths[fresh] = begin, length
-    if memory is not None:
-        begins[known], lengths[known] = memory.begin[place[known]] + len(flat), memory.length[place[known]]
-        ids = np.concatenate((flat, memory.flat))
-        memory.add(unique[fresh], flat, begin, length)
-    else:
-        ids = flat
-    many = lengths[which]
-    upto = np.concatenate(([0], np.cumsum(many)))
-    out = ids[np.repeat(begins[which] - upto[:-1], many) + np.arange(upto[-1])]
+    plain = _remembered(p, points, start[at[fresh]], size[at[fresh]])
+    begins, lengths, firsts, counts = (np.empty(len(unique), dtype=np.int64) for _ in range(4))
+    begins[fresh], lengths[fresh], firsts[fresh], counts[fresh] = plain[1], plain[2], plain[4], plain[5]
+    begins[known], lengths[known] = memory.begin[found[known]] + len(plain[0]), memory.length[found[known]]
+    firsts[known], counts[known] = memory.first[found[known]] + len(plain[3]), memory.count[found[known]]
+    ids, merges = np.concatenate((plain[0], memory.flat)), np.concatenate((plain[3], memory.merges))
+    memory.add(unique[fresh], *plain)
+    begins, lengths = begins[which], lengths[which]
+    if rate > 0:
+        differs = _any_skipped(merges, firsts[which], counts[which], key, rate) | (size > LONG)
+        flat, begins[differs], lengths[differs] = _segmented(p, points, start[differs], size[differs], key[differs], rate)
+        begins[differs] += len(ids)
+        ids = np.concatenate((ids, flat))
+    upto = np.concatenate(([0], np.cumsum(lengths)))
+    out = ids[np.repeat(begins - upto[:-1], lengths) + np.arange(upto[-1])]
     offsets = upto[np.searchsorted(start, np.concatenate(([0], ends)))]
     return out, offsets
 
 
-def _segmented(p: Pieces, points: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _any_skipped(merges: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+    """Whether any of the merges that each unit's segmentation without dropout makes is skipped."""
+    out = np.zeros(len(key), dtype=bool)
+    upto = np.concatenate(([0], np.cumsum(count)))
+    lo = 0
+    while lo < len(key):  # blocks keep the expanded merges small
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + (1 << 20), side="right")) - 1)
+        own = count[lo:hi]
+        unit = np.repeat(np.arange(lo, hi), own)
+        m = merges[np.arange(upto[lo], upto[hi]) + np.repeat(first[lo:hi] - upto[lo:hi], own)]
+        out[unit[skipped(key[unit], m >> 16, m >> 8 & 255, m & 255, rate)]] = True
+        lo = hi
+    return out
+
+
+def _remembered(p: Pieces, points: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``_segmented`` without dropout, the merges made, and where each unit's begin and how many they are."""
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    flat, begin, length = _segmented(p, points, start, n, np.zeros(len(n), dtype=np.uint64), 0.0, made)
+    unit = np.concatenate([u for u, _ in made] or [np.empty(0, dtype=np.int64)])
+    merges = np.concatenate([m for _, m in made] or [np.empty(0, dtype=np.int64)])[np.argsort(unit, kind="stable")]
+    count = np.bincount(unit, minlength=len(n)).astype(np.int64)
+    return flat, begin, length, merges, np.cumsum(count) - count, count
+
+
+def _segmented(
+    p: Pieces, points: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, rate: float, made: list | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of some units one after another, and where each unit's begin and how many they are."""
     first = np.concatenate(([0], np.cumsum(n)))
     own = points[np.repeat(start - first[:-1], n) + np.arange(first[-1])]
-    found = segment(p, p.char_ids[own], first, key, rate)
+    found = segment(p, p.char_ids[own], first, key, rate, made)
     head = np.flatnonzero(found > -2)
     ids, source = found[head], own[head]
     # characters without a piece become their UTF-8 bytes
@@ -319,15 +361,15 @@ def _segmented(p: Pieces, points: np.ndarray, start: np.ndarray, n: np.ndarray,
 
 
 class Memory:
-    """Segmentations of units already seen, by their key; a bounded, growing-only table.
+    """Segmentations without dropout of units already seen, and their merges, by the units' hash; a bounded, growing-only table.
 
-    It only saves time: a unit's segmentation is a function of its key.
+    It only saves time: a unit's segmentation without dropout is a function of its text.
     """
 
     def __init__(self, most: int = REMEMBERED):
         self.most = most
         self.keys, self.flat = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        self.begin, self.length = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.merges, self.begin, self.length, self.first, self.count = (np.empty(0, dtype=np.int64) for _ in range(5))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where sorted ``keys`` are in the table, and whether they are."""
@@ -336,7 +378,7 @@ class Memory:
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return place, self.keys[place] == keys
 
-    def add(self, keys: np.ndarray, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, flat: np.ndarray, begin: np.ndarray, length: np.ndarray, merges: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
         if not len(keys) or len(self.keys) + len(keys) > self.most:
             return
         joined = np.concatenate((self.keys, keys))
@@ -344,12 +386,14 @@ class Memory:
         self.keys = joined[order]
         self.begin = np.concatenate((self.begin, begin + len(self.flat)))[order]
         self.length = np.concatenate((self.length, length))[order]
-        self.flat = np.concatenate((self.flat, flat))
+        self.first = np.concatenate((self.first, first + len(self.merges)))[order]
+        self.count = np.concatenate((self.count, count))[order]
+        self.flat, self.merges = np.concatenate((self.flat, flat)), np.concatenate((self.merges, merges))
 
 
 @lru_cache(maxsize=2)
-def memory_of(path: str, rate: float) -> Memory:
-    """One memory to a process, model and rate (seed and variant are part of the keys)."""
+def memory_of(path: str) -> Memory:
+    """One memory to a process and model."""
     return Memory()
 
 
@@ -359,23 +403,20 @@ def decode(p: Pieces, ids: list[int]) -> str:
     return data[1:].decode("utf-8", "replace")
 
 
-def encoded(docs: DataFrame, path: str | None = None, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS, keep_ids: bool = True) -> DataFrame:
-    """For every row of ``docs(doc_id, text)``: its variant, ids (or null), their digest, and whether they decode to the text."""
+def encoded(docs: DataFrame, path: str | None = None, seed: int = SEED, rate: float = RATE, keep_ids: bool = True) -> DataFrame:
+    """For every row of ``docs(doc_id, text)``: its variant (the hash of doc_id and seed that keys its dropout), ids (or null), their digest, and whether they decode to the text."""
     path = path or model_file()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces_of(path)
         texts = [decoded(t) for t in texts_of(batch.column(1))]
         ids = batch.column(0).to_pylist()
-        variant = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{d}") % variants for d in ids], dtype=np.int64)
+        variant = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{d}") >> 1 for d in ids], dtype=np.int64)
         rows: list = [None] * len(texts)
-        # texts of one variant together, as their units then repeat more often
-        order = np.argsort(variant, kind="stable").tolist()
-        for lo, hi in slices([texts[i].encode() for i in order]):
-            some = order[lo:hi]
-            flat, offsets = encode_batch(p, [texts[i] for i in some], variant[some], seed, rate, memory_of(path, rate))
+        for lo, hi in slices([t.encode() for t in texts]):
+            flat, offsets = encode_batch(p, texts[lo:hi], variant[lo:hi], seed, rate, memory_of(path))
             flat = flat.astype("<u4")
-            for k, i in enumerate(some):
+            for k, i in enumerate(range(lo, hi)):
                 own = flat[offsets[k] : offsets[k + 1]]
                 back = decode(p, own.tolist())
                 rows[i] = (len(own), zlib.crc32(own.tobytes()), back == texts[i], len(back), own.tolist() if keep_ids else None)

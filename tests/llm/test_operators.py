@@ -388,6 +388,34 @@ def test_rounds_and_agenda_agree(monkeypatch, rows):
     assert whole[0].tolist() == heap[0].tolist() and whole[1].tolist() == heap[1].tolist()
 
 
+def test_dropout_differs_by_document_and_place(spark):
+    word, n = "internationalization", 300
+    p = pieces.pieces_of(pieces.model_file())
+    docs = spark.createDataFrame([(i, " ".join([word] * 3)) for i in range(n)], "doc_id long, text string")
+    got = [p_ids for (p_ids,) in pieces.encoded(docs, seed=3, rate=0.5).select("ids").collect()]
+    assert len({tuple(ids) for ids in got}) > 100  # more than any few variants give
+    places = [tuple(pieces.encode_batch(p, [" ".join([word] * 50)], np.array([d]), rate=0.5)[0].tolist()) for d in range(3)]
+    assert len(set(places)) == 3
+    cuts = set()
+    for ids in places:  # a document's segmentations of the word
+        text, now = "", []
+        for i in ids:
+            text, now = text + p.bytes_of[i].decode(), [*now, i]
+            if text == f" {word}":
+                cuts.add(tuple(now))
+                text, now = "", []
+        assert not text
+    assert len(cuts) > 6
+
+
+def test_remembered_units_are_segmented_as_by_the_agenda(rows):
+    p, texts = pieces.pieces_of(pieces.model_file()), [r[1] or "" for r in rows[:20]]
+    memory, keys = pieces.Memory(), np.arange(len(texts))
+    pieces.encode_batch(p, texts, keys + 100, rate=0.1, memory=memory)
+    warm, cold = pieces.encode_batch(p, texts, keys, rate=0.1, memory=memory), pieces.encode_batch(p, texts, keys, rate=0.1)
+    assert len(memory.keys) and warm[0].tolist() == cold[0].tolist() and warm[1].tolist() == cold[1].tolist()
+
+
 PAGES = {
     "<html><head><title>t</title></head><body><nav><a href=1>Menu one</a></nav><div class='ad'>Buy now</div><article><h1>Head &amp; line</h1><p><b>First para  with\n"
     "space.<br><p>Second.</p><ul><li>one<li>two</ul><section id='comments'><p>A long reader comment that says a lot of things</p></section></article><footer>foot</footer>"

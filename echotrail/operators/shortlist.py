@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graphs import _Rounds
 from .knn import distance, nearest, similarity
 
 
@@ -38,37 +40,65 @@ def prioritized_product(lists: list[DataFrame]) -> DataFrame:
     return out.orderBy(*product_order([F.col(f"rank_{i}") for i in range(len(lists))]))
 
 
+def _covers(roles: int) -> list[tuple[tuple[int, int], ...]]:
+    """The least sets of role pairs in which every role stands."""
+    every = list(combinations(range(roles), 2))
+    found = [c for n in range(1, roles) for c in combinations(every, n) if {r for e in c for r in e} == set(range(roles))]
+    return [c for c in found if not any(set(o) < set(c) for o in found)]
+
+
+def _covered(each: list[DataFrame], linked: DataFrame, cover: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Tuples in which the roles of every pair of ``cover`` are linked; pairs that share a role are joined on it."""
+    left, out = list(cover), None
+    while left:
+        bound = set() if out is None else {int(c[2:]) for c in out.columns if c.startswith("n_")}
+        i, j = next((e for e in left if set(e) & bound), left[0])
+        left.remove((i, j))
+        pair = linked.withColumnsRenamed({"src": f"n_{i}", "dst": f"n_{j}"})
+        for r in (i, j):
+            pair = pair.join(each[r], f"n_{r}")
+        shared = sorted({i, j} & bound)
+        if shared:
+            r = shared[0]
+            out = out.join(pair.drop(f"rank_{r}", f"s_{r}"), f"n_{r}")
+        else:
+            out = pair if out is None else out.crossJoin(pair)
+    for i, j in combinations(range(len(each)), 2):
+        out = out.filter(F.col(f"n_{i}") != F.col(f"n_{j}"))
+    return out
+
+
 def cartesian_shortlist(vectors: DataFrame, edges: DataFrame, exemplars: list[int], k: int, limit: int) -> DataFrame:
     """Tuples of the exemplars' neighbours in which every node is linked to another of the tuple.
 
     Each role has the k nearest of its exemplar. Tuples are not enumerated:
-    the neighbours' links among each other (a semi-join of the edge table to
-    at most k * roles ids) are joined, one node at a time, and the result is
-    put into the product's order. The score is the mean similarity.
+    they are joined through the neighbours' links among each other, once for
+    each least set of role pairs that covers all roles, and put into the
+    product's order. As that goes by the highest rank, the first ranks of the
+    lists are looked at alone, and more of them until there are ``limit``
+    tuples. The score is the mean similarity.
     """
-    roles = len(exemplars)
+    roles, spark = len(exemplars), vectors.sparkSession
     asked = vectors.filter(F.col("id").isin(*exemplars))
     found = nearest(vectors, asked, k)
-    near = vectors.sparkSession.createDataFrame(found.collect(), found.schema)  # k rows a role, used once for each role
-    each = [
-        near.filter(F.col("query") == x).select(F.col("neighbour").alias(f"n_{i}"), F.col("rank").alias(f"rank_{i}"), similarity(F.col("distance")).alias(f"s_{i}"))
-        for i, x in enumerate(exemplars)
-    ]
+    near = spark.createDataFrame(found.collect(), found.schema)  # k rows a role, used once for each role
     members = near.select(F.col("neighbour").alias("src")).distinct()
     linked = edges.select("src", "dst").join(F.broadcast(members), "src", "left_semi").join(F.broadcast(members.withColumnRenamed("src", "dst")), "dst", "left_semi")
-    linked = linked.union(linked.select("dst", "src")).filter("src <> dst").distinct()
-    pairs = linked.groupBy(F.col("src").alias("n")).agg(F.collect_set("dst").alias("to"))  # at most k * roles ids a node
-    out = each[0]
-    for i in range(1, roles):
-        differ = reduce(lambda x, y: x & y, [F.col(f"n_{j}") != F.col(f"n_{i}") for j in range(i)])
-        out = out.join(F.broadcast(each[i]), differ)
-    for i in range(roles):
-        out = out.join(F.broadcast(pairs.select(F.col("n").alias(f"n_{i}"), F.col("to").alias(f"to_{i}"))), f"n_{i}")
-        others = F.array(*[F.col(f"n_{j}") for j in range(roles) if j != i])
-        out = out.filter(F.arrays_overlap(f"to_{i}", others)).drop(f"to_{i}")
+    linked = _Rounds(spark, "shortlist").save(linked.select("src", "dst").union(linked.select("dst", "src")).filter("src <> dst").distinct())
     score = reduce(lambda x, y: x + y, [F.col(f"s_{i}") for i in range(roles)]) / roles
-    ordered = out.orderBy(*product_order([F.col(f"rank_{i}") for i in range(roles)])).limit(limit)
-    return ordered.select(*[F.col(f"n_{i}") for i in range(roles)], score.alias("score"))
+    names, ranks = [f"n_{i}" for i in range(roles)], [F.col(f"rank_{i}") for i in range(roles)]
+    schema, best, upto = ", ".join(f"{n} long" for n in names) + ", score double", [], 2 * limit
+    while roles > 1:
+        each = [
+            F.broadcast(near.filter((F.col("query") == x) & (F.col("rank") < upto)).select(F.col("neighbour").alias(f"n_{i}"), F.col("rank").alias(f"rank_{i}"), similarity(F.col("distance")).alias(f"s_{i}")))
+            for i, x in enumerate(exemplars)
+        ]
+        tuples = reduce(lambda x, y: x.unionByName(y), [_covered(each, linked, c) for c in _covers(roles)]).dropDuplicates(names)
+        best = tuples.orderBy(*product_order(ranks)).limit(limit).select(*names, score.alias("score")).collect()
+        if len(best) >= limit or upto >= k:
+            break
+        upto *= 4
+    return spark.createDataFrame(best, schema)
 
 
 def beam_shortlist(spark: SparkSession, vectors: DataFrame, edges: DataFrame, exemplars: list[int], beam: int = 100, reach: int = 1000, limit: int = 100) -> DataFrame:

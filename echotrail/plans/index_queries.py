@@ -123,7 +123,7 @@ def pair_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.pair_connected(txn, txn.select(F.col("src").alias("id1"), (F.col("dst") + 1).alias("id2")).distinct())
 
 
-#: Exemplars of the similarity shortlists, each one's neighbours, and results.
+#: Exemplars of the similarity shortlists, each one's neighbours in the SQL, and results.
 _EXEMPLARS, _NEAR, _LIMIT = [1, 2, 3], 20, 10
 
 
@@ -150,7 +150,8 @@ def _cartesian_sql() -> str:
 
 @query("cartesian_shortlist", "with " + _cartesian_sql())
 def cartesian_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.cartesian_shortlist(_user_vectors(spark, sf_dir), event_edges(spark, sf_dir), _EXEMPLARS, _NEAR, _LIMIT)
+    """Each exemplar's 100 neighbours a result; the SQL's fewer give the same rows where they give all results."""
+    found = L.cartesian_shortlist(_user_vectors(spark, sf_dir), event_edges(spark, sf_dir), _EXEMPLARS, 100 * _LIMIT, _LIMIT)
     return found.withColumn("score", F.round(F.col("score") + OFF_TIES, 6))
 
 

@@ -2,6 +2,10 @@
 
 The page becomes a tree; what is no article by its tag, role or class (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) is left out.
+A form, or an element of such a name, is a container instead if it holds an
+article or main element or most of the page's text outside links; so is one
+whose ambiguous name (widget, tag, side, social) stands on mostly unlinked
+text. If nothing is left, only controls, scripts and the like are left out.
 For each remaining element the composite text density is its characters per
 tag, adjusted for links: log of (C/L * T/LT) to the base 1 + ln(C/(C-L)
 * L + LB/CB * C + e), times C/T, with C characters, T tags, L and LT those in
@@ -51,6 +55,18 @@ OTHER = re.compile(
     r"|share|sharing|social|related|recommend\w*|pagination|pager|tags?|skip|contentinfo|complementary|search|hidden|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: What never is the article, however much text it holds.
+_ENDS = r"(?:$|[\s_-])"
+NEVER = re.compile(rf"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|sidebar|aside|footer|nav|navbar|navigation|advert\w*|sponsor\w*){_ENDS}", re.IGNORECASE)
+#: Words that name parts of articles as well.
+AMBIGUOUS = re.compile(rf"(?<![^\s_-])(?:widget|tags?|side|social)(?={_ENDS})", re.IGNORECASE)
+#: Classes that page builders and blogs give to the parts and the topics of an article.
+_BUILDER = re.compile(r"(?<!\S)elementor-widget(?!\S)|(?<!\S)elementor-widget-(?=text|heading|theme-post-(?:content|title))", re.IGNORECASE)
+_POST, _TOPIC = re.compile(r"(?<!\S)(?:hentry|type-\w+|post)(?!\S)", re.IGNORECASE), re.compile(r"(?<!\S)tag-\S+", re.IGNORECASE)
+#: Left out in any case.
+CONTROLS = frozenset("script style noscript template iframe object embed svg canvas audio video map head title button select textarea input label datalist progress meter noframes applet".split())
+#: Least characters outside links of text under an ambiguous name.
+PROSE = 80
 SITE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)", re.IGNORECASE)
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.DOTALL)
@@ -58,30 +74,39 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "links", "link_tags", "density", "total", "other")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "links", "link_tags", "density", "total", "other", "why")
 
-    def __init__(self, tag: str, parent: Node | None, other: bool = False):
-        self.tag, self.parent, self.other = tag, parent, other
+    def __init__(self, tag: str, parent: Node | None, why: str = ""):
+        self.tag, self.parent, self.other, self.why = tag, parent, bool(why), why
         self.children: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _named_other(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element is no part of an article."""
+def _named_other(tag: str, attributes: str, parent: Node) -> str:
+    """Why an element is no part of an article: "tag", "hidden", "form", "name" or "ambiguous"; empty if it may be one."""
     if tag in DROPPED:
-        return True
+        return "form" if tag == "form" else "tag"
     if tag == "header" and not any(a.tag in ("article", "main") for a in _ancestors(parent)):
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    why = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), _CAMEL.sub("-", next((v for v in values if v), ""))
-        if name in ("class", "id", "role") and (OTHER.search(value) or (SITE_HEADER.search(value) and not any(a.tag == "article" for a in _ancestors(parent)))):
-            return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return "hidden"
+        if name not in ("class", "id", "role"):
+            continue
+        value = _BUILDER.sub(" ", value)
+        if name == "class" and _POST.search(value):
+            value = _TOPIC.sub(" ", value)
+        if SITE_HEADER.search(value) and not any(a.tag == "article" for a in _ancestors(parent)):
+            why = "tag"
+        elif OTHER.search(value):
+            kind = "tag" if NEVER.search(value) else "name" if OTHER.search(AMBIGUOUS.sub("x", value)) else "ambiguous"
+            why = kind if not why or why == "ambiguous" or kind == "tag" else why
+    return why
 
 
 def _ancestors(node: Node | None):
@@ -135,7 +160,7 @@ def parse(page: str) -> Node:
         node = Node(tag, now, _named_other(tag, m[3], now))
         if tag in ("article", "main"):  # what holds the article is no advert, whatever its class says
             for outer in _ancestors(now):
-                outer.other = outer.other and outer.tag in DROPPED
+                outer.other = outer.other and outer.tag in DROPPED and outer.tag != "form"
         if tag == "br":
             now.children.append(" ")
             continue
@@ -153,6 +178,26 @@ def parse(page: str) -> Node:
     return root
 
 
+def _free(root: Node) -> None:
+    """Makes containers of forms and named elements that hold the page's text."""
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(c for c in node.children if isinstance(c, Node) and c.tag not in CONTROLS and c.why != "hidden")
+    if not any(n.other and n.why in ("form", "name", "ambiguous") for n in nodes):
+        return
+    chars, links = {}, {}
+    for node in reversed(nodes):
+        own = [c for c in node.children if isinstance(c, Node) and id(c) in chars]
+        chars[id(node)] = sum(chars[id(c)] for c in own) + sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        links[id(node)] = chars[id(node)] if node.tag == "a" else sum(links[id(c)] for c in own)
+    text = chars[id(root)] - links[id(root)]
+    for node in nodes:
+        if node.other and node.why in ("form", "name", "ambiguous"):
+            c, own = chars[id(node)], chars[id(node)] - links[id(node)]
+            if 2 * own > text or (node.why == "ambiguous" and own >= PROSE and 5 * own >= 4 * c):
+                node.other = False
+
+
 def _elements(root: Node) -> list[Node]:
     """All elements that may be of the article, parents first."""
     out = [root]
@@ -211,15 +256,28 @@ def _blocks(top: Node) -> list[str]:
     return out
 
 
+def _candidates(root: Node) -> tuple[Node, list[Node]]:
+    """The body, and its elements with text that may be of the article, measured."""
+    nodes = _elements(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    _measure(nodes, body)
+    return body, [n for n in nodes if n.chars and (body is root or n is body or body in _ancestors(n))]
+
+
 def main_text(page: str) -> str:
     """The blocks of the page's article, one to a line."""
     if "<" not in page:
         return " ".join(entities.unescape(page).split())
     root = parse(page)
-    nodes = _elements(root)
-    body = next((n for n in nodes if n.tag == "body"), root)
-    _measure(nodes, body)
-    within = [n for n in nodes if n.chars and (n is body or body in _ancestors(n))] if body is not root else [n for n in nodes if n.chars]
+    _free(root)
+    body, within = _candidates(root)
+    if not within:
+        stack = [root]
+        for node in stack:
+            node.other = node.tag in CONTROLS or node.why == "hidden"
+            node.chars = node.tags = node.links = node.link_tags = 0
+            stack.extend(c for c in node.children if isinstance(c, Node))
+        body, within = _candidates(root)
     if not within:
         return ""
     core = max(within, key=lambda n: n.total)

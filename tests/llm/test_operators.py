@@ -416,6 +416,24 @@ def test_remembered_units_are_segmented_as_by_the_agenda(rows):
     assert len(memory.keys) and warm[0].tolist() == cold[0].tolist() and warm[1].tolist() == cold[1].tolist()
 
 
+def test_articles_in_forms_and_named_containers_are_kept():
+    one, two = "The first paragraph says something of a certain length, and then more.", "The second paragraph goes on about it for a while, with no links at all."
+    text, menu = f"<p>{one}</p><p>{two}</p>", "<nav><a href=1>Menu one</a></nav>"
+    for page in (
+        f"<body><form>{menu}<input><label>Name</label><div>{text}</div><button>Go</button></form></body>",
+        f"<body><form><button>Go</button><article>{text}</article></form></body>",
+        f"<body>{menu}<div class='post type-post tag-news'>{text}</div></body>",
+        f"<body>{menu}<div class='social-policy'>{text}</div></body>",
+        f"<body>{menu}<div class='content-side'>{text}</div></body>",
+        f"<body><main><div class='elementor-widget elementor-widget-text-editor'><p>{one}</p></div><div class='elementor-widget elementor-widget-text-editor'><p>{two}</p></div></main></body>",
+        f"<body><div class='sidebar'>{text}</div></body>",
+    ):
+        assert html.main_text(page) == f"{one}\n{two}", page
+    comments = f"<section id='comments'>{text * 3}</section>"
+    assert html.main_text(f"<body><article>{text}</article>{comments}</body>") == f"{one}\n{two}"
+    assert html.main_text(f"<body><article>{text}<form><label>Name</label><p>Send</p></form></article></body>") == f"{one}\n{two}"
+
+
 PAGES = {
     "<html><head><title>t</title></head><body><nav><a href=1>Menu one</a></nav><div class='ad'>Buy now</div><article><h1>Head &amp; line</h1><p><b>First para  with\n"
     "space.<br><p>Second.</p><ul><li>one<li>two</ul><section id='comments'><p>A long reader comment that says a lot of things</p></section></article><footer>foot</footer>"

@@ -10,7 +10,7 @@ from ..operators import features as X
 from ..operators import ingest as I
 from ..operators import spectrum as S
 from . import views as V
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 #: Added before rounding, in queries and oracles alike: a mean that ends in ...5 may differ in its last bit between engines.
 OFF_TIES = 1e-8
@@ -263,3 +263,33 @@ def clustered_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("user_table", f'with {_FEATURES_SQL} select "user", 1 as type, {_round_sql(X.FEATURES)} from features')
 def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(X.user_table(X.user_features(V.txn_event(spark, sf_dir))))
+
+
+#: The activity queries over all transactions.
+_WHOLE_SQL = f"{V.EVENT_SQL}, t0 as (select transid, source, target from txn)"
+
+
+@query("active_users_bag_all", ORACLES["active_users_bag"].replace(_CLICK_SQL, _WHOLE_SQL))
+def active_users_bag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.active_users(V.txn_event(spark, sf_dir))
+
+
+@query("inactive_users_union_all", ORACLES["inactive_users_union"].replace(_CLICK_SQL, _WHOLE_SQL))
+def inactive_users_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.inactive_users(V.txn_event(spark, sf_dir)).select("user")
+
+
+@query("activity_fixpoint_all", ORACLES["activity_fixpoint"].replace(_CLICK_SQL, _WHOLE_SQL))
+def activity_fixpoint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.activity_fixpoint(V.txn_event(spark, sf_dir)).select("transid", "source", "target")
+
+
+@query("activity_fixpoint_bag_all", ORACLES["activity_fixpoint_bag"].replace(_CLICK_SQL, _WHOLE_SQL))
+def activity_fixpoint_bag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.activity_fixpoint(V.txn_event(spark, sf_dir), 12, "bag").select("transid", "source", "target")
+
+
+@query("active_user_pairs_all", ORACLES["active_user_pairs"].replace(_CLICK_SQL, _WHOLE_SQL))
+def active_user_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn = V.txn_event(spark, sf_dir)
+    return A.between_users(txn.select("source", "target").distinct(), A.active_users(txn))

@@ -81,3 +81,12 @@ def test_node_sets_use_light_edges(spark, small):
             best[frozenset(nodes)] = min(best.get(frozenset(nodes), own), own)
     got = {frozenset((r.n_0, r.n_1, r.n_2, r.n_3)): (r.score, r.n_0, r.n_1, r.n_2, r.n_3) for r in catalog.QUERIES["pattern_dedup_nodeset_all"](spark, path).collect()}
     assert got == best and got
+
+
+def test_activity_counts_all_event_types(spark, small):
+    path, _ = small
+    pairs = [(a, b) for a, b in itertools.pairwise(VISITS) if a != b]
+    counts = Counter(x for p in pairs for x in p)
+    active = {x for x, n in counts.items() if n >= 10}
+    assert {r.user: r.n for r in catalog.QUERIES["active_users_bag_all"](spark, path).collect()} == {x: counts[x] for x in active} and active
+    assert {tuple(r) for r in catalog.QUERIES["active_user_pairs_all"](spark, path).collect()} == {(a, b) for a, b in pairs if a in active and b in active}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .rules import GAMMA, LEAST, REACH, RULES
+from .rules import GAMMA, LEAST, LEVELS, REACH, RULES
 
 #: Exact all-pairs similarity by shared shingles, and reachability over the links.
 NEAR_DEDUP = r"""
@@ -39,20 +39,24 @@ from t join kept on kept.doc_id = t.doc_id left join spans on spans.doc_id = t.d
 def quality_rules(off_ties: float) -> str:
     """The counts by regular expressions and windows, and the cutoffs from the same logarithmic buckets."""
     ratios = ", ".join(f"coalesce(case when {r.split('/')[1]} <> 0 then {r} end, 0.0) as {k}" for k, (r, _) in RULES.items())
-    flat = " union all ".join(f"select lang, source, '{k}' as rule, {k} as x, {slack} as slack from rows where not base_failed" for k, (_, slack) in RULES.items())
+    flat = " union all ".join(f"select lang, source, '{k}' as rule, {k} as x, {tail} as tail from rows where not base_failed" for k, (_, tail) in RULES.items())
 
-    def level(n: int, keys: str) -> str:
-        by = f"{keys}, " if keys else ""
+    def level(name: str) -> str:
+        keys = LEVELS[name]
+        by = "".join(f"{k}, " for k in keys)
         size = f"having any_value(size) >= {LEAST}" if keys else ""
-        return f"""c{n} as (select {by}rule, bucket, count(*) as n, any_value(slack) as slack from flat group by {by}rule, bucket),
-        u{n} as (select *, sum(n) over (partition by {by}rule order by bucket) as upto, sum(n) over (partition by {by}rule) as size,
-          case when bucket > -1073741824 then exp(bucket * ln({GAMMA})) * (2 / (1 + {GAMMA})) else 0 end as value from c{n}),
-        q{n} as (select {by}rule, min(case when upto >= ceil(size * 0.25) then value end) as q1, min(case when upto >= ceil(size * 0.75) then value end) as q3,
-          any_value(slack) as slack from u{n} group by {by}rule {size}),
-        k{n} as (select {by}rule, q3 + greatest({REACH} * (q3 - q1), slack) as cut from q{n})"""
+        return f"""c_{name} as (select {by}rule, bucket, count(*) as n, any_value(tail) as tail from flat group by {by}rule, bucket),
+        u_{name} as (select *, sum(n) over (partition by {by}rule order by bucket) as upto, sum(n) over (partition by {by}rule) as size,
+          case when bucket > -1073741824 then exp(bucket * ln({GAMMA})) * (1 + 1e-9) else 0 end as value from c_{name}),
+        q_{name} as (select {by}rule, min(case when 1000 * upto >= size * 250 then value end) as q1, min(case when 1000 * upto >= size * 750 then value end) as q3,
+          min(case when 1000 * upto >= size * (1000 - tail) then value end) as high from u_{name} group by {by}rule {size}),
+        k_{name} as (select {by}rule, greatest(high, q3 + {REACH} * (q3 - q1)) as cut from q_{name})"""
 
-    cut = lambda k: f"""coalesce((select cut from k2 where k2.lang is not distinct from rows.lang and k2.source is not distinct from rows.source and rule = '{k}'),
-      (select cut from k1 where k1.lang is not distinct from rows.lang and rule = '{k}'), (select cut from k0 where rule = '{k}')) as {k}_cutoff"""
+    def one(name: str, k: str) -> str:
+        same = "".join(f"k_{name}.{c} is not distinct from rows.{c} and " for c in LEVELS[name])
+        return f"(select cut from k_{name} where {same}rule = '{k}') as {k}_{name}"
+
+    cut = lambda k: f"coalesce({k}_own, greatest(coalesce({k}_lang, {k}_source), coalesce({k}_source, {k}_lang)), {k}_all) as {k}_cutoff"
     rounded = ", ".join(f"round({c} + {off_ties}, 6) as {c}" for k in RULES for c in (k, f"{k}_cutoff"))
     within = " and ".join(f"coalesce({k} <= {k}_cutoff, true)" for k in RULES)
     return rf"""
@@ -67,7 +71,8 @@ base as (select t.doc_id, lang, source, len(ws) as n_words, cast(coalesce(list_s
   from t left join lines on lines.doc_id = t.doc_id left join covered on covered.doc_id = t.doc_id),
 rows as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {ratios} from base),
 flat as (select *, case when x > 0 then ceil(ln(x) / ln({GAMMA})) else -1073741824 end as bucket from ({flat})),
-{level(2, "lang, source")}, {level(1, "lang")}, {level(0, "")},
-found as (select *, {", ".join(cut(k) for k in RULES)} from rows)
+{", ".join(map(level, LEVELS))},
+near as (select *, {", ".join(one(n, k) for k in RULES for n in LEVELS)} from rows),
+found as (select *, {", ".join(cut(k) for k in RULES)} from near)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {within} as kept, {rounded} from found
 """

@@ -3,14 +3,19 @@
 Each document's ratios are bucketed on a logarithmic scale; the counts per
 language, source and bucket are a quantile sketch with a relative error of
 GAMMA - 1 that merges by addition (so Spark's partial aggregation merges it,
-and a language's sketch is the sum of its sources'). A group's upper cutoff
-for a ratio is its third quartile plus REACH interquartile ranges, at least
-the third quartile plus the rule's slack; documents above a cutoff go.
-A group under LEAST documents uses its language's sketch, a language under
+and a language's sketch is the sum of its sources'). A rule rejects what is an
+outlier of its group and among the group's worst: the cutoff is the larger of
+the outer fence (third quartile plus REACH interquartile ranges) and of the
+quantile that leaves the rule's tail above it. Both come from the sketch;
+no cutoff is a constant. Where a ratio is 0 for most of a group, the quantile
+decides, where it spreads, the fence does. A group under LEAST documents uses
+the more lenient of its source's and its language's sketches, without such of
 LEAST the whole corpus'. Cutoffs are joined back and filter the documents.
 
 Nulls: a null text has no words and fails the base rules; null languages and
-sources are groups of their own. Every row of the input gets a row.
+sources are groups of their own. Every row of the input gets a row: rows that
+repeat a doc_id, or have none, are rows like others. Rows with equal ratios
+share a bucket and so a verdict in their group. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from .stats import document_counts
 GAMMA, REACH, LEAST = 1.02, 3.0, 100
 #: Added before the query rounds, so that no value ends in ...5.
 OFF_TIES = 1e-8
-#: Ratio, and the least distance of its cutoff from the third quartile.
+#: Ratio, and its tail: how many of a thousand documents of a group the rule may reject.
 RULES = {
-    "symbol_ratio": ("n_symbols / word_chars", 0.05),
-    "repeat_ratio": ("n_repeat_words / n_words", 0.45),
-    "dup_line_ratio": ("n_dup_lines / n_lines", 0.6),
-    "word_length": ("word_chars / n_words", 2.0),
+    "symbol_ratio": ("n_symbols / word_chars", 100),
+    "repeat_ratio": ("n_repeat_words / n_words", 5),
+    "dup_line_ratio": ("n_dup_lines / n_lines", 5),
+    "word_length": ("word_chars / n_words", 100),
 }
+#: Groupings whose sketches give cutoffs, by the suffix of their columns.
+LEVELS = {"own": ("lang", "source"), "lang": ("lang",), "source": ("source",), "all": ()}
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -57,21 +64,25 @@ def _bucket(x: Column) -> Column:
 
 
 def _value(bucket: str) -> Column:
-    middle = F.exp(F.col(bucket) * float(np.log(GAMMA))) * (2 / (1 + GAMMA))
-    return F.when(F.col(bucket) > -(2**30), middle).otherwise(0.0)
+    """A bucket's upper edge; the last factor is for the rounding of logarithms."""
+    return F.when(F.col(bucket) > -(2**30), F.exp(F.col(bucket) * float(np.log(GAMMA))) * (1 + 1e-9)).otherwise(0.0)
 
 
-def _cutoffs(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of merged sketches, and the cutoff they give, by key and rule."""
+def _cutoffs(sketch: DataFrame, level: str) -> DataFrame:
+    """The cutoffs that merged sketches give, a row for each group of the level."""
+    keys = LEVELS[level]
     total = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "rule")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    ranked = total.select("*", upto.alias("upto"), F.sum("n").over(group).alias("size"), _value("bucket").alias("value"))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("size") * q), F.col("value")))
-    slack = F.coalesce(*[F.when(F.col("rule") == k, F.lit(s)) for k, (_, s) in RULES.items()])
-    found = ranked.groupBy(*keys, "rule").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.first("size").alias("size")).filter(F.col("size") >= (LEAST if keys else 0))
-    found = found.select(*keys, "rule", (F.col("q3") + F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)).alias("cut"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"{k}_{len(keys)}") for k in RULES])
+    tail = F.coalesce(*[F.when(F.col("rule") == k, F.lit(t)) for k, (_, t) in RULES.items()])
+    ranked = total.select("*", upto.alias("upto"), F.sum("n").over(group).alias("size"), _value("bucket").alias("value"), tail.alias("tail"))
+    at = lambda share: F.min(F.when(1000 * F.col("upto") >= F.col("size") * share, F.col("value")))
+    found = ranked.groupBy(*keys, "rule").agg(
+        at(250).alias("q1"), at(750).alias("q3"), at(1000 - F.col("tail")).alias("high"), F.first("size").alias("size")
+    )
+    cut = F.greatest("high", F.col("q3") + REACH * (F.col("q3") - F.col("q1")))
+    found = found.filter(F.col("size") >= (LEAST if keys else 0)).select(*keys, "rule", cut.alias("cut"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"{k}_{level}") for k in RULES])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, work: Work | None = None) -> DataFrame:
@@ -87,8 +98,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, work: Work | None = None
         .groupBy("lang", "source", "e.rule", "e.bucket").agg(F.count("*").alias("n"))
     )
     sketch = work.save(sketch, "sketch")
-    for keys in (["lang", "source"], ["lang"], []):
-        cut = _cutoffs(sketch, keys)
+    for level, keys in LEVELS.items():
+        cut = _cutoffs(sketch, level)
         if keys:
             names = {k: f"_{k}" for k in keys}
             cut = cut.withColumnsRenamed(names)
@@ -96,8 +107,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, work: Work | None = None
             rows = rows.join(cut, on, "left").drop(*names.values())
         else:
             rows = rows.join(F.broadcast(cut), how="left")  # one row
-    cutoff = {f"{k}_cutoff": F.coalesce(*[F.col(f"{k}_{n}") for n in (2, 1, 0)]) for k in RULES}
-    rows = rows.withColumns(cutoff).drop(*[f"{k}_{n}" for k in RULES for n in (0, 1, 2)])
+    cutoff = {f"{k}_cutoff": F.coalesce(f"{k}_own", F.greatest(f"{k}_lang", f"{k}_source"), f"{k}_all") for k in RULES}
+    rows = rows.withColumns(cutoff).drop(*[f"{k}_{n}" for k in RULES for n in LEVELS])
     within = ~F.col("base_failed")
     for k in RULES:
         within = within & F.coalesce(F.col(k) <= F.col(f"{k}_cutoff"), F.lit(True))

@@ -236,15 +236,67 @@ def test_cutoffs_follow_each_group(spark):
     assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(150))
 
 
-def test_sketch_quartiles_are_within_the_error(spark):
+@pytest.mark.parametrize("rule, share", [("symbol_ratio", 0.9), ("repeat_ratio", 0.995)])
+def test_sketched_cutoffs_are_within_the_error(spark, rule, share):
     from pyspark.sql import functions as F
 
-    values = [random.Random(i).random() for i in range(500)]
-    frame = spark.createDataFrame([(v,) for v in values], "v double")
-    sketch = frame.select(F.lit("symbol_ratio").alias("rule"), rules._bucket(F.col("v")).alias("bucket")).groupBy("rule", "bucket").agg(F.count("*").alias("n"))
-    cut = rules._cutoffs(sketch, []).first()["symbol_ratio_0"]
-    q1, q3 = np.quantile(values, [0.25, 0.75], method="inverted_cdf")
-    assert cut == pytest.approx(q3 + max(rules.REACH * (q3 - q1), 0.05), rel=0.05)
+    def cutoff(values):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        sketch = frame.select(F.lit(rule).alias("rule"), rules._bucket(F.col("v")).alias("bucket")).groupBy("rule", "bucket").agg(F.count("*").alias("n"))
+        return rules._cutoffs(sketch, "all").first()[f"{rule}_all"]
+
+    rng = random.Random(3)
+    spread = [rng.random() for _ in range(500)]
+    q1, q3 = np.quantile(spread, [0.25, 0.75], method="inverted_cdf")
+    assert cutoff(spread) == pytest.approx(q3 + rules.REACH * (q3 - q1), rel=0.08)
+    mostly_zero = [rng.random() * (i % 5 == 0) for i in range(500)]
+    assert cutoff(mostly_zero) == pytest.approx(np.quantile(mostly_zero, share, method="inverted_cdf"), rel=0.021)
+
+
+def _verdicts(rows: list[tuple]) -> dict[int, bool]:
+    """The rules by sorting each group's values."""
+    counts = {d: _counts(t) for d, t, *_ in rows}
+    n_lines = {d: len([x for x in (t or "").split("\n") if x.strip(" \t\v\f\r")]) for d, t, *_ in rows}
+    ratio = lambda a, b: a / b if b else 0.0
+    found = {d: (ratio(c[2], c[1]), ratio(c[4], c[0]), ratio(c[3], n_lines[d]), ratio(c[1], c[0])) for d, c in counts.items()}
+    base = {d for d, c in counts.items() if c[0] < 50 or 100 * c[4] > 50 * c[0]}
+    edge = lambda x: rules.GAMMA ** np.ceil(np.log(x) / np.log(rules.GAMMA)) * (1 + 1e-9) if x > 0 else 0.0
+
+    def cut(i: int, tail: int, lang: object, source: object) -> float | None:
+        values = sorted(edge(found[r[0]][i]) for r in rows if r[0] not in base and lang in (Ellipsis, r[2]) and source in (Ellipsis, r[3]))
+        if not values or (len(values) < rules.LEAST and (lang, source) != (Ellipsis, Ellipsis)):
+            return None
+        at = lambda share: values[-(-len(values) * share // 1000) - 1]
+        return max(at(1000 - tail), at(750) + rules.REACH * (at(750) - at(250)))
+
+    kept = {}
+    for d, _, lang, source in rows:
+        kept[d] = d not in base
+        for i, (_, tail) in enumerate(rules.RULES.values()):
+            own = cut(i, tail, lang, source)
+            near = [c for c in (cut(i, tail, lang, Ellipsis), cut(i, tail, Ellipsis, source)) if c is not None]
+            limit = own if own is not None else max(near) if near else cut(i, tail, Ellipsis, Ellipsis)
+            kept[d] &= limit is None or found[d][i] <= limit
+    return kept
+
+
+def test_verdicts_are_those_of_sorted_groups(spark):
+    """Large and small groups, a null language, a null source, and ratios that many rows share."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(700):
+        words = _prose(rng, rng.randrange(48, 90)).split(" ")
+        if rng.random() < 0.15:
+            words = [w + "#" * rng.randrange(3) for w in words]
+        if rng.random() < 0.15:
+            words = words[:20] + words[: rng.randrange(4, 20)] + words[20:]
+        if rng.random() < 0.05:
+            words = [w * 2 for w in words]
+        text = " ".join(words[:30]) + "\n" + " ".join(words[30:]) + "\nend" * rng.choice([1, 1, 1, 2])
+        rows.append((i, text, rng.choice(["en", "en", "en", "de", None]), rng.choice(["a", "a", "b", None])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in rules.quality_rules(spark, frame).collect()}
+    assert got == _verdicts(rows) and 0 < sum(got.values()) < len(got)
 
 
 def test_quality_learns_labels_and_ignores_held_out(spark):

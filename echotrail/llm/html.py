@@ -4,8 +4,11 @@ The page becomes a tree; what is no article by its tag, role or class (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) is left out.
 A form, or an element of such a name, is a container instead if it holds an
 article or main element or most of the page's text outside links; so is one
-whose ambiguous name (widget, tag, side, social) stands on mostly unlinked
-text. If nothing is left, only controls, scripts and the like are left out.
+whose name may as well be an article's topic or part (widget, tag, side,
+social, or a word of the list joined with one that names no part of a page's
+layout, as in related-work) if it holds mostly unlinked text. An article
+element named after comments is no article. If nothing is left, only controls,
+scripts and the like are left out.
 For each remaining element the composite text density is its characters per
 tag, adjusted for links: log of (C/L * T/LT) to the base 1 + ln(C/(C-L)
 * L + LB/CB * C + e), times C/T, with C characters, T tags, L and LT those in
@@ -15,8 +18,11 @@ is the threshold. Going up from the core, an ancestor takes its place while
 something else in it passes the threshold, and the article element around it
 does so too. Its blocks, in page order, are the text.
 
-Every row gets a row: a null, empty or tagless page is its own text. Nesting
-depth is not limited by recursion.
+Every row gets a row: a null or empty page has an empty text, a page without
+tags is its own text; repeated and null page_ids are rows like others, and an
+empty table gives none. Of elements with equal sums the first in the page
+is the core. Bytes that are no UTF-8 become U+FFFD. The time is linear in the
+page's length whatever its nesting, which no recursion limits.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +62,15 @@ OTHER = re.compile(
     r"|share|sharing|social|related|recommend\w*|pagination|pager|tags?|skip|contentinfo|complementary|search|hidden|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that name parts of a page's layout: joined with one of the list they make no topic.
+LAYOUT = re.compile(
+    r"[\d_-]*|\w|area|articles?|banner|bars?|block|body|bottom|box|btn|buttons?|cards?|cell|center|col|column|container|content|count|cta|div|dialog|entry|feed|field|footer|form|frame|global|grid|group|header"
+    r"|heading|holder|icons?|inline|inner|input|items?|js|label|layer|leaderboard|left|links?|list|lists|main|media|meta|mobile|modal|module|new|news|outer|page|panel|pane|posts?|primary|products?|rail|results?|right"
+    r"|row|secondary|section|site|slot|spot|square|sticky|stories|story|tabs?|text|thread|title|toggle|top|tower|unit|us|user|videos?|view|widgets?|wrap|wrapper|zone",
+    re.IGNORECASE,
+)
+#: An article element of such a class is a reader's comment.
+_COMMENT = re.compile(r"(?:^|\s)comments?(?:$|[\s_-])", re.IGNORECASE)
 #: What never is the article, however much text it holds.
 _ENDS = r"(?:$|[\s_-])"
 NEVER = re.compile(rf"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|sidebar|aside|footer|nav|navbar|navigation|advert\w*|sponsor\w*){_ENDS}", re.IGNORECASE)
@@ -65,8 +81,8 @@ _BUILDER = re.compile(r"(?<!\S)elementor-widget(?!\S)|(?<!\S)elementor-widget-(?
 _POST, _TOPIC = re.compile(r"(?<!\S)(?:hentry|type-\w+|post)(?!\S)", re.IGNORECASE), re.compile(r"(?<!\S)tag-\S+", re.IGNORECASE)
 #: Left out in any case.
 CONTROLS = frozenset("script style noscript template iframe object embed svg canvas audio video map head title button select textarea input label datalist progress meter noframes applet".split())
-#: Least characters outside links of text under an ambiguous name.
-PROSE = 80
+#: What may hold the article after all, and the least characters outside links that make it do so by themselves.
+_MAY_HOLD = {"form": math.inf, "name": math.inf, "ambiguous": 80, "topic": 1}
 SITE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)", re.IGNORECASE)
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.DOTALL)
@@ -74,26 +90,42 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "links", "link_tags", "density", "total", "other", "why")
-
-    def __init__(self, tag: str, parent: Node | None, why: str = ""):
-        self.tag, self.parent, self.other, self.why = tag, parent, bool(why), why
+    __slots__ = ("tag", "parent", "depth", "barrier", "block", "in_article", "in_main", "children", "chars", "tags", "links", "link_tags", "density", "total", "other", "why")
+
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.other, self.why = tag, parent, False, ""
+        self.depth = parent.depth + 1 if parent else 0
+        # the innermost barrier and block around a place in this element
+        self.barrier = self if tag in BARRIERS or parent is None else parent.barrier
+        self.block = self if tag in BLOCKS or parent is None else parent.block
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
+        self.in_main = tag == "main" or (parent is not None and parent.in_main)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _is_topic(names: str) -> bool:
+    """Whether each listed word of a class or id stands in a longer name that is about something."""
+    hits = [n for n in names.split() if OTHER.search(n)]
+    return bool(hits) and all(any(not OTHER.search(part) and not LAYOUT.fullmatch(part) for part in re.split("[_-]+", n)) for n in hits)
+
+
 def _named_other(tag: str, attributes: str, parent: Node) -> str:
-    """Why an element is no part of an article: "tag", "hidden", "form", "name" or "ambiguous"; empty if it may be one."""
+    """Why an element is no part of an article: "tag", "hidden", "form", "name", "ambiguous" or "topic"; empty if it may be one."""
     if tag in DROPPED:
         return "form" if tag == "form" else "tag"
-    if tag == "header" and not any(a.tag in ("article", "main") for a in _ancestors(parent)):
+    if tag == "header" and not (parent.in_article or parent.in_main):
         return "tag"
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return ""
     why = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), _CAMEL.sub("-", next((v for v in values if v), ""))
+        if tag == "article":
+            if name == "class" and _COMMENT.search(value):
+                why = "name"
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return "hidden"
         if name not in ("class", "id", "role"):
@@ -101,27 +133,52 @@ def _named_other(tag: str, attributes: str, parent: Node) -> str:
         value = _BUILDER.sub(" ", value)
         if name == "class" and _POST.search(value):
             value = _TOPIC.sub(" ", value)
-        if SITE_HEADER.search(value) and not any(a.tag == "article" for a in _ancestors(parent)):
+        if SITE_HEADER.search(value) and not parent.in_article:
             why = "tag"
         elif OTHER.search(value):
-            kind = "tag" if NEVER.search(value) else "name" if OTHER.search(AMBIGUOUS.sub("x", value)) else "ambiguous"
-            why = kind if not why or why == "ambiguous" or kind == "tag" else why
+            kind = "tag" if NEVER.search(value) else "topic" if _is_topic(value) else "name" if OTHER.search(AMBIGUOUS.sub("x", value)) else "ambiguous"
+            why = kind if not why or why in ("ambiguous", "topic") or kind == "tag" else why
     return why
 
 
-def _ancestors(node: Node | None):
-    while node is not None:
-        yield node
-        node = node.parent
+class _Open:
+    """The open elements; each is found by its tag, so that no step walks the depth."""
+
+    def __init__(self, root: Node):
+        self.now, self.by_tag = root, {}
+
+    def push(self, node: Node) -> None:
+        self.by_tag.setdefault(node.tag, []).append(node)
+        self.now = node
+
+    def close(self, node: Node) -> None:
+        """Ends an element and all within it."""
+        while self.now.depth >= node.depth:
+            self.by_tag[self.now.tag].pop()
+            self.now = self.now.parent
+
+    def last(self, tag: str) -> Node | None:
+        found = self.by_tag.get(tag)
+        return found[-1] if found else None
+
+    def outermost(self, tags: set[str], beyond: int) -> Node | None:
+        """The outermost open element of these tags that is deeper than ``beyond``."""
+        found = None
+        for tag in tags:
+            own = self.by_tag.get(tag, [])
+            i = bisect_right(own, beyond, key=lambda n: n.depth)
+            if i < len(own) and (found is None or own[i].depth < found.depth):
+                found = own[i]
+        return found
 
 
 def parse(page: str) -> Node:
     """A tree of the page's elements; unclosed and misplaced tags are put right as browsers do."""
     root = Node("html", None)
-    at, now, at_raw = 0, root, page.lower()
+    at, opened, every = 0, _Open(root), [root]
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
-            now.children.append(page[at : m.start()])
+            opened.now.children.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -129,52 +186,49 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag in VOID:
                 if tag == "br":
-                    now.children.append(" ")
+                    opened.now.children.append(" ")
                 continue
-            for node in _ancestors(now):
-                if node.tag == tag and node.parent is not None:
-                    now = node.parent
-                    break
-                if node.tag in BARRIERS and tag not in BLOCKS:
-                    break
+            node = opened.last(tag)
+            if node is not None and (tag in BLOCKS or node.depth >= opened.now.barrier.depth):
+                opened.close(node)
             continue
         if tag in ("html",):
             continue
-        if tag in CLOSES_P:
-            for node in _ancestors(now):
-                if node.tag == "p" and node.parent is not None:
-                    now = node.parent
-                    break
-                if node.tag in BLOCKS:
-                    break
+        if tag in CLOSES_P and opened.now.block.tag == "p":
+            opened.close(opened.now.block)
         if tag in SIBLINGS:
-            inner = now
-            for node in _ancestors(now):
-                if node.tag in SIBLINGS[tag] and node.parent is not None:
-                    inner = node.parent
-                elif node.tag in BARRIERS:
-                    break
-            now = inner
+            node = opened.outermost(SIBLINGS[tag], opened.now.barrier.depth)
+            if node is not None:
+                opened.close(node)
+        now = opened.now
         if tag == "body" and now.tag == "head":
-            now = now.parent
-        node = Node(tag, now, _named_other(tag, m[3], now))
-        if tag in ("article", "main"):  # what holds the article is no advert, whatever its class says
-            for outer in _ancestors(now):
-                outer.other = outer.other and outer.tag in DROPPED and outer.tag != "form"
+            opened.close(now)
+            now = opened.now
         if tag == "br":
             now.children.append(" ")
             continue
+        node = Node(tag, now)
+        node.why = _named_other(tag, m[3], now)
+        node.other = bool(node.why)
         now.children.append(node)
+        every.append(node)
         if tag in RAW:
-            end = at_raw.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
+            end = re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(page, at)
+            end = end.start() if end else len(page)
             node.children.append(page[at:end])
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
-            now = node
+            opened.push(node)
     if at < len(page):
-        now.children.append(page[at:])
+        opened.now.children.append(page[at:])
+    # what holds the article is no advert, whatever its class says
+    holds: set[int] = set()
+    for node in reversed(every):
+        if id(node) in holds:
+            node.other = node.other and node.tag in DROPPED and node.tag != "form"
+        if node.parent is not None and (id(node) in holds or (node.tag in ("article", "main") and not node.other)):
+            holds.add(id(node.parent))
     return root
 
 
@@ -183,7 +237,7 @@ def _free(root: Node) -> None:
     nodes = [root]
     for node in nodes:
         nodes.extend(c for c in node.children if isinstance(c, Node) and c.tag not in CONTROLS and c.why != "hidden")
-    if not any(n.other and n.why in ("form", "name", "ambiguous") for n in nodes):
+    if not any(n.other and n.why in _MAY_HOLD for n in nodes):
         return
     chars, links = {}, {}
     for node in reversed(nodes):
@@ -192,17 +246,19 @@ def _free(root: Node) -> None:
         links[id(node)] = chars[id(node)] if node.tag == "a" else sum(links[id(c)] for c in own)
     text = chars[id(root)] - links[id(root)]
     for node in nodes:
-        if node.other and node.why in ("form", "name", "ambiguous"):
+        if node.other and node.why in _MAY_HOLD:
             c, own = chars[id(node)], chars[id(node)] - links[id(node)]
-            if 2 * own > text or (node.why == "ambiguous" and own >= PROSE and 5 * own >= 4 * c):
+            if 2 * own > text or (own >= _MAY_HOLD[node.why] and 5 * own >= 4 * c):
                 node.other = False
 
 
 def _elements(root: Node) -> list[Node]:
-    """All elements that may be of the article, parents first."""
-    out = [root]
-    for node in out:
-        out.extend(c for c in node.children if isinstance(c, Node) and not c.other)
+    """All elements that may be of the article, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.other)
     return out
 
 
@@ -261,7 +317,7 @@ def _candidates(root: Node) -> tuple[Node, list[Node]]:
     nodes = _elements(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     _measure(nodes, body)
-    return body, [n for n in nodes if n.chars and (body is root or n is body or body in _ancestors(n))]
+    return body, [n for n in (nodes if body is root else _elements(body)) if n.chars]
 
 
 def main_text(page: str) -> str:
@@ -281,23 +337,17 @@ def main_text(page: str) -> str:
     if not within:
         return ""
     core = max(within, key=lambda n: n.total)
-    path = []
-    for node in _ancestors(core):
-        path.append(node)
-        if node is body:
-            break
+    path = [core]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    top = core
-    for inner, outer in zip(path, path[1:], strict=False):
+    top = 0
+    for i, (inner, outer) in enumerate(zip(path, path[1:], strict=False), 1):
         others = [c for c in outer.children if isinstance(c, Node) and not c.other and c is not inner and c.chars]
         if any(c.density >= threshold for c in others) or any(isinstance(c, str) and c.strip() for c in outer.children):
-            top = outer
-    for node in path:
-        if node.tag in ("article", "main") and node.tag != "body":
-            if node in _ancestors(top):
-                top = node
-            break
-    return "\n".join(_blocks(top))
+            top = i
+    around = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), 0)
+    return "\n".join(_blocks(path[max(top, around)]))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

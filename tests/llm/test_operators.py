@@ -486,6 +486,87 @@ def test_articles_in_forms_and_named_containers_are_kept():
     assert html.main_text(f"<body><article>{text}<form><label>Name</label><p>Send</p></form></article></body>") == f"{one}\n{two}"
 
 
+def test_letters_that_grow_in_lower_case_lose_no_text():
+    one, two = "İstanbul " * 40, "The second paragraph is still there."
+    assert html.main_text(f"<body><p>{one}</p><script>var x;</SCRIPT><p>{two}</p></body>") == f"{one.strip()}\n{two}"
+
+
+def test_topics_named_like_layout_are_kept():
+    one, two = "The first paragraph says something of a certain length, and then more.", "The second paragraph goes on about it for a while, with no links at all."
+    menu = "<div class='search-box'><a href=1>Search here for all that this site has to offer to you, its reader</a></div>"
+    for name in ("related-work", "search-algorithms", "notice-of-meeting", "sharing-economy", "relatedWork"):
+        page = f"<body>{menu}<article><h1>Title</h1><p>{one}</p><section id='{name}'><h2>Part</h2><p>{two}</p></section></article></body>"
+        assert html.main_text(page) == f"Title\n{one}\nPart\n{two}", name
+    assert html.main_text(f"<body>{menu}<div class='widget content'><p>{one}</p><p>{two}</p></div></body>") == f"{one}\n{two}"
+    for name in ("newsletter-box", "related-posts", "ad-slot-3", "cookie-banner", "share-buttons", "comments", "promo", "searchForm"):
+        page = f"<body><article><p>{one}</p><p>{two}</p><div class='{name}'>A short sale lasts until the end of this week, so buy our products at half the price now.</div></article></body>"
+        assert html.main_text(page) == f"{one}\n{two}", name
+    comment = "<article class='comment-body'><p>A reader has a few words to say about it too.</p></article>"
+    assert html.main_text(f"<body><main><article><p>{one}</p><p>{two}</p></article><section id='comments'>{comment * 2}</section></main></body>") == f"{one}\n{two}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "x" + "</div>" * 10, "<i>" * 50_000 + "x" + "</b>" * 50_000, "<b>" + "<div>" + "<i>" * 50_000 + "x" + "</b></section>" * 50_000,
+        "<ul>" + "<i>" * 30_000 + "<li>x" * 30_000, "<article>" * 50_000 + "x", "<p>" + "<i>" * 30_000 + "<i><p>x" * 30_000, "<header>" * 50_000 + "x", "<main>" + "<header>" * 50_000 + "x",
+    ],
+)
+def test_nesting_takes_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 8
+
+
+def _random_page(rng: random.Random, depth: int = 0) -> str:
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.45 or depth > 4:
+            out.append(" ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(1, 9))))
+        else:
+            tag = rng.choice(["div", "div", "section", "ul", "b", "a", "nav"])
+            out.append(f"<{tag}>{_random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_density_is_that_of_its_definition():
+    import math
+
+    def walk(node):
+        """Characters, tags, linked characters and tags below a node, by recursion."""
+        c = t = lc = lt = 0
+        for x in node.children:
+            if isinstance(x, str):
+                c += len(re.sub(r"\s", "", x))
+            elif not x.other:
+                a = walk(x)
+                c, t = c + a[0], t + a[1] + 1
+                lc, lt = (lc + a[0], lt + a[1] + 1) if x.tag == "a" else (lc + a[2], lt + a[3])
+        return (c, t, c, t) if node.tag == "a" else (c, t, lc, lt)
+
+    def density(node, body):
+        (c, t, lc, lt), (cb, _, lb, _) = walk(node), walk(body)
+        if not c:
+            return 0.0
+        t, base = max(t, 1), math.log(1 + math.log(c / max(c - lc, 1) * lc + lb / max(cb, 1) * c + math.e))
+        return c / t * math.log(c / max(lc, 1) * t / max(lt, 1)) / base
+
+    rng, seen = random.Random(17), 0
+    for _ in range(60):
+        root = html.parse(f"<body>{_random_page(rng)}</body>")
+        body, within = html._candidates(root)
+        for node in within:
+            seen += 1
+            assert node.density == pytest.approx(density(node, body))
+            inner = [x for x in node.children if not isinstance(x, str) and not x.other]
+            own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+            assert node.total == pytest.approx(own + sum(density(x, body) for x in inner))
+    assert seen > 300
+
+
 PAGES = {
     "<html><head><title>t</title></head><body><nav><a href=1>Menu one</a></nav><div class='ad'>Buy now</div><article><h1>Head &amp; line</h1><p><b>First para  with\n"
     "space.<br><p>Second.</p><ul><li>one<li>two</ul><section id='comments'><p>A long reader comment that says a lot of things</p></section></article><footer>foot</footer>"
@@ -508,6 +589,10 @@ def test_extraction(spark):
     for i, want in enumerate(PAGES.values()):
         assert got[i].text == want and got[i].n_chars == len(want)
     assert got[99].text == "" and got[100].text == "x"
+    assert html.page_texts(frame.limit(0)).count() == 0
+    again = [(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (None, None, "<p>a b</p>")]
+    found = [tuple(r) for r in html.page_texts(spark.createDataFrame(again, "page_id long, url string, html string")).collect()]
+    assert sorted(found, key=str) == sorted([(1, "u", "a b", 3), (1, "u", "a b", 3), (None, None, "a b", 3)], key=str)
 
 
 def test_media_round_trip_and_equal_texts(spark, docs, rows):

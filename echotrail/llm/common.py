@@ -109,18 +109,9 @@ def _clean_up() -> None:
         pass
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files a DataFrame reads (all their columns), for sizing partitions.
-
-    A DataFrame over no files (of a test, say) counts as nothing.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation":
-            total += int(str(leaf.stats().sizeInBytes()))
-    return total
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a column, for sizing partitions; counted, so any source or derived frame will do."""
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
 def partitions_for(spark: SparkSession, total_bytes: int, target: int) -> int:

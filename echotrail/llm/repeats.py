@@ -16,7 +16,12 @@ each block gets its own suffix array by difference cover:
    by anchor.
 4. *Suffix arrays.* Each block of such bytes is suffix-sorted by the
    difference-cover algorithm, neighbours' first 100 bytes are compared, and
-   in each class of equal windows all but the earliest are repeats.
+   in each class of equal windows all but the earliest are repeats. Only of an
+   anchor with very many different runs (the edge of a passage that stands in
+   very many documents) the windows are dealt out one by one, by their hash;
+   equal ones are reduced to the earliest before the shuffle and again behind
+   it. A task settles what it has gathered whenever that has doubled, so
+   neither an anchor nor a window is ever held with all its copies.
 5. The repeats' starts go back to their documents, where covered bytes are
    cut out.
 
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import Work, bounded_batches, ids_of, input_bytes, partitions_for, slices, table, texts_of
+from .common import Work, bounded_batches, ids_of, partitions_for, slices, table, text_bytes, texts_of
 from .suffix_array import equal_prefix_classes, suffix_array
 
 WIDTH, GRAM = 100, 32
@@ -51,11 +56,15 @@ MOST_PARTITIONS = 20_000
 FLUSH = 500_000
 #: An anchor with so many different runs is dealt out window by window.
 HOT = 20_000
+#: An anchor with so many different runs among those gathered by one task is marked as hot before the shuffle.
+MARK = 64
+#: Runs of a bucket from which on they are settled while it is still read.
+COMPACT = 1_000_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(2**63)
 
 #: Kinds of packed rows; texts come behind the rows they need.
-RUNS, REPEATS, UNSETTLED, HOT_UNSETTLED, STRINGS, TEXT = range(6)
+RUNS, MARKS, REPEATS, UNSETTLED, HOT_UNSETTLED, STRINGS, WINDOWS, TEXT = range(8)
 _PACKED = T.StructType(
     [T.StructField("bucket", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType())]
     + [T.StructField(c, T.BinaryType()) for c in ("keys", "spans", "docs", "starts", "counts", "data")]
@@ -73,7 +82,7 @@ class Runs:
         return self.arrays[name]
 
     def __len__(self) -> int:
-        return len(self.arrays["docs"])
+        return len(next(iter(self.arrays.values())))
 
     def take(self, at: np.ndarray) -> Runs:
         return Runs(**{k: v[at] for k, v in self.arrays.items()})
@@ -89,9 +98,11 @@ class Runs:
 
 def _packed(kind: int, runs: Runs, bucket: np.ndarray, data: list[bytes] | None = None) -> list[dict]:
     """A row for each bucket, with the arrays of its runs."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     runs, bucket = runs.take(order), bucket[order]
-    lead = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+    lead = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     rows = []
     for a, b in zip(lead, [*lead[1:], len(bucket)], strict=True):
         row = {c: np.ascontiguousarray(v[a:b], dtype=_TYPES[c]).tobytes() for c, v in runs.arrays.items()}
@@ -167,6 +178,8 @@ def _settle(runs: Runs) -> tuple[Runs, Runs]:
 
 def _per_anchor(runs: Runs) -> np.ndarray:
     """For runs sorted by anchor, how many runs each one's anchor has."""
+    if not len(runs):
+        return np.empty(0, dtype=np.int64)
     lead = np.concatenate(([True], runs.keys[1:] != runs.keys[:-1]))
     group = np.cumsum(lead) - 1
     return np.bincount(group)[group]
@@ -176,6 +189,30 @@ def _places(runs: Runs) -> Runs:
     return Runs(docs=runs.docs, starts=runs.starts, counts=runs.counts)
 
 
+def document_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod(xxhash64(doc_id), buckets) as Spark has it, so that no numbering of the documents crowds a bucket."""
+    up = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    # The primes of xxHash64; 42 is Spark's seed.
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42 + 8) + p5) ^ (up(docs.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = up(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % buckets
+
+
+def _in_runs(docs: np.ndarray, starts: np.ndarray) -> Runs:
+    """Single windows as runs of consecutive ones."""
+    near = np.lexsort((starts, docs))
+    docs, starts = docs[near].astype(np.int64), starts[near].astype(np.int64)
+    if not len(docs):
+        return Runs(docs=docs, starts=starts, counts=starts)
+    lead = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1))))
+    last = np.append(lead[1:], len(docs)) - 1
+    return Runs(docs=docs[lead], starts=starts[lead], counts=starts[last] - starts[lead] + 1)
+
+
 class Gathered:
     """Runs kept back until there are ``most`` of them, so that few, large rows are packed."""
 
@@ -199,14 +236,13 @@ class Gathered:
 def _find_runs(buckets: int):
     def emit(parts: tuple[Runs, ...]) -> list[dict]:
         first, later = _settle(Runs.join(list(parts)))
-        rows = _packed(REPEATS, _places(later), later.docs % buckets) if len(later) else []
-        # of a very common anchor's runs only HOT go by anchor; the others are unsettled whatever the rest is
-        lead = np.concatenate(([True], first.keys[1:] != first.keys[:-1]))
-        nth = np.arange(len(first)) - np.maximum.accumulate(np.where(lead, np.arange(len(first)), 0))
-        over = first.take(np.flatnonzero(nth >= HOT))
-        if len(over):
-            rows += _packed(HOT_UNSETTLED, Runs(keys=over.keys, **_places(over).arrays), over.docs % buckets)
-        first = first.take(np.flatnonzero(nth < HOT))
+        rows = _packed(REPEATS, _places(later), document_bucket(later.docs, buckets))
+        # a very common anchor's runs are unsettled whatever the rest is; its bucket only learns that it is hot
+        many = _per_anchor(first) >= MARK
+        over, first = first.take(np.flatnonzero(many)), first.take(np.flatnonzero(~many))
+        rows += _packed(HOT_UNSETTLED, Runs(keys=over.keys, **_places(over).arrays), document_bucket(over.docs, buckets))
+        marks = np.unique(over.keys)
+        rows += _packed(MARKS, Runs(keys=marks), (marks % np.uint64(buckets)).astype(np.int64))
         return rows + _packed(RUNS, first, (first.keys % np.uint64(buckets)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,60 +254,142 @@ def _find_runs(buckets: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], kind: int, take, settle, gathered: dict[int, Gathered]) -> Iterator[pa.RecordBatch]:
-    """Rows of one kind, gathered bucket by bucket (they come sorted); other rows pass.
+class Bucket:
+    """What a task holds of one bucket. ``results`` yields (kind, runs) for what is settled."""
 
-    Only one bucket is held at a time, whatever the partition's size.
-    ``settle(held)`` gives (kind, runs) for ``gathered``.
-    """
+    def __init__(self):
+        self.parts: list[Runs] = []
+        self.size = self.settled = 0
 
-    def finish(held: list) -> Iterator[pa.RecordBatch]:
-        for k, runs in settle(held):
-            yield from gathered[k].add(runs)
-
-    bucket, held = None, []
-    for batch in batches:
-        kinds, buckets = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
-        for i in np.flatnonzero(kinds == kind).tolist():
-            if buckets[i] != bucket:
-                if held:
-                    yield from finish(held)
-                bucket, held = buckets[i], []
-            held.append(take(batch, i))
-        if (kinds != kind).any():
-            yield batch.filter(pa.array(kinds != kind))
-    if held:
-        yield from finish(held)
-    for g in gathered.values():
-        yield from g.flush()
+    def add(self, part: Runs) -> None:
+        self.parts.append(part)
+        self.size += len(part)
 
+    def joined(self) -> Runs:
+        return Runs.join(self.parts)
 
-def _to_documents(kind: int, buckets: int) -> Gathered:
-    def emit(parts: tuple[Runs, ...]) -> list[dict]:
-        runs = Runs.join(list(parts))
-        return _packed(kind, runs, runs.docs % buckets)
+    def keep(self, runs: Runs) -> None:
+        self.parts, self.size = ([runs] if len(runs) else []), len(runs)
+        self.settled = self.size
 
-    return Gathered(emit)
+    @property
+    def due(self) -> bool:
+        return self.size >= COMPACT and self.size >= 2 * self.settled
+
+
+class RunBucket(Bucket):
+    """Runs by anchor, and the anchors marked as hot."""
+
+    names = {RUNS: ("keys", "spans", "docs", "starts", "counts"), MARKS: ("keys",)}
+
+    def __init__(self):
+        super().__init__()
+        self.marks = np.empty(0, dtype=np.uint64)
 
+    def take(self, kind: int, batch: pa.RecordBatch, i: int) -> None:
+        part = Runs.unpack(batch, i, self.names[kind])
+        if kind == MARKS:
+            self.marks = np.union1d(self.marks, part.keys)
+        else:
+            self.add(part)
 
-def _settle_runs(buckets: int):
-    def settle(held: list[Runs]) -> Iterator[tuple[int, Runs]]:
-        first, later = _settle(Runs.join(held))
+    def results(self, last: bool) -> Iterator[tuple[int, Runs]]:
+        if not self.parts:
+            return
+        first, later = _settle(self.joined())
         yield REPEATS, _places(later)
         many = _per_anchor(first)
-        for kind, at in ((UNSETTLED, (many > 1) & (many < HOT)), (HOT_UNSETTLED, many >= HOT)):
+        hot = (many >= HOT) | np.isin(first.keys, self.marks)
+        self.marks = np.union1d(self.marks, first.keys[hot])
+        self.keep(first.take(np.flatnonzero(~hot)))
+        for kind, at in ((HOT_UNSETTLED, hot), (UNSETTLED, (many > 1) & ~hot & last)):
             some = first.take(np.flatnonzero(at))
             yield kind, Runs(keys=some.keys, **_places(some).arrays)
 
-    take = lambda batch, i: Runs.unpack(batch, i, ("keys", "spans", "docs", "starts", "counts"))
-    return lambda batches: _by_bucket(batches, RUNS, take, settle, {k: _to_documents(k, buckets) for k in (REPEATS, UNSETTLED, HOT_UNSETTLED)})
 
+class StringBucket(Bucket):
+    """Strings of unsettled runs, for the suffix arrays, and the windows of hot anchors by their hashes."""
 
-def _with_texts(names: tuple[str, ...], make):
+    def __init__(self):
+        super().__init__()
+        self.runs: list[Runs] = []
+        self.data: list[bytes] = []
+
+    def take(self, kind: int, batch: pa.RecordBatch, i: int) -> None:
+        part = Runs.unpack(batch, i, ("keys", "docs", "starts", "counts"))
+        if kind == WINDOWS:
+            self.add(part)
+        else:
+            self.runs.append(part)
+            self.data.append(batch.column("data")[i].as_py())
+
+    def results(self, last: bool) -> Iterator[tuple[int, Runs]]:
+        if self.parts:
+            first, later = _settle_windows(self.joined())
+            self.keep(first)
+            yield REPEATS, _in_runs(later.docs, later.starts)
+        if last and self.runs:
+            yield REPEATS, repeated_windows(Runs.join(self.runs), np.frombuffer(b"".join(self.data), dtype=np.uint8))
+
+
+def _settle_windows(windows: Runs) -> tuple[Runs, Runs]:
+    """The earliest of each kind of equal windows (keys are their hashes), and the rest."""
+    first, later = _settle(Runs(spans=np.zeros(len(windows), dtype=np.uint64), **windows.arrays))
+    return tuple(Runs(keys=x.keys, **_places(x).arrays) for x in (first, later))
+
+
+def _by_bucket(kinds: tuple[int, int], make, buckets: int):
+    """Rows of two kinds, gathered bucket by bucket (they come sorted) and settled; other rows pass.
+
+    Only one bucket is held at a time, whatever the partition's size, and of
+    it no more than twice what is left after settling.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, Gathered] = {}
+
+        def settle(held: Bucket, last: bool) -> Iterator[pa.RecordBatch]:
+            for kind, runs in held.results(last):
+                if kind not in out:
+                    out[kind] = _to_documents(kind, buckets)
+                yield from out[kind].add(runs)
+
+        bucket, held = None, None
+        for batch in batches:
+            kind, where = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
+            own = np.isin(kind, kinds)
+            for i in np.flatnonzero(own).tolist():
+                if where[i] != bucket:
+                    if held is not None:
+                        yield from settle(held, True)
+                    bucket, held = where[i], make()
+                held.take(int(kind[i]), batch, i)
+                if held.due:
+                    yield from settle(held, False)
+            if not own.all():
+                yield batch.filter(pa.array(~own))
+        if held is not None:
+            yield from settle(held, True)
+        for g in out.values():
+            yield from g.flush()
+
+    return run
+
+
+def _to_documents(kind: int, buckets: int) -> Gathered:
+    def emit(parts: tuple[Runs, ...]) -> list[dict]:
+        runs = Runs.join(list(parts))
+        return _packed(kind, runs, document_bucket(runs.docs, buckets))
+
+    return Gathered(emit)
+
+
+def _with_texts(names: tuple[str, ...], make, carried: str | None = None):
     """Texts with the packed runs of their bucket, which come first.
 
     ``make()`` gives a task's ``each(ids, texts, lookup)`` and ``flush()``,
     which give record batches; ``lookup(kind, doc)`` gives a document's runs.
+    ``each`` gets the column ``carried`` as well, if one is named.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,36 +418,45 @@ def _with_texts(names: tuple[str, ...], make):
                     return own.take(slice(lo, hi)) if hi > lo else None
 
                 some = batch.slice(a, b - a)
-                yield from each(some.column("doc_id").to_pylist(), texts_of(some.column("data")), lookup)
+                yield from each(some.column("doc_id").to_pylist(), texts_of(some.column("data")), lookup, *([some.column(carried)] if carried else []))
         yield from flush()
 
     return run
 
 
 def _cut_strings(buckets: int):
-    """The bytes of unsettled runs, dealt by anchor; of a hot anchor's runs window by window."""
+    """The bytes of unsettled runs, dealt by anchor; of a hot anchor's runs the windows, dealt by their hashes."""
+    of_key = lambda runs: (runs.keys % np.uint64(buckets)).astype(np.int64)
 
-    def emit(parts: tuple[Runs, ...], data: tuple[list[bytes], ...]) -> list[dict]:
+    def strings(parts: tuple[Runs, ...], data: tuple[list[bytes], ...]) -> list[dict]:
         runs = Runs.join(list(parts))
-        return _packed(STRINGS, runs, (runs.keys % np.uint64(buckets)).astype(np.int64), [x for d in data for x in d])
+        return _packed(STRINGS, runs, of_key(runs), [x for d in data for x in d])
+
+    def windows(parts: tuple[Runs, ...]) -> list[dict]:
+        first, later = _settle_windows(Runs.join(list(parts)))
+        later = _in_runs(later.docs, later.starts)
+        return _packed(WINDOWS, first, of_key(first)) + _packed(REPEATS, later, document_bucket(later.docs, buckets))
 
     def make():
-        gathered = Gathered(emit, FLUSH // 4)  # these carry their bytes
+        cold, hot = Gathered(strings, FLUSH // 4), Gathered(windows)  # strings carry their bytes
 
         def each(ids, texts, lookup):
             for doc, text in zip(ids, texts, strict=True):
-                for kind in (UNSETTLED, HOT_UNSETTLED):
-                    own = lookup(kind, doc)
-                    if own is None:
-                        continue
-                    if kind == HOT_UNSETTLED:
-                        n = own.counts
-                        starts = np.repeat(own.starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        whole = K.window_hashes(np.frombuffer(text, dtype=np.uint8), WIDTH)
-                        own = Runs(keys=whole[starts], docs=np.repeat(own.docs, n), starts=starts, counts=np.ones(len(starts), dtype=np.int32))
-                    yield from gathered.add(own, [text[s : s + c + WIDTH - 1] for s, c in zip(own.starts.tolist(), own.counts.tolist(), strict=True)])
-
-        return each, gathered.flush
+                own = lookup(UNSETTLED, doc)
+                if own is not None:
+                    yield from cold.add(own, [text[s : s + c + WIDTH - 1] for s, c in zip(own.starts.tolist(), own.counts.tolist(), strict=True)])
+                own = lookup(HOT_UNSETTLED, doc)
+                if own is not None:
+                    n = own.counts
+                    starts = np.repeat(own.starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    whole = K.window_hashes(np.frombuffer(text, dtype=np.uint8), WIDTH)
+                    yield from hot.add(Runs(keys=whole[starts], docs=np.repeat(own.docs, n), starts=starts, counts=np.ones(len(starts), dtype=np.int32)))
+
+        def flush():
+            yield from cold.flush()
+            yield from hot.flush()
+
+        return each, flush
 
     return _with_texts(("keys", "docs", "starts", "counts"), make)
 
@@ -374,22 +501,7 @@ def repeated_windows(runs: Runs, data: np.ndarray) -> Runs:
         first = np.repeat(lead, np.diff(np.append(lead, len(group))))
         later = (doc != doc[first]) | (start != start[first])
         found.append((doc[later], start[later]))
-    doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    near = np.lexsort((start, doc))
-    doc, start = doc[near], start[near]
-    if not len(doc):
-        return Runs(docs=doc, starts=start, counts=start)
-    lead = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))))
-    last = np.append(lead[1:], len(doc)) - 1
-    return Runs(docs=doc[lead], starts=start[lead], counts=start[last] - start[lead] + 1)
-
-
-def _sort_strings(buckets: int):
-    def settle(held: list[tuple[Runs, bytes]]) -> Iterator[tuple[int, Runs]]:
-        yield REPEATS, repeated_windows(Runs.join([r for r, _ in held]), np.frombuffer(b"".join(d for _, d in held), dtype=np.uint8))
-
-    take = lambda batch, i: (Runs.unpack(batch, i, ("keys", "docs", "starts", "counts")), batch.column("data")[i].as_py())
-    return lambda batches: _by_bucket(batches, STRINGS, take, settle, {REPEATS: _to_documents(REPEATS, buckets)})
+    return _in_runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def covered(runs: Runs | None, length: int) -> list[tuple[int, int]]:
@@ -411,45 +523,52 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def find_repeats(spark: SparkSession, docs: DataFrame, schema: str, finish, work: Work | None = None) -> DataFrame:
+def find_repeats(spark: SparkSession, docs: DataFrame, schema: str | T.StructType, finish, work: Work | None = None, carry: str | None = None) -> DataFrame:
     """``finish(ids, texts, spans)`` for every row of ``docs(doc_id, text)``.
 
     spans: for each text, the maximal removed byte ranges. ``finish`` gives a
-    record batch of ``schema``.
+    record batch of ``schema``. With ``carry``, that column of ``docs`` travels
+    with the texts, and ``finish`` gets it as a fourth argument.
     """
     work = work or Work(spark, "repeats")
     bounded_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    sized = partitions_for(spark, 2 * input_bytes(docs), PARTITION)
+    row = F.col(carry) if carry else F.lit(None).cast("int")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), row.alias("row"))
+    sized = partitions_for(spark, text_bytes(docs, "data"), PARTITION)
     # a task holds one bucket at a time, so a huge corpus may have many buckets to a partition
     parts, buckets = min(sized, MOST_PARTITIONS), 4 * sized
     null = [F.lit(None).cast("binary").alias(c) for c in ("keys", "spans", "docs", "starts", "counts")]
-    texts = docs.select(F.pmod("doc_id", F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), "doc_id", *null, "data")
+    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), F.lit(TEXT).alias("kind"), "doc_id", *null, "data", "row")
 
-    runs = docs.mapInArrow(_find_runs(buckets), _PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    settled = work.save(runs.mapInArrow(_settle_runs(buckets), _PACKED), "settled")
+    runs = docs.select("doc_id", "data").mapInArrow(_find_runs(buckets), _PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    settled = work.save(runs.mapInArrow(_by_bucket((RUNS, MARKS), RunBucket, buckets), _PACKED), "settled")
     work.free_shuffles()
     unsettled = settled.filter(F.col("kind").isin(UNSETTLED, HOT_UNSETTLED))
-    strings = unsettled.union(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_cut_strings(buckets), _PACKED)
-    sorted_out = work.save(strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_strings(buckets), _PACKED), "sorted")
+    strings = unsettled.union(texts.drop("row")).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_cut_strings(buckets), _PACKED)
+    strings = strings.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sorted_out = work.save(strings.mapInArrow(_by_bucket((STRINGS, WINDOWS), StringBucket, buckets), _PACKED), "sorted")
     work.free_shuffles()
     repeats = settled.filter(F.col("kind") == REPEATS).union(sorted_out)
 
     def make():
-        def each(ids, texts, lookup):
-            yield finish(ids, texts, [covered(lookup(REPEATS, doc), len(text)) for doc, text in zip(ids, texts, strict=True)])
+        def each(ids, texts, lookup, *rest):
+            yield finish(ids, texts, [covered(lookup(REPEATS, doc), len(text)) for doc, text in zip(ids, texts, strict=True)], *(rest if carry else ()))
 
         return each, lambda: iter(())
 
-    both = repeats.union(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    found = both.mapInArrow(_with_texts(("docs", "starts", "counts"), make), schema)
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    both = repeats.withColumn("row", F.lit(None).cast(texts.schema["row"].dataType)).union(texts)
+    both = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    return both.mapInArrow(_with_texts(("docs", "starts", "counts"), make, "row"), schema)
+
+
+def _ids(ids: list[int]) -> pa.Array:
+    return pa.array([None if x == NO_ID else x for x in ids], pa.int64())
 
 
 def _digest(ids, texts, spans) -> pa.RecordBatch:
     return pa.record_batch(
         {
-            "doc_id": pa.array(ids, pa.int64()),
+            "doc_id": _ids(ids),
             "n_bytes": pa.array([len(x) for x in texts], pa.int64()),
             "n_removed": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
             "n_spans": pa.array([len(s) for s in spans], pa.int64()),
@@ -458,10 +577,9 @@ def _digest(ids, texts, spans) -> pa.RecordBatch:
     )
 
 
-def _texts(ids, texts, spans) -> pa.RecordBatch:
+def _kept(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> list[str]:
     """A cut may fall inside a character; what is left of it goes."""
-    kept = [kept_bytes(x, s).decode("utf-8", "ignore") if s else x.decode("utf-8", "replace") for x, s in zip(texts, spans, strict=True)]
-    return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+    return [kept_bytes(x, s).decode("utf-8", "ignore") if s else x.decode("utf-8", "replace") for x, s in zip(texts, spans, strict=True)]
 
 
 def removed_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -469,14 +587,33 @@ def removed_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def finish(ids, texts, spans):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)})
+        return pa.record_batch({"doc_id": _ids(ids), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)})
 
     return find_repeats(spark, docs, "doc_id long, spans array<struct<start: long, end: long>>", finish)
 
 
 def kept_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id and the text without its repeated parts."""
-    return find_repeats(spark, docs, "doc_id long, kept_text string", _texts)
+    return find_repeats(
+        spark, docs, "doc_id long, kept_text string", lambda ids, texts, spans: pa.record_batch({"doc_id": _ids(ids), "kept_text": pa.array(_kept(texts, spans), pa.string())})
+    )
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs(doc_id, text, ...)``, the text without its repeated parts.
+
+    A null text stays null if nothing of its document is removed; all other
+    columns travel with the text, so rows that repeat a doc_id stay apart.
+    """
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    held = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("null"), others.alias("others")).alias("row"))
+
+    def finish(ids, texts, spans, rows):
+        return pa.record_batch([pa.array(_kept(texts, spans), pa.string()), rows], names=["text", "row"])
+
+    found = find_repeats(spark, held, T.StructType([T.StructField("text", T.StringType()), held.schema["row"]]), finish, carry="row")
+    text = F.when(~F.col("row.null"), F.col("text")).alias("text")
+    return found.select(*[text if c == "text" else F.col("row").getField("others").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,18 +172,55 @@ def test_repeats_are_those_of_brute_force(spark, docs, rows):
     assert got == _repeats({r[0]: r[1] for r in rows})
 
 
-@pytest.mark.parametrize("hot", [2, 20_000])
-def test_repeats_with_periods_and_hot_anchors(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, mark, compact", [(2, 64, 10**6), (20_000, 64, 10**6), (20_000, 2, 1), (2, 2, 7)])
+def test_repeats_with_periods_and_hot_anchors(spark, monkeypatch, hot, mark, compact):
     """Self-overlaps, matches across characters, and anchors dealt out window by window."""
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MARK", mark)
+    monkeypatch.setattr(repeats, "COMPACT", compact)
     rng = random.Random(8)
     passage = _prose(rng, 40)
     texts = {0: "a" * 350, 1: "a" * 101, 2: "b" * 99, 3: "b" * 100, 4: "é" * 120, 5: "zé" * 90 + "é" * 80, 6: "abc" * 200, 7: None, 8: ""}
     for i in range(10, 24):
         texts[i] = _prose(rng, rng.randrange(5, 30)) + passage[rng.randrange(20) :][: rng.randrange(120, 250)] + _prose(rng, rng.randrange(5, 30))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.find_repeats(spark, frame.repartition(5), DIGEST, repeats._digest).collect()}
+    assert got == _repeats(texts)
+
+
+@pytest.mark.parametrize("mark", [3, 64])
+def test_a_window_in_every_document_and_ids_of_one_residue(spark, monkeypatch, mark):
+    """All ids are multiples of any number of buckets there may be."""
+    monkeypatch.setattr(repeats, "MARK", mark)
+    rng = random.Random(18)
+    line = "This very line of more than a hundred characters stands in each and every document of the corpus, word for word."
+    texts = {i * 3 * 2**20: f"{_prose(rng, rng.randrange(3, 25))} {line} {_prose(rng, 12)}" for i in range(90)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r.doc_id: tuple(r)[1:] for r in repeats.find_repeats(spark, frame, DIGEST, repeats._digest).collect()}
     assert got == _repeats(texts)
+    assert len(set(repeats.document_bucket(np.array(list(texts)), 32).tolist())) > 25
+
+
+def test_document_buckets_are_sparks(spark):
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, -1, 7, 2**62, -(2**63), 2**63 - 1, 123456789]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(37)).alias("b"))
+    assert {r.doc_id: r.b for r in frame.collect()} == dict(zip(ids, repeats.document_bucket(np.array(ids), 37).tolist(), strict=True))
+
+
+def test_all_columns_and_repeated_rows_stay(spark):
+    schema = "kept_text string, text string, doc_id int, bucket string, kind double, row array<int>, null boolean, others date"
+    q = "q" * 150
+    rows = [("k", "p" + q, 1, "b", 0.5, [1], True, None), ("l", "p" + q, 1, "c", None, [], False, None), ("m", q + "x", 2, None, 1.0, None, None, None), ("n", None, 3, "d", 2.0, [3], True, None), ("o", "", None, "e", 3.0, [4], True, None)]
+    frame = spark.createDataFrame(rows, schema)
+    found = repeats.without_repeats(spark, frame)
+    assert found.schema.simpleString() == frame.schema.simpleString()
+    got = {r.kept_text: r for r in found.collect()}
+    assert len(got) == 5 and got["k"].text == got["l"].text == "pq" and got["m"].text == "x"
+    assert got["n"].text is None and got["o"].text == "" and got["o"].doc_id is None
+    assert {k: tuple(v for c, v in r.asDict().items() if c != "text") for k, r in got.items()} == {r[0]: tuple(v for i, v in enumerate(r) if i != 1) for r in rows}
+    assert repeats.without_repeats(spark, frame.limit(0)).count() == 0
 
 
 def test_removed_spans_and_kept_texts(spark):

@@ -1,8 +1,12 @@
 """The corpus pipeline: rules, classifier, near-dedup, repeat removal, packing.
 
 Each stage takes what its predecessor kept; all but the last return the
-columns of ``documents``. Rows without a doc_id can't be followed through the
-stages and go in the first.
+columns of ``documents``, whatever further columns there are and whatever
+their names. Rows without a doc_id can't be followed through the stages and
+go in the first. Rows that repeat a doc_id are one document: a filtering
+stage keeps all of them if it keeps any, the others treat each row by itself,
+so no stage multiplies them. A null text fails the base rules; empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from echotrail.llm.common import Work, table
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select([f"`{c}`" for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +39,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 100-byte strings that occur earlier; n_chars follows the text."""
-    kept = repeats.kept_texts(spark, docs)
-    rest = docs.drop("text").join(kept, "doc_id").withColumnRenamed("kept_text", "text")
+    rest = repeats.without_repeats(spark, docs)
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(docs.columns)
+    return rest
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -44,6 +45,44 @@ def test_stages_take_effect(spark, tables, tmp_path):
     assert "sequence_id" in found.columns and {r.doc_id for r in found.collect()} == set(after)
 
 
+EXTRA = ("kept_text", "bucket", "kind", "row", "score", "kept", "predicted", "component_id", "data", "a.b")
+
+
+def test_repeated_rows_and_clashing_names(spark, tables, tmp_path):
+    """No stage multiplies a doubled row, loses a column or trips over its name."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    doubled = docs.union(docs.filter("doc_id < 30")).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in EXTRA})
+    doubled.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        found = stage(spark, docs, tables)
+        if i == 4:
+            pieces = Counter((r.doc_id, r.piece) for r in found.collect())
+            assert {d for d, _ in pieces} == set(before) and all(n == before[d] for (d, _), n in pieces.items())
+            continue
+        assert found.columns == docs.columns
+        found.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        rows = docs.collect()
+        after = Counter(r.doc_id for r in rows)
+        assert after and all(before[d] == n for d, n in after.items()), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in EXTRA)
+    assert max(after.values()) == 2
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, tables)
+        assert found.count() == 0 and (i == 4 or found.columns == docs.columns)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_and_catalogue(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_dedup", "repeat_removal", "best_fit_packing"]

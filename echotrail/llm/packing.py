@@ -3,14 +3,15 @@
 Only the histogram of piece lengths (at most CAPACITY counts) reaches the
 driver, whatever the corpus' size. There, the configuration linear program of
 bin packing is solved by multiplicative weights: a length's price is its own
-size times a weight that grows while it lags behind in coverage, and each
-round adds the best configuration at these prices, found by knapsack dynamic
-programming. Of the solution, the all but full configurations are rounded
-down; what they leave is placed best-fit, longest first, on counts rather
-than single pieces. Several shares of the solution are tried (none as well);
-the plan with the fewest rows is taken.
-The pieces then find their places by their rank within their length, so no
-group of pieces meets in one task.
+size times a weight that grows while it lags behind in coverage. Each round a
+knapsack dynamic program finds, for every room, what is worth most at these
+prices; each lagging length gets the configuration that completes it best, as
+often as it lags. All lengths and all configurations count. The solution is
+rounded along the sorted configurations, whose running sum is rounded, so that
+the number of rows stays; a row is used if all its pieces are there. The
+remainder is placed best-fit, longest first, on counts rather than single
+pieces. The pieces then find their places by their rank within their length,
+so no group of pieces meets in one task.
 
 A null or empty text is a piece of one token (the end id). Repeated doc_ids
 are packed like other rows. An empty table packs into nothing.
@@ -18,7 +19,9 @@ are packed like other rows. An empty table packs into nothing.
 
 from __future__ import annotations
 
+import math
 import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +32,8 @@ from .common import Work, map_batches, table, texts_of
 from .tokens import decoded, encoder, vocabulary
 
 CAPACITY, END_ID = 1024, 2
-#: Rounds of the linear program, how fast weights grow, and the part of the capacity up to which pieces stay out of it.
-ROUNDS, RATE, SMALL = 800, 8.0, 5
-#: How full a configuration must be to be taken, and the shares of the solution that are tried.
-FULL, SHARES = 0.998, (0.75, 0.5, 0.25, 0.0)
-
+#: Rounds of the linear program, and how fast weights grow.
+ROUNDS, RATE = 400, 8.0
 #: Pieces ranked in one bucket, on average.
 RANKED = 250_000
 
@@ -41,57 +41,59 @@ RANKED = 250_000
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Multiplicities of the best unbounded knapsack, by dynamic programming."""
+def knapsack_table(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack by dynamic programming, for sorted sizes: each room's best value, and an item that is in it.
+
+    The item is -1 where the room is not used up; the best is then that of one less.
+    """
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(sizes, kind="stable")
-    size, value = sizes[order], values[order]
-    for c in range(int(size[0]), capacity + 1):
-        n = int(np.searchsorted(size, c, side="right"))
-        gain = value[:n] + best[c - size[:n]]
+    for c in range(int(sizes[0]), capacity + 1):
+        n = int(np.searchsorted(sizes, c, side="right"))
+        gain = values[:n] + best[c - sizes[:n]]
         k = int(gain.argmax())
         if gain[k] > best[c - 1]:
             best[c], pick[c] = gain[k], k
         else:
             best[c] = best[c - 1]
-    out, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c >= size[0]:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[order[pick[c]]] += 1
-            c -= int(size[pick[c]])
-    return out
+    return best, pick
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, bins: float, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """The configuration program by multiplicative weights: how many of ``bins`` rows each configuration gets."""
-    rounds = max(1, min(ROUNDS, int(bins)))
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
+    """The configuration program by multiplicative weights: how many rows each configuration (lengths, falling) gets."""
+    rounds = max(1, min(ROUNDS, int(counts.sum())))
     covered, used = np.zeros(len(sizes)), {}
     for t in range(1, rounds + 1):
-        price = sizes * np.exp(RATE * np.clip(t / rounds - covered, -3, 3))
-        a = knapsack(price, sizes, capacity)
-        config = tuple((int(sizes[i]), int(a[i])) for i in np.flatnonzero(a))
-        used[config] = used.get(config, 0.0) + bins / rounds
-        covered += a * (bins / rounds) / counts
+        price = sizes * np.exp(RATE * np.clip(t / rounds - covered / counts, -3, 3))
+        _, pick = knapsack_table(price, sizes, capacity)
+        fill: list[tuple[int, ...]] = [()] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            k = int(pick[c])
+            fill[c] = fill[c - 1] if k < 0 else (*fill[c - int(sizes[k])], k)
+        for i in range(len(sizes) - 1, -1, -1):
+            lag = t / rounds * counts[i] - covered[i]
+            if lag > 1e-9:
+                config = (i, *fill[capacity - int(sizes[i])])
+                n = lag / config.count(i)
+                for k in config:
+                    covered[k] += n
+                key = tuple(sorted((int(sizes[k]) for k in config), reverse=True))
+                used[key] = used.get(key, 0.0) + n
     return used
 
 
-class _Stock:
-    """Pieces of each length still to place."""
-
-    def __init__(self, histogram: dict[int, int]):
-        self.left = {k: v for k, v in histogram.items() if v > 0}
-
-    def take(self, lengths: tuple[int, ...], most: int) -> tuple[tuple[int, ...], int] | None:
-        """One piece of each of these lengths, as often as all are left."""
-        need: dict[int, int] = {}
-        for x in lengths:
-            need[x] = need.get(x, 0) + 1
-        n = min([most, *(self.left.get(x, 0) // k for x, k in need.items())])
-        for x, k in need.items():
-            self.left[x] -= n * k
-        return (lengths, n) if n else None
+def rounded(solution: dict[tuple[int, ...], float], left: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
+    """Whole rows of a solution: the running sum of its configurations, largest first, is rounded. Takes the pieces out of ``left``."""
+    bins, upto = [], 0.0
+    for config in sorted(solution, reverse=True):
+        before = math.floor(upto + 0.5)
+        upto += solution[config]
+        need = {x: config.count(x) for x in config}
+        n = min([math.floor(upto + 0.5) - before, *(left[x] // k for x, k in need.items())])
+        if n:
+            for x, k in need.items():
+                left[x] -= n * k
+            bins.append((config, n))
+    return bins
 
 
 def best_fit(histogram: dict[int, int], capacity: int, bins: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
@@ -124,23 +126,13 @@ def best_fit(histogram: dict[int, int], capacity: int, bins: list[tuple[tuple[in
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Configurations and their counts that hold exactly the pieces of the histogram."""
-    whole = histogram.get(capacity, 0)
-    rest = {k: v for k, v in histogram.items() if v > 0 and k < capacity}
-    sizes = np.array(sorted(k for k in rest if k > capacity // SMALL))
-    solution = fractional(sizes, np.array([rest[k] for k in sizes.tolist()]), sum(k * v for k, v in rest.items()) / capacity, capacity) if len(sizes) else {}
-    full = sorted(((c, x) for c, x in solution.items() if sum(k * m for k, m in c) >= FULL * capacity), key=lambda p: (-sum(k * m for k, m in p[0]), p[0]))
-    found = None
-    for share in SHARES:
-        stock, bins = _Stock(rest), []
-        for config, x in full:
-            got = stock.take(tuple(k for k, m in config for _ in range(m)), int(x * share))
-            if got:
-                bins.append(got)
-        rounded = best_fit({k: v for k, v in stock.left.items() if v}, capacity, bins)
-        if found is None or sum(n for _, n in rounded) < sum(n for _, n in found):
-            found = rounded
-    if whole:
-        found.append(((capacity,), whole))
+    left = {k: v for k, v in histogram.items() if v > 0 and k < capacity}
+    sizes = np.array(sorted(left), dtype=np.int64)
+    solution = fractional(sizes, np.array([left[k] for k in sizes.tolist()], dtype=float), capacity) if left else {}
+    bins = rounded(solution, left)
+    found = best_fit({k: v for k, v in left.items() if v}, capacity, bins)
+    if histogram.get(capacity):
+        found.append(((capacity,), histogram[capacity]))
     merged: dict[tuple[tuple[int, int], ...], int] = {}
     for config, n in found:
         key = tuple((k, config.count(k)) for k in sorted(set(config), reverse=True))

@@ -13,7 +13,10 @@ there are any. So a document's counts add up to its number of tokens.
 Sections are either given (an array of (section, start, end) per document, in
 order of start; parts an earlier section covers are the earlier one's) or the
 document's lines, each with its line end. A null or empty text has one empty
-line; a document with an empty or null array has all its tokens outside.
+line; a document with an empty or null array has all its tokens outside. Wrong
+UTF-8 counts as U+FFFD. Rows that repeat a doc_id, or have none, are rows like
+others and each get their sections. Of equal shares the earliest section wins.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

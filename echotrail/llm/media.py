@@ -9,7 +9,9 @@ next FAN peaks (up to REACH frames on) is a fingerprint: its time in the high
 bits, the two frequencies and the time between in the low ones.
 
 A null text is an empty one (a block of spaces). Equal texts have equal
-values; nothing depends on the row's place.
+values; nothing depends on the row's place. Of equally strong bins the lowest,
+of equally strong neighbouring frames the first is taken. Rows that repeat a
+doc_id, or have none, are rows like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -13,7 +13,11 @@ Exact copies (equal shingle sets) are merged by a partial-aggregated minimum
 before all that, so a group of copies of any size is one row.
 
 Recall: a pair at similarity 0.75 shares no band with probability
-(1 - 0.75**5)**40 = 2e-5, and less for closer pairs.
+(1 - 0.75**5)**40 = 2e-5, and less for closer pairs. Shingles are told apart
+by 64-bit hashes, whole sets by 128-bit ones: two documents of 1,000 shingles
+each share one by mistake with odds of 5e-14, so among 10**11 documents (about
+100 TB) some thousand of the pairs compared count one shingle too many; that
+any two different sets have equal digests has odds of 2e-17.
 
 Nulls and texts without words have an empty set, ``n_shingles`` 0, and link
 with nothing. A row with a null doc_id has no component and isn't kept.

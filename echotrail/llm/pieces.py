@@ -17,8 +17,12 @@ units go through a heap.
 
 A space stands before every text that isn't empty; decoding takes it away.
 Characters without a piece, and U+2581 (which pieces use for the space), are
-spelled in byte pieces, so every text decodes to itself. A null text is empty
-and has no pieces.
+spelled in byte pieces, so every text decodes to itself. A null or empty text
+has no pieces. A text that is no valid UTF-8 is encoded with U+FFFD in place of
+the wrong bytes and isn't lossless. Of equally good merges the leftmost is
+made. Rows that repeat a doc_id are keyed alike, so equal texts among them have
+equal pieces; rows without a doc_id share a key of their own. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -409,17 +413,18 @@ def encoded(docs: DataFrame, path: str | None = None, seed: int = SEED, rate: fl
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces_of(path)
-        texts = [decoded(t) for t in texts_of(batch.column(1))]
+        raw = texts_of(batch.column(1))
+        texts = [decoded(t) for t in raw]
         ids = batch.column(0).to_pylist()
         variant = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{d}") >> 1 for d in ids], dtype=np.int64)
         rows: list = [None] * len(texts)
-        for lo, hi in slices([t.encode() for t in texts]):
+        for lo, hi in slices(raw):
             flat, offsets = encode_batch(p, texts[lo:hi], variant[lo:hi], seed, rate, memory_of(path))
             flat = flat.astype("<u4")
             for k, i in enumerate(range(lo, hi)):
                 own = flat[offsets[k] : offsets[k + 1]]
                 back = decode(p, own.tolist())
-                rows[i] = (len(own), zlib.crc32(own.tobytes()), back == texts[i], len(back), own.tolist() if keep_ids else None)
+                rows[i] = (len(own), zlib.crc32(own.tobytes()), back == texts[i] and ("\ufffd" not in back or back.encode() == raw[i]), len(back), own.tolist() if keep_ids else None)
         n, crc, lossless, chars, kept = zip(*rows, strict=True)
         return pa.record_batch(
             [batch.column(0).cast(pa.int64()), pa.array(variant), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(lossless, pa.bool_()), pa.array(chars, pa.int64()), pa.array(kept, pa.list_(pa.int32()))],

@@ -10,7 +10,11 @@ of BINS bins. All labelled training rows are used, no sample is drawn.
 
 A null or empty text has statistics of 0 and is scored like any other.
 Without any training row the score is 0.5. Labels that repeat a doc_id are
-averaged; labels without a quality are left out.
+averaged; labels without a quality are left out. Every row of the documents
+gets a row: rows that repeat a doc_id each count as a training row, rows
+without one are scored but never learned from (their crc32 is the empty
+text's, 0, so they are held out). Equal texts have equal scores. An empty table
+gives an empty one; its columns may have any further names.
 """
 
 from __future__ import annotations

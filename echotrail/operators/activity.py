@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.work import shared_dir
+from ..sources.work import Rounds
 
 
 def _side(transactions: DataFrame, column: str) -> DataFrame:
@@ -52,15 +50,16 @@ def activity_fixpoint(transactions: DataFrame, least: int = 10, mode: str = "uni
     Every round is written to the shared folder, so a round reads only its
     predecessor and survives a lost executor.
     """
-    spark = transactions.sparkSession
-    root = f"{shared_dir(spark)}/activity-{uuid.uuid4().hex}"
-    now, columns = transactions, transactions.columns
-    for i in range(max_rounds):
-        inactive = inactive_users(now, least, mode)
+    rounds, now, columns = Rounds(transactions.sparkSession, "activity"), None, transactions.columns
+    for _ in range(max_rounds):
+        held = transactions if now is None else now
+        inactive = inactive_users(held, least, mode)
         if inactive.isEmpty():
-            return now.select(columns)
-        without_users(now, inactive).select(columns).write.parquet(f"{root}/{i}")
-        now = spark.read.parquet(f"{root}/{i}")
+            return held.select(columns)
+        after = rounds.save(without_users(held, inactive).select(columns))
+        if now is not None:
+            rounds.drop(now)
+        now = after
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import shared_dir
-
-
-class _Rounds:
-    """Rounds of an iteration, each written to the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path, self.n = f"{self.root}/{self.n}", self.n + 1
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+from ..sources.work import Rounds, save
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -28,7 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Each round a node takes its neighbours' least label, then that label's own
     label (pointer jumping), so long chains need few rounds.
     """
-    rounds = _Rounds(edges.sparkSession, "components")
+    rounds = Rounds(edges.sparkSession, "components")
     both = rounds.save(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     now = rounds.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     for _ in range(max_rounds):
@@ -36,45 +24,73 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         after = now.join(heard, "node").select("node", F.least("component", "heard").alias("component"))
         jump = after.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = rounds.save(after.join(jump, "component").select("node", F.least("component", "further").alias("component")))
-        if now.join(after, ["node", "component"], "left_anti").isEmpty():
+        settled = now.join(after, ["node", "component"], "left_anti").isEmpty()
+        rounds.drop(now)
+        if settled:
             return after
         now = after
     raise RuntimeError(f"no convergence in {max_rounds} rounds")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weighted: bool = True, max_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, weighted: bool = True, max_rounds: int = 200, reach: int | None = None) -> DataFrame:
     """(source, node, distance) from every ``sources(node)`` along ``edges(src, dst, w)``.
 
-    Rounds relax only the distances that the last round lowered.
+    Rounds relax only the distances that the last round lowered. With
+    ``reach``, paths have so many edges at most, and so many rounds are run.
     """
-    rounds = _Rounds(edges.sparkSession, "paths")
+    rounds = Rounds(edges.sparkSession, "paths")
     step = edges.select("src", "dst", (F.col("w") if weighted else F.lit(1)).cast("double").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
     step = rounds.save(step)
     best = rounds.save(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")))
     lower = best
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if reach is None else reach):
         reached = lower.join(step, F.col("node") == F.col("src")).groupBy("source", "dst").agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         known = best.select("source", F.col("node").alias("dst"), "distance")
-        lower = rounds.save(
+        fresh = rounds.save(
             reached.join(known, ["source", "dst"], "left").filter("distance is null or new < distance").select("source", F.col("dst").alias("node"), F.col("new").alias("distance"))
         )
-        if lower.isEmpty():
+        if fresh.isEmpty():
             return best
-        best = rounds.save(best.union(lower).groupBy("source", "node").agg(F.min("distance").alias("distance")))
+        both = best.union(fresh) if weighted else None
+        after = rounds.save(both.groupBy("source", "node").agg(F.min("distance").alias("distance")) if weighted else best.union(fresh))
+        rounds.drop(best, *([lower] if lower is not best else []))
+        best, lower = after, fresh
+    if reach is not None:
+        return best
     raise RuntimeError(f"no convergence in {max_rounds} rounds")
 
 
-def diameter(edges: DataFrame, weighted: bool = False) -> DataFrame:
-    """One row: the greatest shortest distance between two connected nodes."""
-    nodes = edges.select(F.col("src").alias("node")).distinct()
-    return shortest_paths(edges, nodes, weighted).agg(F.max("distance").alias("diameter"))
+#: Sources of a pass of an all-pairs search, on average.
+SOURCES_AT_ONCE = 100_000
+
 
+def _source_blocks(edges: DataFrame, at_once: int | None = None) -> Iterator[DataFrame]:
+    """The nodes in blocks by their hash, so that an all-pairs search never holds all pairs."""
+    nodes = save(edges.select(F.col("src").alias("node")).distinct(), "nodes")
+    blocks = max(1, -(-nodes.count() // (at_once or SOURCES_AT_ONCE)))
+    for i in range(blocks):
+        yield nodes if blocks == 1 else nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)
 
-def neighbourhood_sizes(edges: DataFrame, reach: int = 10) -> DataFrame:
-    """(node, distance, n): exactly how many nodes are at each hop distance up to ``reach``."""
-    nodes = edges.select(F.col("src").alias("node")).distinct()
-    found = shortest_paths(edges, nodes, weighted=False).filter((F.col("distance") > 0) & (F.col("distance") <= reach))
-    return found.groupBy(F.col("source").alias("node"), F.col("distance").cast("int").alias("distance")).agg(F.count("*").alias("n"))
+
+def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = None) -> DataFrame:
+    """One row: the greatest shortest distance between two connected nodes; of each block of sources only the maximum is kept."""
+    edges = save(edges, "edges")
+    found = [shortest_paths(edges, block, weighted).agg(F.max("distance")).first()[0] for block in _source_blocks(edges, at_once)]
+    return edges.sparkSession.createDataFrame([(max((d for d in found if d is not None), default=None),)], "diameter double")
+
+
+def neighbourhood_sizes(edges: DataFrame, reach: int = 10, at_once: int | None = None) -> DataFrame:
+    """(node, distance, n): exactly how many nodes are at each hop distance up to ``reach``.
+
+    The search ends after ``reach`` rounds; a block of sources is counted before the next one starts.
+    """
+    edges, out = save(edges, "edges"), None
+    for block in _source_blocks(edges, at_once):
+        found = shortest_paths(edges, block, weighted=False, reach=reach).filter("distance > 0")
+        sizes = found.groupBy(F.col("source").alias("node"), F.col("distance").cast("int").alias("distance")).agg(F.count("*").alias("n"))
+        sizes = save(sizes, "sizes")
+        out = sizes if out is None else out.union(sizes)
+    return out if out is not None else edges.sparkSession.createDataFrame([], "node long, distance int, n long")
 
 
 def without_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:

@@ -66,7 +66,10 @@ TRIANGLE = Pattern(((0, 1), (0, 2), (1, 2)))
 SQUARE = Pattern(((0, 1), (1, 2), (2, 3), (0, 3)))
 
 
-def matches(edges: DataFrame, pattern: Pattern, types: DataFrame | None = None, injective: bool = True, all_images: bool = False) -> DataFrame:
+def matches(
+    edges: DataFrame, pattern: Pattern, types: DataFrame | None = None, injective: bool = True, all_images: bool = False,
+    plan: list[tuple[int, int]] | None = None, first: DataFrame | None = None,
+) -> DataFrame:
     """All matches as columns n_0, n_1, ... and score (the sum of weights).
 
     ``edges(src, dst, w)`` holds both directions. Injective: different roles
@@ -76,8 +79,9 @@ def matches(edges: DataFrame, pattern: Pattern, types: DataFrame | None = None,
     constraints = [] if all_images else pattern.order_constraints()
     out: DataFrame | None = None
     seen: list[tuple[int, int]] = []
-    for i, j in pattern.plan():
-        step = edges.select(F.col("src").alias(f"n_{i}"), F.col("dst").alias(f"n_{j}"), F.col("w").alias(f"w_{len(seen)}"))
+    for i, j in plan or pattern.plan():
+        own_edges = edges if first is None or out is not None else first
+        step = own_edges.select(F.col("src").alias(f"n_{i}"), F.col("dst").alias(f"n_{j}"), F.col("w").alias(f"w_{len(seen)}"))
         bound = set() if out is None else {r for e in seen for r in e}
         if out is None:
             out = step
@@ -85,7 +89,7 @@ def matches(edges: DataFrame, pattern: Pattern, types: DataFrame | None = None,
             out = out.join(step, [f"n_{r}" for r in (i, j) if r in bound])
         new = [r for r in (i, j) if r not in bound]
         where: list[Column] = []
-        if pattern.types is not None:
+        if pattern.types is not None and types is not None:
             for r in new:
                 own = types.filter(F.col("type") == pattern.types[r]).select(F.col("node").alias(f"n_{r}"))
                 out = out.join(own, f"n_{r}", "left_semi")
@@ -110,45 +114,32 @@ def top_matches(edges: DataFrame, pattern: Pattern, k: int, types: DataFrame | N
     return found.orderBy(F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]).limit(k)
 
 
-def top_matches_in_batches(edges: DataFrame, pattern: Pattern, k: int, steps: tuple[float, ...] = (0.999, 0.99, 0.9, 0.0)) -> DataFrame:
+def top_matches_in_batches(
+    edges: DataFrame, pattern: Pattern, k: int, steps: tuple[float, ...] = (0.999, 0.99, 0.9, 0.0), injective: bool = True, all_images: bool = False
+) -> DataFrame:
     """The same rows, looking first only at matches with a heavy edge.
 
-    A match not yet looked at has all edges under the batch's weight h, so it
-    scores less than edges * h; once the k-th score is above that, no more is
-    needed (ties stay for the tie-break, hence strictly above).
+    A match not yet looked at has all edges under the batch's least weight, so
+    it scores at most edges * the next lower weight; once the k-th score is
+    above that, no more is needed. ``edges`` is read several times and should
+    be a written table.
     """
     n, order = len(pattern.edges), [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
     levels = [0.0] if edges.isEmpty() else edges.agg(F.percentile_approx("w", F.array(*[F.lit(s) for s in steps]), 10000)).first()[0]
-    for i, h in enumerate(levels):
-        if i == len(levels) - 1 or h <= 0:
-            break
+    for h in levels[:-1]:
+        lighter = edges.filter(F.col("w") < h).agg(F.max("w")).first()[0]
         heavy = edges.filter(F.col("w") >= h)
         parts = []
         for e in pattern.edges:  # matches whose edge e is heavy
             first = Pattern((e, *[x for x in pattern.edges if x != e]), pattern.types)
-            parts.append(_seeded(heavy, edges, first, pattern).orderBy(*order).limit(k))
+            parts.append(matches(edges, pattern, None, injective, all_images, first.plan(), heavy).orderBy(*order).limit(k))
         found = reduce(lambda x, y: x.unionByName(y), parts).distinct().orderBy(*order).limit(k)
+        if lighter is None:
+            return found
         last = found.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
-        if last.n == k and last.least > n * h:
+        if last.n == k and last.least > n * lighter:
             return found
-    return top_matches(edges, pattern, k)
-
-
-def _seeded(heavy: DataFrame, edges: DataFrame, ordered: Pattern, pattern: Pattern) -> DataFrame:
-    out, seen = None, []
-    for i, j in ordered.plan():
-        step = (heavy if out is None else edges).select(F.col("src").alias(f"n_{i}"), F.col("dst").alias(f"n_{j}"), F.col("w").alias(f"w_{len(seen)}"))
-        bound = {r for e in seen for r in e}
-        out = step if out is None else out.join(step, [f"n_{r}" for r in (i, j) if r in bound])
-        for r in (i, j):
-            if r not in bound:
-                for s in bound:
-                    out = out.filter(F.col(f"n_{r}") != F.col(f"n_{s}"))
-        seen.append((i, j))
-    for p, q in pattern.order_constraints():
-        out = out.filter(F.col(f"n_{p}") < F.col(f"n_{q}"))
-    score = reduce(lambda x, y: x + y, [F.col(f"w_{k}") for k in range(len(seen))])
-    return out.select(*[F.col(f"n_{r}") for r in range(pattern.roles)], score.alias("score"))
+    return top_matches(edges, pattern, k, None, injective, all_images)
 
 
 def one_per_node_set(found: DataFrame, keep: str = "min") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graphs import _Rounds
+from ..sources.work import save
 from .knn import distance, nearest, similarity
 
 
@@ -84,7 +84,7 @@ def cartesian_shortlist(vectors: DataFrame, edges: DataFrame, exemplars: list[in
     near = spark.createDataFrame(found.collect(), found.schema)  # k rows a role, used once for each role
     members = near.select(F.col("neighbour").alias("src")).distinct()
     linked = edges.select("src", "dst").join(F.broadcast(members), "src", "left_semi").join(F.broadcast(members.withColumnRenamed("src", "dst")), "dst", "left_semi")
-    linked = _Rounds(spark, "shortlist").save(linked.select("src", "dst").union(linked.select("dst", "src")).filter("src <> dst").distinct())
+    linked = save(linked.select("src", "dst").union(linked.select("dst", "src")).filter("src <> dst").distinct(), "shortlist")
     score = reduce(lambda x, y: x + y, [F.col(f"s_{i}") for i in range(roles)]) / roles
     names, ranks = [f"n_{i}" for i in range(roles)], [F.col(f"rank_{i}") for i in range(roles)]
     schema, best, upto = ", ".join(f"{n} long" for n in names) + ", score double", [], 2 * limit

@@ -60,11 +60,11 @@ def txn_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(I.deviations(V.txn_event(spark, sf_dir)).select("transid", "devpop", "creditdev", "debitdev"))
 
 
-def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.txn_event(spark, sf_dir).filter("event_type = 'click'").select("transid", "source", "target", "usd")
+#: Transactions of an active user (the event table has about 130 a user at every scale), and the limits of the
+#: fixpoints: for counts that a distinct union collapses, and for all.
+ACTIVE, UNION_LIMIT, BAG_LIMIT = 120, 52, 100
 
-
-_CLICK_SQL = f"{V.EVENT_SQL}, t0 as (select transid, source, target from txn where event_type = 'click')"
+_WHOLE_SQL = f"{V.EVENT_SQL}, t0 as (select transid, source, target from txn)"
 
 
 def _inactive_sql(t: str, least: int, union: str) -> str:
@@ -73,16 +73,16 @@ def _inactive_sql(t: str, least: int, union: str) -> str:
 
 @query(
     "active_users_bag",
-    f"""with {_CLICK_SQL} select "user", cast(sum(n) as bigint) as n from (select source as "user", count(*) as n from t0 where source <> 25 group by 1
-    union all select target, count(*) from t0 where target <> 25 group by 1) group by 1 having sum(n) >= 10""",
+    f"""with {_WHOLE_SQL} select "user", cast(sum(n) as bigint) as n from (select source as "user", count(*) as n from t0 where source <> 25 group by 1
+    union all select target, count(*) from t0 where target <> 25 group by 1) group by 1 having sum(n) >= {ACTIVE}""",
 )
 def active_users_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.active_users(_clicks(spark, sf_dir))
+    return A.active_users(V.txn_event(spark, sf_dir), ACTIVE)
 
 
-@query("inactive_users_union", f"with {_CLICK_SQL} select * from {_inactive_sql('t0', 10, 'union')}")
+@query("inactive_users_union", f"with {_WHOLE_SQL} select * from {_inactive_sql('t0', UNION_LIMIT, 'union')}")
 def inactive_users_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.inactive_users(_clicks(spark, sf_dir)).select("user")
+    return A.inactive_users(V.txn_event(spark, sf_dir), UNION_LIMIT).select("user")
 
 
 @query("inactive_users_union_60", f"with {V.EVENT_SQL} select * from {_inactive_sql('txn', 60, 'union')}")
@@ -99,14 +99,14 @@ def _rounds_sql(first: str, least: int, union: str, rounds: int) -> str:
     return f"with {first}, " + ", ".join(steps)
 
 
-@query("activity_fixpoint", _rounds_sql(_CLICK_SQL, 10, "union", 4) + " select transid, source, target from t4")
+@query("activity_fixpoint", _rounds_sql(_WHOLE_SQL, UNION_LIMIT, "union", 9) + " select transid, source, target from t9")
 def activity_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.activity_fixpoint(_clicks(spark, sf_dir)).select("transid", "source", "target")
+    return A.activity_fixpoint(V.txn_event(spark, sf_dir), UNION_LIMIT).select("transid", "source", "target")
 
 
-@query("activity_fixpoint_bag", _rounds_sql(_CLICK_SQL, 12, "union all", 6) + " select transid, source, target from t6")
+@query("activity_fixpoint_bag", _rounds_sql(_WHOLE_SQL, BAG_LIMIT, "union all", 9) + " select transid, source, target from t9")
 def activity_fixpoint_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.activity_fixpoint(_clicks(spark, sf_dir), 12, "bag").select("transid", "source", "target")
+    return A.activity_fixpoint(V.txn_event(spark, sf_dir), BAG_LIMIT, "bag").select("transid", "source", "target")
 
 
 @query(
@@ -130,13 +130,13 @@ def user_transaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "active_user_pairs",
-    f"""with {_CLICK_SQL}, active as (select "user" from (select source as "user", count(*) as n from t0 where source <> 25 group by 1
-    union all select target, count(*) from t0 where target <> 25 group by 1) group by 1 having sum(n) >= 10)
+    f"""with {_WHOLE_SQL}, active as (select "user" from (select source as "user", count(*) as n from t0 where source <> 25 group by 1
+    union all select target, count(*) from t0 where target <> 25 group by 1) group by 1 having sum(n) >= {ACTIVE})
     select distinct source, target from t0 where source in (select * from active) and target in (select * from active)""",
 )
 def active_user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = _clicks(spark, sf_dir)
-    return A.between_users(clicks.select("source", "target").distinct(), A.active_users(clicks))
+    txn = V.txn_event(spark, sf_dir)
+    return A.between_users(txn.select("source", "target").distinct(), A.active_users(txn, ACTIVE))
 
 
 _SIDES_SQL = """sides as (
@@ -263,33 +263,3 @@ def clustered_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("user_table", f'with {_FEATURES_SQL} select "user", 1 as type, {_round_sql(X.FEATURES)} from features')
 def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(X.user_table(X.user_features(V.txn_event(spark, sf_dir))))
-
-
-#: The activity queries over all transactions.
-_WHOLE_SQL = f"{V.EVENT_SQL}, t0 as (select transid, source, target from txn)"
-
-
-@query("active_users_bag_all", ORACLES["active_users_bag"].replace(_CLICK_SQL, _WHOLE_SQL))
-def active_users_bag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.active_users(V.txn_event(spark, sf_dir))
-
-
-@query("inactive_users_union_all", ORACLES["inactive_users_union"].replace(_CLICK_SQL, _WHOLE_SQL))
-def inactive_users_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.inactive_users(V.txn_event(spark, sf_dir)).select("user")
-
-
-@query("activity_fixpoint_all", ORACLES["activity_fixpoint"].replace(_CLICK_SQL, _WHOLE_SQL))
-def activity_fixpoint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.activity_fixpoint(V.txn_event(spark, sf_dir)).select("transid", "source", "target")
-
-
-@query("activity_fixpoint_bag_all", ORACLES["activity_fixpoint_bag"].replace(_CLICK_SQL, _WHOLE_SQL))
-def activity_fixpoint_bag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.activity_fixpoint(V.txn_event(spark, sf_dir), 12, "bag").select("transid", "source", "target")
-
-
-@query("active_user_pairs_all", ORACLES["active_user_pairs"].replace(_CLICK_SQL, _WHOLE_SQL))
-def active_user_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txn = V.txn_event(spark, sf_dir)
-    return A.between_users(txn.select("source", "target").distinct(), A.active_users(txn))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import marginal as M
 from ..operators import pattern as P
-from ..operators.graphs import _Rounds
+from ..sources.work import save
 from . import views as V
 from .pattern_sql import match_sql, top_sql
 from .registry import query
@@ -99,43 +99,35 @@ def max_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.nation_types(spark, sf_dir).agg(F.max("type").alias("total_types"), F.countDistinct("type").alias("used_types"))
 
 
-def event_edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    return M.symmetric_edges(M.marginal_graph(V.txn_event(spark, sf_dir)).filter(F.col("num_trans") >= least))
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.symmetric_edges(M.marginal_graph(V.txn_event(spark, sf_dir)))
 
 
 def written_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All event edges, written once, so that long join chains don't make them anew and know their size."""
-    return _Rounds(spark, "event_edges").save(event_edges(spark, sf_dir))
+    return save(event_edges(spark, sf_dir), "event_edges")
 
 
-def _event_sql(body: str, least: int = 1) -> str:
-    graph = V.GRAPH_SQL if least == 1 else V.GRAPH_SQL[:-1] + f" having count(*) >= {least})"
-    return f"with {V.EVENT_SQL}, {graph}, {V.SYM_SQL} {body}"
+def _event_sql(body: str) -> str:
+    return f"with {V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL} {body}"
 
 
-def _pattern_query(name: str, pattern: P.Pattern, least: int = 1, **options) -> None:
-    """A search over all edges. ``least`` bounds the edges of the SQL alone, which would take too long over all."""
-
-    @query(name, _event_sql(top_sql(pattern, TOP, **options), least))
+def _pattern_query(name: str, pattern: P.Pattern, batches: bool = True, **options) -> None:
+    @query(name, _event_sql(top_sql(pattern, TOP, **options)))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if least == 1:
+        if not batches:
             return P.top_matches(event_edges(spark, sf_dir), pattern, TOP, **options)
-        edges = written_event_edges(spark, sf_dir)
-        return P.top_matches(edges, pattern, TOP, **options) if options else P.top_matches_in_batches(edges, pattern, TOP)
-
+        return P.top_matches_in_batches(written_event_edges(spark, sf_dir), pattern, TOP, **options)
 
-_pattern_query("pattern_edge_topk", P.EDGE)
-_pattern_query("pattern_path3_topk", P.PATH3)
-_pattern_query("pattern_triangle_topk", P.TRIANGLE)
-_pattern_query("pattern_star_topk", P.STAR, least=3)
-_pattern_query("pattern_square_topk", P.SQUARE, least=2)
-_pattern_query("pattern_path4_topk", P.PATH4, least=3)
-_pattern_query("pattern_edge_distinct_path4", P.PATH4, least=3, injective=False, all_images=True)
 
-
-@query("pattern_triangle_topk_batched", _event_sql(top_sql(P.TRIANGLE, TOP)))
-def pattern_triangle_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.top_matches_in_batches(event_edges(spark, sf_dir), P.TRIANGLE, TOP)
+_pattern_query("pattern_edge_topk", P.EDGE, batches=False)
+_pattern_query("pattern_path3_topk", P.PATH3, batches=False)
+_pattern_query("pattern_triangle_topk", P.TRIANGLE, batches=False)
+_pattern_query("pattern_star_topk", P.STAR)
+_pattern_query("pattern_square_topk", P.SQUARE)
+_pattern_query("pattern_path4_topk", P.PATH4)
+_pattern_query("pattern_edge_distinct_path4", P.PATH4, injective=False, all_images=True)
+_pattern_query("pattern_triangle_topk_batched", P.TRIANGLE)
 
 
 _TYPED = P.Pattern(P.TRIANGLE.edges, (1, 2, 2))
@@ -147,19 +139,17 @@ def pattern_typed_triangle_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.top_matches(edges, _TYPED, TOP, V.nation_types(spark, sf_dir))
 
 
+#: Matches of which one per node set is kept.
+SEARCHED = 1000
+
+
 @query(
     "pattern_dedup_nodeset",
     _event_sql(
-        f"""select array_to_string(list_sort([n_0, n_1, n_2, n_3]), '#') as node_set, n_0, n_1, n_2, n_3, score from ({match_sql(P.SQUARE, all_images=True)})
-        qualify row_number() over (partition by list_sort([n_0, n_1, n_2, n_3]) order by score, n_0, n_1, n_2, n_3) = 1""",
-        2,
+        f"""select array_to_string(list_sort([n_0, n_1, n_2, n_3]), '#') as node_set, n_0, n_1, n_2, n_3, score from ({top_sql(P.SQUARE, SEARCHED, all_images=True)})
+        qualify row_number() over (partition by list_sort([n_0, n_1, n_2, n_3]) order by score, n_0, n_1, n_2, n_3) = 1"""
     ),
 )
 def pattern_dedup_nodeset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.one_per_node_set(P.matches(event_edges(spark, sf_dir, 2), P.SQUARE, all_images=True))
-
-
-@query("pattern_dedup_nodeset_all")
-def pattern_dedup_nodeset_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all edges. A square's images have one score, and the one kept of each has the least node tuple already."""
-    return P.one_per_node_set(P.matches(written_event_edges(spark, sf_dir), P.SQUARE))
+    """Of the best matches, images and all, one for each set of nodes."""
+    return P.one_per_node_set(P.top_matches_in_batches(written_event_edges(spark, sf_dir), P.SQUARE, SEARCHED, all_images=True))

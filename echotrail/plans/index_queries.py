@@ -160,68 +160,46 @@ def beam_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.beam_shortlist(spark, _user_vectors(spark, sf_dir), event_edges(spark, sf_dir), _EXEMPLARS)
 
 
-def _sparse_sql(least: int) -> str:
-    return f"with {V.EVENT_SQL}, {V.GRAPH_SQL[:-1]} having count(*) >= {least}), {V.SYM_SQL}"
+_RECURSIVE_SQL = f"with recursive {V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL}"
 
 
 @query(
     "connected_components",
-    _sparse_sql(4).replace("with ", "with recursive ", 1)
+    _RECURSIVE_SQL
     + """, reach(node, other) as (select src, src from sym union select node, dst from reach join sym on src = other)
     select node, min(other) as component from reach group by node""",
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.connected_components(event_edges(spark, sf_dir, 4))
+    return G.connected_components(event_edges(spark, sf_dir))
 
 
 @query(
     "shortest_paths",
-    _sparse_sql(3).replace("with ", "with recursive ", 1)
+    _RECURSIVE_SQL
     + """, walk(node, distance, hops) as (select min(src), cast(0 as double), 0 from sym union
     select dst, min(distance + w) over (partition by dst), hops + 1 from walk join sym on src = node where hops < 12)
     select (select min(src) from sym) as source, node, min(distance) as distance from walk group by node""",
 )
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = event_edges(spark, sf_dir, 3)
+    edges = written_event_edges(spark, sf_dir)
     return G.shortest_paths(edges, edges.agg(F.min("src").alias("node")))
 
 
 @query(
     "graph_diameter",
-    _sparse_sql(3).replace("with ", "with recursive ", 1)
+    _RECURSIVE_SQL
     + """, hop(node, other, d) as (select distinct src, src, 0 from sym union select node, dst, d + 1 from hop join sym on src = other where d < 8)
     select cast(max(d) as double) as diameter from (select node, other, min(d) as d from hop group by 1, 2)""",
 )
 def graph_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.diameter(event_edges(spark, sf_dir, 3))
+    return G.diameter(event_edges(spark, sf_dir))
 
 
 @query(
     "neighbourhood_sizes",
-    _sparse_sql(3).replace("with ", "with recursive ", 1)
+    _RECURSIVE_SQL
     + """, hop(node, other, d) as (select distinct src, src, 0 from sym union select node, dst, d + 1 from hop join sym on src = other where d < 8)
     select node, distance, count(*) as n from (select node, other, min(d) as distance from hop group by 1, 2) where distance > 0 group by 1, 2""",
 )
 def neighbourhood_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbourhood_sizes(event_edges(spark, sf_dir, 3))
-
-
-@query("connected_components_all")
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.connected_components(event_edges(spark, sf_dir))
-
-
-@query("shortest_paths_all")
-def shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = written_event_edges(spark, sf_dir)
-    return G.shortest_paths(edges, edges.agg(F.min("src").alias("node")))
-
-
-@query("graph_diameter_all")
-def graph_diameter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.diameter(written_event_edges(spark, sf_dir))
-
-
-@query("neighbourhood_sizes_all")
-def neighbourhood_sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbourhood_sizes(written_event_edges(spark, sf_dir))
+    return G.neighbourhood_sizes(event_edges(spark, sf_dir))

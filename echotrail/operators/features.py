@@ -1,7 +1,7 @@
 """Behavioural features of users, and their normalisation.
 
-All are group-bys and windows per user; a user's transactions never leave
-Spark's sorted spill path, so a very busy user is only a long partition.
+All are group-bys with partial aggregation, and windows over at most a row per
+user and day, so a very busy user is no task of its own.
 """
 
 from __future__ import annotations
@@ -44,20 +44,38 @@ def amount_stats(transactions: DataFrame) -> DataFrame:
 def interarrival_stats(transactions: DataFrame) -> DataFrame:
     """Mean and deviation of whole days between a user's successive credits, and debits.
 
-    Successive by (time, amount, target).
+    Transactions of one day are 0 days apart, so the days with their counts
+    are enough: of n transactions n - 1 gaps, all but those between days 0.
     """
-    order = W.partitionBy("user", "side").orderBy("time", "amount", "target")
-    gaps = sides(transactions).withColumn("gap", F.datediff(F.col("day"), F.lag("day").over(order)))
-    return gaps.groupBy("user").agg(*_moments("credit", "gap", "credit_interarr"), *_moments("debit", "gap", "debit_interarr"))
+    days = sides(transactions).groupBy("user", "side", "day").agg(F.count("*").alias("n"))
+    gap = F.datediff(F.col("day"), F.lag("day").over(W.partitionBy("user", "side").orderBy("day")))
+    days = days.withColumn("gap", gap.cast("double"))
+    total = lambda side, c: F.coalesce(F.sum(_pick(side, c)), F.lit(0)).cast("double")
+    found = days.withColumn("square", F.col("gap") * F.col("gap")).groupBy("user").agg(
+        *[total(side, c).alias(f"{side}_{c}") for side in ("credit", "debit") for c in ("n", "gap", "square")]
+    )
+
+    def moments(side: str) -> list[Column]:
+        k, g, q = F.col(f"{side}_n") - 1, F.col(f"{side}_gap"), F.col(f"{side}_square")
+        spread = F.sqrt(F.greatest(F.try_divide(q - F.try_divide(g * g, k), k - 1), F.lit(0.0)))
+        return [F.when(k > 0, F.try_divide(g, k)).otherwise(0.0).alias(f"{side}_interarr_mean"), F.when(k > 1, spread).otherwise(0.0).alias(f"{side}_interarr_std")]
+
+    return found.select("user", *moments("credit"), *moments("debit"))
 
 
 def perplexities(transactions: DataFrame) -> DataFrame:
-    """2 to the entropy of a user's counterparts, as target (in) and as source (out); 1 without any."""
+    """2 to the entropy of a user's counterparts, as target (in) and as source (out); 1 without any.
+
+    The entropy of counts n with the sum N is log2 N - sum(n log2 n) / N.
+    """
     counts = sides(transactions).groupBy("user", "side", "other").agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(W.partitionBy("user", "side"))
-    terms = counts.select("user", "side", (p * F.log2(p)).alias("h"))
-    entropy = lambda side: F.pow(F.lit(2.0), -F.coalesce(F.sum(_pick(side, "h")), F.lit(0.0)))
-    return terms.groupBy("user").agg(entropy("credit").alias("perp_in"), entropy("debit").alias("perp_out"))
+    terms = counts.withColumn("h", F.col("n") * F.log2("n"))
+
+    def perplexity(side: str) -> Column:
+        n = F.sum(_pick(side, "n")).cast("double")
+        return F.coalesce(F.pow(F.lit(2.0), F.log2(n) - F.try_divide(F.sum(_pick(side, "h")), n)), F.lit(1.0))
+
+    return terms.groupBy("user").agg(perplexity("credit").alias("perp_in"), perplexity("debit").alias("perp_out"))
 
 
 def user_features(transactions: DataFrame) -> DataFrame:

@@ -42,8 +42,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
 
     Exact. A pass takes QUERIES_AT_ONCE query vectors to every partition,
     which keeps its own best k of each; only those are ranked globally. Ties
-    go by the neighbour's id.
+    go by the neighbour's id. Vectors with a null element, null vectors and
+    null ids are no one's neighbours and have none; so are vectors of another
+    length than a query's.
     """
+    whole = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    vectors, queries = vectors.filter(whole), queries.filter(whole)
     passes = -(-queries.count() // QUERIES_AT_ONCE)
     if not passes:
         return vectors.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
@@ -52,8 +56,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
         # a block's vectors are all the driver ever holds; with several, each pass is written
         block = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(passes)) == i)
         asked = sorted((r[0], r[1]) for r in block.select(key, vector).collect())
-        if asked:
-            one = _pass(vectors, asked, k, key, vector)
+        for size in sorted({len(v) for _, v in asked}):
+            one = _pass(vectors.filter(F.size(vector) == size), [a for a in asked if len(a[1]) == size], k, key, vector)
             parts.append(one if passes == 1 else save(one, "nearest"))
     found = reduce(lambda x, y: x.union(y), parts)
     place = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour")) - 1
@@ -80,4 +84,4 @@ def _pass(vectors: DataFrame, asked: list[tuple[int, list[float]]], k: int, key:
         ok = np.isfinite(best_d)
         yield pa.record_batch([pa.array(np.repeat(names, ok.sum(axis=1))), pa.array(best_n[ok]), pa.array(best_d[ok])], names=["query", "neighbour", "distance"])
 
-    return vectors.select(F.col(key).cast("long"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, "query long, neighbour long, distance double")
+    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, "query long, neighbour long, distance double")

@@ -139,10 +139,22 @@ def aggregate_links(links: DataFrame, *by: str) -> DataFrame:
 
 
 def sessions(transactions: DataFrame, gap_ms: int, key: str = "source") -> DataFrame:
-    """Each transaction with its ``session`` (from 0): a new one where the key's last was over ``gap_ms`` ago."""
-    order = W.partitionBy(key).orderBy("time", "transid")
-    apart = F.coalesce(millis("time") - F.lag(millis("time")).over(order) > gap_ms, F.lit(False)).cast("int")
-    return transactions.withColumn("_new", apart).withColumn("session", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    """Each transaction with its ``session`` (from 0): a new one where the key's last was over ``gap_ms`` ago.
+
+    Windows hold one key's day: a day's first transaction is compared with the
+    last day's end, and the sessions of earlier days are added, both from a
+    table with a row per key and day. So a busy key is no task of its own.
+    """
+    whole = transactions.withColumns({"_ms": millis("time"), "_day": F.to_date("time")})
+    before = W.partitionBy(key).orderBy("_day")
+    ends = whole.groupBy(key, "_day").agg(F.max("_ms").alias("_end")).select(key, "_day", F.lag("_end").over(before).alias("_before"))
+    order = W.partitionBy(key, "_day").orderBy("time", "transid")
+    apart = F.col("_ms") - F.coalesce(F.lag("_ms").over(order), F.col("_before")) > gap_ms
+    rows = whole.join(ends, [key, "_day"]).withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int"))
+    opened = rows.groupBy(key, "_day").agg(F.sum("_new").alias("_opened"))
+    earlier = opened.select(key, "_day", F.coalesce(F.sum("_opened").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    within = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(earlier, [key, "_day"]).withColumn("session", within + F.col("_earlier")).select(*[F.col(f"`{c}`") for c in transactions.columns], "session")
 
 
 def kernel_density(rows: DataFrame, centers: DataFrame, columns: list[str], bandwidth: float, floor: float = 1e-18) -> DataFrame:

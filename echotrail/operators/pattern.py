@@ -110,10 +110,19 @@ def matches(
 
 def top_matches(edges: DataFrame, pattern: Pattern, k: int, types: DataFrame | None = None, injective: bool = True, all_images: bool = False) -> DataFrame:
     """The k best matches; ties go by the node tuple."""
+    if injective and all_images:
+        return _best_images(top_matches(edges, pattern, k, types), pattern, k)
     found = matches(edges, pattern, types, injective, all_images)
     return found.orderBy(F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]).limit(k)
 
 
+def _best_images(found: DataFrame, pattern: Pattern, k: int) -> DataFrame:
+    """The k best of all images of the k best matches: an image scores as its match does, and no image's tuple is less."""
+    order = [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
+    images = F.array(*[F.struct(*[F.col(f"n_{p[r]}").alias(f"n_{r}") for r in range(pattern.roles)]) for p in pattern.automorphisms()])
+    return found.select(F.explode(images).alias("m"), "score").select("m.*", "score").orderBy(*order).limit(k)
+
+
 def top_matches_in_batches(
     edges: DataFrame, pattern: Pattern, k: int, steps: tuple[float, ...] = (0.999, 0.99, 0.9, 0.0), injective: bool = True, all_images: bool = False
 ) -> DataFrame:
@@ -124,6 +133,8 @@ def top_matches_in_batches(
     above that, no more is needed. ``edges`` is read several times and should
     be a written table.
     """
+    if injective and all_images:
+        return _best_images(top_matches_in_batches(edges, pattern, k, steps), pattern, k)
     n, order = len(pattern.edges), [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
     levels = [0.0] if edges.isEmpty() else edges.agg(F.percentile_approx("w", F.array(*[F.lit(s) for s in steps]), 10000)).first()[0]
     for h in levels[:-1]:

@@ -10,10 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.work import save
 from . import observe, rescore
 from .knn import nearest, similarity
 from .marginal import link_attributes, marginal_graph, symmetric_edges
-from .pattern import one_per_node_set, pattern_of, top_matches, with_query_first
+from .pattern import one_per_node_set, pattern_of, top_matches_in_batches, with_query_first
 
 # The constraints of a property match.
 EQUALS, NOT, PARTIAL_OPTIONAL, OPTIONAL_EQUALS, REQUIRED_PARTIAL = (
@@ -208,7 +209,7 @@ def search_by_example(
     if known is None:
         return spark.createDataFrame([], "match long, n_0 long, score double")
     pattern, nodes = known
-    best = one_per_node_set(top_matches(symmetric_edges(graph), pattern, k)).drop("node_set")
+    best = one_per_node_set(top_matches_in_batches(save(symmetric_edges(graph), "edges"), pattern, k)).drop("node_set")
     roles = [f"n_{i}" for i in range(pattern.roles)]
     rows = with_query_first(best, nodes)
     # at most k + 1 rows are numbered

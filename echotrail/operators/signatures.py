@@ -19,9 +19,11 @@ def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame
     path: the types from the first hop to the end, as an array (any number of
     types). Each level is an equi-join on the frontier, grouped at once on
     plain columns, so a level holds a row per (node, end, path) rather than
-    per path of nodes. The edges are written once: with their size known, the
-    planner sends a small edge table to the nodes' partitions, and only a
-    large one is joined by shuffling the (longer) paths.
+    per path of nodes. The groups are reduced before they are shuffled, and by
+    node and end together, so a hub's neighbourhood is no task of its own. The
+    edges are written once: with their size known, the planner sends a small
+    edge table to the paths' partitions, and only a large one is joined by
+    shuffling the paths.
     """
     steps = edges.filter("src <> dst").join(types.select(F.col("node").alias("dst"), "type"), "dst").select("src", "dst", "type", "w")
     steps = save(steps, "steps")
@@ -31,7 +33,7 @@ def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame
     near = save(level.select("node", "end").distinct(), "near") if depth > 1 else level
     for d in range(2, depth + 1):
         path = [F.col(f"t_{i}") for i in range(1, d)]
-        longer = level.repartition("node").join(steps, F.col("end") == F.col("src")).filter("dst <> node")
+        longer = level.join(steps, F.col("end") == F.col("src")).filter("dst <> node")
         longer = longer.groupBy("node", F.col("dst").alias("end"), *path, F.col("type").alias(f"t_{d}")).agg(F.max(F.col("weight") + F.col("w")).alias("weight"))
         level = longer.join(near, ["node", "end"], "left_anti")
         out = out.union(as_row(level, d))

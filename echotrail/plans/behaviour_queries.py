@@ -11,8 +11,9 @@ from ..operators import observe as O
 from ..operators import pattern as P
 from ..operators import rescore as R
 from . import views as V
-from .feature_queries import OFF_TIES, _round
+from .feature_queries import _AVERAGES_SQL, OFF_TIES, _round
 from .graph_queries import TOP, event_edges
+from .hmm_sql import OBSERVED, PHASES, decoded_sql, session_sql
 from .pattern_sql import top_sql
 from .registry import query
 
@@ -55,10 +56,12 @@ def top_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("match", (F.row_number().over(W.orderBy(F.desc("score"), "n_0", "n_1", "n_2")) - 1).cast("long"))
 
 
-_MATCHES_SQL = f"""{V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL},
-  matches as (select row_number() over (order by score desc, n_0, n_1, n_2) - 1 as match, n_0, n_1, n_2 from ({top_sql(P.TRIANGLE, TOP)})),
-  members as (select match, 0 as role, n_0 as node from matches union all select match, 1, n_1 from matches union all select match, 2, n_2 from matches),
+#: The links among ``matches(match, n_0, n_1, n_2)``.
+_LINKS_SQL = """members as (select match, 0 as role, n_0 as node from matches union all select match, 1, n_1 from matches union all select match, 2, n_2 from matches),
   links as (select s.match, s.role as role_s, t.role as role_t, txn.* from txn join members s on s.node = source join members t on t.node = target and t.match = s.match)"""
+_MATCHES_SQL = f"""{V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL},
+  matches as (select row_number() over (order by score desc, n_0, n_1, n_2) - 1 as match, n_0, n_1, n_2, score from ({top_sql(P.TRIANGLE, TOP)})),
+  {_LINKS_SQL}"""
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +87,11 @@ def _flow_sql(i: int, j: int) -> str:
     return f"coalesce(sum(case when role_s = {i} and role_t = {j} then usd when role_s = {j} and role_t = {i} then -usd end), 0) as flow_{i}_{j}"
 
 
-_OBSERVED_SQL = f"""{_MATCHES_SQL},
-  numbered as (select *, epoch_us(time) // 1000 as ms, (row_number() over (partition by match order by time, role_s, role_t, usd) - 1) // 2 as bucket from links),
+_BUCKETS_SQL = f"""numbered as (select *, epoch_us(time) // 1000 as ms, (row_number() over (partition by match order by time, role_s, role_t, usd) - 1) // 2 as bucket from links),
   buckets as (select match, bucket, min(ms) as first, max(ms) as last, count(*) as n, {_flow_sql(0, 1)}, {_flow_sql(0, 2)}, {_flow_sql(1, 2)} from numbered group by 1, 2),
   observed as (select match, bucket, n, case when last > first then 1.0 else 0.0 end as f0,
     (first - coalesce(lag(first) over (partition by match order by bucket), first)) / (case when last > first then last - first else 1 end) as f1, flow_0_1, flow_0_2, flow_1_2 from buckets)"""
-_OBSERVED = ("f0", "f1", "flow_0_1", "flow_0_2", "flow_1_2")
+_OBSERVED_SQL, _OBSERVED = f"{_MATCHES_SQL}, {_BUCKETS_SQL}", OBSERVED
 
 
 @query("observation_vectors", f"with {_OBSERVED_SQL} select match, bucket, n, " + ", ".join(f"round({c} + {OFF_TIES}, 5) as {c}" for c in _OBSERVED) + " from observed")
@@ -111,16 +113,35 @@ def kde_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.select("match", "bucket", F.round(F.log("likelihood") + OFF_TIES, 6).alias("log_likelihood"))
 
 
-@query("hmm_rescore")
+_DECODED_SQL = f"with recursive {_OBSERVED_SQL}, {decoded_sql()}"
+
+
+@query("hmm_rescore", f"{_DECODED_SQL} select match, round(score + {OFF_TIES}, 6) as score, start, states from rescored")
 def hmm_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best triangle as the query, the others against it."""
-    return R.rescore(O.observations(_links(spark, sf_dir), 3), 0)
+    return _round(R.rescore(O.observations(_links(spark, sf_dir), 3), 0))
 
 
-@query("phase_links")
-def phase_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
-    return R.phase_links(links, R.rescore(O.observations(links, 3), 0))
+    found = R.phase_links(links, R.rescore(O.observations(links, 3), 0))
+    return found.withColumns({c: F.round(c, 4) for c in ("out_flow", "in_flow", "net_flow")})
+
+
+@query("phase_links", f"{_DECODED_SQL}, {PHASES} select match, phase, least(role_s, role_t) as role_a, greatest(role_s, role_t) as role_b, {_AGGREGATE} from phased group by 1, 2, 3, 4")
+def phase_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_phases(spark, sf_dir)
+
+
+@query(
+    "normalized_observations",
+    f"{_DECODED_SQL} select match, t as place, unnest(range({len(OBSERVED)})) as slot, round(unnest(v) + {OFF_TIES}, 5) as value from seq",
+)
+def normalized_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches' observations on a common scale, number by number."""
+    found = R.normalized_observations(O.observations(_links(spark, sf_dir), 3))
+    each = found.select("match", F.posexplode("vectors").alias("place", "v")).select("match", F.col("place").cast("long").alias("place"), F.posexplode("v").alias("slot", "value"))
+    return each.select("match", "place", F.col("slot").cast("long").alias("slot"), F.round(F.col("value") + OFF_TIES, 5).alias("value"))
 
 
 def _match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +160,25 @@ def transaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_match_features(spark, sf_dir).select("match", "transid", "gap", "ratio"))
 
 
-@query("session_hmm_score")
+_DEVIATIONS = ["devpop", "creditdev", "debitdev", "gap", "ratio"]
+_POINTS_SQL = f"""{_MATCHES_SQL}, {_AVERAGES_SQL}, mean as (select avg(usd) as m from txn),
+  w as (select links.*, epoch_ms(time) as ms, lag(epoch_ms(time)) over o as ms0, lag(amount) over o as amount0,
+    max(epoch_ms(time)) over (partition by match) - min(epoch_ms(time)) over (partition by match) as span
+    from links window o as (partition by match order by time, role_s, role_t, usd)),
+  points as (select match, ms, (usd - m) / m as devpop, case when c.avg_credit = 0 then -1 else (usd - c.avg_credit) / c.avg_credit end as creditdev,
+    case when d.avg_debit = 0 then -1 else (usd - d.avg_debit) / d.avg_debit end as debitdev,
+    coalesce(case when span <> 0 then (ms - coalesce(ms0, ms)) / span end, 0) as gap,
+    coalesce(case when coalesce(amount0, amount) <> 0 then amount / coalesce(amount0, amount) end, 0) as ratio
+    from w cross join mean join averages c on c."user" = source join averages d on d."user" = target)"""
+_SESSION_GAP = 3 * 24 * 3600 * 1000
+
+
+@query(
+    "session_hmm_score",
+    f"with recursive {_POINTS_SQL}, {session_sql(_DEVIATIONS, _SESSION_GAP, 1.0)} select match, round(log_probability + {OFF_TIES}, 5) as log_probability from scored",
+)
 def session_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["devpop", "creditdev", "debitdev", "gap", "ratio"]
-    return R.session_scores(_match_features(spark, sf_dir), 0, columns, 3 * 24 * 3600 * 1000, 1.0)
+    return _round(R.session_scores(_match_features(spark, sf_dir), 0, _DEVIATIONS, _SESSION_GAP, 1.0), 5)
 
 
 @query(

@@ -39,7 +39,7 @@ def fx_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced.groupBy("day", "rate").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).withColumn("usd", F.round(F.col("amount") * F.col("rate") + OFF_TIES, 4))
 
 
-_AVERAGES_SQL = """sides as (select source as "user", usd as debit, null as credit from txn union all select target, null, usd from txn),
+_AVERAGES_SQL = """sides as (select source as "user", usd as debit, cast(null as double) as credit from txn union all select target, null, usd from txn),
   averages as (select "user", coalesce(avg(debit), 0) as avg_debit, coalesce(avg(credit), 0) as avg_credit from sides group by 1)"""
 
 
@@ -248,9 +248,20 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(X.daily_series(V.txn_event(spark, sf_dir)), 4)
 
 
-@query("spectra")
+_HALF = S.LENGTH // 2
+
+
+@query(
+    "spectra",
+    f"""with {V.EVENT_SQL}, {_SIDES_SQL}, days as (select "user", day, sum(value) as total from sides group by 1, 2),
+    placed as (select "user", total, datediff('day', min(day) over (partition by "user"), day) as t, datediff('day', min(day) over (partition by "user"), max(day) over (partition by "user")) // {_HALF} as last from days),
+    waves as (select "user", f, last + 1 as n, sum(total * cos(2 * pi() * f * (t - last * {_HALF}) / {S.LENGTH})) as re from placed, range(1, {_HALF}) w(f) where t >= last * {_HALF} group by all)
+    select "user", f as bin, round(abs(re) / n + {OFF_TIES}, 4) as power from waves union all select distinct "user", {_HALF}, 0.0 from placed""",
+)
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.spectra(X.daily_series(V.txn_event(spark, sf_dir)))
+    """The power of every bin from 1 on."""
+    found = S.spectra(X.daily_series(V.txn_event(spark, sf_dir))).select("user", F.posexplode("spectrum").alias("bin", "power"))
+    return found.select("user", (F.col("bin") + 1).cast("long").alias("bin"), F.round(F.col("power") + OFF_TIES, 4).alias("power"))
 
 
 @query("clustered_types")

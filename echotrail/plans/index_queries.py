@@ -155,9 +155,31 @@ def cartesian_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round(F.col("score") + OFF_TIES, 6))
 
 
-@query("beam_shortlist")
+def _beam_sql(beam: int = 100, reach: int = 1000, limit: int = 100) -> str:
+    near = lambda i: f"1 / (1 + list_distance(there.v, (select v from vec where id = {_EXEMPLARS[i]})))"
+    steps = [f"grown_0 as (select there.id as n_0, {near(0)} as score from vec there where there.id in (select src from sym))"]
+    for i in range(len(_EXEMPLARS)):
+        roles = [f"n_{j}" for j in range(i + 1)]
+        if i:
+            before, last = ", ".join(roles[:-1]), roles[i - 1]
+            steps.append(
+                f"""grown_{i} as (select {before}, n_{i}, score from (
+                select {", ".join(f"f.{r}" for r in roles[:-1])}, dst as n_{i}, f.score + {near(i)} as score,
+                  row_number() over (partition by {", ".join(f"f.{r}" for r in roles[:-1])} order by list_distance(here.v, there.v), dst) as near
+                from front_{i - 1} f join sym on src = f.{last} join vec here on here.id = f.{last} join vec there on there.id = dst
+                where {" and ".join(f"dst <> f.{r}" for r in roles[:-1])}) where near <= {reach})"""
+            )
+        own = " and ".join(f"n_{j} = {_EXEMPLARS[j]}" for j in range(i + 1))
+        steps.append(f"front_{i} as ((select * from grown_{i} order by score desc, {', '.join(roles)} limit {beam}) union select * from grown_{i} where {own})")
+    roles = [f"n_{j}" for j in range(len(_EXEMPLARS))]
+    return f"""{_LOGS_SQL}, vec as (select "user" as id, [{", ".join(X.FEATURES)}] as v from logs), {V.GRAPH_SQL}, {V.SYM_SQL}, {", ".join(steps)}
+    select {", ".join(roles)}, round(score + {OFF_TIES}, 6) as score from front_{len(roles) - 1} order by front_{len(roles) - 1}.score desc, {", ".join(roles)} limit {limit}"""
+
+
+@query("beam_shortlist", "with " + _beam_sql())
 def beam_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.beam_shortlist(spark, _user_vectors(spark, sf_dir), event_edges(spark, sf_dir), _EXEMPLARS)
+    found = L.beam_shortlist(spark, _user_vectors(spark, sf_dir), event_edges(spark, sf_dir), _EXEMPLARS)
+    return found.withColumn("score", F.round(F.col("score") + OFF_TIES, 6))
 
 
 _RECURSIVE_SQL = f"with recursive {V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL}"

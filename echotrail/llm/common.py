@@ -9,7 +9,6 @@ from a half-gone cache.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,12 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.work import delete, shared_dir
+
 #: Rows and bytes of one Arrow batch; they bound a Python worker's memory
 #: whatever the texts' lengths are.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
-_local_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``; any path Spark itself can read works."""
@@ -32,30 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow and Parquet batches by rows and bytes (session settings of this engine)."""
+    """Bound Arrow and Parquet batches by rows and bytes.
+
+    These are settings of the session and stay, as a lazy result is only run
+    after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     # rows of text that the Parquet reader decodes at once: its vectors double their size as they fill
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
-
-    It is read from the session. Only where the session names none, this sets
-    one: a temporary folder for a local master, else a folder in the
-    warehouse, which a cluster's executors share as well.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="echotrail-"))
-    return _local_dir[0]
-
-
 class Work:
     """Intermediate tables of one query in the shared folder.
 
@@ -82,7 +68,7 @@ class Work:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, self.path(name))
+            delete(self.spark, self.path(name))
 
     def free_shuffles(self) -> None:
         """Let Spark's cleaner delete shuffle files no live plan needs."""
@@ -92,19 +78,13 @@ class Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 @atexit.register
 def _clean_up() -> None:
     spark = Work._spark
     try:
         if spark is not None and spark.sparkContext._jsc is not None:
             for root in Work._live:
-                _delete(spark, root)
+                delete(spark, root)
     except Exception:  # the JVM may be gone; the folder's owner then removes it
         pass
 

@@ -4,8 +4,10 @@ Features are hashed byte 2- and 3-grams of the whole text (square roots of
 counts, unit length). Families are told apart by one-versus-rest linear
 support vector machines; within a family, one-versus-one machines vote on
 each pair of its languages. Both are trained on the driver from a bounded
-sample: about SAMPLE rows of each language, chosen by a hash of the id, so
-the same rows are drawn at every partitioning.
+sample: about SAMPLE rows of each language, and about SAMPLED of all, chosen by
+a hash of the id, so the same rows are drawn at every partitioning. The driver
+also holds the number of rows of each language, a weight vector a family, and
+one for each two languages of a family.
 
 A text that is null or has no letter is ``und`` with score 0. Rows without a
 language are predicted but not learned from. A language outside FAMILIES is a
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import crc32_text, map_batches, slices, table, texts_of
 from .kernels import LOWER
 
-#: Hashed features, expected sampled rows a language, and texts featurised at once.
-DIMENSIONS, SAMPLE, AT_ONCE = 2048, 1500, 512
+#: Hashed features, expected sampled rows a language and of all languages (8 kB each on the driver), and texts featurised at once.
+DIMENSIONS, SAMPLE, SAMPLED, AT_ONCE = 2048, 1500, 40_000, 512
 UNDETERMINED = "und"
 
 # Language families by ISO 639-1 code.
@@ -137,8 +139,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    each = max(1, min(sample, SAMPLED // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, share double")  # a row a language
+    drawn = rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch.column(0))

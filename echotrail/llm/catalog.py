@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DEDUP,
     "op5_suffix_array_dedup": oracles.REPEATS,
+    "op6_media_columns": oracles.media(),
     "op7_quality_rules": oracles.quality_rules(rules.OFF_TIES),
 }

@@ -6,7 +6,8 @@ module. Of the samples read back a short-time Fourier transform is taken
 (Hann window of BLOCK samples, half overlapping); frames whose strongest bin
 stands above its neighbours in time are peaks, and each peak paired with the
 next FAN peaks (up to REACH frames on) is a fingerprint: its time in the high
-bits, the two frequencies and the time between in the low ones.
+bits, the two frequencies and the time between in the low ones. Magnitudes are
+compared to DIGITS decimals, so that ties don't hang on the order of a sum.
 
 A null text is an empty one (a block of spaces). Equal texts have equal
 values; nothing depends on the row's place. Of equally strong bins the lowest,
@@ -28,11 +29,11 @@ from pyspark.sql import types as T
 
 from .common import map_batches, slices, table, texts_of
 
-BLOCK, RATE, FAN, REACH = 192, 8000, 3, 63
+BLOCK, RATE, FAN, REACH, DIGITS = 192, 8000, 3, 63, 3
 #: Frames transformed at once.
 FRAMES = 8192
 _HOP = BLOCK // 2
-_HANN = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(BLOCK) / BLOCK)).astype(np.float32)
+_HANN = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(BLOCK) / BLOCK)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -56,11 +57,11 @@ def from_wav(media: bytes) -> bytes:
 
 def spectral_peaks(samples: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strongest bin (not the constant) and its magnitude, of the frames at ``starts``."""
-    bins, size = np.empty(len(starts), dtype=np.int64), np.empty(len(starts), dtype=np.float32)
+    bins, size = np.empty(len(starts), dtype=np.int64), np.empty(len(starts))
     view = np.lib.stride_tricks.sliding_window_view(samples, BLOCK)
     for lo in range(0, len(starts), FRAMES):
-        frames = view[starts[lo : lo + FRAMES]].astype(np.float32) - 128
-        power = np.abs(np.fft.rfft(frames * _HANN, axis=1))[:, 1:]
+        frames = view[starts[lo : lo + FRAMES]].astype(np.float64) - 128
+        power = np.round(np.abs(np.fft.rfft(frames * _HANN, axis=1))[:, 1:], DIGITS)
         at = power.argmax(axis=1)
         bins[lo : lo + FRAMES] = at + 1
         size[lo : lo + FRAMES] = power[np.arange(len(at)), at]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import media as media_op
 from .rules import GAMMA, LEAST, LEVELS, REACH, RULES
 
 #: Exact all-pairs similarity by shared shingles, and reachability over the links.
@@ -76,3 +77,36 @@ near as (select *, {", ".join(one(n, k) for k in RULES for n in LEVELS)} from ro
 found as (select *, {", ".join(cut(k) for k in RULES)} from near)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {within} as kept, {rounded} from found
 """
+
+
+def media(block: int = media_op.BLOCK, rate: int = media_op.RATE) -> str:
+    """The WAV file's bytes, and its spectrum by sums of cosines and sines, in plain SQL."""
+    half, bins = block // 2, block // 2
+    wave = lambda f: f"cast(list_transform(range({block}), lambda j: (0.5 - 0.5 * cos(2 * pi() * j / {block})) * {f}(2 * pi() * k * j / {block})) as double[{block}])"
+    le = lambda x, n: "".join(f" || printf('%02x', ({x} >> {8 * i}) & 255)" for i in range(n))[4:]
+    header = f"""hex(encode('RIFF')) || {le("(n + 36)", 4)} || hex(encode('WAVEfmt ')) || '1000000001000100' || {le(rate, 4)} || {le(rate, 4)} || '01000800' || hex(encode('data')) || {le("n", 4)}"""
+    pairs = " union all ".join(
+        f"select doc_id, (t << 20) | (f << 13) | ((lead(f, {k}) over w) << 6) | (lead(t, {k}) over w - t) as code, lead(t, {k}) over w - t as gap from peaks window w as (partition by doc_id order by t)"
+        for k in range(1, media_op.FAN + 1)
+    )
+    return f"""
+with crcs as (select list(c order by i) as c from (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i))),
+basis as (select k, {wave("cos")} as c, {wave("sin")} as s from range(1, {bins + 1}) r(k)),
+t as (select doc_id, octet_length(encode(coalesce(text, ''))) as size, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, size, h || repeat('20', case when size = 0 then {block} else (-size % {block} + {block}) % {block} end) as h from t),
+b as (select doc_id, size, h, octet_length(unhex(h)) as n,
+  list_transform(regexp_extract_all(h, '..'), lambda x: 16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1) as v from p),
+frames as (select doc_id, i as t, cast(list_transform(v[i * {half} + 1:i * {half} + {block}], lambda x: x - 128.0e0) as double[{block}]) as x from (select doc_id, v, unnest(range(n // {half} - 1)) as i from b)),
+power as (select doc_id, t, max({{'p': round(sqrt(array_inner_product(x, c) ** 2 + array_inner_product(x, s) ** 2), {media_op.DIGITS}), 'k': -k}}) as m from frames, basis group by 1, 2),
+best as (select doc_id, t, m.p as size, -m.k as f from power),
+near as (select *, lag(size) over w as before, lead(size) over w as behind from best window w as (partition by doc_id order by t)),
+peaks as (select doc_id, t, f from near where (before is null or size > before) and (behind is null or size >= behind)),
+codes as (select doc_id, code from ({pairs}) where gap <= {media_op.REACH}),
+prints as (select doc_id, list(code order by code) as codes, string_agg({le("code", 8)}, '' order by code) as h from codes group by 1),
+n_peaks as (select doc_id, count(*) as n from peaks group by 1)
+select b.doc_id, size as n_bytes, n as payload_bytes, sha256(unhex(b.h)) as payload_sha256,
+  xor(list_reduce(v[n - 15:n], lambda c, x: xor(c >> 8, crcs.c[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as tail_crc32,
+  n + 44 as media_bytes, sha256(unhex({header} || b.h)) as media_sha256,
+  (n // {half} - 1) || ':' || (select n from n_peaks where n_peaks.doc_id = b.doc_id) || ':' || coalesce(len(codes), 0) || ':' || sha1(unhex(coalesce(prints.h, ''))) as feature, coalesce(codes, []) as fingerprints
+from b cross join crcs left join prints on prints.doc_id = b.doc_id
+"""

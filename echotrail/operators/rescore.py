@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hmm import QueryModel, SessionModel
+from ..functions.hmm import QueryModel, SessionModel, decode, discrete_likelihood, path_probability
 from ..sources.work import save
 from .features import normalized
 from .observe import aggregate_links
@@ -84,6 +85,34 @@ def session_scores(features: DataFrame, query_match: int, columns: list[str], ga
     return flat.mapInPandas(run, "match long, log_probability double")
 
 
+def decoded_symbols(sequences: DataFrame, transitions: list[list[float]], pmfs: list[list[float]]) -> DataFrame:
+    """The best states of ``sequences(..., symbols)`` under a discrete model: states, their log score and probability.
+
+    ``transitions`` has the start state first and the end state last; ``pmfs``
+    gives each inner state's probability of every symbol. Sequences that are
+    empty or impossible have no row.
+    """
+    schema = sequences.drop("symbols").schema.add("states", T.ArrayType(T.IntegerType())).add("score", "double").add("probability", "double")
+    names = schema.names
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False):
+                *keys, symbols = row
+                if not len(symbols):
+                    continue
+                emissions = np.stack([discrete_likelihood(symbols, p) for p in pmfs], axis=1)
+                with np.errstate(divide="ignore"):
+                    best = decode(np.array(transitions), np.log(emissions))
+                if best:
+                    rows.append((*keys, list(best[0].states), best[0].score, path_probability(transitions, emissions, list(best[0].states))))
+            yield pd.DataFrame(rows, columns=names)
+
+    keys = [c for c in sequences.columns if c != "symbols"]
+    return sequences.select(*keys, "symbols").mapInPandas(run, schema)
+
+
 def external_scores(matches: DataFrame, scores: DataFrame) -> DataFrame:
     """Matches with scores from outside, by their place (``scores(index, score)``); place 0, the query, has 0."""
     joined = matches.drop("score").join(scores.select(F.col("index").alias("match"), "score"), "match", "left")

@@ -15,7 +15,7 @@ from .feature_queries import _AVERAGES_SQL, OFF_TIES, _round
 from .graph_queries import TOP, event_edges
 from .hmm_sql import OBSERVED, PHASES, decoded_sql, session_sql
 from .pattern_sql import top_sql
-from .registry import query
+from .registry import query, table
 
 #: A time range of the events, and exemplar ids.
 START, END = "2024-01-08 00:00:00", "2024-01-21 23:59:59"
@@ -249,3 +249,40 @@ def entity_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = V.txn_trade(spark, sf_dir)
     everyone = txn.select(F.col("source").alias("entity")).union(txn.select("target"))
     return _round(O.accounts(txn, everyone), 2)
+
+
+#: A discrete model of a user's day: calm and busy, each with its probabilities of the event types in this order.
+_SYMBOLS = ("click", "error", "purchase", "signup", "view")
+_MOVES = [[0.0, 0.6, 0.4, 0.0], [0.0, 0.7, 0.25, 0.05], [0.0, 0.35, 0.6, 0.05], [0.0, 0.0, 0.0, 1.0]]
+_EMITS = [[0.2, 0.05, 0.05, 0.1, 0.6], [0.35, 0.15, 0.25, 0.1, 0.15]]
+
+
+def _days_sql() -> str:
+    emits = ", ".join(f"({s + 1}, '{x}', {p}e0)" for s, ps in enumerate(_EMITS) for x, p in zip(_SYMBOLS, ps, strict=True))
+    moves = ", ".join(f"({i}, {j}, {p}e0)" for i, row in enumerate(_MOVES) for j, p in enumerate(row) if p)
+    return f"""with recursive emit(s, x, p) as (values {emits}), move(i, j, p) as (values {moves}),
+  seq as (select user_id as "user", cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) - 1 as t, event_type as x from events),
+  vit("user", day, t, s, score, probability, states) as (
+    select "user", day, t, emit.s, ln(move.p) + ln(emit.p), move.p * emit.p, [emit.s] from seq join emit on emit.x = seq.x join move on i = 0 and j = emit.s where t = 0
+    union all
+    select "user", day, t, s, score, probability, states from (
+      select v."user", v.day, seq.t, emit.s, v.score + ln(move.p) + ln(emit.p) as score, v.probability * move.p * emit.p as probability, list_append(v.states, emit.s) as states,
+        row_number() over (partition by v."user", v.day, emit.s order by round(v.score + ln(move.p), 12) desc, v.s) as place
+      from vit v join seq on seq."user" = v."user" and seq.day = v.day and seq.t = v.t + 1 join emit on emit.x = seq.x join move on i = v.s and j = emit.s) where place = 1),
+  ends as (select "user", day, max(t) as t from seq group by 1, 2),
+  last as (select v.*, v.score + ln(move.p) as total, v.probability * move.p as whole,
+    row_number() over (partition by v."user", v.day order by round(v.score + ln(move.p), 12) desc, v.s) as place from vit v join ends using ("user", day, t) join move on i = v.s and j = 3)
+  select "user", day, array_to_string(states, '') as states, round(total + {OFF_TIES}, 6) as score, round(whole * 1e6 + {OFF_TIES}, 5) as per_million from last where place = 1"""
+
+
+@query("day_states", _days_sql())
+def day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's days, decoded event by event under the discrete model, with the path's probability in millionths."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    symbol = F.array_position(F.array(*[F.lit(x) for x in _SYMBOLS]), F.col("event_type")) - 1
+    days = events.groupBy("user", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", symbol.alias("x")))).alias("o"))
+    found = R.decoded_symbols(days.select("user", "day", F.col("o.x").alias("symbols")), _MOVES, _EMITS)
+    return found.select(
+        "user", "day", F.array_join(F.transform("states", lambda x: x.cast("string")), "").alias("states"), F.round(F.col("score") + OFF_TIES, 6).alias("score"),
+        F.round(F.col("probability") * 1e6 + OFF_TIES, 5).alias("per_million"),
+    )

@@ -35,8 +35,8 @@ OFF_TIES = 1e-8
 #: Ratio, and its tail: how many of a thousand documents of a group the rule may reject.
 RULES = {
     "symbol_ratio": ("n_symbols / word_chars", 100),
-    "repeat_ratio": ("n_repeat_words / n_words", 5),
-    "dup_line_ratio": ("n_dup_lines / n_lines", 5),
+    "repeat_ratio": ("n_repeat_words / n_words", 4),
+    "dup_line_ratio": ("n_dup_lines / n_lines", 4),
     "word_length": ("word_chars / n_words", 100),
 }
 #: Groupings whose sketches give cutoffs, by the suffix of their columns.

@@ -6,7 +6,9 @@ A form, or an element of such a name, is a container instead if it holds an
 article or main element or most of the page's text outside links; so is one
 whose name may as well be an article's topic or part (widget, tag, side,
 social, or a word of the list joined with one that names no part of a page's
-layout, as in related-work) if it holds mostly unlinked text. An article
+layout, as in related-work) if it holds mostly unlinked text. Comments, cookie
+notices, adverts and what is named a sidebar, footer or navigation are never
+the article, unless the name is a layout's (content-sidebar-wrap). An article
 element named after comments is no article. If nothing is left, only controls,
 scripts and the like are left out.
 For each remaining element the composite text density is its characters per
@@ -74,6 +76,9 @@ _COMMENT = re.compile(r"(?:^|\s)comments?(?:$|[\s_-])", re.IGNORECASE)
 #: What never is the article, however much text it holds.
 _ENDS = r"(?:$|[\s_-])"
 NEVER = re.compile(rf"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|sidebar|aside|footer|nav|navbar|navigation|advert\w*|sponsor\w*){_ENDS}", re.IGNORECASE)
+#: Of these a name may be a layout's, around the article as well (content-sidebar-wrap).
+_PLACED = re.compile(rf"(?<![^\s_-])(?:sidebar|aside|footer|nav|navbar|navigation)(?={_ENDS})", re.IGNORECASE)
+_AROUND = re.compile(rf"(?<![^_-])(?:content|main|layout|page|body|wrap\w*){_ENDS}", re.IGNORECASE)
 #: Words that name parts of articles as well.
 AMBIGUOUS = re.compile(rf"(?<![^\s_-])(?:widget|tags?|side|social)(?={_ENDS})", re.IGNORECASE)
 #: Classes that page builders and blogs give to the parts and the topics of an article.
@@ -136,11 +141,16 @@ def _named_other(tag: str, attributes: str, parent: Node) -> str:
         if SITE_HEADER.search(value) and not parent.in_article:
             why = "tag"
         elif OTHER.search(value):
-            kind = "tag" if NEVER.search(value) else "topic" if _is_topic(value) else "name" if OTHER.search(AMBIGUOUS.sub("x", value)) else "ambiguous"
+            kind = "tag" if _is_never(value) else "topic" if _is_topic(value) else "name" if OTHER.search(AMBIGUOUS.sub("x", value)) else "ambiguous"
             why = kind if not why or why in ("ambiguous", "topic") or kind == "tag" else why
     return why
 
 
+def _is_never(names: str) -> bool:
+    """Whether some name of a class or id is of what never is the article, and not of a layout around it."""
+    return any(NEVER.search(n) and not (_AROUND.search(n) and not NEVER.search(_PLACED.sub("x", n))) for n in names.split())
+
+
 class _Open:
     """The open elements; each is found by its tag, so that no step walks the depth."""
 

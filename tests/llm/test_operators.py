@@ -677,6 +677,10 @@ def test_topics_named_like_layout_are_kept():
     for name in ("newsletter-box", "related-posts", "ad-slot-3", "cookie-banner", "share-buttons", "comments", "promo", "searchForm"):
         page = f"<body><article><p>{one}</p><p>{two}</p><div class='{name}'>A short sale lasts until the end of this week, so buy our products at half the price now.</div></article></body>"
         assert html.main_text(page) == f"{one}\n{two}", name
+    footer = "<div class='footer'>Copyright by the owner of this page, who reserves all rights.</div>"
+    for name in ("content-sidebar-wrap", "layout-sidebar-right", "page-nav-left"):
+        assert html.main_text(f"<body><div id='{name}'><div>{menu}<p>{one}</p><p>{two}</p></div></div>{footer}</body>") == f"{one}\n{two}", name
+    assert html.main_text(f"<body><div><p>{one}</p><p>{two}</p></div><div class='comments-wrap'><p>{one}!</p><p>{two}!</p><p>{one}?</p></div></body>") == f"{one}\n{two}"
     comment = "<article class='comment-body'><p>A reader has a few words to say about it too.</p></article>"
     assert html.main_text(f"<body><main><article><p>{one}</p><p>{two}</p></article><section id='comments'>{comment * 2}</section></main></body>") == f"{one}\n{two}"
 

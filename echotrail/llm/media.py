@@ -25,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches, slices, table, texts_of
@@ -136,4 +137,6 @@ def media_column(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_column(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+    """The fingerprints as text, separated by commas."""
+    found = media_column(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+    return found.withColumn("fingerprints", F.array_join(F.col("fingerprints").cast("array<string>"), ","))

@@ -107,6 +107,6 @@ n_peaks as (select doc_id, count(*) as n from peaks group by 1)
 select b.doc_id, size as n_bytes, n as payload_bytes, sha256(unhex(b.h)) as payload_sha256,
   xor(list_reduce(v[n - 15:n], lambda c, x: xor(c >> 8, crcs.c[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as tail_crc32,
   n + 44 as media_bytes, sha256(unhex({header} || b.h)) as media_sha256,
-  (n // {half} - 1) || ':' || (select n from n_peaks where n_peaks.doc_id = b.doc_id) || ':' || coalesce(len(codes), 0) || ':' || sha1(unhex(coalesce(prints.h, ''))) as feature, coalesce(codes, []) as fingerprints
+  (n // {half} - 1) || ':' || (select n from n_peaks where n_peaks.doc_id = b.doc_id) || ':' || coalesce(len(codes), 0) || ':' || sha1(unhex(coalesce(prints.h, ''))) as feature, coalesce(array_to_string(codes, ','), '') as fingerprints
 from b cross join crcs left join prints on prints.doc_id = b.doc_id
 """

@@ -116,10 +116,11 @@ def kde_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DECODED_SQL = f"with recursive {_OBSERVED_SQL}, {decoded_sql()}"
 
 
-@query("hmm_rescore", f"{_DECODED_SQL} select match, round(score + {OFF_TIES}, 6) as score, start, states from rescored")
+@query("hmm_rescore", f"{_DECODED_SQL} select match, round(score + {OFF_TIES}, 6) as score, start, array_to_string(states, ',') as states from rescored")
 def hmm_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best triangle as the query, the others against it."""
-    return _round(R.rescore(O.observations(_links(spark, sf_dir), 3), 0))
+    found = _round(R.rescore(O.observations(_links(spark, sf_dir), 3), 0))
+    return found.withColumn("states", F.array_join(F.col("states").cast("array<string>"), ","))
 
 
 def top_phases(spark: SparkSession, sf_dir: str) -> DataFrame:

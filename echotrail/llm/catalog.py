@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, html, langid, media, minhash, oracles, packing, pieces, quality, repeats, rules
+from . import attribution, backtrack, html, langid, media, minhash, oracles, packing, pieces, quality, repeats, rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": attribution.op8_token_counts,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": langid.op10_language_id,
+    "op11_bpe": backtrack.op11_bpe,
 }
 #: DuckDB SQL for the same rows, where SQL can express the operator.
 ORACLES: dict[str, str] = {

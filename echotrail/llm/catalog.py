@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, backtrack, html, langid, media, minhash, oracles, packing, pieces, quality, repeats, rules
+from . import alignment, attribution, backtrack, html, langid, media, minhash, oracles, packing, pieces, quality, repeats, rules, whitening
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": langid.op10_language_id,
     "op11_bpe": backtrack.op11_bpe,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 #: DuckDB SQL for the same rows, where SQL can express the operator.
 ORACLES: dict[str, str] = {

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import save
+from .order import order_statistics
+
 #: The order of the feature vector.
 FEATURES = (
     "credit_mean", "credit_std", "credit_interarr_mean", "credit_interarr_std", "debit_mean", "debit_std", "debit_interarr_mean", "debit_interarr_std",
@@ -101,20 +104,21 @@ def log_transform(features: DataFrame) -> DataFrame:
 def normalized(features: DataFrame, columns: tuple[str, ...] = FEATURES, low: float = 0.025, high: float = 0.975, ignore_zeros: bool = False) -> DataFrame:
     """(x - b0) / b1, which sends the two quantiles to -2 and 2.
 
-    Quantiles are exact with linear interpolation. With ignore_zeros a zero is
-    left out of them and stays 0. A column without spread becomes 0.
+    Quantiles are exact with linear interpolation, by selection over the whole
+    table (``order.order_statistics``). With ignore_zeros a zero is left out of
+    them and stays 0. A column without spread becomes 0.
     """
-    value = lambda c: F.when(F.col(c) != 0, F.col(c)) if ignore_zeros else F.col(c)
-    ends = features.agg(*[F.percentile(value(c), F.array(F.lit(low), F.lit(high))).alias(f"q_{c}") for c in columns])
-    joined = features.join(F.broadcast(ends), how="left")
+    features = save(features, "features")  # each round of the selection reads it
+    counted = features.select(*[(F.when(F.col(c) != 0, F.col(c)) if ignore_zeros else F.col(c)).alias(c) for c in columns])
+    ends = order_statistics(counted, columns, (low, high))
 
     def scaled(c: str) -> Column:
-        lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
+        lo, hi = (F.lit(v) for v in ends[c] or (None, None))
         out = F.try_divide(F.col(c) - (lo + hi) / 2, (hi - lo) / 4)
         out = F.coalesce(F.nanvl(out, F.lit(0.0)), F.lit(0.0))
         return (F.when(F.col(c) == 0, 0.0).otherwise(out) if ignore_zeros else out).alias(c)
 
-    return joined.select(*[c for c in features.columns if c not in columns], *[scaled(c) for c in columns])
+    return features.select(*[c for c in features.columns if c not in columns], *[scaled(c) for c in columns])
 
 
 def clean_outliers(rows: DataFrame, columns: tuple[str, ...], limit: float = 4.0) -> DataFrame:

@@ -7,36 +7,19 @@ through one task.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.order import with_next
 from .registry import table
 
 #: Suppliers' node ids in the trade view start here.
 SUPPLIER_BASE = 1_000_000
 
 
-def lead_across_days(events: DataFrame, value: str, order: list[str], day: str) -> DataFrame:
-    """``next``: the value of the following row in the whole table's order.
-
-    Within a day it is a window of that day; a day's last row gets the first
-    row of the next day that has any, from a table with one row a day.
-    """
-    in_day = W.partitionBy(day).orderBy(*order)
-    first = events.groupBy(day).agg(F.min_by(value, F.struct(*order)).alias("first"))
-    follows = first.select(day, F.lead("first").over(W.orderBy(day)).alias("tomorrow"))
-    return (
-        events.withColumn("next", F.lead(value).over(in_day))
-        .join(follows, day)
-        .withColumn("next", F.coalesce("next", "tomorrow"))
-        .drop("tomorrow")
-    )
-
-
 def txn_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event's user acts on the user of the next event; event_type is the first event's."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("day", F.to_date("ts"))
-    followed = lead_across_days(events, "user_id", ["ts", "event_id"], "day")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    followed = with_next(events, "user_id", ["ts", "event_id"])
     return followed.filter("next is not null and next <> user_id").select(
         F.col("event_id").alias("transid"), F.col("user_id").alias("source"), F.col("next").alias("target"), F.col("ts").alias("time"),
         F.col("value").alias("amount"), F.col("value").alias("usd"), "event_type",

@@ -31,9 +31,12 @@ not read, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -88,38 +91,43 @@ class Transducer:
             self.moves[key] = found
         return found
 
-    def run(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """Groups of A's and B's tokens, and the links; None where the bytes differ."""
+    def run(self, a: list[int], b: list[int]) -> tuple[list[list[list[int]]], list[int]] | None:
+        """Groups (A's tokens, B's tokens) and links (A's id times B's size, plus B's id); None where the bytes differ."""
         if len(self.moves) > TRANSITIONS:
             self._forget()
-        groups, links, i, j = [], [], 0, 0
-        while i < len(a):
-            group, leading = ([a[i]], []), a[i]
-            state, i = self.move(0, leading), i + 1
+        groups, links, i, j, size = [], [], 0, 0, len(self.spelled[1])
+        known, move, states, n_a, n_b = self.moves.get, self.move, self.states, len(a), len(b)
+        while i < n_a:
+            leading = a[i]
+            i += 1
+            own_a, own_b, leads = [leading], [], 0
+            state = known(leading)  # from state 0 the key is the token
+            if state is None:
+                state = move(0, leading)
             while state > 0:
-                if self.states[state][0]:  # B leads
-                    if i == len(a):
+                if leads:
+                    if i == n_a:
                         return None
-                    token, i = a[i], i + 1
-                    links.append((token, leading))
-                    group[0].append(token)
-                    after = self.move(state, token)
-                    if after > 0 and not self.states[after][0]:
-                        leading = token
+                    token = a[i]
+                    i += 1
+                    own_a.append(token)
+                    links.append(token * size + leading)
                 else:
-                    if j == len(b):
+                    if j == n_b:
                         return None
-                    token, j = b[j], j + 1
-                    links.append((leading, token))
-                    group[1].append(token)
-                    after = self.move(state, token)
-                    if after > 0 and self.states[after][0]:
-                        leading = token
-                state = after
+                    token = b[j]
+                    j += 1
+                    own_b.append(token)
+                    links.append(leading * size + token)
+                state, before = known(state << 32 | token), state
+                if state is None:
+                    state = move(before, token)
+                if state > 0 and states[state][0] != leads:
+                    leading, leads = token, 1 - leads
             if state < 0:
                 return None
-            groups.append(group)
-        return (groups, links) if j == len(b) else None
+            groups.append([own_a, own_b])
+        return (groups, links) if j == n_b else None
 
 
 class Aligner:
@@ -134,6 +142,7 @@ class Aligner:
         spelled = [bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace(_META, " ").encode() for i, t in enumerate(text)]
         self.size_b, self.space = n, [self.model.piece_to_id(_META)]
         self.cuts = not any(_META in t.lstrip(_META) for t in text)
+        self.shown = [str(i) for i in range(max(n, len(self.codec.bytes_of)))]
         self.transducer, self.memory = Transducer(self.codec.bytes_of, spelled), {}
 
     def _learn(self, pieces: list[str]) -> list[str]:
@@ -141,14 +150,14 @@ class Aligner:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         new = [p for p in dict.fromkeys(pieces) if p not in self.memory]
-        ids_a = self.codec.packed_pieces(new)
+        ids_a, shown = self.codec.packed_pieces(new), self.shown
         for p, b in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            found = self.transducer.run(np.frombuffer(ids_a[p], dtype="<u4").tolist(), b or self.space)
+            a, b = array("I", ids_a[p]).tolist(), b or self.space
+            found = self.transducer.run(a, b)
             if found is not None:
                 groups, links = found
-                keys = np.array([x * self.size_b + y for x, y in links], dtype=np.int64)
-                shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-                found = sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), keys.tobytes(), shown
+                text = ";".join([",".join([shown[i] for i in x]) + "|" + ",".join([shown[i] for i in y]) for x, y in groups])
+                found = len(a), len(b), len(groups), array("q", links).tobytes(), text
             self.memory[p] = found
         self.codec.forget_long()
         return [p for p in new if len(p) > LONGEST]
@@ -156,14 +165,18 @@ class Aligner:
     def align(self, texts: list[str]) -> list[tuple[int, int, int, np.ndarray, str] | None]:
         """Of each text the numbers of A's and B's tokens and of groups, the links (A's id times B's size, plus B's id), and the groups as text."""
         cuts = [(cut(t) if self.cuts else [t]) if t and _META not in t else [] for t in texts]
-        long, out = self._learn([p for c in cuts for p in c]), []
+        gc.disable()  # thousands of short lists, none in a cycle: collecting on the way would only search the memory
+        try:
+            long, out = self._learn([p for c in cuts for p in c]), []
+        finally:
+            gc.enable()
         for pieces in cuts:
             rows = list(map(self.memory.__getitem__, pieces))
             if not rows or None in rows:
                 out.append(None)
                 continue
             links = np.frombuffer(b"".join([r[3] for r in rows]), dtype=np.int64)
-            out.append((sum(r[0] for r in rows), sum(r[1] for r in rows), sum(r[2] for r in rows), links, ";".join([r[4] for r in rows])))
+            out.append((*[sum(map(itemgetter(k), rows)) for k in range(3)], links, ";".join([r[4] for r in rows])))
         for p in long:
             self.memory.pop(p, None)
         return out

@@ -1,25 +1,41 @@
-"""Whole-graph algorithms: components, distances, neighbourhood sizes, test graphs."""
+"""Whole-graph algorithms: components, distances and routes, diameter, neighbourhood sizes, test graphs.
+
+Distances are found fragment by fragment: a task holds the edges of some nodes
+and follows paths inside them to their end, so that a round of the job covers
+as many hops as stay inside, and the number of rounds is that of the fragments
+a path goes through. Nodes with very many edges are in no fragment; theirs are
+relaxed by a plain join. Rounds go on until nothing gets lower.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.work import Rounds, save
 
+#: Edges of a fragment on average, edges from which on a node is in none, and sources that a task follows at once.
+FRAGMENT, HUB, SOURCES_OF_A_TASK = 100_000, 50_000, 64
+#: Edges that a task relaxes at once.
+EDGES_AT_ONCE = 1 << 20
+
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component): the least node reachable over ``edges(src, dst)`` in any direction.
 
     Each round a node takes its neighbours' least label, then that label's own
-    label (pointer jumping), so long chains need few rounds.
+    label (pointer jumping), so long chains need few rounds. With
+    ``max_rounds`` it is an error if labels still change after so many.
     """
     rounds = Rounds(edges.sparkSession, "components")
     both = rounds.save(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    now = rounds.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(max_rounds):
+    now, n = rounds.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))), 0
+    while True:
         heard = both.join(now.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("heard"))
         after = now.join(heard, "node").select("node", F.least("component", "heard").alias("component"))
         jump = after.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -28,36 +44,157 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         rounds.drop(now)
         if settled:
             return after
-        now = after
-    raise RuntimeError(f"no convergence in {max_rounds} rounds")
+        now, n = after, n + 1
+        if n == max_rounds:
+            raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weighted: bool = True, max_rounds: int = 200, reach: int | None = None) -> DataFrame:
-    """(source, node, distance) from every ``sources(node)`` along ``edges(src, dst, w)``.
+def _lightest(edges: DataFrame, weighted: bool) -> DataFrame:
+    return edges.select("src", "dst", (F.col("w") if weighted else F.lit(1)).cast("double").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
 
-    Rounds relax only the distances that the last round lowered. With
-    ``reach``, paths have so many edges at most, and so many rounds are run.
-    """
+
+def paths_within(edges: DataFrame, sources: DataFrame, reach: int, weighted: bool = True) -> DataFrame:
+    """(source, node, distance) over paths of at most ``reach`` edges: a round for each edge, which relaxes what the last one lowered."""
     rounds = Rounds(edges.sparkSession, "paths")
-    step = edges.select("src", "dst", (F.col("w") if weighted else F.lit(1)).cast("double").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
-    step = rounds.save(step)
+    step = rounds.save(_lightest(edges, weighted))
     best = rounds.save(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")))
     lower = best
-    for _ in range(max_rounds if reach is None else reach):
+    for _ in range(reach):
         reached = lower.join(step, F.col("node") == F.col("src")).groupBy("source", "dst").agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         known = best.select("source", F.col("node").alias("dst"), "distance")
         fresh = rounds.save(
             reached.join(known, ["source", "dst"], "left").filter("distance is null or new < distance").select("source", F.col("dst").alias("node"), F.col("new").alias("distance"))
         )
         if fresh.isEmpty():
-            return best
-        both = best.union(fresh) if weighted else None
-        after = rounds.save(both.groupBy("source", "node").agg(F.min("distance").alias("distance")) if weighted else best.union(fresh))
+            break
+        both = best.union(fresh)
+        after = rounds.save(both.groupBy("source", "node").agg(F.min("distance").alias("distance")) if weighted else both)
         rounds.drop(best, *([lower] if lower is not best else []))
         best, lower = after, fresh
+    return best
+
+
+def follow(known: pa.Table, edges: pa.Table) -> pa.Table:
+    """Of one fragment: what its open nodes lower, along paths inside it.
+
+    ``known``: source, node, distance, open; only open ones are followed. A
+    node reached is open again if the fragment hasn't got its edges.
+    """
+    src, dst, w = (edges.column(c).to_numpy() for c in ("src", "dst", "w"))
+    source, node, distance = (known.column(c).to_numpy() for c in ("source", "node", "distance"))
+    names, at = np.unique(np.concatenate([src, dst, node]), return_inverse=True)
+    src, dst, node = at[: len(src)], at[len(src) : 2 * len(src)], at[2 * len(src) :]
+    starts, source = np.unique(source, return_inverse=True)
+    order, n = np.argsort(src, kind="stable"), len(names)
+    dst, w, degree = dst[order], w[order], np.bincount(src, minlength=n)
+    first = np.cumsum(degree) - degree
+    far = np.full(len(starts) * n, np.inf)
+    far[source * n + node] = distance
+    front = (source * n + node)[known.column("open").to_numpy(zero_copy_only=False)]
+    lowered = np.zeros(len(far), dtype=bool)
+    while len(front):  # all edges of what the last step lowered, for all sources side by side, so many edges at a time
+        upto, reached = np.cumsum(degree[front % n]), []
+        for own in np.split(front, np.searchsorted(upto, np.arange(EDGES_AT_ONCE, upto[-1], EDGES_AT_ONCE))):
+            edges_of = degree[own % n]
+            of = np.repeat(np.arange(len(own)), edges_of)
+            edge = np.arange(len(of)) + (first[own % n] - (np.cumsum(edges_of) - edges_of))[of]
+            to, new = (own - own % n)[of] + dst[edge], far[own][of] + w[edge]
+            better = new < far[to]
+            to, new = to[better], new[better]
+            np.minimum.at(far, to, new)
+            reached.append(to)
+        front = np.unique(np.concatenate(reached))
+        lowered[front] = True
+    found = np.flatnonzero(lowered)
+    return pa.table([pa.array(starts[found // n]), pa.array(names[found % n]), pa.array(far[found]), pa.array(degree[found % n] == 0)], names=["source", "node", "distance", "open"])
+
+
+def shortest_paths(
+    edges: DataFrame, sources: DataFrame, weighted: bool = True, max_rounds: int | None = None, reach: int | None = None, fragments: int | None = None
+) -> DataFrame:
+    """(source, node, distance) from every ``sources(node)`` along ``edges(src, dst, w)``; weights are not negative.
+
+    ``reach`` bounds the edges of a path. ``fragments`` sets their number. With
+    ``max_rounds`` it is an error if distances still fall after so many rounds.
+    """
     if reach is not None:
-        return best
-    raise RuntimeError(f"no convergence in {max_rounds} rounds")
+        return paths_within(edges, sources, reach, weighted)
+    return Fragments(edges, weighted, fragments).distances(sources, max_rounds)
+
+
+class Fragments:
+    """A graph's edges dealt out to fragments, written once for any number of searches."""
+
+    def __init__(self, edges: DataFrame, weighted: bool = True, fragments: int | None = None):
+        spark = edges.sparkSession
+        rounds = Rounds(spark, "fragments")
+        step = rounds.save(_lightest(edges, weighted))
+        parts = fragments or max(spark.sparkContext.defaultParallelism, step.count() // FRAGMENT + 1)
+        hubs = rounds.save(step.groupBy("src").count().filter(F.col("count") > HUB).select("src"))
+        self.wide = None if hubs.isEmpty() else rounds.save(step.join(hubs, "src", "left_semi"))
+        inside = step if self.wide is None else step.join(hubs, "src", "left_anti")
+        # all edges of a node have one range; written, since its bounds are sampled
+        self.inside = rounds.save(inside.repartitionByRange(parts, "src").withColumn("part", F.spark_partition_id()))
+        self.owner = rounds.save(self.inside.select(F.col("src").alias("node"), "part").distinct())
+
+    def distances(self, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
+        rounds = Rounds(sources.sparkSession, "paths")
+        best = rounds.save(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(True).alias("open")).distinct())
+        block = F.pmod(F.xxhash64("source"), F.lit(best.count() // SOURCES_OF_A_TASK + 1)).alias("block")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.schema)
+        edge_columns = [F.col("part").alias("of_part"), F.col("block").alias("of_block"), "src", "dst", "w"]
+
+        def run(_: tuple, known: pa.Table, own: pa.Table) -> pa.Table:
+            return follow(known, own)
+
+        n = 0
+        while True:
+            placed = best.join(self.owner, "node").select("part", block, "source", "node", "distance", "open")
+            active = placed.filter("open").select("part", "block").distinct()
+            known = placed.join(active, ["part", "block"], "left_semi")
+            sent = self.inside.join(active, "part").select(*edge_columns)
+            found = known.groupBy("part", "block").cogroup(sent.groupBy("of_part", "of_block")).applyInArrow(run, schema)
+            if self.wide is not None:
+                far = best.filter("open").join(self.wide, F.col("node") == F.col("src"))
+                found = found.union(far.select("source", F.col("dst").alias("node"), F.col("distance") + F.col("w"), F.lit(True)))
+            # of equal distances one that its fragment has already followed counts
+            all_of = best.withColumn("open", F.lit(False)).union(found).groupBy("source", "node").agg(F.min(F.struct("distance", "open")).alias("x"))
+            after = rounds.save(all_of.select("source", "node", "x.distance", "x.open"))
+            rounds.drop(best)
+            if after.filter("open").isEmpty():
+                return after.drop("open")
+            best, n = after, n + 1
+            if n == max_rounds:
+                raise RuntimeError(f"distances still fall after {max_rounds} rounds")
+
+
+def predecessors(edges: DataFrame, distances: DataFrame, weighted: bool = True) -> DataFrame:
+    """``distances`` and ``previous``: the least node from which a shortest path enters the node; null at its source. Weights are positive."""
+    before = distances.select("source", F.col("node").alias("src"), F.col("distance").alias("d"))
+    entered = before.join(_lightest(edges, weighted), "src").select("source", "src", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("distance"))
+    found = distances.join(entered, ["source", "node", "distance"]).groupBy("source", "node").agg(F.min("src").alias("previous"))
+    return distances.join(found, ["source", "node"], "left")
+
+
+def routes(previous: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, target, place, node): the nodes of the shortest path to each ``targets(source, target)``, the source at place 0.
+
+    Steps back are doubled each round, so paths of any length take as many
+    rounds as their length has binary digits.
+    """
+    rounds = Rounds(previous.sparkSession, "routes")
+    back = rounds.save(previous.filter("previous is not null").select("source", "node", F.col("previous").alias("to")))
+    known = targets.join(previous.select("source", F.col("node").alias("target")), ["source", "target"], "left_semi").distinct()
+    rows = rounds.save(known.select("source", "target", F.lit(0).cast("long").alias("back"), F.col("target").alias("node")))
+    step = 1
+    while not back.isEmpty():
+        further = rows.join(back, ["source", "node"]).select("source", "target", F.col("back") + step, F.col("to"))
+        twice = back.join(back.select("source", F.col("node").alias("to"), F.col("to").alias("end")), ["source", "to"]).select("source", "node", F.col("end").alias("to"))
+        after, jump = rounds.save(rows.union(further)), rounds.save(twice)
+        rounds.drop(rows, back)
+        rows, back, step = after, jump, step * 2
+    length = rows.groupBy("source", "target").agg(F.max("back").alias("length"))
+    return rows.join(length, ["source", "target"]).select("source", "target", (F.col("length") - F.col("back")).alias("place"), "node")
 
 
 #: Sources of a pass of an all-pairs search, on average.
@@ -72,11 +209,61 @@ def _source_blocks(edges: DataFrame, at_once: int | None = None) -> Iterator[Dat
         yield nodes if blocks == 1 else nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)
 
 
+#: Sources that a round of the diameter searches at most.
+AT_ONCE = 1024
+
+
 def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = None) -> DataFrame:
-    """One row: the greatest shortest distance between two connected nodes; of each block of sources only the maximum is kept."""
-    edges = save(edges, "edges")
-    found = [shortest_paths(edges, block, weighted).agg(F.max("distance")).first()[0] for block in _source_blocks(edges, at_once)]
-    return edges.sparkSession.createDataFrame([(max((d for d in found if d is not None), default=None),)], "diameter double")
+    """One row: ``diameter``, the greatest shortest distance between two connected nodes, and ``searched``, the sources it took.
+
+    Where every edge has its reverse, a search from s bounds each node v of
+    its component: the eccentricity is at least max(e(s) - d(s, v), d(s, v))
+    and at most e(s) + d(s, v). The first search of a component starts at the
+    node with the most edges, its centre c. A pair further apart than the best
+    distance known has a node x with 2 d(c, x) above it, whose upper bound is
+    above it too; the later rounds search from such nodes, those with the
+    highest upper or the lowest lower bounds in turn, as many as a task follows and
+    twice as many each time (AT_ONCE at most), until none is left. One-way edges have no such bounds:
+    all sources are searched, in blocks of which only the maximum is kept.
+    """
+    spark, edges = edges.sparkSession, save(_lightest(edges, weighted), "edges")
+    if not edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), ["src", "dst", "w"], "left_anti").isEmpty():
+        found = [(shortest_paths(edges, block).agg(F.max("distance")).first()[0], block.count()) for block in _source_blocks(edges, at_once)]
+        return spark.createDataFrame([(max((d for d, _ in found if d is not None), default=None), sum(n for _, n in found))], "diameter double, searched long")
+    rounds = Rounds(spark, "diameter")
+    parts = connected_components(edges)
+    degrees = edges.groupBy(F.col("src").alias("node")).count()
+    unbound, graph = F.lit(float("inf")), Fragments(edges)
+    nodes = rounds.save(
+        parts.join(degrees, "node").select("node", "component", "count", F.lit(0.0).alias("lower"), unbound.alias("upper"), unbound.alias("centre"), F.lit(False).alias("done"))
+    )
+    best, searched, n_round = None, 0, 0
+    while True:
+        if not n_round:
+            picks = nodes.groupBy("component").agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("node")).select("node")
+        else:
+            left = nodes.filter(~F.col("done") & (F.col("upper") > best) & (2 * F.col("centre") > best))
+            order = [F.desc("upper"), "lower"] if n_round % 2 else ["lower", F.desc("upper")]
+            picks = left.orderBy(*order, F.desc("count"), "node").limit(min(SOURCES_OF_A_TASK << n_round - 1, AT_ONCE)).select("node")
+        picks = rounds.save(picks)
+        n = picks.count()
+        if not n:
+            break
+        seen = graph.distances(picks)
+        reach = seen.groupBy("source").agg(F.max("distance").alias("e"))
+        bounds = seen.join(reach, "source").groupBy("node").agg(
+            F.max(F.greatest(F.col("e") - F.col("distance"), F.col("distance"))).alias("lo"), F.min(F.col("e") + F.col("distance")).alias("hi"),
+            F.min("distance").alias("near"), F.max(F.col("source") == F.col("node")).alias("own"),
+        )
+        after = rounds.save(
+            nodes.join(bounds, "node", "left").select(
+                "node", "component", "count", F.greatest("lower", F.coalesce("lo", F.lit(0.0))).alias("lower"), F.least("upper", F.coalesce("hi", unbound)).alias("upper"),
+                (F.col("centre") if n_round else F.coalesce("near", unbound)).alias("centre"), (F.col("done") | F.coalesce("own", F.lit(False))).alias("done"),
+            )
+        )
+        rounds.drop(nodes, seen, picks)
+        nodes, best, searched, n_round = after, after.agg(F.max("lower")).first()[0], searched + n, n_round + 1
+    return spark.createDataFrame([(best, searched)], "diameter double, searched long")
 
 
 def neighbourhood_sizes(edges: DataFrame, reach: int = 10, at_once: int | None = None) -> DataFrame:
@@ -93,6 +280,48 @@ def neighbourhood_sizes(edges: DataFrame, reach: int = 10, at_once: int | None =
     return out if out is not None else edges.sparkSession.createDataFrame([], "node long, distance int, n long")
 
 
+#: Ranks a node carries: estimates have a relative deviation of 1 / sqrt(RANKS - 2), 5 %, so 95 % are within 10 %.
+RANKS = 400
+_TOP = 1 << 31
+
+
+def node_ranks(nodes: DataFrame, ranks: int = RANKS, seed: int = 1) -> DataFrame:
+    """``nodes(node)`` and ``ranks``: independent whole numbers below 2^31, four of each MD5 of seed, number and node."""
+    digest = lambda j: F.md5(F.concat_ws(":", F.lit(seed), j, F.col("node")).cast("binary"))
+    rank = lambda text, k: F.conv(F.substring(text, 8 * k + 1, 8), 16, 10).cast("long").bitwiseAND(_TOP - 1).cast("int")
+    texts = F.transform(F.sequence(F.lit(0), F.lit(-(-ranks // 4) - 1)), digest)
+    return nodes.select("node", F.slice(F.flatten(F.transform(texts, lambda t: F.array(*[rank(t, k) for k in range(4)]))), 1, ranks).alias("ranks"))
+
+
+def neighbourhood_estimates(edges: DataFrame, reach: int = 10, ranks: int = RANKS, seed: int = 1) -> DataFrame:
+    """(node, distance, within): about how many nodes, itself included, are within each hop distance from 1 to ``reach`` along ``edges(src, dst)``.
+
+    Each node has ``ranks`` random ranks; the least ranks within a distance
+    are those of the neighbours within one hop less, so a round takes the
+    minima over the edges, rank by rank, summed up on both sides of one
+    shuffle: a node's neighbours meet only as partial minima. As exponential
+    variables, n nodes' least ranks have the mean 1 / n, so (ranks - 1) / their
+    sum is the estimate. The memory is ranks a node; no pairs are made.
+    """
+    rounds = Rounds(edges.sparkSession, "estimates")
+    step = rounds.save(edges.select("src", "dst").distinct())
+    now = rounds.save(node_ranks(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct(), ranks, seed))
+    total = F.aggregate("ranks", F.lit(0.0), lambda s, r: s - F.log(1 - (r + 0.5) / _TOP))
+    out, same = None, False
+    for d in range(1, reach + 1):
+        if not same:
+            heard = step.join(now.select(F.col("node").alias("dst"), "ranks"), "dst").select(F.col("src").alias("node"), "ranks").union(now)
+            least = heard.groupBy("node").agg(*[F.min(F.col("ranks")[i]).alias(f"r{i}") for i in range(ranks)])
+            after = rounds.save(least.select("node", F.array(*[f"r{i}" for i in range(ranks)]).alias("ranks")))
+            same = after.join(now, ["node", "ranks"], "left_anti").isEmpty()
+            counted = save(after.select("node", ((ranks - 1) / total).alias("within")), "within")
+            rounds.drop(now)
+            now = after
+        own = counted.select("node", F.lit(d).alias("distance"), "within")
+        out = own if out is None else out.union(own)
+    return out
+
+
 def without_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """Edges minus ``removed(src, dst)``, in both directions."""
     both = removed.select("src", "dst").union(removed.select("dst", "src")).distinct()

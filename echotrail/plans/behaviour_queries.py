@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
+from ..operators import marginal as M
 from ..operators import observe as O
 from ..operators import pattern as P
 from ..operators import rescore as R
+from ..sources.work import save
 from . import views as V
 from .feature_queries import _AVERAGES_SQL, OFF_TIES, _round
-from .graph_queries import TOP, event_edges
+from .graph_queries import TOP
 from .hmm_sql import OBSERVED, PHASES, decoded_sql, session_sql
 from .pattern_sql import top_sql
 from .registry import query, table
@@ -50,9 +52,10 @@ def links_limit_250(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source", "target").agg(F.count("*").alias("n"), F.max("time").alias("until"))
 
 
-def top_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_triangles(transactions: DataFrame) -> DataFrame:
     """The best triangles as matches 0, 1, ...; at most TOP rows are numbered."""
-    found = P.top_matches(event_edges(spark, sf_dir), P.TRIANGLE, TOP)
+    edges = save(M.symmetric_edges(M.marginal_graph(transactions)), "edges")
+    found = P.top_matches(edges, P.TRIANGLE, TOP)
     return found.withColumn("match", (F.row_number().over(W.orderBy(F.desc("score"), "n_0", "n_1", "n_2")) - 1).cast("long"))
 
 
@@ -65,7 +68,8 @@ _MATCHES_SQL = f"""{V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL},
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.match_links(V.txn_event(spark, sf_dir), top_triangles(spark, sf_dir))
+    transactions = V.txn_event(spark, sf_dir)
+    return O.match_links(transactions, top_triangles(transactions))
 
 
 @query("match_links", f"with {_MATCHES_SQL} select match, role_s, role_t, transid, source, target, time, usd from links")
@@ -146,7 +150,8 @@ def normalized_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.transaction_features(O.match_links(I.deviations(V.txn_event(spark, sf_dir)), top_triangles(spark, sf_dir)))
+    transactions = V.txn_event(spark, sf_dir)
+    return O.transaction_features(O.match_links(I.deviations(transactions), top_triangles(transactions)))
 
 
 @query(

@@ -148,7 +148,7 @@ def observation_dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("external_scores", f"with {_MATCHES_SQL} select match, n_0, n_1, n_2, case when match = 0 then 0.0 when match % 2 = 0 then n_0 / 8 end as score from matches")
 def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every second match from a file; the query's is 0, a missing one null."""
-    path, found = folder(spark, "scores"), top_triangles(spark, sf_dir)
+    path, found = folder(spark, "scores"), top_triangles(V.txn_event(spark, sf_dir))
     found.filter("match % 2 = 0").select("match", F.col("n_0") / 8).write.csv(path, sep="\t")
     return R.external_scores(found, readers.read_scores(spark, path)).select("match", "n_0", "n_1", "n_2", "score")
 
@@ -236,7 +236,7 @@ def graph_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def results_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best triangles as a table of text."""
-    rows = [r.asDict() for r in top_triangles(spark, sf_dir).orderBy("match").select("score", "n_0", "n_1", "n_2").collect()]
+    rows = [r.asDict() for r in top_triangles(V.txn_event(spark, sf_dir)).orderBy("match").select("score", "n_0", "n_1", "n_2").collect()]
     return spark.createDataFrame([(H.text_table(rows),)], "text string")
 
 

@@ -12,6 +12,7 @@ from ..operators import marginal as M
 from ..operators import shortlist as L
 from ..operators import signatures as S
 from ..operators.pattern import TRIANGLE, Pattern
+from ..sources.work import save
 from . import views as V
 from .feature_queries import _LOGS_SQL, OFF_TIES
 from .graph_queries import event_edges, written_event_edges
@@ -214,7 +215,25 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     select cast(max(d) as double) as diameter from (select node, other, min(d) as d from hop group by 1, 2)""",
 )
 def graph_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.diameter(event_edges(spark, sf_dir))
+    return G.diameter(event_edges(spark, sf_dir)).select("diameter")
+
+
+@query(
+    "shortest_path_routes",
+    _RECURSIVE_SQL
+    + """, walk(node, distance, hops) as (select min(src), cast(0 as double), 0 from sym union
+    select dst, min(distance + w) over (partition by dst), hops + 1 from walk join sym on src = node where hops < 12),
+    far as (select node, min(distance) as distance from walk group by node),
+    prev as (select y.node, min(x.node) as previous from far x join sym on src = x.node join far y on y.node = dst and y.distance = x.distance + w group by 1),
+    back(target, node, steps) as (select node, node, 0 from far union all select target, previous, steps + 1 from back join prev using (node))
+    select target, max(steps) over (partition by target) - steps as place, node, distance from back join (select node as n, distance from far) on n = node""",
+)
+def shortest_path_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes, with their distances, of a shortest path from the least node to every other one."""
+    edges = written_event_edges(spark, sf_dir)
+    found = G.predecessors(edges, save(G.shortest_paths(edges, edges.agg(F.min("src").alias("node"))), "distances"))
+    along = G.routes(found, found.select("source", F.col("node").alias("target")))
+    return along.join(found.select("node", "distance"), "node").select("target", "place", "node", "distance")
 
 
 @query(
@@ -225,3 +244,26 @@ def graph_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def neighbourhood_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbourhood_sizes(event_edges(spark, sf_dir))
+
+
+#: Hops of the estimates, and ranks a node carries for them.
+ESTIMATED_REACH = 3
+
+
+def _estimates_sql(ranks: int, seed: int = 1) -> str:
+    """The same least ranks: of the node itself, then of its neighbours, hop by hop."""
+    hops = "".join(
+        f""", h{d} as (select node, i, min(r) as r from (select node, i, r from h{d - 1} union all select src, i, r from sym join h{d - 1} on node = dst) group by 1, 2)"""
+        for d in range(1, ESTIMATED_REACH + 1)
+    )
+    each = " union all ".join(f"select node, {d} as distance, r from h{d}" for d in range(1, ESTIMATED_REACH + 1))
+    return f""", nodes as (select distinct src as node from sym),
+    h0 as (select node, 4 * j + p as i, cast('0x' || substr(md5('{seed}:' || j || ':' || node), 8 * p + 1, 8) as bigint) & 2147483647 as r
+      from nodes, range({ranks // 4}) a(j), range(4) b(p)){hops}
+    select node, distance, round({ranks - 1} / sum(-ln(1 - (r + 0.5) / 2147483648)), 4) as within from ({each}) group by 1, 2"""
+
+
+@query("neighbourhood_estimates", _RECURSIVE_SQL + _estimates_sql(G.RANKS))
+def neighbourhood_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.neighbourhood_estimates(written_event_edges(spark, sf_dir), ESTIMATED_REACH)
+    return found.select("node", "distance", F.round("within", 4).alias("within"))

@@ -173,7 +173,7 @@ def _aggregated(spark: SparkSession, sf_dir: str, matches: DataFrame) -> DataFra
     select m.match, '{{"nodes":[{{"name":"' || n_0 || '"}},{{"name":"' || n_1 || '"}},{{"name":"' || n_2 || '"}}],"links":[' || coalesce(l, '') || ']}}' as json from matches m left join whole on whole.match = m.match""",
 )
 def sankey_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = top_triangles(spark, sf_dir)
+    matches = top_triangles(V.txn_event(spark, sf_dir))
     return H.sankey(matches, _aggregated(spark, sf_dir, matches), top_phases(spark, sf_dir))
 
 
@@ -185,7 +185,7 @@ def sankey_json(spark: SparkSession, sf_dir: str) -> DataFrame:
       || '"}}],"links":[' || coalesce(l, '') || ']}}' as json from matches m left join lists on lists.match = m.match""",
 )
 def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = top_triangles(spark, sf_dir)
+    matches = top_triangles(V.txn_event(spark, sf_dir))
     return H.results_json(matches, _aggregated(spark, sf_dir, matches))
 
 
@@ -196,4 +196,5 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when span >= 172800000 then 'days' when span >= 7200000 then 'hours' when span >= 120000 then 'minutes' else 'seconds' end as unit from links join spans using (match)""",
 )
 def time_plot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.time_plot_rows(O.match_links(V.txn_event(spark, sf_dir), top_triangles(spark, sf_dir)))
+    transactions = V.txn_event(spark, sf_dir)
+    return H.time_plot_rows(O.match_links(transactions, top_triangles(transactions)))

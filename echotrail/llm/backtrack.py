@@ -164,15 +164,17 @@ class Codec:
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The pair-compatibility table: whether merging the bytes of both gives ``a`` and ``b``. Missing pairs are worked out."""
+        most = PAIRS // 2
+        if len(a) > most:
+            return np.concatenate([self.fits(a[lo : lo + most], b[lo : lo + most]) for lo in range(0, len(a), most)])
+        if self._known + len(a) > most:
+            self._new_pairs()
         keys = a << 32 | b
         slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - PAIRS.bit_length())).astype(np.int64)
         wrong = np.flatnonzero(self._keys[slot] != keys)
         while len(wrong):
             new = wrong[self._keys[slot[wrong]] < 0]
             for i in new.tolist():
-                if self._known >= PAIRS // 2:
-                    self._new_pairs()
-                    return self.fits(a, b)
                 at = slot[i]
                 if self._keys[at] < 0:
                     self._keys[at], self._fits[at] = keys[i], self._apart(int(a[i]), int(b[i]))

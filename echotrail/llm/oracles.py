@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import media as media_op
-from .rules import GAMMA, LEAST, LEVELS, REACH, RULES
+from .rules import GAMMA, MIX, REACH, RULES, SKETCHED, STRETCH_BUCKETS, THIN, UNIT
 
 #: Exact all-pairs similarity by shared shingles, and reachability over the links.
 NEAR_DEDUP = r"""
@@ -40,24 +40,17 @@ from t join kept on kept.doc_id = t.doc_id left join spans on spans.doc_id = t.d
 def quality_rules(off_ties: float) -> str:
     """The counts by regular expressions and windows, and the cutoffs from the same logarithmic buckets."""
     ratios = ", ".join(f"coalesce(case when {r.split('/')[1]} <> 0 then {r} end, 0.0) as {k}" for k, (r, _) in RULES.items())
-    flat = " union all ".join(f"select lang, source, '{k}' as rule, {k} as x, {tail} as tail from rows where not base_failed" for k, (_, tail) in RULES.items())
+    ratio = lambda r: f"coalesce(case when {r.split('/')[1]} <> 0 then {r} end, 0.0)"
+    flat = " union all ".join(f"select lang, source, '{k}' as rule, {ratio(r)} as x from rows where not base_failed" for k, r in SKETCHED.items())
+    fenced = ", ".join(f"'{k}'" for k, (_, unit) in RULES.items() if unit is None)
+    value = lambda b: f"case when {b} > -1073741824 then exp({b} * ln({GAMMA})) * (1 + 1e-9) when {b} is not null then 0 end"
 
-    def level(name: str) -> str:
-        keys = LEVELS[name]
-        by = "".join(f"{k}, " for k in keys)
-        size = f"having any_value(size) >= {LEAST}" if keys else ""
-        return f"""c_{name} as (select {by}rule, bucket, count(*) as n, any_value(tail) as tail from flat group by {by}rule, bucket),
-        u_{name} as (select *, sum(n) over (partition by {by}rule order by bucket) as upto, sum(n) over (partition by {by}rule) as size,
-          case when bucket > -1073741824 then exp(bucket * ln({GAMMA})) * (1 + 1e-9) else 0 end as value from c_{name}),
-        q_{name} as (select {by}rule, min(case when 1000 * upto >= size * 250 then value end) as q1, min(case when 1000 * upto >= size * 750 then value end) as q3,
-          min(case when 1000 * upto >= size * (1000 - tail) then value end) as high from u_{name} group by {by}rule {size}),
-        k_{name} as (select {by}rule, greatest(high, q3 + {REACH} * (q3 - q1)) as cut from q_{name})"""
+    def share(key: str) -> str:
+        """A group's part of its language's, or source's, sketch."""
+        return f"""select groups.lang, groups.source, groups.rule, bucket, ({MIX * UNIT} * n) // size as weight from groups join
+          (select {key}, rule, bucket, sum(n) as n, sum(sum(n)) over (partition by {key}, rule) as size from sketch group by 1, 2, 3) p on p.rule = groups.rule and p.{key} is not distinct from groups.{key}"""
 
-    def one(name: str, k: str) -> str:
-        same = "".join(f"k_{name}.{c} is not distinct from rows.{c} and " for c in LEVELS[name])
-        return f"(select cut from k_{name} where {same}rule = '{k}') as {k}_{name}"
-
-    cut = lambda k: f"coalesce({k}_own, greatest(coalesce({k}_lang, {k}_source), coalesce({k}_source, {k}_lang)), {k}_all) as {k}_cutoff"
+    one = lambda k: f"(select cut from cuts where cuts.lang is not distinct from rows.lang and cuts.source is not distinct from rows.source and rule = '{k}') as {k}_cutoff"
     rounded = ", ".join(f"round({c} + {off_ties}, 6) as {c}" for k in RULES for c in (k, f"{k}_cutoff"))
     within = " and ".join(f"coalesce({k} <= {k}_cutoff, true)" for k in RULES)
     return rf"""
@@ -72,9 +65,19 @@ base as (select t.doc_id, lang, source, len(ws) as n_words, cast(coalesce(list_s
   from t left join lines on lines.doc_id = t.doc_id left join covered on covered.doc_id = t.doc_id),
 rows as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {ratios} from base),
 flat as (select *, case when x > 0 then ceil(ln(x) / ln({GAMMA})) else -1073741824 end as bucket from ({flat})),
-{", ".join(map(level, LEVELS))},
-near as (select *, {", ".join(one(n, k) for k in RULES for n in LEVELS)} from rows),
-found as (select *, {", ".join(cut(k) for k in RULES)} from near)
+sketch as (select lang, source, rule, bucket, count(*) as n from flat group by all),
+groups as (select distinct lang, source, rule from sketch),
+mixed as (select lang, source, rule, bucket, sum(weight) as weight from (select lang, source, rule, bucket, n * {UNIT} as weight from sketch
+  union all {share("lang")} union all {share("source")}) group by all),
+least as (select lang, source, rule, min(case when 2 * upto >= size then bucket end) as bucket from (select *, sum(weight) over (g order by bucket) as upto, sum(weight) over (g) as size
+  from mixed where rule like '%\_unit' escape '\' window g as (partition by lang, source, rule)) group by 1, 2, 3),
+floored as (select *, false as floor from mixed where rule not like '%\_unit' escape '\' union all select lang, source, left(rule, length(rule) - 5), bucket, 0, true from least),
+ranked as (select *, sum(weight) over (g order by bucket) as upto, coalesce(sum(weight) over (g order by bucket range between 1 following and {STRETCH_BUCKETS} following), 0) as near,
+  sum(weight) over (g) as size, min(case when floor then bucket end) over (g) as start from floored window g as (partition by lang, source, rule)),
+ends as (select lang, source, rule, min(case when 4 * upto >= size then bucket end) as q1, min(case when 4 * upto >= 3 * size then bucket end) as q3,
+  min(case when bucket >= start and 4 * upto >= 3 * size and size - upto - near > 0 and {THIN} * near <= size - upto - near then bucket end) + {STRETCH_BUCKETS} as gap from ranked group by 1, 2, 3),
+cuts as (select lang, source, rule, case when rule in ({fenced}) then {value("q3")} + {REACH} * ({value("q3")} - {value("q1")}) else {value("gap")} end as cut from ends),
+found as (select *, {", ".join(map(one, RULES))} from rows)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {within} as kept, {rounded} from found
 """
 

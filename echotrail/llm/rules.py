@@ -3,14 +3,20 @@
 Each document's ratios are bucketed on a logarithmic scale; the counts per
 language, source and bucket are a quantile sketch with a relative error of
 GAMMA - 1 that merges by addition (so Spark's partial aggregation merges it,
-and a language's sketch is the sum of its sources'). A rule rejects what is an
-outlier of its group and among the group's worst: the cutoff is the larger of
-the outer fence (third quartile plus REACH interquartile ranges) and of the
-quantile that leaves the rule's tail above it. Both come from the sketch;
-no cutoff is a constant. Where a ratio is 0 for most of a group, the quantile
-decides, where it spreads, the fence does. A group under LEAST documents uses
-the more lenient of its source's and its language's sketches, without such of
-LEAST the whole corpus'. Cutoffs are joined back and filter the documents.
+and a language's sketch is the sum of its sources'). A group's sketch is mixed
+with MIX documents' worth of its language's and as many of its source's, so
+that a small group leans on them and a large one does not, without a size at
+which it turns. Weights are whole numbers, UNIT for a document.
+
+A rule rejects outliers of the mixed sketch, and nothing where there are none.
+Word lengths spread, so theirs are beyond the outer fence (third quartile plus
+REACH interquartile ranges). The other ratios are 0 for most documents and have
+no such spread: an outlier is a value that stands apart, in the upper quarter
+and behind a stretch of STRETCH times any value that hardly a document fills (a
+THIN-th of what lies behind it). The stretch begins at the least that a typical
+document of the group can have, one occurrence in its length (the median of
+that from a sketch of its own), or further up. No share of a group is fixed.
+Cutoffs are joined back and filter the documents.
 
 Nulls: a null text has no words and fails the base rules; null languages and
 sources are groups of their own. Every row of the input gets a row: rows that
@@ -29,18 +35,22 @@ from pyspark.sql import functions as F
 from .common import Work, map_batches, slices, table, texts_of
 from .stats import document_counts
 
-GAMMA, REACH, LEAST = 1.02, 3.0, 100
+GAMMA, REACH = 1.02, 3.0
+MIX, UNIT = 25, 1_000_000
+STRETCH, THIN = 8.0, 50
 #: Added before the query rounds, so that no value ends in ...5.
 OFF_TIES = 1e-8
-#: Ratio, and its tail: how many of a thousand documents of a group the rule may reject.
+#: Ratio, and what one occurrence makes of it; without, the ratio has a fence.
 RULES = {
-    "symbol_ratio": ("n_symbols / word_chars", 100),
-    "repeat_ratio": ("n_repeat_words / n_words", 4),
-    "dup_line_ratio": ("n_dup_lines / n_lines", 4),
-    "word_length": ("word_chars / n_words", 100),
+    "symbol_ratio": ("n_symbols / word_chars", "1 / word_chars"),
+    "repeat_ratio": ("n_repeat_words / n_words", "3 / n_words"),
+    "dup_line_ratio": ("n_dup_lines / n_lines", "1 / n_lines"),
+    "word_length": ("word_chars / n_words", None),
 }
-#: Groupings whose sketches give cutoffs, by the suffix of their columns.
-LEVELS = {"own": ("lang", "source"), "lang": ("lang",), "source": ("source",), "all": ()}
+#: What is sketched.
+SKETCHED = {k: r for k, (r, _) in RULES.items()} | {f"{k}_unit": u for k, (_, u) in RULES.items() if u}
+#: The buckets of a stretch.
+STRETCH_BUCKETS = int(np.log(STRETCH) / np.log(GAMMA))
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,21 +78,42 @@ def _value(bucket: str) -> Column:
     return F.when(F.col(bucket) > -(2**30), F.exp(F.col(bucket) * float(np.log(GAMMA))) * (1 + 1e-9)).otherwise(0.0)
 
 
-def _cutoffs(sketch: DataFrame, level: str) -> DataFrame:
-    """The cutoffs that merged sketches give, a row for each group of the level."""
-    keys = LEVELS[level]
-    total = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-    group = W.partitionBy(*keys, "rule")
-    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    tail = F.coalesce(*[F.when(F.col("rule") == k, F.lit(t)) for k, (_, t) in RULES.items()])
-    ranked = total.select("*", upto.alias("upto"), F.sum("n").over(group).alias("size"), _value("bucket").alias("value"), tail.alias("tail"))
-    at = lambda share: F.min(F.when(1000 * F.col("upto") >= F.col("size") * share, F.col("value")))
-    found = ranked.groupBy(*keys, "rule").agg(
-        at(250).alias("q1"), at(750).alias("q3"), at(1000 - F.col("tail")).alias("high"), F.first("size").alias("size")
+def mixed(sketch: DataFrame) -> DataFrame:
+    """lang, source, rule, bucket and weight: each group's counts with its share of its language's and its source's."""
+    groups = sketch.select("lang", "source", "rule").distinct()
+    parts = [sketch.select("lang", "source", "rule", "bucket", (F.col("n") * UNIT).alias("weight"))]
+    for key in ("lang", "source"):
+        whole = sketch.groupBy(key, "rule", "bucket").agg(F.sum("n").alias("n"))
+        size = F.sum("n").over(W.partitionBy(key, "rule"))
+        whole = whole.select(F.col(key).alias("_key"), F.col("rule").alias("_rule"), "bucket", F.col("n"), size.alias("size"))
+        given = groups.join(whole, F.col(key).eqNullSafe(F.col("_key")) & (F.col("rule") == F.col("_rule")))
+        parts.append(given.select("lang", "source", "rule", "bucket", F.expr(f"({MIX * UNIT} * n) div size").alias("weight")))
+    every = parts[0].union(parts[1]).union(parts[2])
+    return every.groupBy("lang", "source", "rule", "bucket").agg(F.sum("weight").alias("weight"))
+
+
+def cutoffs(sketch: DataFrame) -> DataFrame:
+    """lang, source and the cutoff of each rule, null where it has no outliers."""
+    group = W.partitionBy("lang", "source", "rule")
+    upto = F.sum("weight").over(group.orderBy("bucket").rangeBetween(W.unboundedPreceding, 0))  # with what a floor shares its bucket with
+    near = F.coalesce(F.sum("weight").over(group.orderBy("bucket").rangeBetween(1, STRETCH_BUCKETS)), F.lit(0))
+    size, share = F.sum("weight").over(group), lambda n, of: F.min(F.when(of * F.col("upto") >= n * F.col("size"), F.col("bucket")))
+    weights = mixed(sketch)
+    least = weights.filter(F.col("rule").endswith("_unit")).select("*", upto.alias("upto"), size.alias("size"))
+    least = least.groupBy("lang", "source", "rule").agg(share(1, 2).alias("bucket"))
+    floors = least.select("lang", "source", F.expr("left(rule, length(rule) - 5)").alias("rule"), "bucket", F.lit(True).alias("floor"), F.lit(0).alias("weight"))
+    rows = weights.filter(~F.col("rule").endswith("_unit")).select("lang", "source", "rule", "bucket", F.lit(False).alias("floor"), "weight").union(floors)
+    start = F.min(F.when(F.col("floor"), F.col("bucket"))).over(group)
+    ranked = rows.select("*", upto.alias("upto"), near.alias("near"), size.alias("size"), start.alias("start"))
+    far = F.col("size") - F.col("upto") - F.col("near")
+    apart = (F.col("bucket") >= F.col("start")) & (4 * F.col("upto") >= 3 * F.col("size")) & (far > 0) & (THIN * F.col("near") <= far)
+    found = ranked.groupBy("lang", "source", "rule").agg(
+        share(1, 4).alias("q1"), share(3, 4).alias("q3"), (F.min(F.when(apart, F.col("bucket"))) + STRETCH_BUCKETS).alias("gap")
     )
-    cut = F.greatest("high", F.col("q3") + REACH * (F.col("q3") - F.col("q1")))
-    found = found.filter(F.col("size") >= (LEAST if keys else 0)).select(*keys, "rule", cut.alias("cut"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"{k}_{level}") for k in RULES])
+    fenced = F.col("rule").isin([k for k, (_, unit) in RULES.items() if unit is None])
+    fence = _value("q3") + REACH * (_value("q3") - _value("q1"))
+    found = found.select("lang", "source", "rule", F.when(fenced, fence).when(F.col("gap").isNotNull(), _value("gap")).alias("cut"))
+    return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"{k}_cutoff") for k in RULES])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, work: Work | None = None) -> DataFrame:
@@ -90,25 +121,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, work: Work | None = None
     work = work or Work(spark, "rules")
     counts = work.save(rule_counts(docs), "counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    ratio = lambda text: F.coalesce(F.try_divide(*[F.col(c.strip()) for c in text.split("/")]), F.lit(0.0))
+    ratio = lambda text: F.coalesce(F.try_divide(*[F.expr(c) for c in text.split("/")]), F.lit(0.0))
     rows = counts.withColumns({"base_failed": failed, **{k: ratio(r) for k, (r, _) in RULES.items()}})
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bucket(F.col(k)).alias("bucket")) for k in RULES]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bucket(ratio(r)).alias("bucket")) for k, r in SKETCHED.items()]))
     sketch = (
         rows.filter(~F.col("base_failed")).select("lang", "source", each.alias("e"))
         .groupBy("lang", "source", "e.rule", "e.bucket").agg(F.count("*").alias("n"))
     )
     sketch = work.save(sketch, "sketch")
-    for level, keys in LEVELS.items():
-        cut = _cutoffs(sketch, level)
-        if keys:
-            names = {k: f"_{k}" for k in keys}
-            cut = cut.withColumnsRenamed(names)
-            on = [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]
-            rows = rows.join(cut, on, "left").drop(*names.values())
-        else:
-            rows = rows.join(F.broadcast(cut), how="left")  # one row
-    cutoff = {f"{k}_cutoff": F.coalesce(f"{k}_own", F.greatest(f"{k}_lang", f"{k}_source"), f"{k}_all") for k in RULES}
-    rows = rows.withColumns(cutoff).drop(*[f"{k}_{n}" for k in RULES for n in LEVELS])
+    cut = cutoffs(sketch).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    rows = rows.join(cut, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     within = ~F.col("base_failed")
     for k in RULES:
         within = within & F.coalesce(F.col(k) <= F.col(f"{k}_cutoff"), F.lit(True))

@@ -273,21 +273,40 @@ def test_cutoffs_follow_each_group(spark):
     assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(150))
 
 
-@pytest.mark.parametrize("rule, share", [("symbol_ratio", 0.9), ("repeat_ratio", 0.996)])
-def test_sketched_cutoffs_are_within_the_error(spark, rule, share):
-    from pyspark.sql import functions as F
-
-    def cutoff(values):
-        frame = spark.createDataFrame([(v,) for v in values], "v double")
-        sketch = frame.select(F.lit(rule).alias("rule"), rules._bucket(F.col("v")).alias("bucket")).groupBy("rule", "bucket").agg(F.count("*").alias("n"))
-        return rules._cutoffs(sketch, "all").first()[f"{rule}_all"]
-
-    rng = random.Random(3)
-    spread = [rng.random() for _ in range(500)]
-    q1, q3 = np.quantile(spread, [0.25, 0.75], method="inverted_cdf")
-    assert cutoff(spread) == pytest.approx(q3 + rules.REACH * (q3 - q1), rel=0.08)
-    mostly_zero = [rng.random() * (i % 5 == 0) for i in range(500)]
-    assert cutoff(mostly_zero) == pytest.approx(np.quantile(mostly_zero, share, method="inverted_cdf"), rel=0.021)
+def _rejected(spark, symbols: dict[str, list[int]]) -> dict[str, list[int]]:
+    """Which of documents of 200 words, with so many symbols each, the rules reject in each source."""
+    rows, at = [], {}
+    for group, counts in symbols.items():
+        for i, n in enumerate(counts):
+            words = [f"word{(i * 200 + j) % 9973:04d}" for j in range(200)]
+            words[:n] = [w + "#" for w in words[:n]]
+            at[len(rows)] = (group, i)
+            rows.append((len(rows), " ".join(words), "en", group))
+    found: dict[str, list[int]] = {g: [] for g in symbols}
+    for r in rules.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).filter("not kept").collect():
+        found[at[r.doc_id][0]].append(at[r.doc_id][1])
+    return {g: sorted(x) for g, x in found.items()}
+
+
+def test_symbols_are_rejected_only_where_they_stand_apart(spark):
+    """Ordinary use by a tenth, or by most, rejects nothing; junk far above either is rejected."""
+    ordinary = [i % 6 if i % 10 == 0 else 0 for i in range(300)]
+    assert _rejected(spark, {"a": ordinary, "b": [5 + i % 20 for i in range(300)]}) == {"a": [], "b": []}
+    assert _rejected(spark, {"a": [*ordinary, 150, 180]}) == {"a": [300, 301]}
+    assert _rejected(spark, {"a": [0] * 300}) == {"a": []}
+
+
+def test_cutoffs_differ_between_groups(spark):
+    """What is junk in a plain source is common in a marked one."""
+    found = _rejected(spark, {"plain": [0] * 400 + [120] * 8, "marked": [100 + i % 60 for i in range(400)]})
+    assert found["plain"] == list(range(400, 408)) and found["marked"] == []
+
+
+def test_no_size_at_which_a_group_turns(spark):
+    """A small group leans on its language's sketch, more or less, and judges alike."""
+    sizes = (6, 20, 60, 99, 100, 101, 300)
+    found = _rejected(spark, {"plain": [0] * 400 + [120] * 8} | {f"of {n}": [0] * n + [120] for n in sizes})
+    assert all(found[f"of {n}"] == [n] for n in sizes)
 
 
 def _verdicts(rows: list[tuple]) -> dict[int, bool]:
@@ -297,23 +316,46 @@ def _verdicts(rows: list[tuple]) -> dict[int, bool]:
     ratio = lambda a, b: a / b if b else 0.0
     found = {d: (ratio(c[2], c[1]), ratio(c[4], c[0]), ratio(c[3], n_lines[d]), ratio(c[1], c[0])) for d, c in counts.items()}
     base = {d for d, c in counts.items() if c[0] < 50 or 100 * c[4] > 50 * c[0]}
-    edge = lambda x: rules.GAMMA ** np.ceil(np.log(x) / np.log(rules.GAMMA)) * (1 + 1e-9) if x > 0 else 0.0
-
-    def cut(i: int, tail: int, lang: object, source: object) -> float | None:
-        values = sorted(edge(found[r[0]][i]) for r in rows if r[0] not in base and lang in (Ellipsis, r[2]) and source in (Ellipsis, r[3]))
-        if not values or (len(values) < rules.LEAST and (lang, source) != (Ellipsis, Ellipsis)):
-            return None
-        at = lambda share: values[-(-len(values) * share // 1000) - 1]
-        return max(at(1000 - tail), at(750) + rules.REACH * (at(750) - at(250)))
-
-    kept = {}
+    unit = {d: (ratio(1, c[1]), ratio(3, c[0]), ratio(1, n_lines[d])) for d, c in counts.items()}
+    bucket = lambda x: int(np.ceil(np.log(x) / np.log(rules.GAMMA))) if x > 0 else -(2**30)
+    value = lambda b: rules.GAMMA**b * (1 + 1e-9) if b > -(2**30) else 0.0
+    upto = lambda w, b: sum(n for x, n in w.items() if x <= b)
+    at = lambda w, share: min(b for b in w if upto(w, b) >= share * sum(w.values()))
+
+    def weights(of: dict, i: int, lang: object, source: object) -> Counter:
+        """Each row by itself; then those of the language and of the source, bucket by bucket."""
+        out, whole = Counter(), {"lang": Counter(), "source": Counter()}
+        for d, _, x, y in rows:
+            if d not in base:
+                b = bucket(of[d][i])
+                out[b] += rules.UNIT * ((x, y) == (lang, source))
+                whole["lang"][b] += x == lang
+                whole["source"][b] += y == source
+        for part in whole.values():
+            for b, n in part.items():
+                out[b] += rules.MIX * rules.UNIT * n // sum(part.values())
+        return +out
+
+    def cut(i: int, kind: str | None, lang: object, source: object) -> float | None:
+        own = weights(found, i, lang, source)
+        size = sum(own.values())
+        if kind is None:
+            return value(at(own, 0.75)) + rules.REACH * (value(at(own, 0.75)) - value(at(own, 0.25)))
+        start = at(weights(unit, i, lang, source), 0.5)
+        for b in sorted({start, *own}):
+            near, far = upto(own, b + rules.STRETCH_BUCKETS) - upto(own, b), size - upto(own, b + rules.STRETCH_BUCKETS)
+            if b >= start and 4 * upto(own, b) >= 3 * size and far > 0 and rules.THIN * near <= far:
+                return value(b + rules.STRETCH_BUCKETS)
+        return None
+
+    kept, cuts = {}, {}
     for d, _, lang, source in rows:
         kept[d] = d not in base
-        for i, (_, tail) in enumerate(rules.RULES.values()):
-            own = cut(i, tail, lang, source)
-            near = [c for c in (cut(i, tail, lang, Ellipsis), cut(i, tail, Ellipsis, source)) if c is not None]
-            limit = own if own is not None else max(near) if near else cut(i, tail, Ellipsis, Ellipsis)
-            kept[d] &= limit is None or found[d][i] <= limit
+        for i, (_, kind) in enumerate(rules.RULES.values()):
+            if kept[d]:
+                if (i, lang, source) not in cuts:
+                    cuts[i, lang, source] = cut(i, kind, lang, source)
+                kept[d] = cuts[i, lang, source] is None or found[d][i] <= cuts[i, lang, source]
     return kept
 
 

@@ -222,8 +222,8 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
     node with the most edges, its centre c. A pair further apart than the best
     distance known has a node x with 2 d(c, x) above it, whose upper bound is
     above it too; the later rounds search from such nodes, those with the
-    highest upper or the lowest lower bounds in turn, as many as a task follows and
-    twice as many each time (AT_ONCE at most), until none is left. One-way edges have no such bounds:
+    highest upper or the lowest lower bounds in turn, four times as many each time
+    (AT_ONCE at most), until none is left. One-way edges have no such bounds:
     all sources are searched, in blocks of which only the maximum is kept.
     """
     spark, edges = edges.sparkSession, save(_lightest(edges, weighted), "edges")
@@ -244,7 +244,7 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
         else:
             left = nodes.filter(~F.col("done") & (F.col("upper") > best) & (2 * F.col("centre") > best))
             order = [F.desc("upper"), "lower"] if n_round % 2 else ["lower", F.desc("upper")]
-            picks = left.orderBy(*order, F.desc("count"), "node").limit(min(SOURCES_OF_A_TASK << n_round - 1, AT_ONCE)).select("node")
+            picks = left.orderBy(*order, F.desc("count"), "node").limit(min(4**n_round, AT_ONCE)).select("node")
         picks = rounds.save(picks)
         n = picks.count()
         if not n:

@@ -5,6 +5,12 @@ closed as early as possible), finds its automorphisms, and turns them into
 ``<`` predicates, so each set of automorphic matches is found once. The
 matches are a chain of equi-joins over the symmetric edge table, ending in a
 top-K that never sorts all of them.
+
+With bounds (``top_matches_bounded``) a partial match carries its score and
+what its missing edges weigh at most, from the heaviest edges of its nodes, and
+is dropped once it can't reach a score that k matches are known to have. A role
+that closes a cycle is taken from the shorter of the two neighbour lists and
+looked up in the other, so that a hub's list is never gone through.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import save
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -153,6 +161,116 @@ def top_matches_in_batches(
     return top_matches(edges, pattern, k, None, injective, all_images)
 
 
+def bounded_edges(edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Edges with both nodes' types (0 without), degrees and heaviest edge to each type (a map of at most as many entries as types)."""
+    if types is None:
+        typed = edges.select("src", "dst", "w", F.lit(0).alias("t"))
+    else:
+        typed = edges.select("src", "dst", "w").join(types.select(F.col("node").alias("dst"), F.col("type").cast("int").alias("t")), "dst")
+    by_type = typed.groupBy("src", "t").agg(F.max("w").alias("h"), F.count("*").alias("n"))
+    ends = by_type.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("t", "h"))).alias("h"), F.sum("n").alias("d"))
+    if types is not None:
+        ends = ends.join(types.select(F.col("node").alias("src"), F.col("type").cast("int").alias("t")), "src")
+    else:
+        ends = ends.withColumn("t", F.lit(0))
+    ends = save(ends, "ends")
+    sides = [ends.select(F.col("src").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("h", "d", "t")]) for c in ("src", "dst")]
+    return edges.select("src", "dst", "w").join(sides[0], "src").join(sides[1], "dst")
+
+
+def bounded_matches(
+    edges: DataFrame, pattern: Pattern, floor: float | None = None, injective: bool = True, all_images: bool = False, trace: list[DataFrame] | None = None
+) -> DataFrame:
+    """The matches of ``matches`` that score ``floor`` or more, from ``bounded_edges``; ``trace`` gets the partial matches after each step.
+
+    A missing edge weighs at most the heaviest edge that each of its bound
+    nodes has to the other role's type, or, with neither bound, the heaviest
+    of all; the rest is a sum of these, so no match that reaches the floor is
+    lost, whatever else its nodes are joined by.
+    """
+    kind = lambda r: pattern.types[r] if pattern.types is not None else 0
+    constraints = [] if all_images else pattern.order_constraints()
+    heaviest = None if floor is None else edges.agg(F.max("w")).first()[0]
+    plan, out, seen, bound = pattern.plan(), None, [], set()
+
+    def side(step: DataFrame, role: int, c: str) -> list[Column]:
+        return [F.col(c).alias(f"n_{role}"), F.col(f"h_{c}").alias(f"h_{role}"), F.col(f"d_{c}").alias(f"d_{role}")]
+
+    def of_types(step: DataFrame, roles: dict[str, int]) -> DataFrame:
+        return step.filter(reduce(lambda x, y: x & y, [F.col(f"t_{c}") == kind(r) for c, r in roles.items()])) if pattern.types is not None else step
+
+    def most(i: int, j: int) -> Column:
+        ends = [F.col(f"h_{p}")[F.lit(kind(q))] for p, q in ((i, j), (j, i)) if p in bound]
+        return F.least(*ends) if len(ends) == 2 else ends[0] if ends else F.lit(heaviest)
+
+    while plan:
+        (i, j), new = plan.pop(0), set()
+        if out is None:
+            step = of_types(edges, {"src": i, "dst": j})
+            out, edges_now, new = step.select(*side(step, i, "src"), *side(step, j, "dst"), F.col("w").alias("w_0")), [(i, j)], {i, j}
+        elif {i, j} <= bound:
+            step = edges.select(F.col("src").alias(f"n_{i}"), F.col("dst").alias(f"n_{j}"), F.col("w").alias(f"w_{len(seen)}"))
+            out, edges_now = out.join(step, [f"n_{i}", f"n_{j}"]), [(i, j)]
+        else:
+            step, w, new = of_types(edges, {"dst": j}), f"w_{len(seen)}", {j}
+            other = next((p if q == j else q for p, q in plan[:1] if j in (p, q) and {p, q} - {j} <= bound), None)
+            if other is None:
+                out, edges_now = out.join(step.select(F.col("src").alias(f"n_{i}"), *side(step, j, "dst"), F.col("w").alias(w)), f"n_{i}"), [(i, j)]
+            else:
+                plan.pop(0)
+                turned = F.col(f"d_{i}") > F.col(f"d_{other}")  # the shorter list is gone through, the other one asked
+                out = out.withColumns({"_near": F.when(turned, F.col(f"n_{other}")).otherwise(F.col(f"n_{i}")), "_far": F.when(turned, F.col(f"n_{i}")).otherwise(F.col(f"n_{other}"))})
+                out = out.join(step.select(F.col("src").alias("_near"), *side(step, j, "dst"), F.col("w").alias("_w")), "_near")
+                if trace is not None:
+                    trace.append(out)
+                out = out.join(edges.select(F.col("src").alias("_far"), F.col("dst").alias(f"n_{j}"), F.col("w").alias("_x")), ["_far", f"n_{j}"])
+                pair = {w: F.when(turned, F.col("_x")).otherwise(F.col("_w")), f"w_{len(seen) + 1}": F.when(turned, F.col("_w")).otherwise(F.col("_x"))}
+                out, edges_now = out.withColumns(pair).drop("_near", "_far", "_w", "_x"), [(i, j), (other, j)]
+        where: list[Column] = []
+        if injective:
+            where += [F.col(f"n_{r}") != F.col(f"n_{s}") for r in new for s in bound | new if s < r or s in bound]
+        for i, j in edges_now:
+            if not injective:
+                for p, q in seen:
+                    same = (F.col(f"n_{i}") == F.col(f"n_{p}")) & (F.col(f"n_{j}") == F.col(f"n_{q}"))
+                    turned = (F.col(f"n_{i}") == F.col(f"n_{q}")) & (F.col(f"n_{j}") == F.col(f"n_{p}"))
+                    where.append(~(same | turned))
+            seen.append((i, j))
+        bound |= new
+        where += [F.col(f"n_{p}") < F.col(f"n_{q}") for p, q in constraints if {p, q} <= bound and {p, q} & new]
+        if floor is not None:
+            scores = [F.col(f"w_{k}") for k in range(len(seen))] + [most(p, q) for p, q in plan]
+            where.append(reduce(lambda x, y: x + y, scores) >= floor)
+        out = out.filter(reduce(lambda x, y: x & y, where)) if where else out
+        if trace is not None:
+            trace.append(out)
+    score = reduce(lambda x, y: x + y, [F.col(f"w_{k}") for k in range(len(seen))])
+    return out.select(*[F.col(f"n_{r}") for r in range(pattern.roles)], score.alias("score"))
+
+
+#: Share of the edges whose matches with each other give the first floor, and what it is multiplied by while they are too few.
+FIRST_SHARE, GROWTH = 0.01, 10
+
+
+def top_matches_bounded(
+    edges: DataFrame, pattern: Pattern, k: int, types: DataFrame | None = None, injective: bool = True, all_images: bool = False, trace: list[DataFrame] | None = None
+) -> DataFrame:
+    """The rows of ``top_matches``: the k-th score among the matches of the heaviest edges alone is the floor for all edges."""
+    if injective and all_images:
+        return _best_images(top_matches_bounded(edges, pattern, k, types), pattern, k)
+    order = [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
+    whole, share, floor = save(bounded_edges(edges, types), "bounded"), FIRST_SHARE, None
+    while share < 1:
+        at = whole.agg(F.percentile_approx("w", 1 - share, 10000)).first()[0]
+        found = bounded_matches(whole.filter(F.col("w") >= at), pattern, None, injective, all_images).orderBy(F.desc("score")).limit(k)
+        last = found.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        if at is None or last.n == k:
+            floor = last.least if at is not None else None
+            break
+        share *= GROWTH
+    return bounded_matches(whole, pattern, floor, injective, all_images, trace).orderBy(*order).limit(k)
+
+
 def one_per_node_set(found: DataFrame, keep: str = "min") -> DataFrame:
     """Of matches on the same nodes the one with the lowest (or highest) score; ties by the node tuple."""
     roles = [c for c in found.columns if c.startswith("n_")]

@@ -130,6 +130,17 @@ _pattern_query("pattern_edge_distinct_path4", P.PATH4, injective=False, all_imag
 _pattern_query("pattern_triangle_topk_batched", P.TRIANGLE)
 
 
+def _bounded_query(name: str, pattern: P.Pattern, **options) -> None:
+    @query(name, _event_sql(top_sql(pattern, TOP, **options)))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.top_matches_bounded(written_event_edges(spark, sf_dir), pattern, TOP, **options)
+
+
+_bounded_query("pattern_triangle_topk_bounded", P.TRIANGLE)
+_bounded_query("pattern_square_topk_bounded", P.SQUARE)
+_bounded_query("pattern_edge_distinct_path4_bounded", P.PATH4, injective=False, all_images=True)
+
+
 _TYPED = P.Pattern(P.TRIANGLE.edges, (1, 2, 2))
 
 

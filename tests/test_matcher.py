@@ -132,3 +132,53 @@ def test_typed_paths_are_shortest(spark):
 
 def test_path_order():
     assert S.path_order(2, 2) == [(1,), (2,), (1, 1), (2, 1), (1, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("pattern", [P.EDGE, P.PATH3, P.TRIANGLE, P.STAR, P.SQUARE, P.PATH4, P.Pattern(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))])
+def test_bounded_search_finds_the_same(spark, pattern):
+    for seed in range(2):
+        weight, types = _graph(seed, nodes=9)
+        edges, _ = _frames(spark, weight, types)
+        for k, injective in ((4, True), (7, False), (1000, True)):
+            want = P.top_matches(edges, pattern, k, None, injective).collect()
+            assert P.top_matches_bounded(edges, pattern, k, None, injective).collect() == want
+
+
+def test_bounded_search_with_types(spark):
+    weight, types = _graph(5, nodes=10)
+    edges, frame = _frames(spark, weight, types)
+    for of in ((1, 1, 2), (1, 2, 2), (2, 2, 2), (1, 2, 3)):
+        pattern = P.Pattern(P.TRIANGLE.edges, of)
+        assert P.top_matches_bounded(edges, pattern, 5, frame).collect() == P.top_matches(edges, pattern, 5, frame).collect()
+
+
+def test_bounds_drop_partial_matches(spark):
+    """Far fewer partial matches than without a floor; a path closed inside a triangle, where no node is two hops off, is not lost."""
+    weight = {(a, b): 1 + (a * 7 + b * 13) % 50 for a in range(40) for b in range(a + 1, 40) if (a + b) % 3}
+    edges = spark.createDataFrame([(x, y, w) for (a, b), w in weight.items() for x, y in ((a, b), (b, a))], "src long, dst long, w long")
+    whole = P.save(P.bounded_edges(edges), "whole")
+    want = P.top_matches(edges, P.SQUARE, 5).collect()
+    free, bounded = [], []
+    P.bounded_matches(whole, P.SQUARE, None, trace=free)
+    P.bounded_matches(whole, P.SQUARE, want[-1].score, trace=bounded)
+    assert sum(x.count() for x in bounded) * 5 < sum(x.count() for x in free)
+    assert P.top_matches_bounded(edges, P.SQUARE, 5).collect() == want
+    small = [(0, 1, 9), (1, 2, 8), (0, 2, 7), (2, 3, 1)]
+    edges = spark.createDataFrame([(x, y, w) for a, b, w in small for x, y in ((a, b), (b, a))], "src long, dst long, w long")
+    got = P.top_matches_bounded(edges, P.PATH4, 3, injective=False, all_images=True).collect()
+    assert got[0].score == 24 and got == P.top_matches(edges, P.PATH4, 3, None, False, True).collect()
+
+
+def test_hubs_are_not_gone_through(spark):
+    """Two hubs of 10^5 neighbours: the cycle-closing role comes from the short lists."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    spokes = spark.range(2, n + 2).select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("src"), F.col("id").alias("dst"))
+    ring = spark.range(2, 52).select(F.col("id").alias("src"), (F.col("id") + 50).alias("dst"))
+    one = spokes.union(ring).select("src", "dst", F.lit(1).alias("w"))
+    whole = P.save(P.bounded_edges(one.union(one.select("dst", "src", "w"))), "whole")
+    trace = []
+    found = P.bounded_matches(whole, P.TRIANGLE, None, trace=trace)
+    assert found.count() == 100  # each ring edge with each hub
+    assert trace[1].count() < 5 * n  # through a hub's list it would be 10^10

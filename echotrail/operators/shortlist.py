@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,16 +29,54 @@ def product_order(ranks: list[Column]) -> list[Column]:
     return [top, mask, *ranks]
 
 
-def prioritized_product(lists: list[DataFrame]) -> DataFrame:
-    """All tuples of some ranked lists (item, rank) in prioritised order: ``place`` from 0.
+def product_ranks(spark: SparkSession, sizes: list[int], n: int) -> DataFrame:
+    """place and rank_0, rank_1, ...: the first ``n`` tuples of lists of these sizes in prioritised order, by index arithmetic.
 
-    Meant for short lists (a few exemplars' neighbours).
+    The tuples with highest rank h are a shell. In it, for each set of lists
+    that stand at h (a mask), the others count through their ranks below h,
+    the last one fastest. So the tuples before a shell, before a mask and
+    before a tuple are products, and every tuple is made from its place alone.
     """
-    out = None
+    m, total = len(sizes), int(np.prod(sizes, dtype=object))
+    n = min(n, total)
+    schema = "place long, " + ", ".join(f"rank_{i} int" for i in range(m))
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    within = lambda h: int(np.prod([min(s, h + 1) for s in sizes], dtype=object))
+    lo, hi = 0, max(sizes) - 1  # the first shell that ends at n or later
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if within(mid) >= n else (mid + 1, hi)
+    h, product = F.col("h"), lambda cs: reduce(lambda x, y: x * y, cs, F.lit(1).cast("decimal(38,0)")).cast("long")
+    at = lambda i, mask: (mask // (1 << (m - 1 - i))) % 2 == 1
+    below = [F.least(F.lit(s).cast("long"), h) for s in sizes]
+    masks = []
+    for mask in range(1, 1 << m):
+        reaches = reduce(lambda x, y: x & y, [F.lit(sizes[i]) > h for i in range(m) if at(i, mask)])
+        masks.append(F.struct(F.lit(mask).alias("mask"), F.when(reaches, product([below[i] for i in range(m) if not at(i, mask)])).otherwise(0).alias("size")))
+    shells = spark.range(lo + 1).select(F.col("id").alias("h"))
+    blocks = shells.select("h", product(below).alias("before"), F.array(*masks).alias("masks")).select("h", "before", F.posexplode("masks").alias("k", "x"), "masks")
+    earlier = F.aggregate(F.slice("masks", 1, F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x["size"])
+    starts = blocks.select("h", "x.mask", "x.size", (F.col("before") + earlier).alias("start")).filter((F.col("size") > 0) & (F.col("start") < n))
+    each = starts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least("size", F.lit(n) - F.col("start")) - 1)).alias("offset"))
+    ranks, step = [], F.lit(1).cast("long")
+    for i in reversed(range(m)):
+        own = F.floor(F.col("mask") / (1 << (m - 1 - i))) % 2 == 1
+        ranks.append(F.when(own, h).otherwise(F.pmod(F.floor(F.col("offset") / step), F.greatest(below[i], F.lit(1)))).cast("int").alias(f"rank_{i}"))
+        step = F.when(own, step).otherwise(step * F.greatest(below[i], F.lit(1)))
+    return each.select((F.col("start") + F.col("offset")).alias("place"), *reversed(ranks))
+
+
+def prioritized_product(lists: list[DataFrame], n: int | None = None) -> DataFrame:
+    """The first ``n`` tuples (all by default) of some ranked lists (item, rank from 0 without gaps) in prioritised order: ``place`` from 0.
+
+    Only these tuples are made, each list's items are joined to them by rank.
+    """
+    sizes = [one.count() for one in lists]
+    out = product_ranks(lists[0].sparkSession, sizes, int(np.prod(sizes, dtype=object)) if n is None else n)
     for i, one in enumerate(lists):
-        own = one.select(F.col("item").alias(f"item_{i}"), F.col("rank").alias(f"rank_{i}"))
-        out = own if out is None else out.crossJoin(own)
-    return out.orderBy(*product_order([F.col(f"rank_{i}") for i in range(len(lists))]))
+        out = out.join(one.select(F.col("item").alias(f"item_{i}"), F.col("rank").cast("int").alias(f"rank_{i}")), f"rank_{i}")
+    return out.select(*[f"{c}_{i}" for i in range(len(lists)) for c in ("item", "rank")], "place").orderBy("place")
 
 
 def _covers(roles: int) -> list[tuple[tuple[int, int], ...]]:

@@ -197,6 +197,26 @@ def prioritized_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.prioritized_product(lists)
 
 
+#: The session setting that names a database for the round trip; without it a local master's own, in memory.
+DATABASE = "spark.echotrail.jdbc.url"
+
+
+@query(
+    "relational_round_trip",
+    f"with {V.EVENT_SQL} select transid, source, target, time, usd from txn where usd > 25 and source < 100",
+)
+def relational_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions to a database and back, in ranges of their ids; the filter and the columns go to the database."""
+    url = spark.conf.get(DATABASE, None)
+    if url is None:
+        spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+        url = "jdbc:derby:memory:echotrail;create=true"
+    transactions = V.txn_event(spark, sf_dir).select("transid", "source", "target", "time", "amount", "usd")
+    writers.write_jdbc(transactions, url, "transactions")
+    back = readers.read_jdbc_ranges(spark, url, "transactions", "transid")
+    return back.filter("usd > 25 and source < 100").select("transid", "source", "target", "time", "usd")
+
+
 #: Nodes whose links make a pattern.
 _EXAMPLE = (1, 2, 3, 4)
 

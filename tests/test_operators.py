@@ -350,6 +350,23 @@ def test_files(spark, tmp_path, scenario):
     assert readers.h2_url("/d", "x").startswith("jdbc:h2:file:/d/x") and readers.mysql_url("x") == "jdbc:mysql://localhost:3306/x"
 
 
+def test_database_round_trip(spark):
+    """Written in batches, read in ranges whose bounds the database gives; filter and columns are pushed to it."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = "jdbc:derby:memory:tests;create=true"
+    rows = spark.range(3, 1003).select("id", (F.col("id") % 7).alias("k"), F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") % 5 > 0, F.col("id") / 4).alias("x"))
+    writers.write_jdbc(rows.repartition(3), url, "things", batch=64)
+    assert readers.jdbc_bounds(spark, url, "things", "id") == (3, 1002)
+    back = readers.read_jdbc_ranges(spark, url, "things", "id", parts=8)
+    assert back.rdd.getNumPartitions() == 8 and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    few = back.filter("k = 3 and x > 100").select("name")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,3)" in plan and "GreaterThan(x,100.0)" in plan and "ReadSchema: struct<name:string>" in plan
+    assert sorted(r.name for r in few.collect()) == sorted(r.name for r in rows.filter("k = 3 and x > 100").collect())
+    writers.write_jdbc(rows.limit(0), url, "things")
+    assert readers.jdbc_bounds(spark, url, "things", "id") is None and readers.read_jdbc_ranges(spark, url, "things", "id").count() == 0
+
+
 def test_streams_add_up_to_the_batch(spark, tmp_path, scenario):
     path = str(tmp_path / "in")
     scenario.repartition(1).write.parquet(path)

@@ -12,7 +12,7 @@ from ..sources.work import save
 from .pattern import Pattern
 
 
-def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame:
+def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2, starts: DataFrame | None = None) -> DataFrame:
     """(node, depth, path, end, weight): for each end at exactly that hop distance and each
     type path that reaches it in as many hops, the greatest total weight.
 
@@ -23,11 +23,12 @@ def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame
     node and end together, so a hub's neighbourhood is no task of its own. The
     edges are written once: with their size known, the planner sends a small
     edge table to the paths' partitions, and only a large one is joined by
-    shuffling the paths.
+    shuffling the paths. ``starts(node)``: only the paths of these nodes.
     """
     steps = edges.filter("src <> dst").join(types.select(F.col("node").alias("dst"), "type"), "dst").select("src", "dst", "type", "w")
     steps = save(steps, "steps")
-    level = steps.groupBy(F.col("src").alias("node"), F.col("dst").alias("end"), F.col("type").alias("t_1")).agg(F.max("w").alias("weight"))
+    begun = steps if starts is None else steps.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
+    level = begun.groupBy(F.col("src").alias("node"), F.col("dst").alias("end"), F.col("type").alias("t_1")).agg(F.max("w").alias("weight"))
     as_row = lambda x, d: x.select("node", F.lit(d).alias("depth"), F.array(*[F.col(f"t_{i}") for i in range(1, d + 1)]).alias("path"), "end", "weight")
     out = as_row(level, 1)
     near = save(level.select("node", "end").distinct(), "near") if depth > 1 else level
@@ -42,6 +43,33 @@ def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2) -> DataFrame
     return out
 
 
+def affected_nodes(before: DataFrame, after: DataFrame, depth: int = 2) -> DataFrame:
+    """Nodes whose typed paths may differ between two graphs of edges in both directions.
+
+    A path of at most ``depth`` edges changes only if it holds a changed edge,
+    which starts within depth - 1 hops of its first node, in either graph.
+    """
+    columns = ["src", "dst", "w"]
+    before, after = before.select(columns), after.select(columns)
+    changed = before.exceptAll(after).union(after.exceptAll(before)).select(F.col("src").alias("node"))
+    found = save(changed.distinct(), "affected")
+    either = before.union(after).select("src", "dst").distinct()
+    for _ in range(depth - 1):
+        nearer = either.join(found.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+        found = save(found.union(nearer).distinct(), "affected")
+    return found
+
+
+def updated_paths(paths: DataFrame, before: DataFrame, after: DataFrame, types: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The typed paths of the graph ``after``, from ``paths``, those of ``before``; and the nodes whose paths were made anew.
+
+    Only the affected nodes' paths are searched again; all others stay.
+    """
+    touched = affected_nodes(before, after, depth)
+    fresh = typed_paths(after, types, depth, touched)
+    return paths.join(touched, "node", "left_anti").select(fresh.columns).union(fresh), touched
+
+
 def topology_signature(paths: DataFrame) -> DataFrame:
     """Number of end nodes per node, depth and type path."""
     return paths.groupBy("node", "depth", "path").agg(F.count("*").alias("n_end"))

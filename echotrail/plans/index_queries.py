@@ -46,6 +46,20 @@ def topology_signature_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(S.topology_signature(_paths(spark, sf_dir, 2)[0]))
 
 
+@query(
+    "index_upkeep_d2",
+    f"""with {V.EVENT_SQL}, {V.GRAPH_SQL}, {V.USER_TYPES_SQL}, {V.SYM_SQL.replace("sym as (", "whole as (", 1)}, sym as (select * from whole where (src + dst) % 211 <> 0), {_PATHS}
+    select node, depth, array_to_string(path, '-') as path, count(*) as n_end, cast(max(weight) as double) as max_weight from paths group by all""",
+)
+def index_upkeep_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signatures after edges have gone, from the paths before: only affected nodes are searched again."""
+    graph = M.marginal_graph(V.txn_event(spark, sf_dir))
+    edges, types = save(M.symmetric_edges(graph), "edges"), save(V.user_types(graph), "types")
+    fewer = save(G.without_edges(edges, edges.filter("(src + dst) % 211 = 0")), "fewer")
+    paths = save(S.updated_paths(save(S.typed_paths(edges, types, 2), "paths"), edges, fewer, types, 2)[0], "updated")
+    return _as_text(S.topology_signature(paths).join(S.spd_index(paths), ["node", "depth", "path"]))
+
+
 @query("spd_index_d2", f"""{_BASE}, {_PATHS} select node, depth, array_to_string(path, '-') as path, cast(max(weight) as double) as max_weight from paths group by all""")
 def spd_index_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(S.spd_index(_paths(spark, sf_dir, 2)[0]))

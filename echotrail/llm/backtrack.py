@@ -44,7 +44,7 @@ from .tokens import decoded, vocabulary
 #: Fixed value: the words of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces (and as many words) that a process remembers, and the characters a remembered one has at most.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes from which on a word takes its steps alone.
 ALONE = 192
 #: The pair table has twice as many places as entries at most, then it starts anew.
@@ -69,7 +69,42 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text)
 
 
-class Codec:
+class Decoder:
+    """The bytes of each id of a vocabulary file, and nothing of its merges."""
+
+    def __init__(self, path: str, spec: dict | None = None):
+        if spec is None:
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        id_of, n = spec["model"]["vocab"], 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+        self.bytes_of = [b""] * n
+        for token, i in id_of.items():
+            self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
+        for t in spec["added_tokens"]:
+            self.bytes_of[t["id"]] = t["content"].encode()
+        self.sizes = [len(b) for b in self.bytes_of]
+
+    @cached_property
+    def offsets(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.sizes)))
+
+    @cached_property
+    def blob(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of runs of ids: run k is ids[bounds[k]:bounds[k + 1]]. Ids that the vocabulary hasn't got give nothing."""
+        known = (ids >= 0) & (ids < len(self.sizes))
+        ids = np.where(known, ids, 0).astype(np.int64)
+        size = np.where(known, self.offsets[ids + 1] - self.offsets[ids], 0)
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offsets[ids] - (ends - size), size)
+        data, upto = self.blob[at].tobytes(), np.concatenate(([0], ends))[bounds].tolist()
+        return [decoded(data[lo:hi]) for lo, hi in pairwise(upto)]
+
+
+class Codec(Decoder):
     """Encoder and decoder of a vocabulary file of byte-level BPE."""
 
     def __init__(self, path: str):
@@ -80,21 +115,14 @@ class Codec:
         splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         if not (plain and splits and spec["normalizer"] is None and spec["post_processor"] is None):
             raise ValueError(f"{path} is no plain byte-level BPE")
+        super().__init__(path, spec)
         self.path = path
-        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        id_of, n = model["vocab"], 1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
-        self.bytes_of = [b""] * n
-        for token, i in id_of.items():
-            self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
-        for t in spec["added_tokens"]:
-            self.bytes_of[t["id"]] = t["content"].encode()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         odd = [t["content"] for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"]]
         if odd:
             raise ValueError(f"{path}: added tokens that take their surroundings along: {odd}")
         self._special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.sizes = [len(b) for b in self.bytes_of]
-        self._read_merges(model["merges"], id_of, n)
+        self._read_merges(model["merges"], model["vocab"], len(self.bytes_of))
         self._words, self._agreed, self._doubtful = regex.compile(WORDS), set(), set()
         self._piece_ids, self._word_ids, self._long = {}, {}, []
         self._new_pairs()
@@ -374,24 +402,6 @@ class Codec:
             return self._special.split(text)
         return [text]
 
-    @cached_property
-    def offsets(self) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum(self.sizes)))
-
-    @cached_property
-    def blob(self) -> np.ndarray:
-        return np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
-
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """The texts of runs of ids: run k is ids[bounds[k]:bounds[k + 1]]. Ids that the vocabulary hasn't got give nothing."""
-        known = (ids >= 0) & (ids < len(self.sizes))
-        ids = np.where(known, ids, 0).astype(np.int64)
-        size = np.where(known, self.offsets[ids + 1] - self.offsets[ids], 0)
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offsets[ids] - (ends - size), size)
-        data, upto = self.blob[at].tobytes(), np.concatenate(([0], ends))[bounds].tolist()
-        return [decoded(data[lo:hi]) for lo, hi in pairwise(upto)]
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -399,6 +409,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encoded(docs: DataFrame, path: str | None = None, column: str = "text", packed: bool = True, special: bool = True) -> DataFrame:
     """doc_id, n_tokens and ids of every row: packed as little-endian unsigned 32-bit integers, or as array<int>."""
     path = path or vocabulary()
@@ -426,7 +441,7 @@ def decoded_texts(ids: DataFrame, path: str | None = None) -> DataFrame:
         rows, texts = texts_of(batch.column(2)), []
         for lo, hi in slices(rows):
             bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows[lo:hi]])))
-            texts += codec(path).decode(np.frombuffer(b"".join(rows[lo:hi]), dtype="<u4").astype(np.int64), bounds)
+            texts += decoder(path).decode(np.frombuffer(b"".join(rows[lo:hi]), dtype="<u4").astype(np.int64), bounds)
         return pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
     return map_batches(ids, ["doc_id", "n_tokens", "ids"], run, "doc_id long, n_tokens long, ids binary, text string")

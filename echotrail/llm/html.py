@@ -6,7 +6,9 @@ A form, or an element of such a name, is a container instead if it holds an
 article or main element or most of the page's text outside links; so is one
 whose name may as well be an article's topic or part (widget, tag, side,
 social, or a word of the list joined with one that names no part of a page's
-layout, as in related-work) if it holds mostly unlinked text. Comments, cookie
+layout, as in related-work) if it holds mostly unlinked text, and a section of
+an article whose id alone is such a word, as a chapter on search or menus may
+have, if it holds no form besides. Comments, cookie
 notices, adverts and what is named a sidebar, footer or navigation are never
 the article, unless the name is a layout's (content-sidebar-wrap). An article
 element named after comments is no article. If nothing is left, only controls,
@@ -18,7 +20,10 @@ links, and CB, LB the body's. The element with the greatest sum of its
 children's densities is the core; the least density on its path to the body
 is the threshold. Going up from the core, an ancestor takes its place while
 something else in it passes the threshold, and the article element around it
-does so too. Its blocks, in page order, are the text.
+does so too. Its blocks, in page order, are the text. If none of them is a top
+heading, the last one before it that stands beside it or beside an ancestor and
+is no link goes first. References are decoded within a run of text, never
+across tags.
 
 Every row gets a row: a null or empty page has an empty text, a page without
 tags is its own text; repeated and null page_ids are rows like others, and an
@@ -84,10 +89,12 @@ AMBIGUOUS = re.compile(rf"(?<![^\s_-])(?:widget|tags?|side|social)(?={_ENDS})",
 #: Classes that page builders and blogs give to the parts and the topics of an article.
 _BUILDER = re.compile(r"(?<!\S)elementor-widget(?!\S)|(?<!\S)elementor-widget-(?=text|heading|theme-post-(?:content|title))", re.IGNORECASE)
 _POST, _TOPIC = re.compile(r"(?<!\S)(?:hentry|type-\w+|post)(?!\S)", re.IGNORECASE), re.compile(r"(?<!\S)tag-\S+", re.IGNORECASE)
+#: Words that an article's chapters may have for an id.
+CHAPTER = re.compile(r"(?<![^\s_-])(?:menu|breadcrumbs?|search|banner|notice|notification|alert|popup|modal|overlay|login|signup|toolbar|pagination|hidden|disclaimer|skip|tags?|social|side|widget)(?=$|[\s_-])", re.IGNORECASE)
 #: Left out in any case.
 CONTROLS = frozenset("script style noscript template iframe object embed svg canvas audio video map head title button select textarea input label datalist progress meter noframes applet".split())
 #: What may hold the article after all, and the least characters outside links that make it do so by themselves.
-_MAY_HOLD = {"form": math.inf, "name": math.inf, "ambiguous": 80, "topic": 1}
+_MAY_HOLD = {"form": math.inf, "name": math.inf, "ambiguous": 80, "topic": 1, "chapter": 1}
 SITE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)", re.IGNORECASE)
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.DOTALL)
@@ -117,7 +124,7 @@ def _is_topic(names: str) -> bool:
 
 
 def _named_other(tag: str, attributes: str, parent: Node) -> str:
-    """Why an element is no part of an article: "tag", "hidden", "form", "name", "ambiguous" or "topic"; empty if it may be one."""
+    """Why an element is no part of an article: "tag", "hidden", "form", "name", "ambiguous", "topic" or "chapter"; empty if it may be one."""
     if tag in DROPPED:
         return "form" if tag == "form" else "tag"
     if tag == "header" and not (parent.in_article or parent.in_main):
@@ -135,6 +142,9 @@ def _named_other(tag: str, attributes: str, parent: Node) -> str:
             return "hidden"
         if name not in ("class", "id", "role"):
             continue
+        if name == "id" and tag == "section" and (parent.in_article or parent.in_main) and OTHER.search(value) and not OTHER.search(CHAPTER.sub("x", value)):
+            why = why or "chapter"
+            continue
         value = _BUILDER.sub(" ", value)
         if name == "class" and _POST.search(value):
             value = _TOPIC.sub(" ", value)
@@ -142,10 +152,16 @@ def _named_other(tag: str, attributes: str, parent: Node) -> str:
             why = "tag"
         elif OTHER.search(value):
             kind = "tag" if _is_never(value) else "topic" if _is_topic(value) else "name" if OTHER.search(AMBIGUOUS.sub("x", value)) else "ambiguous"
-            why = kind if not why or why in ("ambiguous", "topic") or kind == "tag" else why
+            why = kind if not why or why in ("ambiguous", "topic", "chapter") or kind == "tag" else why
     return why
 
 
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value, as in href=/."""
+    last = attributes.split()[-1:] or [""]
+    return last[0].endswith("/") and ("=" not in last[0] or last[0][-2] in "\"'")
+
+
 def _is_never(names: str) -> bool:
     """Whether some name of a class or id is of what never is the article, and not of a layout around it."""
     return any(NEVER.search(n) and not (_AROUND.search(n) and not NEVER.search(_PLACED.sub("x", n))) for n in names.split())
@@ -228,7 +244,7 @@ def parse(page: str) -> Node:
             node.children.append(page[at:end])
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
+        elif tag not in VOID and (tag in BLOCKS or not _closes_itself(m[3])):
             opened.push(node)
     if at < len(page):
         opened.now.children.append(page[at:])
@@ -249,8 +265,10 @@ def _free(root: Node) -> None:
         nodes.extend(c for c in node.children if isinstance(c, Node) and c.tag not in CONTROLS and c.why != "hidden")
     if not any(n.other and n.why in _MAY_HOLD for n in nodes):
         return
-    chars, links = {}, {}
+    chars, links, forms = {}, {}, set()
     for node in reversed(nodes):
+        if node.parent is not None and (node.tag == "form" or id(node) in forms):
+            forms.add(id(node.parent))
         own = [c for c in node.children if isinstance(c, Node) and id(c) in chars]
         chars[id(node)] = sum(chars[id(c)] for c in own) + sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         links[id(node)] = chars[id(node)] if node.tag == "a" else sum(links[id(c)] for c in own)
@@ -258,6 +276,8 @@ def _free(root: Node) -> None:
     for node in nodes:
         if node.other and node.why in _MAY_HOLD:
             c, own = chars[id(node)], chars[id(node)] - links[id(node)]
+            if node.why == "chapter" and id(node) in forms:
+                continue
             if 2 * own > text or (own >= _MAY_HOLD[node.why] and 5 * own >= 4 * c):
                 node.other = False
 
@@ -301,7 +321,7 @@ def _blocks(top: Node) -> list[str]:
     out, now = [], []
 
     def end() -> None:
-        text = " ".join(entities.unescape("".join(now)).split())
+        text = " ".join("".join(now).split())
         if text:
             out.append(text)
         now.clear()
@@ -312,7 +332,7 @@ def _blocks(top: Node) -> list[str]:
         if x is None:
             end()
         elif isinstance(x, str):
-            now.append(x)
+            now.append(entities.unescape(x))
         elif not x.other:
             if x.tag in BLOCKS:
                 end()
@@ -322,6 +342,24 @@ def _blocks(top: Node) -> list[str]:
     return out
 
 
+def _headline(body: Node, found: Node) -> Node | None:
+    """The last unlinked top heading before an element without one, beside it or beside an ancestor."""
+    if any(n.tag == "h1" and n.chars for n in _elements(found)):
+        return None
+    inner = found
+    while inner is not body and inner.parent is not None:
+        before, outer = None, inner.parent
+        for c in outer.children:
+            if c is inner:
+                break
+            if isinstance(c, Node) and c.tag == "h1" and not c.other and c.chars > 2 * c.links:
+                before = c
+        if before is not None:
+            return before
+        inner = outer
+    return None
+
+
 def _candidates(root: Node) -> tuple[Node, list[Node]]:
     """The body, and its elements with text that may be of the article, measured."""
     nodes = _elements(root)
@@ -357,7 +395,9 @@ def main_text(page: str) -> str:
         if any(c.density >= threshold for c in others) or any(isinstance(c, str) and c.strip() for c in outer.children):
             top = i
     around = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), 0)
-    return "\n".join(_blocks(path[max(top, around)]))
+    found = path[max(top, around)]
+    headline = _headline(body, found)
+    return "\n".join((_blocks(headline) if headline else []) + _blocks(found))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -709,6 +709,35 @@ def test_letters_that_grow_in_lower_case_lose_no_text():
     assert html.main_text(f"<body><p>{one}</p><script>var x;</SCRIPT><p>{two}</p></body>") == f"{one.strip()}\n{two}"
 
 
+def test_chapters_with_an_id_of_the_layout_are_kept():
+    one, two = "The first paragraph says something of a certain length, and then more.", "The second paragraph goes on about it for a while, with no links at all."
+    for name in ("search", "menu", "notice", "tags"):
+        assert html.main_text(f"<body><article><p>{one}</p><section id='{name}'><h2>Part</h2><p>{two}</p></section></article></body>") == f"{one}\nPart\n{two}", name
+    for inner in (
+        f"<section id='search'><form><p>{two}</p></form></section>",
+        "<section id='menu'><a href=1>One page</a> <a href=2>Another page</a></section>",
+        f"<section id='menu' class='promo'><p>{two}</p></section>",
+        f"<section id='comments'><p>{two}</p></section>",
+        f"<section id='newsletter'><p>{two}</p></section>",
+        f"<div id='search'><p>{two}</p></div>",
+    ):
+        assert html.main_text(f"<body><article><p>{one}</p><p>{one}</p>{inner}</article></body>") == f"{one}\n{one}", inner
+
+
+def test_headline_beside_the_text_comes_first():
+    one, two = "The first paragraph says something of a certain length, and then more.", "The second paragraph goes on about it for a while, with no links at all."
+    text = f"<div class='text'><p>{one}</p><p>{two}</p></div>"
+    for page in (f"<body><div><h1>A <b>head</b></h1>{text}</div></body>", f"<body><h1>A head</h1><div><div>{text}</div><div><a href=1>Link</a></div></div></body>"):
+        assert html.main_text(page) == f"A head\n{one}\n{two}", page
+    for head in ("<h1><a href=/>The site</a></h1>", "<header><h1>The site</h1></header>", "<h1> </h1>"):
+        assert html.main_text(f"<body>{head}{text}</body>") == f"{one}\n{two}", head
+    assert html.main_text(f"<body><h1>The site</h1><article><h1>A head</h1>{text}</article></body>") == f"A head\n{one}\n{two}"
+
+
+def test_references_end_with_their_run_of_text():
+    assert html.main_text("<body><p>x &<b>lt;</b> y &amp;lt; z&nbsp; &#x41;</p></body>") == "x &lt; y &lt; z A"
+
+
 def test_topics_named_like_layout_are_kept():
     one, two = "The first paragraph says something of a certain length, and then more.", "The second paragraph goes on about it for a while, with no links at all."
     menu = "<div class='search-box'><a href=1>Search here for all that this site has to offer to you, its reader</a></div>"

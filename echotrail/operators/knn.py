@@ -64,6 +64,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
     return found.withColumn("rank", place).filter(F.col("rank") < k)
 
 
+def keep_best(wanted: np.ndarray, ids: np.ndarray, own: np.ndarray, best_d: np.ndarray, best_n: np.ndarray) -> None:
+    """Puts the rows ``own`` among each wanted vector's best so far; ties go by the id."""
+    k, step = best_d.shape[1], max(1, _BLOCK // max(1, own.size))
+    for lo in range(0, len(wanted), step):
+        d = np.sqrt(((wanted[lo : lo + step, None, :] - own[None, :, :]) ** 2).sum(axis=2))
+        d = np.hstack([best_d[lo : lo + step], d])
+        n = np.hstack([best_n[lo : lo + step], np.broadcast_to(ids, (d.shape[0], len(ids)))])
+        at = np.lexsort((n, d), axis=1)[:, :k]
+        best_d[lo : lo + step], best_n[lo : lo + step] = np.take_along_axis(d, at, 1), np.take_along_axis(n, at, 1)
+
+
 def _pass(vectors: DataFrame, asked: list[tuple[int, list[float]]], k: int, key: str, vector: str) -> DataFrame:
     names = np.array([a for a, _ in asked])
     wanted = np.array([v for _, v in asked], dtype=np.float64)
@@ -74,13 +85,7 @@ def _pass(vectors: DataFrame, asked: list[tuple[int, list[float]]], k: int, key:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             own = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-            step = max(1, _BLOCK // max(1, own.size))
-            for lo in range(0, len(names), step):
-                d = np.sqrt(((wanted[lo : lo + step, None, :] - own[None, :, :]) ** 2).sum(axis=2))
-                d = np.hstack([best_d[lo : lo + step], d])
-                n = np.hstack([best_n[lo : lo + step], np.broadcast_to(ids, (d.shape[0], len(ids)))])
-                at = np.lexsort((n, d), axis=1)[:, :k]
-                best_d[lo : lo + step], best_n[lo : lo + step] = np.take_along_axis(d, at, 1), np.take_along_axis(n, at, 1)
+            keep_best(wanted, ids, own, best_d, best_n)
         ok = np.isfinite(best_d)
         yield pa.record_batch([pa.array(np.repeat(names, ok.sum(axis=1))), pa.array(best_n[ok]), pa.array(best_d[ok])], names=["query", "neighbour", "distance"])
 

@@ -11,8 +11,10 @@ from ..operators import knn as K
 from ..operators import marginal as M
 from ..operators import shortlist as L
 from ..operators import signatures as S
+from ..operators import vector_index as I
 from ..operators.pattern import TRIANGLE, Pattern
-from ..sources.work import save
+from ..sources import readers, writers
+from ..sources.work import folder, save
 from . import views as V
 from .feature_queries import _LOGS_SQL, OFF_TIES
 from .graph_queries import event_edges, written_event_edges
@@ -74,6 +76,30 @@ def spath_index_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
 
+@query(
+    "signature_round_trip",
+    f"""{_BASE}, {_PATHS} select node, depth, array_to_string(path, '-') as path, count(*) as n_end, cast(max(weight) as double) as max_weight from paths group by all""",
+)
+def signature_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topology and SPD indices, a folder for each depth, written and read back."""
+    paths = save(_paths(spark, sf_dir, 2)[0], "paths")
+    topology, spd = folder(spark, "topology"), folder(spark, "spd")
+    writers.write_index(S.topology_signature(paths), topology, "depth")
+    writers.write_index(S.spd_index(paths), spd, "depth")
+    return _as_text(readers.read_index(spark, topology).join(readers.read_index(spark, spd), ["node", "depth", "path"]))
+
+
+@query(
+    "spath_round_trip",
+    f"""{_BASE}, {_PATHS} select node, depth, path[-1] as type, "end" as member from paths where depth = 1""",
+)
+def spath_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SPath index, a folder for each depth and type, written, read back and taken apart."""
+    path = folder(spark, "spath")
+    writers.write_index(S.spath_index(_paths(spark, sf_dir, 1)[0]), path, "depth", "type")
+    return readers.read_index(spark, path).select("node", "depth", "type", F.explode("members").alias("member"))
+
+
 _ROLES = Pattern(TRIANGLE.edges, (1, 2, 2))
 
 
@@ -104,12 +130,12 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query(
-    "knn_embeddings",
-    f"""with {_VECTORS_SQL}, d as (select q.id as query, x.id as neighbour, list_distance(q.v, x.v) as distance from vectors q, vectors x where q.id % 100 = 0)
+_NEAREST_SQL = f"""with {_VECTORS_SQL}, d as (select q.id as query, x.id as neighbour, list_distance(q.v, x.v) as distance from vectors q, vectors x where q.id % 100 = 0)
     select query, neighbour, round(distance + {OFF_TIES}, 5) as distance, rank from
-    (select *, cast(row_number() over (partition by query order by distance, neighbour) - 1 as integer) as rank from d) where rank < 10""",
-)
+    (select *, cast(row_number() over (partition by query order by distance, neighbour) - 1 as integer) as rank from d) where rank < 10"""
+
+
+@query("knn_embeddings", _NEAREST_SQL)
 def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth id against all rows."""
     vectors = _embeddings(spark, sf_dir)
@@ -117,6 +143,15 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round(F.col("distance") + OFF_TIES, 5))
 
 
+@query("knn_index_embeddings", _NEAREST_SQL)
+def knn_index_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an index written first: cells around pivots, visited in order of the triangle bound."""
+    vectors, path = _embeddings(spark, sf_dir), folder(spark, "vector-index")
+    I.write_vector_index(vectors, path)
+    found, _ = I.search_vector_index(spark, path, vectors.filter("id % 100 = 0"), 10)
+    return found.withColumn("distance", F.round(F.col("distance") + OFF_TIES, 5))
+
+
 @query(
     "similarity_pairs",
     f"""with {_VECTORS_SQL} select x.id as id1, x.id + 1 as id2, round(coalesce(1 / (1 + list_distance(x.v, y.v)), 0) + {OFF_TIES}, 6) as similarity

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..sources.work import save
 from .knn import QUERIES_AT_ONCE, keep_best
 
-#: Pivots at most (they travel with the tasks), rings of a cell, and rows of a unit, on average at most.
-PIVOTS, RINGS, UNIT_ROWS = 1024, 16, 20_000
+#: Pivots at most (they travel with the tasks); rings of a cell at most, one for so many rows; and rows of a unit, on average at most.
+PIVOTS, RINGS, RING_ROWS, UNIT_ROWS = 1024, 16, 500, 20_000
 #: How much farther than the last one a wave goes in a query's list of units.
 WAVE = 8
 #: Rounding that a bound allows for, as a share of the distances it is made of.
@@ -77,9 +77,10 @@ def write_vector_index(vectors: DataFrame, path: str, key: str = "id", vector: s
                 yield pa.record_batch(columns, names=["id", "vector", "cell", "from_pivot"])
 
     rows = save(good.mapInArrow(placed, "id long, vector array<double>, cell int, from_pivot double"), "placed")
-    widths = rows.groupBy("cell").agg((F.max("from_pivot") / RINGS).alias("width"))  # a row a pivot
-    ring = F.when(F.col("width") > 0, F.least(F.floor(F.col("from_pivot") / F.col("width")), F.lit(RINGS - 1))).otherwise(0).cast("int")
-    ringed = rows.join(F.broadcast(widths), "cell").withColumn("ring", ring).drop("width")
+    rings = F.least(F.lit(RINGS), F.ceil(F.count("*") / RING_ROWS)).cast("int")
+    sizes = rows.groupBy("cell").agg(rings.alias("rings"), F.max("from_pivot").alias("width"))  # a row a pivot
+    ring = F.when(F.col("width") > 0, F.least(F.floor(F.col("from_pivot") / F.col("width") * F.col("rings")), F.col("rings") - 1)).otherwise(0).cast("int")
+    ringed = rows.join(F.broadcast(sizes), "cell").withColumn("ring", ring).drop("width", "rings")
     deals = ringed.groupBy("cell", "ring").agg((F.floor(F.count("*") / UNIT_ROWS) + 1).alias("deals"))  # RINGS rows a pivot
     dealt = ringed.join(F.broadcast(deals), ["cell", "ring"]).withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals"))).drop("deals")
     parts = max(spark.sparkContext.defaultParallelism, n // UNIT_ROWS + 1)

@@ -16,6 +16,7 @@ def _rows(found):
 def test_index_gives_the_nearest_and_skips_units(spark, tmp_path, monkeypatch):
     """Clusters, a third of all rows equal, ties, and rows that belong to no index."""
     monkeypatch.setattr(I, "UNIT_ROWS", 50)
+    monkeypatch.setattr(I, "RING_ROWS", 10)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 6)) * 20
     points = [(i, [float(v) for v in centres[i % 12] + rng.normal(size=6)]) for i in range(600)]

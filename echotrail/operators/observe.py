@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import save
+
 #: Transactions in a bucket, and of an ordered pair at most.
 BUCKET, PAIR_LIMIT = 2, 250
 
@@ -157,20 +159,32 @@ def sessions(transactions: DataFrame, gap_ms: int, key: str = "source") -> DataF
     return rows.join(earlier, [key, "_day"]).withColumn("session", within + F.col("_earlier")).select(*[F.col(f"`{c}`") for c in transactions.columns], "session")
 
 
-def kernel_density(rows: DataFrame, centers: DataFrame, columns: list[str], bandwidth: float, floor: float = 1e-18) -> DataFrame:
+#: Distinct centers of a density that travel as one row, on average, and blocks of them between writes.
+CENTERS_AT_ONCE, BLOCKS_AT_ONCE = 4096, 8
+
+
+def kernel_density(rows: DataFrame, centers: DataFrame, columns: list[str], bandwidth: float, floor: float = 1e-18, at_once: int | None = None) -> DataFrame:
     """``rows`` with ``likelihood``: the Gaussian kernel density of their columns around ``centers``.
 
-    The centers are a query's few observations and travel as one row.
+    Equal centers are counted, and the distinct ones travel in blocks of
+    ``at_once``, one row a block, whose sums add up; after every few blocks the
+    sums are written. A center with a null makes every density the floor.
     """
-    point = lambda t: F.array(*[F.col(f"{t}.{c}") for c in columns])
-    packed = centers.alias("c").agg(F.collect_list(point("c")).alias("_centers"))
-    joined = rows.alias("r").join(F.broadcast(packed), how="left")
+    points = centers.groupBy(*columns).agg(F.count("*").alias("_times"))
+    points = save(points.select(F.array(*[F.col(c) for c in columns]).alias("_point"), "_times"), "centers")
+    distinct, n = points.agg(F.count("*"), F.coalesce(F.sum("_times"), F.lit(0))).first()
+    blocks = max(1, -(-distinct // (at_once or CENTERS_AT_ONCE)))
     here = F.array(*[F.col(c) for c in columns])
     square = lambda c: F.aggregate(F.zip_with(here, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    total = F.aggregate("_centers", F.lit(0.0), lambda s, c: s + F.exp(-0.5 * square(c) / bandwidth**2))
-    n = F.size("_centers")
-    density = F.try_divide(total, F.pow(n * 2 * bandwidth**2 * 3.141592653589793, F.lit(len(columns) / 2)))
-    return joined.withColumn("likelihood", F.greatest(F.coalesce(F.nanvl(density, F.lit(floor)), F.lit(floor)), F.lit(floor))).drop("_centers")
+    partial = F.aggregate("_centers", F.lit(0.0), lambda s, c: s + c["_times"] * F.exp(-0.5 * square(c["_point"]) / bandwidth**2))
+    summed = rows.withColumn("_total", F.lit(0.0))
+    for i in range(blocks):
+        own = points.filter(F.pmod(F.xxhash64("_point"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("_point", "_times")).alias("_centers"))
+        summed = summed.join(F.broadcast(own), how="left").withColumn("_total", F.col("_total") + partial).drop("_centers")
+        if (i + 1) % BLOCKS_AT_ONCE == 0:
+            summed = save(summed, "densities")
+    density = F.try_divide(F.col("_total"), F.pow(F.lit(n) * 2 * bandwidth**2 * 3.141592653589793, F.lit(len(columns) / 2)))
+    return summed.withColumn("likelihood", F.greatest(F.coalesce(F.nanvl(density, F.lit(floor)), F.lit(floor)), F.lit(floor))).drop("_total")
 
 
 def flow_aggregation(transactions: DataFrame, entities: DataFrame, focus: DataFrame | None = None, direction: str = "both", start=None, end=None) -> DataFrame:

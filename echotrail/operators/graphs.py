@@ -129,7 +129,7 @@ class Fragments:
         spark = edges.sparkSession
         rounds = Rounds(spark, "fragments")
         step = rounds.save(_lightest(edges, weighted))
-        parts = fragments or max(spark.sparkContext.defaultParallelism, step.count() // FRAGMENT + 1)
+        parts = fragments or step.count() // FRAGMENT + 1
         hubs = rounds.save(step.groupBy("src").count().filter(F.col("count") > HUB).select("src"))
         self.wide = None if hubs.isEmpty() else rounds.save(step.join(hubs, "src", "left_semi"))
         inside = step if self.wide is None else step.join(hubs, "src", "left_anti")

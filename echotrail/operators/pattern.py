@@ -131,34 +131,9 @@ def _best_images(found: DataFrame, pattern: Pattern, k: int) -> DataFrame:
     return found.select(F.explode(images).alias("m"), "score").select("m.*", "score").orderBy(*order).limit(k)
 
 
-def top_matches_in_batches(
-    edges: DataFrame, pattern: Pattern, k: int, steps: tuple[float, ...] = (0.999, 0.99, 0.9, 0.0), injective: bool = True, all_images: bool = False
-) -> DataFrame:
-    """The same rows, looking first only at matches with a heavy edge.
-
-    A match not yet looked at has all edges under the batch's least weight, so
-    it scores at most edges * the next lower weight; once the k-th score is
-    above that, no more is needed. ``edges`` is read several times and should
-    be a written table.
-    """
-    if injective and all_images:
-        return _best_images(top_matches_in_batches(edges, pattern, k, steps), pattern, k)
-    n, order = len(pattern.edges), [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
-    levels = [0.0] if edges.isEmpty() else edges.agg(F.percentile_approx("w", F.array(*[F.lit(s) for s in steps]), 10000)).first()[0]
-    for h in levels[:-1]:
-        lighter = edges.filter(F.col("w") < h).agg(F.max("w")).first()[0]
-        heavy = edges.filter(F.col("w") >= h)
-        parts = []
-        for e in pattern.edges:  # matches whose edge e is heavy
-            first = Pattern((e, *[x for x in pattern.edges if x != e]), pattern.types)
-            parts.append(matches(edges, pattern, None, injective, all_images, first.plan(), heavy).orderBy(*order).limit(k))
-        found = reduce(lambda x, y: x.unionByName(y), parts).distinct().orderBy(*order).limit(k)
-        if lighter is None:
-            return found
-        last = found.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
-        if last.n == k and last.least > n * lighter:
-            return found
-    return top_matches(edges, pattern, k, None, injective, all_images)
+def top_matches_in_batches(edges: DataFrame, pattern: Pattern, k: int, injective: bool = True, all_images: bool = False) -> DataFrame:
+    """The same rows, looking only at matches with a heavy edge: first the best few, then all that may score as much."""
+    return top_matches_bounded(edges, pattern, k, None, injective, all_images)
 
 
 def bounded_edges(edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -248,27 +223,169 @@ def bounded_matches(
     return out.select(*[F.col(f"n_{r}") for r in range(pattern.roles)], score.alias("score"))
 
 
-#: Share of the edges whose matches with each other give the first floor, and what it is multiplied by while they are too few.
-FIRST_SHARE, GROWTH = 0.01, 10
+def anchors(pattern: Pattern) -> list[tuple[int, int]]:
+    """One edge of each set of edges that automorphisms turn into each other."""
+    out, seen = [], set()
+    for i, j in pattern.edges:
+        if frozenset((i, j)) not in seen:
+            out.append((i, j))
+            seen |= {frozenset((p[i], p[j])) for p in pattern.automorphisms()}
+    return out
+
+
+def heavy_matches(
+    edges: DataFrame, pattern: Pattern, anchor: tuple[int, int], first: DataFrame, floor: float | None = None, injective: bool = True, beam: int | None = None,
+    trace: list[DataFrame] | None = None,
+) -> DataFrame:
+    """All images of the matches whose heaviest edge is ``anchor``, one of ``first``, and that score ``floor`` or more; from ``bounded_edges``.
+
+    A missing edge weighs at most what its bound nodes' heaviest edges and the
+    anchor do. With ``beam`` only so many of the heaviest partial matches are
+    kept at every step: some matches, not all.
+    """
+    kind = lambda r: pattern.types[r] if pattern.types is not None else 0
+    plan, bound, seen = Pattern((anchor, *[e for e in pattern.edges if e != anchor]), pattern.types).plan(), set(), []
+
+    def side(role: int, c: str, known: set[int]) -> list[Column]:
+        """A node, its degree and the most that its edges to roles not bound with it weigh."""
+        open_to = [q if p == role else p for p, q in pattern.edges if role in (p, q) and not {p, q} <= known]
+        return [F.col(c).alias(f"n_{role}"), *([F.col(f"d_{c}").alias(f"d_{role}")] if open_to else []), *[F.col(f"h_{c}")[F.lit(kind(q))].alias(f"h_{role}_{q}") for q in open_to]]
+
+    def of_types(step: DataFrame, roles: dict[str, int]) -> DataFrame:
+        return step.filter(reduce(lambda x, y: x & y, [F.col(f"t_{c}") == kind(r) for c, r in roles.items()])) if pattern.types is not None else step
+
+    def most(rows: DataFrame, i: int, j: int) -> Column:
+        known = [F.col(c) for c in ("w_0", f"h_{i}_{j}", f"h_{j}_{i}") if c in rows.columns]
+        return F.least(*known) if len(known) > 1 else known[0]
+
+    def reaching(rows: DataFrame, weights: list[str], missing: list[tuple[int, int]]) -> DataFrame:
+        if floor is None:
+            return rows
+        return rows.filter(reduce(lambda x, y: x + y, [F.col(w) for w in weights] + [most(rows, p, q) for p, q in missing]) >= floor)
+
+    def best(rows: DataFrame) -> DataFrame:
+        if beam is None:
+            return rows
+        score = reduce(lambda x, y: x + y, [F.col(f"w_{k}") for k in range(len(seen))])
+        return F.broadcast(rows.orderBy(F.desc(score), *[f"n_{r}" for r in sorted(bound)]).limit(beam))
+
+    def apart(rows: DataFrame, j: int) -> DataFrame:
+        return rows.filter(reduce(lambda x, y: x & y, [F.col(f"n_{j}") != F.col(f"n_{r}") for r in sorted(bound - {j})])) if injective else rows
+
+    def fresh(rows: DataFrame, i: int, j: int) -> DataFrame:
+        """Without rows in which the edge serves an earlier one too."""
+        if injective:
+            return rows
+        for p, q in seen:
+            same = (F.col(f"n_{i}") == F.col(f"n_{p}")) & (F.col(f"n_{j}") == F.col(f"n_{q}"))
+            turned = (F.col(f"n_{i}") == F.col(f"n_{q}")) & (F.col(f"n_{j}") == F.col(f"n_{p}"))
+            rows = rows.filter(~(same | turned))
+        return rows
+
+    i, j = plan.pop(0)
+    out = of_types(first, {"src": i, "dst": j}).select(*side(i, "src", {i, j}), *side(j, "dst", {i, j}), F.col("w").alias("w_0"))
+    bound, seen = {i, j}, [(i, j)]
+    out = best(reaching(out, ["w_0"], plan))
+    while plan:
+        (i, j), w = plan.pop(0), f"w_{len(seen)}"
+        weights = [f"w_{k}" for k in range(len(seen) + 1)]
+        if {i, j} <= bound:
+            out = out.join(edges.select(F.col("src").alias(f"n_{i}"), F.col("dst").alias(f"n_{j}"), F.col("w").alias(w)), [f"n_{i}", f"n_{j}"])
+            out = fresh(out, i, j)
+            seen.append((i, j))
+        else:
+            step = of_types(edges, {"dst": j})
+            other = next((p if q == j else q for p, q in plan[:1] if j in (p, q) and {p, q} - {j} <= bound), None)
+            if other is None:
+                out = out.join(step.select(F.col("src").alias(f"n_{i}"), *side(j, "dst", bound | {j}), F.col("w").alias(w)), f"n_{i}")
+                out = fresh(apart(out, j), i, j)
+                seen.append((i, j))
+            else:
+                closing = plan.pop(0)
+                turned = F.col(f"d_{i}") > F.col(f"d_{other}")  # the shorter list is gone through, the other one asked
+                out = out.withColumns({"_near": F.when(turned, F.col(f"n_{other}")).otherwise(F.col(f"n_{i}")), "_far": F.when(turned, F.col(f"n_{i}")).otherwise(F.col(f"n_{other}"))})
+                out = out.join(step.select(F.col("src").alias("_near"), *side(j, "dst", {j}), F.col("w").alias("_w")), "_near").filter(F.col("_w") <= F.col("w_0"))
+                # either list's other edge weighs what the asked node's heaviest does at most
+                asked = F.when(turned, F.col(f"h_{i}_{j}")).otherwise(F.col(f"h_{other}_{j}"))
+                if floor is not None:
+                    still = [F.col(x) for x in [*weights[:-1], "_w"]] + [F.least(asked, F.col("w_0"), F.col(f"h_{j}_{i}"))] + [most(out, p, q) for p, q in plan]
+                    out = out.filter(reduce(lambda x, y: x + y, still) >= floor)
+                out = apart(out, j)
+                if trace is not None:
+                    trace.append(out)
+                out = out.join(edges.select(F.col("src").alias("_far"), F.col("dst").alias(f"n_{j}"), F.col("w").alias("_x")), ["_far", f"n_{j}"])
+                pair = {w: F.when(turned, F.col("_x")).otherwise(F.col("_w")), f"w_{len(seen) + 1}": F.when(turned, F.col("_w")).otherwise(F.col("_x"))}
+                out = out.withColumns(pair).drop("_near", "_far", "_w", "_x")
+                out = fresh(out, i, j)
+                seen.append((i, j))
+                out = fresh(out, *closing)
+                seen.append(closing)
+                weights.append(f"w_{len(seen) - 1}")
+                out = out.filter(F.col(weights[-1]) <= F.col("w_0"))
+        bound |= {i, j}
+        out = out.filter(F.col(w) <= F.col("w_0"))
+        out = reaching(out, weights, plan)
+        needed = {f"{x}_{p}_{q}" for x in "h" for a, b in plan for p, q in ((a, b), (b, a))} | {f"d_{r}" for e in plan for r in e}
+        out = out.select(*[c for c in out.columns if c in needed or c.startswith(("n_", "w_"))])
+        out = best(out) if plan else out
+        if trace is not None:
+            trace.append(out)
+    score = reduce(lambda x, y: x + y, [F.col(f"w_{k}") for k in range(len(seen))])
+    return out.select(*[F.col(f"n_{r}") for r in range(pattern.roles)], score.alias("score"))
+
+
+def _images(found: DataFrame, pattern: Pattern, all_images: bool) -> DataFrame:
+    """Each match once, or every image of each, from some of its images."""
+    roles = [f"n_{r}" for r in range(pattern.roles)]
+    every = F.array(*[F.struct(*[F.col(f"n_{p[r]}").alias(f"n_{r}") for r in range(pattern.roles)]) for p in pattern.automorphisms()])
+    out = found.select(F.explode(every).alias("m"), "score").select("m.*", "score")
+    constraints = [] if all_images else pattern.order_constraints()
+    if constraints:
+        out = out.filter(reduce(lambda x, y: x & y, [F.col(f"n_{p}") < F.col(f"n_{q}") for p, q in constraints]))
+    return out.groupBy(*roles).agg(F.max("score").alias("score"))
+
+
+#: Partial matches that the search for a first floor keeps at every step, what they are multiplied by while too few matches are found, and how often.
+BEAM, GROWTH, WIDER = 4096, 10, 3
+
+
+def known_score(whole: DataFrame, pattern: Pattern, k: int, injective: bool = True, all_images: bool = False) -> float | None:
+    """A score that k matches reach, from matches grown along the heaviest edges; None if too few were found.
+
+    Any k matches give a sound floor, so it doesn't matter that others are passed over.
+    """
+    beam = max(BEAM, 16 * k)
+    for _ in range(WIDER):
+        first = whole.orderBy(F.desc("w"), "src", "dst").limit(beam)
+        found = reduce(lambda x, y: x.union(y), [heavy_matches(whole, pattern, e, first, None, injective, beam) for e in anchors(pattern)])
+        best = _images(found, pattern, all_images).orderBy(F.desc("score")).limit(k)
+        last = best.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        if last.n == k:
+            return last.least
+        beam *= GROWTH
+    return None
 
 
 def top_matches_bounded(
     edges: DataFrame, pattern: Pattern, k: int, types: DataFrame | None = None, injective: bool = True, all_images: bool = False, trace: list[DataFrame] | None = None
 ) -> DataFrame:
-    """The rows of ``top_matches``: the k-th score among the matches of the heaviest edges alone is the floor for all edges."""
-    if injective and all_images:
-        return _best_images(top_matches_bounded(edges, pattern, k, types), pattern, k)
+    """The rows of ``top_matches``: with a score that k matches are known to reach, only matches with an edge of at least its mean are looked for.
+
+    A match that scores s has an edge of s / edges or more. So matches are grown
+    from the heavy edges as their heaviest, and partial ones that stay below
+    the floor are dropped. Where no edge is too light for that, all edges are
+    joined in the pattern's order.
+    """
     order = [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
-    whole, share, floor = save(bounded_edges(edges, types), "bounded"), FIRST_SHARE, None
-    while share < 1:
-        at = whole.agg(F.percentile_approx("w", 1 - share, 10000)).first()[0]
-        found = bounded_matches(whole.filter(F.col("w") >= at), pattern, None, injective, all_images).orderBy(F.desc("score")).limit(k)
-        last = found.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
-        if at is None or last.n == k:
-            floor = last.least if at is not None else None
-            break
-        share *= GROWTH
-    return bounded_matches(whole, pattern, floor, injective, all_images, trace).orderBy(*order).limit(k)
+    whole = save(bounded_edges(edges, types), "bounded")
+    floor, lightest = known_score(whole, pattern, k, injective, all_images), whole.agg(F.min("w")).first()[0]
+    if floor is None or len(pattern.edges) * lightest >= floor:
+        if injective and all_images:
+            return _best_images(bounded_matches(whole, pattern, floor, trace=trace).orderBy(*order).limit(k), pattern, k)
+        return bounded_matches(whole, pattern, floor, injective, all_images, trace).orderBy(*order).limit(k)
+    first = whole.filter(F.col("w") * len(pattern.edges) >= floor)
+    found = reduce(lambda x, y: x.union(y), [heavy_matches(whole, pattern, e, first, floor, injective, None, trace) for e in anchors(pattern)])
+    return _images(found, pattern, all_images).orderBy(*order).limit(k)
 
 
 def one_per_node_set(found: DataFrame, keep: str = "min") -> DataFrame:

@@ -55,7 +55,7 @@ def links_limit_250(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_triangles(transactions: DataFrame) -> DataFrame:
     """The best triangles as matches 0, 1, ...; at most TOP rows are numbered."""
     edges = save(M.symmetric_edges(M.marginal_graph(transactions)), "edges")
-    found = P.top_matches(edges, P.TRIANGLE, TOP)
+    found = save(P.top_matches_bounded(edges, P.TRIANGLE, TOP), "top_triangles")
     return found.withColumn("match", (F.row_number().over(W.orderBy(F.desc("score"), "n_0", "n_1", "n_2")) - 1).cast("long"))
 
 
@@ -68,8 +68,9 @@ _MATCHES_SQL = f"""{V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL},
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the best triangles, written: few rows, which later steps read several times."""
     transactions = V.txn_event(spark, sf_dir)
-    return O.match_links(transactions, top_triangles(transactions))
+    return save(O.match_links(transactions, top_triangles(transactions)), "links")
 
 
 @query("match_links", f"with {_MATCHES_SQL} select match, role_s, role_t, transid, source, target, time, usd from links")

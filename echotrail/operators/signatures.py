@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +46,122 @@ def typed_paths(edges: DataFrame, types: DataFrame, depth: int = 2, starts: Data
     return out
 
 
+#: Neighbours of a node that travel as one row, on average.
+LIST = 1024
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers in the least type that holds them, its name first."""
+    kind = "f8"
+    if values.dtype.kind != "f":
+        lo, hi = values.min(), values.max()
+        kind = next((k for k, top in (("u1", 1 << 8), ("u2", 1 << 16), ("u4", 1 << 32)) if lo >= 0 and hi < top), "i8")
+    return kind.encode() + values.astype(f"<{kind}").tobytes()
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<{data[:2].decode()}", offset=2)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of (dst, type, w), in order of dst, as the first dst, the gaps between them, types and weights."""
+    for batch in batches:
+        ends, flat, out = batch.column(1).offsets.to_numpy(), batch.column(1).flatten().flatten(), []
+        at = ends - ends[0]
+        dst, kind, w = (c.to_numpy() for c in flat)
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            out.append((int(dst[lo]), _small(np.diff(dst[lo:hi], prepend=dst[lo])), _small(kind[lo:hi]), _small(w[lo:hi])))
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+        yield pa.record_batch([batch.column(0), *cols], names=["mid", "base", "gaps", "kinds", "weights"])
+
+
+#: Stands before all types: the end is a neighbour.
+_NEAR = -(1 << 62)
+
+
+def _two_hops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of the node, counts and greatest weights of its ends two hops off, by type path.
+
+    A node's rows may go over several batches: what is known of it is carried
+    on with each (end, path) once.
+    """
+
+    def starts(*keys: np.ndarray) -> np.ndarray:
+        new = np.ones(len(keys[0]), dtype=bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return np.flatnonzero(new)
+
+    def once(node, end, t1, t2, w):
+        order = np.lexsort((t2, t1, end, node))
+        node, end, t1, t2, w = (x[order] for x in (node, end, t1, t2, w))
+        at = starts(node, end, t1, t2)
+        return node[at], end[at], t1[at], t2[at], np.maximum.reduceat(w, at)
+
+    def counted(node, end, t1, t2, w) -> pa.RecordBatch:
+        at = starts(node, end)  # a neighbour's mark comes first
+        far = np.repeat(t1[at] != _NEAR, np.diff(at, append=len(node))) & (end != node)
+        node, t1, t2, w = node[far], t1[far], t2[far], w[far]
+        order = np.lexsort((t2, t1, node))
+        node, t1, t2, w = (x[order] for x in (node, t1, t2, w))
+        at = starts(node, t1, t2) if len(node) else np.zeros(0, dtype=np.int64)
+        n, most = np.diff(at, append=len(node)), np.maximum.reduceat(w, at) if len(at) else w
+        return pa.record_batch([pa.array(node[at]), pa.array(t1[at]), pa.array(t2[at]), pa.array(n.astype(np.int64)), pa.array(most)], names=["node", "t_1", "t_2", "n_end", "max_weight"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, mid, t1, w1 = (batch.column(i).to_numpy().astype(t) for i, t in enumerate((np.int64, np.int64, np.int64, np.float64)))
+        base, lists = batch.column(4).to_pylist(), [batch.column(i).to_pylist() for i in (5, 6, 7)]
+        has = [i for i, b in enumerate(base) if b is not None]
+        ends = [base[i] + np.cumsum(_large(lists[0][i]).astype(np.int64)) for i in has]
+        sizes, near = [len(e) for e in ends], np.full(len(node), _NEAR)
+        spread = lambda x: np.repeat(x[has], sizes)
+        kinds, weights = ([_large(lists[c][i]) for i in has] for c in (1, 2))
+        parts = [
+            (node, mid, near, near, np.zeros(len(node))),
+            (spread(node), np.concatenate([*ends, np.zeros(0, dtype=np.int64)]), spread(t1), np.concatenate([*kinds, np.zeros(0, dtype=np.int64)]).astype(np.int64), spread(w1) + np.concatenate([*weights, np.zeros(0)])),
+        ]
+        known = once(*(np.concatenate(x) for x in zip(*([held] if held is not None else []), *parts, strict=True)))
+        going = known[0] == node[-1]
+        held = tuple(x[going] for x in known)
+        if not going.all():
+            yield counted(*(x[~going] for x in known))
+    if held is not None:
+        yield counted(*held)
+
+
+def path_index(edges: DataFrame, types: DataFrame, starts: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """(node, depth, path, n_end, max_weight) of the typed paths of depth 1 and 2, as counted from ``typed_paths``, without a row for each of them.
+
+    A node's neighbours travel as packed lists of about LIST, sent to each of
+    its neighbours, where all ends of a node two hops off meet in one pass:
+    a few bytes an end instead of a row. ``starts(node)``: only these nodes.
+    """
+    kind = types.schema["type"].dataType.simpleString()
+    steps = edges.filter("src <> dst").join(types.select(F.col("node").alias("dst"), "type"), "dst")
+    steps = save(steps.groupBy("src", "dst", F.col("type").cast("long").alias("type")).agg(F.max("w").alias("w")), "steps")
+    begun = steps if starts is None else steps.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
+    one = begun.groupBy(F.col("src").alias("node"), "type").agg(F.count("*").alias("n_end"), F.max("w").cast("double").alias("max_weight"))
+    lists = steps.groupBy("src").agg(F.floor(F.count("*") / LIST + 1).alias("lists"))
+    dealt = steps.join(lists, "src").groupBy(F.col("src").alias("mid"), F.pmod(F.xxhash64("dst"), F.col("lists")).alias("list"))
+    packed = dealt.agg(F.sort_array(F.collect_list(F.struct("dst", "type", "w"))).alias("own")).select("mid", "own")
+    packed = save(packed.mapInArrow(_packed, "mid long, base long, gaps binary, kinds binary, weights binary"), "lists")
+    rows = begun.select(F.col("src").alias("node"), F.col("dst").alias("mid"), F.col("type").alias("t_1"), F.col("w").cast("double").alias("w_1")).join(packed, "mid", "left")
+    rows = rows.select("node", "mid", "t_1", "w_1", "base", "gaps", "kinds", "weights")
+    met = (rows.repartition(tasks, "node") if tasks else rows.repartition("node")).sortWithinPartitions("node")
+    two = met.mapInArrow(_two_hops, "node long, t_1 long, t_2 long, n_end long, max_weight double")
+    as_row = lambda x, d, *path: x.select("node", F.lit(d).alias("depth"), F.array(*[F.col(c).cast(kind) for c in path]).alias("path"), "n_end", "max_weight")
+    return as_row(one, 1, "type").union(as_row(two, 2, "t_1", "t_2"))
+
+
+def updated_index(index: DataFrame, before: DataFrame, after: DataFrame, types: DataFrame) -> DataFrame:
+    """The path index of the graph ``after`` from that of ``before``: only the affected nodes are searched again."""
+    touched = affected_nodes(before, after, 2)
+    fresh = path_index(after, types, touched)
+    return index.join(touched, "node", "left_anti").select(fresh.columns).union(fresh)
+
+
 def affected_nodes(before: DataFrame, after: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes whose typed paths may differ between two graphs of edges in both directions.
 

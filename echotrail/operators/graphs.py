@@ -10,6 +10,7 @@ relaxed by a plain join. Rounds go on until nothing gets lower.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.work import Rounds, save
+from ..sources.work import Rounds, folder, save
 
 #: Edges of a fragment on average, edges from which on a node is in none, and sources that a task follows at once.
 FRAGMENT, HUB, SOURCES_OF_A_TASK = 100_000, 50_000, 64
@@ -197,20 +198,49 @@ def routes(previous: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(length, ["source", "target"]).select("source", "target", (F.col("length") - F.col("back")).alias("place"), "node")
 
 
-#: Sources of a pass of an all-pairs search, on average.
-SOURCES_AT_ONCE = 100_000
+#: Sources of a pass of an all-pairs search, on average, and nodes whose bits travel as one row's longs.
+SOURCES_AT_ONCE, BITS_AT_ONCE = 100_000, 4096
 
 
-def _source_blocks(edges: DataFrame, at_once: int | None = None) -> Iterator[DataFrame]:
+def _blocks(nodes: DataFrame, at_once: int) -> Iterator[DataFrame]:
     """The nodes in blocks by their hash, so that an all-pairs search never holds all pairs."""
-    nodes = save(edges.select(F.col("src").alias("node")).distinct(), "nodes")
-    blocks = max(1, -(-nodes.count() // (at_once or SOURCES_AT_ONCE)))
+    nodes = save(nodes.distinct(), "nodes")
+    blocks = max(1, -(-nodes.count() // at_once))
     for i in range(blocks):
         yield nodes if blocks == 1 else nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)
 
 
-#: Sources that a round of the diameter searches at most.
-AT_ONCE = 1024
+def hop_counts(edges: DataFrame, targets: DataFrame, reach: int | None = None) -> Iterator[DataFrame]:
+    """For each hop 1, 2, ... a table (node, n): how many of ``targets(node)`` are that far along ``edges(src, dst)`` from nodes that have any.
+
+    A node carries the targets it reaches as bits, 64 a long, and takes its
+    neighbours' by a bitwise or, partly before the shuffle, so a hop reads each
+    edge once for all targets and no pair is a row. Ends where nothing is new.
+    Targets should be some thousands: they are numbered in one task. A table
+    is there until the next one is asked for.
+    """
+    rounds = Rounds(edges.sparkSession, "bits")
+    numbered = rounds.save(targets.select("node").distinct().withColumn("place", F.row_number().over(W.orderBy("node")) - 1))
+    words = [f"w{i}" for i in range(-(-numbered.count() // 64))]
+    if not words:
+        return
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    now = rounds.save(numbered.select("node", *[F.when(F.floor(F.col("place") / 64) == i, bit).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)], F.lit(1).alias("n")))
+    hop, known = 0, reduce(lambda x, y: x + y, [F.bit_count(w) for w in words])
+    while reach is None or hop < reach:
+        heard = edges.join(now.select(F.col("node").alias("dst"), *words), "dst").select(F.col("src").alias("node"), *words, F.lit(0).alias("n"))
+        merged = heard.union(now.select("node", *words, "n")).groupBy("node").agg(*[F.bit_or(w).alias(w) for w in words], F.max("n").alias("before"))
+        after = rounds.save(merged.select("node", *words, known.alias("n"), "before"))
+        rounds.drop(now)
+        now, hop, new = after.drop("before"), hop + 1, after.filter("n > before").select("node", (F.col("n") - F.col("before")).cast("long").alias("n"))
+        if new.isEmpty():
+            break
+        yield new
+    rounds.drop(now, numbered)
+
+
+#: Sources that a round of the diameter searches at most, and hops up to which it searches what is left by bits.
+AT_ONCE, SHALLOW = 1024, 32
 
 
 def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = None) -> DataFrame:
@@ -223,12 +253,14 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
     distance known has a node x with 2 d(c, x) above it, whose upper bound is
     above it too; the later rounds search from such nodes, those with the
     highest upper or the lowest lower bounds in turn, four times as many each time
-    (AT_ONCE at most), until none is left. One-way edges have no such bounds:
-    all sources are searched, in blocks of which only the maximum is kept.
+    (AT_ONCE at most), until none is left. Bounds say little where all nodes
+    are a few hops apart: if a component's hops are SHALLOW at most by its
+    centre, all nodes left are searched by their bits. One-way edges have no
+    such bounds: all sources are searched, in blocks of which only the maximum is kept.
     """
     spark, edges = edges.sparkSession, save(_lightest(edges, weighted), "edges")
     if not edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), ["src", "dst", "w"], "left_anti").isEmpty():
-        found = [(shortest_paths(edges, block).agg(F.max("distance")).first()[0], block.count()) for block in _source_blocks(edges, at_once)]
+        found = [(shortest_paths(edges, block).agg(F.max("distance")).first()[0], block.count()) for block in _blocks(edges.select(F.col("src").alias("node")), at_once or SOURCES_AT_ONCE)]
         return spark.createDataFrame([(max((d for d, _ in found if d is not None), default=None), sum(n for _, n in found))], "diameter double, searched long")
     rounds = Rounds(spark, "diameter")
     parts = connected_components(edges)
@@ -263,21 +295,33 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
         )
         rounds.drop(nodes, seen, picks)
         nodes, best, searched, n_round = after, after.agg(F.max("lower")).first()[0], searched + n, n_round + 1
+        if n_round == 1 and not weighted and 2 * nodes.agg(F.max("centre")).first()[0] <= SHALLOW:
+            order = [F.desc("upper"), F.desc("count"), "node"]
+            while True:
+                left = nodes.filter(~F.col("done") & (F.col("upper") > best) & (2 * F.col("centre") > best))
+                picks = rounds.save(left.orderBy(*order).limit(at_once or BITS_AT_ONCE).select("node"))
+                n, hops = picks.count(), sum(1 for _ in hop_counts(edges, picks))
+                if not n:
+                    break
+                after = rounds.save(nodes.join(picks.withColumn("own", F.lit(True)), "node", "left").withColumn("done", F.col("done") | F.coalesce("own", F.lit(False))).drop("own"))
+                rounds.drop(nodes, picks)
+                nodes, best, searched = after, max(best, float(hops)), searched + n
+            break
     return spark.createDataFrame([(best, searched)], "diameter double, searched long")
 
 
 def neighbourhood_sizes(edges: DataFrame, reach: int = 10, at_once: int | None = None) -> DataFrame:
     """(node, distance, n): exactly how many nodes are at each hop distance up to ``reach``.
 
-    The search ends after ``reach`` rounds; a block of sources is counted before the next one starts.
+    The search ends after ``reach`` hops; the nodes are reached block by block, as bits, of which only counts are kept.
     """
-    edges, out = save(edges, "edges"), None
-    for block in _source_blocks(edges, at_once):
-        found = shortest_paths(edges, block, weighted=False, reach=reach).filter("distance > 0")
-        sizes = found.groupBy(F.col("source").alias("node"), F.col("distance").cast("int").alias("distance")).agg(F.count("*").alias("n"))
-        sizes = save(sizes, "sizes")
-        out = sizes if out is None else out.union(sizes)
-    return out if out is not None else edges.sparkSession.createDataFrame([], "node long, distance int, n long")
+    spark, path, schema = edges.sparkSession, folder(edges.sparkSession, "sizes"), "node long, distance int, n long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    edges = save(edges.select("src", "dst").distinct(), "edges")
+    for block in _blocks(edges.select(F.col("src").alias("node")).union(edges.select("dst")), at_once or BITS_AT_ONCE):
+        for d, new in enumerate(hop_counts(edges, block, reach)):
+            new.select("node", F.lit(d + 1).alias("distance"), "n").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).groupBy("node", "distance").agg(F.sum("n").alias("n"))
 
 
 #: Ranks a node carries: estimates have a relative deviation of 1 / sqrt(RANKS - 2), 5 %, so 95 % are within 10 %.

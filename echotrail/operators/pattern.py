@@ -414,6 +414,34 @@ def pattern_of(spark: SparkSession, graph: DataFrame, exemplars: list[int]) -> t
     return Pattern(tuple((at[a], at[b]) for a, b in linked)), nodes
 
 
+def top_matches_with_free(edges: DataFrame, links: list[tuple[int, int]], roles: int, k: int, at_first: int = 8) -> DataFrame:
+    """The k best matches of ``links`` between some of the roles; a role without any takes every other node of the graph.
+
+    Of two roles that no link joins the first such pair is in the order of its
+    nodes. Tuples go by score and nodes, so those of the first few scores (and
+    first nodes, if role 0 is linked) are made, and of more until k are found.
+    All matches of the links are looked at.
+    """
+    own = sorted({r for e in links for r in e})
+    linked = Pattern(tuple((own.index(i), own.index(j)) for i, j in links))
+    found = matches(edges, linked, all_images=True)
+    found = save(found.select(*[F.col(f"n_{i}").alias(f"n_{r}") for i, r in enumerate(own)], "score"), "linked")
+    nodes = save(edges.select(F.col("src").alias("node")).distinct(), "nodes")
+    names, joined = [f"n_{r}" for r in range(roles)], {frozenset(e) for e in links}
+    i, j = next(p for p in combinations(range(roles), 2) if frozenset(p) not in joined)
+    keys, upto = ["score", *(["n_0"] if 0 in own else [])], at_first
+    while True:
+        heads = save(found.select(*keys).distinct().orderBy(F.desc("score"), *keys[1:]).limit(upto), "heads")
+        out = found.join(F.broadcast(heads), keys)
+        for r in sorted(set(range(roles)) - set(own)):
+            bound = [c for c in out.columns if c.startswith("n_")]
+            out = out.crossJoin(nodes.select(F.col("node").alias(f"n_{r}"))).filter(reduce(lambda x, y: x & y, [F.col(c) != F.col(f"n_{r}") for c in bound]))
+        out = save(out.filter(F.col(f"n_{i}") < F.col(f"n_{j}")).orderBy(F.desc("score"), *names).limit(k).select(*names, "score"), "with-free")
+        if out.count() == k or heads.count() < upto:
+            return out
+        upto *= 8
+
+
 def with_query_first(found: DataFrame, nodes: list[int]) -> DataFrame:
     """Search results with the query itself in front, at an infinite score."""
     spark = found.sparkSession

@@ -14,7 +14,7 @@ from ..sources.work import save
 from . import observe, rescore
 from .knn import nearest, similarity
 from .marginal import link_attributes, marginal_graph, symmetric_edges
-from .pattern import one_per_node_set, pattern_of, top_matches_in_batches, with_query_first
+from .pattern import one_per_node_set, pattern_of, top_matches_in_batches, top_matches_with_free, with_query_first
 
 # The constraints of a property match.
 EQUALS, NOT, PARTIAL_OPTIONAL, OPTIONAL_EQUALS, REQUIRED_PARTIAL = (
@@ -190,7 +190,8 @@ def search_by_example(
 
     The exemplars' links are the pattern; its k best matches are found, one
     for each set of nodes, the query itself first. With hmm, they are scored
-    by their transactions over time instead. A single exemplar gives its
+    by their transactions over time instead. An exemplar without a link to
+    another stands for any other node. A single exemplar gives its
     nearest neighbours (which needs ``vectors(id, vector)``).
     """
     spark = transactions.sparkSession
@@ -209,13 +210,19 @@ def search_by_example(
     if known is None:
         return spark.createDataFrame([], "match long, n_0 long, score double")
     pattern, nodes = known
-    best = one_per_node_set(top_matches_in_batches(save(symmetric_edges(graph), "edges"), pattern, k)).drop("node_set")
-    roles = [f"n_{i}" for i in range(pattern.roles)]
+    edges, everyone = save(symmetric_edges(graph), "edges"), sorted(set(exemplars))
+    if len(nodes) == len(everyone):
+        found = top_matches_in_batches(edges, pattern, k)
+    else:
+        at = [everyone.index(x) for x in nodes]
+        found, nodes = top_matches_with_free(edges, [(at[i], at[j]) for i, j in pattern.edges], len(everyone), k), everyone
+    best = one_per_node_set(found).drop("node_set")
+    roles = [f"n_{i}" for i in range(len(nodes))]
     rows = with_query_first(best, nodes)
     # at most k + 1 rows are numbered
     rows = rows.withColumn("match", (F.row_number().over(W.orderBy(F.desc("score"), *roles)) - 1).cast("long"))
     if hmm:
-        seen = observe.observations(observe.match_links(transactions, rows), pattern.roles)
+        seen = observe.observations(observe.match_links(transactions, rows), len(nodes))
         scores = rescore.rescore(seen, 0)
         rows = rows.drop("score").join(scores.select("match", "score"), "match")
     return rows.select("match", *roles, "score").orderBy(F.desc("score"), *roles).offset(start).limit(max_results)

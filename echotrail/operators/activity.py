@@ -47,19 +47,18 @@ def without_users(transactions: DataFrame, users: DataFrame) -> DataFrame:
 def activity_fixpoint(transactions: DataFrame, least: int = 10, mode: str = "union_distinct", max_rounds: int = 100) -> DataFrame:
     """The transactions left when users under ``least`` are dropped again and again.
 
-    Every round is written to the shared folder, so a round reads only its
-    predecessor and survives a lost executor.
+    A round counts the written pairs of source and target without the users
+    dropped so far and writes those it drops; the transactions themselves are
+    read once, at the end.
     """
-    rounds, now, columns = Rounds(transactions.sparkSession, "activity"), None, transactions.columns
+    rounds, gone = Rounds(transactions.sparkSession, "activity"), None
+    ends = rounds.save(transactions.select("source", "target"))
     for _ in range(max_rounds):
-        held = transactions if now is None else now
-        inactive = inactive_users(held, least, mode)
-        if inactive.isEmpty():
-            return held.select(columns)
-        after = rounds.save(without_users(held, inactive).select(columns))
-        if now is not None:
-            rounds.drop(now)
-        now = after
+        fresh = rounds.save(inactive_users(ends if gone is None else without_users(ends, gone), least, mode).select("user"))
+        if fresh.isEmpty():
+            rounds.drop(ends)
+            return transactions if gone is None else without_users(transactions, gone).select(transactions.columns)
+        gone = fresh if gone is None else rounds.save(gone.union(fresh))
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 

@@ -21,25 +21,27 @@ def with_rate(transactions: DataFrame, rates: DataFrame, day: str = "day") -> Da
     return joined.withColumn("rate", F.coalesce("rate", clamped, F.lit(0.0))).drop("first_day", "last_day", "first_rate", "last_rate")
 
 
-def user_averages(transactions: DataFrame) -> DataFrame:
-    """Per user: the mean USD of what they paid (debit) and got (credit), 0 where there is none."""
+def user_averages(transactions: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Per user, or per one of ``users(user)``: the mean USD of what they paid (debit) and got (credit), 0 where there is none."""
     paid = transactions.select(F.col("source").alias("user"), F.col("usd").alias("debit"), F.lit(None).cast("double").alias("credit"))
     got = transactions.select(F.col("target").alias("user"), F.lit(None).cast("double").alias("debit"), F.col("usd").alias("credit"))
-    return paid.union(got).groupBy("user").agg(F.coalesce(F.avg("debit"), F.lit(0.0)).alias("avg_debit"), F.coalesce(F.avg("credit"), F.lit(0.0)).alias("avg_credit"))
+    both = paid.union(got) if users is None else paid.union(got).join(users, "user", "left_semi")
+    return both.groupBy("user").agg(F.coalesce(F.avg("debit"), F.lit(0.0)).alias("avg_debit"), F.coalesce(F.avg("credit"), F.lit(0.0)).alias("avg_credit"))
 
 
-def deviations(transactions: DataFrame) -> DataFrame:
-    """devpop, creditdev and debitdev of each transaction.
+def deviations(transactions: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """devpop, creditdev and debitdev of each transaction, or of ``rows``, some of them, alone.
 
     They compare its USD with the mean of all, with what the *source* gets on
     average, and with what the *target* pays on average; an average of 0
     gives -1.
     """
-    users = user_averages(transactions)
+    wanted = None if rows is None else rows.select(F.col("source").alias("user")).union(rows.select("target")).distinct()
+    users = user_averages(transactions, wanted)
     mean = transactions.agg(F.avg("usd").alias("avg_usd"))
     off = lambda c: F.when(F.col(c) == 0, F.lit(-1.0)).otherwise(F.try_divide(F.col("usd") - F.col(c), F.col(c)))
     return (
-        transactions.join(users.select(F.col("user").alias("source"), "avg_credit"), "source")
+        (transactions if rows is None else rows).join(users.select(F.col("user").alias("source"), "avg_credit"), "source")
         .join(users.select(F.col("user").alias("target"), "avg_debit"), "target")
         .join(F.broadcast(mean), how="left")
         .withColumns({"devpop": off("avg_usd"), "creditdev": off("avg_credit"), "debitdev": off("avg_debit")})

@@ -152,7 +152,8 @@ def normalized_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     transactions = V.txn_event(spark, sf_dir)
-    return O.transaction_features(O.match_links(I.deviations(transactions), top_triangles(transactions)))
+    links = save(O.match_links(transactions, top_triangles(transactions)), "links")
+    return O.transaction_features(I.deviations(transactions, links))
 
 
 @query(

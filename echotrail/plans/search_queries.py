@@ -10,7 +10,7 @@ from ..operators import observe as O
 from ..operators import present as H
 from ..operators import search as S
 from . import views as V
-from .behaviour_queries import _AGGREGATE, _BUCKETS_SQL, _DECODED_SQL, _LINKS_SQL, _MATCHES_SQL, top_phases, top_triangles
+from .behaviour_queries import _AGGREGATE, _BUCKETS_SQL, _DECODED_SQL, _LINKS_SQL, _MATCHES_SQL, _links, top_phases, top_triangles
 from .feature_queries import _LOGS_SQL, OFF_TIES
 from .hmm_sql import PHASES, decoded_sql
 from .registry import query, table
@@ -196,5 +196,4 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when span >= 172800000 then 'days' when span >= 7200000 then 'hours' when span >= 120000 then 'minutes' else 'seconds' end as unit from links join spans using (match)""",
 )
 def time_plot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    transactions = V.txn_event(spark, sf_dir)
-    return H.time_plot_rows(O.match_links(transactions, top_triangles(transactions)))
+    return H.time_plot_rows(_links(spark, sf_dir))

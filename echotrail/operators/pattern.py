@@ -242,6 +242,10 @@ def heavy_matches(
     A missing edge weighs at most what its bound nodes' heaviest edges and the
     anchor do. With ``beam`` only so many of the heaviest partial matches are
     kept at every step: some matches, not all.
+
+    The first edges, and partial matches that an edge is to close, are written:
+    few of them are sent to the edges by the planner, which knows their size,
+    so that the table of all edges is not shuffled for them.
     """
     kind = lambda r: pattern.types[r] if pattern.types is not None else 0
     plan, bound, seen = Pattern((anchor, *[e for e in pattern.edges if e != anchor]), pattern.types).plan(), set(), []
@@ -267,7 +271,7 @@ def heavy_matches(
         if beam is None:
             return rows
         score = reduce(lambda x, y: x + y, [F.col(f"w_{k}") for k in range(len(seen))])
-        return F.broadcast(rows.orderBy(F.desc(score), *[f"n_{r}" for r in sorted(bound)]).limit(beam))
+        return F.broadcast(save(rows.orderBy(F.desc(score), *[f"n_{r}" for r in sorted(bound)]).limit(beam), "partial"))
 
     def apart(rows: DataFrame, j: int) -> DataFrame:
         return rows.filter(reduce(lambda x, y: x & y, [F.col(f"n_{j}") != F.col(f"n_{r}") for r in sorted(bound - {j})])) if injective else rows
@@ -285,7 +289,7 @@ def heavy_matches(
     i, j = plan.pop(0)
     out = of_types(first, {"src": i, "dst": j}).select(*side(i, "src", {i, j}), *side(j, "dst", {i, j}), F.col("w").alias("w_0"))
     bound, seen = {i, j}, [(i, j)]
-    out = best(reaching(out, ["w_0"], plan))
+    out = best(reaching(out, ["w_0"], plan)) if beam is not None else save(reaching(out, ["w_0"], plan), "partial")
     while plan:
         (i, j), w = plan.pop(0), f"w_{len(seen)}"
         weights = [f"w_{k}" for k in range(len(seen) + 1)]
@@ -302,6 +306,7 @@ def heavy_matches(
                 seen.append((i, j))
             else:
                 closing = plan.pop(0)
+                ends = out.select(F.explode(F.array(f"n_{i}", f"n_{other}")).alias("src")).distinct()
                 turned = F.col(f"d_{i}") > F.col(f"d_{other}")  # the shorter list is gone through, the other one asked
                 out = out.withColumns({"_near": F.when(turned, F.col(f"n_{other}")).otherwise(F.col(f"n_{i}")), "_far": F.when(turned, F.col(f"n_{i}")).otherwise(F.col(f"n_{other}"))})
                 out = out.join(step.select(F.col("src").alias("_near"), *side(j, "dst", {j}), F.col("w").alias("_w")), "_near").filter(F.col("_w") <= F.col("w_0"))
@@ -311,9 +316,12 @@ def heavy_matches(
                     still = [F.col(x) for x in [*weights[:-1], "_w"]] + [F.least(asked, F.col("w_0"), F.col(f"h_{j}_{i}"))] + [most(out, p, q) for p, q in plan]
                     out = out.filter(reduce(lambda x, y: x + y, still) >= floor)
                 out = apart(out, j)
+                out = out if beam is not None else save(out, "partial")
                 if trace is not None:
                     trace.append(out)
-                out = out.join(edges.select(F.col("src").alias("_far"), F.col("dst").alias(f"n_{j}"), F.col("w").alias("_x")), ["_far", f"n_{j}"])
+                # a beam's nodes are few, and their edges are all that close its matches
+                closers = edges if beam is None else edges.join(F.broadcast(ends), "src", "left_semi")
+                out = out.join(closers.select(F.col("src").alias("_far"), F.col("dst").alias(f"n_{j}"), F.col("w").alias("_x")), ["_far", f"n_{j}"])
                 pair = {w: F.when(turned, F.col("_x")).otherwise(F.col("_w")), f"w_{len(seen) + 1}": F.when(turned, F.col("_w")).otherwise(F.col("_x"))}
                 out = out.withColumns(pair).drop("_near", "_far", "_w", "_x")
                 out = fresh(out, i, j)

@@ -337,32 +337,157 @@ def node_ranks(nodes: DataFrame, ranks: int = RANKS, seed: int = 1) -> DataFrame
     return nodes.select("node", F.slice(F.flatten(F.transform(texts, lambda t: F.array(*[rank(t, k) for k in range(4)]))), 1, ranks).alias("ranks"))
 
 
+#: Edges of a part on average, slices that the ranks are cut into, sources in a packed row on average, and ranks that a task gathers at once, in numbers.
+ESTIMATED_EDGES, SLICES, _SOURCES, _GATHERED = 1 << 23, 8, 1024, 1 << 21
+
+
+def _least(node: np.ndarray, ranks: np.ndarray, at: np.ndarray, gathered: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of the sorted ``node`` with the least of the rows ``at`` of ``ranks`` that stand beside it, some nodes at a time."""
+    step, starts = max(1, gathered // max(1, ranks.shape[1])), np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
+    lo = 0
+    while lo < len(starts):
+        # as many nodes as fit, and one at least, whose rows are gathered piece by piece
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step, side="right")) - 1)
+        end = starts[hi] if hi < len(starts) else len(node)
+        if hi == lo + 1:
+            pieces = [ranks[at[x : min(x + step, end)]].min(axis=0) for x in range(starts[lo], end, step)]
+            yield node[starts[lo : lo + 1]], np.min(pieces, axis=0)[None, :]
+        else:
+            yield node[starts[lo:hi]], np.minimum.reduceat(ranks[at[starts[lo] : end]], starts[lo:hi] - starts[lo], axis=0)
+        lo = hi
+
+
+def _rows_of(packed: pa.Array) -> np.ndarray:
+    """The rows of a column of packed ranks, none of them null."""
+    return np.frombuffer(b"".join(packed.to_pylist()), dtype="<i4").reshape(len(packed), -1)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _heard(most: int):
+    """From (node, slice, sources, packed), a node's ranks before the sources of edges into it: (node, slice, packed) of each source, its least ranks among a part's nodes.
+
+    At most about ``most`` edges, or as many nodes, are held at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, sources, at, m, slice_ = [], 0, [], [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            source, place = np.concatenate(sources), np.concatenate(at)
+            order, rows = np.argsort(source, kind="stable"), np.concatenate(held)
+            for node, least in _least(source[order], rows, place[order], _GATHERED):
+                yield pa.record_batch([pa.array(node), pa.array(np.full(len(node), slice_, dtype=np.int32)), _packed(least)], names=["node", "slice", "packed"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slice_ = batch.column(1)[0].as_py()
+            own = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            lists = batch.column(2).filter(pa.array(~own))
+            if own.any():
+                held.append(_rows_of(batch.column(3).drop_null()))
+            # edges belong to the last ranks before them, which may stand in an earlier batch
+            place = np.repeat((n - 1 + np.cumsum(own))[~own], lists.value_lengths().to_numpy()).astype(np.int32)
+            n += int(own.sum())
+            sources.append(lists.flatten().to_numpy().astype(np.int64))
+            at.append(place)
+            m += len(place)
+            if max(n, m) >= most:
+                if m:
+                    yield from out()
+                held, n, sources, at, m = [held[-1][-1:]], 1, [], [], 0
+        if m:
+            yield from out()
+
+    return run
+
+
+def _merged(slices: int):
+    """From (node, slice, packed, own) by node and slice: each node with its least ranks, the estimate, and whether they are less than its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def least_of(node: np.ndarray, part: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            new = np.r_[True, (node[1:] != node[:-1]) | (part[1:] != part[:-1])]
+            return np.cumsum(new) - 1, np.minimum.reduceat(rows, np.flatnonzero(new), axis=0)
+
+        def out(node: np.ndarray, part: np.ndarray, rows: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            group, least = least_of(node, part, rows)
+            less = np.zeros(len(least), dtype=bool)
+            less[group[own]] = (least[group[own]] != rows[own]).any(axis=1)
+            whole = least.reshape(len(least) // slices, -1)  # a node's own rows stand for all slices
+            within = (whole.shape[1] - 1) / -np.log(1 - (whole + 0.5) / _TOP).sum(axis=1)
+            return pa.record_batch([pa.array(np.unique(node)), _packed(whole), pa.array(within), pa.array(less.reshape(-1, slices).any(axis=1))], names=["node", "packed", "within", "less"])
+
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _rows_of(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)]
+            if left is not None:
+                now = [np.concatenate(x) for x in zip(left, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch: its least and own rows wait
+            if cut:
+                yield out(*[x[:cut] for x in now])
+            node, part, rows, own = [x[cut:] for x in now]
+            group, least = least_of(node, part, rows)
+            parts = np.r_[part[np.r_[True, group[1:] != group[:-1]]], part[own]]
+            order = np.argsort(parts, kind="stable")
+            left = [np.full(len(parts), node[-1]), parts[order], np.concatenate([least, rows[own]])[order], np.r_[np.zeros(len(least), dtype=bool), np.ones(int(own.sum()), dtype=bool)][order]]
+        if left is not None:
+            yield out(*left)
+
+    return run
+
+
 def neighbourhood_estimates(edges: DataFrame, reach: int = 10, ranks: int = RANKS, seed: int = 1) -> DataFrame:
     """(node, distance, within): about how many nodes, itself included, are within each hop distance from 1 to ``reach`` along ``edges(src, dst)``.
 
     Each node has ``ranks`` random ranks; the least ranks within a distance
     are those of the neighbours within one hop less, so a round takes the
-    minima over the edges, rank by rank, summed up on both sides of one
-    shuffle: a node's neighbours meet only as partial minima. As exponential
-    variables, n nodes' least ranks have the mean 1 / n, so (ranks - 1) / their
-    sum is the estimate. The memory is ranks a node; no pairs are made.
+    minima over the edges, on both sides of one shuffle. The nodes are dealt
+    to parts and the ranks cut into slices: a task holds one slice of a part's
+    ranks and the edges into it, and sends each source its least ones among
+    these, so what is sent grows with the parts, not with the tasks. As
+    exponential variables, n nodes' least ranks have the mean 1 / n, so
+    (ranks - 1) / their sum is the estimate. The memory is ranks a node; no
+    pairs are made. Edges with a null end are left out.
     """
     rounds = Rounds(edges.sparkSession, "estimates")
-    step = rounds.save(edges.select("src", "dst").distinct())
-    now = rounds.save(node_ranks(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct(), ranks, seed))
-    total = F.aggregate("ranks", F.lit(0.0), lambda s, r: s - F.log(1 - (r + 0.5) / _TOP))
+    step = rounds.save(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().distinct())
+    nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
+    parts, slices = max(1, -(-step.count() // ESTIMATED_EDGES)), max(s for s in range(1, SLICES + 1) if ranks % s == 0)
+    width = ranks // slices
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), _packed(batch.column(1).flatten().to_numpy().astype("<i4").reshape(-1, ranks))], names=["node", "packed"])
+
+    now = rounds.save(node_ranks(nodes, ranks, seed).mapInArrow(pack, "node long, packed binary"))
+    degrees = step.groupBy("dst").agg(F.ceil(F.count("*") / _SOURCES).alias("lists"))
+    lists = step.join(degrees, "dst").groupBy(F.col("dst").alias("node"), F.pmod(F.xxhash64("src"), F.col("lists")).alias("list")).agg(F.sort_array(F.collect_list("src")).alias("sources"))
+    lists = rounds.save(lists.select("node", "sources"))
+    into = lists.select("node", F.explode(F.array(*[F.lit(s) for s in range(slices)])).alias("slice"), "sources", F.lit(None).cast("binary").alias("packed"))
+    place = (F.pmod(F.xxhash64("node"), F.lit(parts)) * slices + F.col("slice")).cast("int")
     out, same = None, False
     for d in range(1, reach + 1):
         if not same:
-            heard = step.join(now.select(F.col("node").alias("dst"), "ranks"), "dst").select(F.col("src").alias("node"), "ranks").union(now)
-            least = heard.groupBy("node").agg(*[F.min(F.col("ranks")[i]).alias(f"r{i}") for i in range(ranks)])
-            after = rounds.save(least.select("node", F.array(*[f"r{i}" for i in range(ranks)]).alias("ranks")))
-            same = after.join(now, ["node", "ranks"], "left_anti").isEmpty()
-            counted = save(after.select("node", ((ranks - 1) / total).alias("within")), "within")
+            cut = F.array(*[F.struct(F.lit(s).alias("slice"), F.substring("packed", 4 * width * s + 1, 4 * width).alias("packed")) for s in range(slices)])
+            own = now.select("node", F.explode(cut).alias("x")).select("node", "x.slice", "x.packed")
+            both = own.select("node", "slice", F.lit(None).cast("array<long>").alias("sources"), "packed").union(into)
+            sent = both.repartitionById(parts * slices, place).sortWithinPartitions("node", F.col("packed").isNull())
+            heard = sent.mapInArrow(_heard(ESTIMATED_EDGES), "node long, slice int, packed binary")
+            least = heard.withColumn("own", F.lit(False)).union(own.withColumn("own", F.lit(True)))
+            merged = least.repartition("node").sortWithinPartitions("node", "slice").mapInArrow(_merged(slices), "node long, packed binary, within double, less boolean")
+            after = rounds.save(merged)
+            same = after.filter("less").isEmpty()
+            counted = save(after.select("node", "within"), "within")
             rounds.drop(now)
-            now = after
-        own = counted.select("node", F.lit(d).alias("distance"), "within")
-        out = own if out is None else out.union(own)
+            now = after.select("node", "packed")
+        estimate = counted.select("node", F.lit(d).alias("distance"), "within")
+        out = estimate if out is None else out.union(estimate)
     return out
 
 

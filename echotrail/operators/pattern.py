@@ -153,6 +153,12 @@ def bounded_edges(edges: DataFrame, types: DataFrame | None = None) -> DataFrame
     return edges.select("src", "dst", "w").join(sides[0], "src").join(sides[1], "dst")
 
 
+def both_directions(one: DataFrame) -> DataFrame:
+    """Bounded edges with src <= dst, and turned; a loop isn't turned."""
+    turn = lambda c: c.replace("src", "dst") if "src" in c else c.replace("dst", "src")
+    return one.unionByName(one.filter("src < dst").select(*[F.col(c).alias(turn(c)) for c in one.columns]))
+
+
 def bounded_matches(
     edges: DataFrame, pattern: Pattern, floor: float | None = None, injective: bool = True, all_images: bool = False, trace: list[DataFrame] | None = None
 ) -> DataFrame:
@@ -382,10 +388,11 @@ def top_matches_bounded(
     A match that scores s has an edge of s / edges or more. So matches are grown
     from the heavy edges as their heaviest, and partial ones that stay below
     the floor are dropped. Where no edge is too light for that, all edges are
-    joined in the pattern's order.
+    joined in the pattern's order. ``edges`` are alike in both directions; with
+    their bounds they are written in one.
     """
     order = [F.desc("score"), *[f"n_{r}" for r in range(pattern.roles)]]
-    whole = save(bounded_edges(edges, types), "bounded")
+    whole = both_directions(save(bounded_edges(edges, types).filter("src <= dst"), "bounded"))
     floor, lightest = known_score(whole, pattern, k, injective, all_images), whole.agg(F.min("w")).first()[0]
     if floor is None or len(pattern.edges) * lightest >= floor:
         if injective and all_images:

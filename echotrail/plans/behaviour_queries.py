@@ -14,7 +14,7 @@ from ..operators import rescore as R
 from ..sources.work import save
 from . import views as V
 from .feature_queries import _AVERAGES_SQL, OFF_TIES, _round
-from .graph_queries import TOP
+from .graph_queries import TOP, written_edges
 from .hmm_sql import OBSERVED, PHASES, decoded_sql, session_sql
 from .pattern_sql import top_sql
 from .registry import query, table
@@ -54,8 +54,7 @@ def links_limit_250(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_triangles(transactions: DataFrame) -> DataFrame:
     """The best triangles as matches 0, 1, ...; at most TOP rows are numbered."""
-    edges = save(M.symmetric_edges(M.marginal_graph(transactions)), "edges")
-    found = save(P.top_matches_bounded(edges, P.TRIANGLE, TOP), "top_triangles")
+    found = save(P.top_matches_bounded(written_edges(transactions), P.TRIANGLE, TOP), "top_triangles")
     return found.withColumn("match", (F.row_number().over(W.orderBy(F.desc("score"), "n_0", "n_1", "n_2")) - 1).cast("long"))
 
 

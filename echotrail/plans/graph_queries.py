@@ -103,9 +103,13 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.symmetric_edges(M.marginal_graph(V.txn_event(spark, sf_dir)))
 
 
+def written_edges(transactions: DataFrame) -> DataFrame:
+    """All edges, written once and in one direction, so that long join chains don't make them anew and know their size."""
+    return M.symmetric_edges(save(M.marginal_graph(transactions).select("a", "b", "num_trans"), "edges"))
+
+
 def written_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All event edges, written once, so that long join chains don't make them anew and know their size."""
-    return save(event_edges(spark, sf_dir), "event_edges")
+    return written_edges(V.txn_event(spark, sf_dir))
 
 
 def _event_sql(body: str) -> str:

@@ -17,12 +17,12 @@ SUPPLIER_BASE = 1_000_000
 
 
 def txn_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event's user acts on the user of the next event; event_type is the first event's."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    """An event's user acts on the user of the next event."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     followed = with_next(events, "user_id", ["ts", "event_id"])
     return followed.filter("next is not null and next <> user_id").select(
         F.col("event_id").alias("transid"), F.col("user_id").alias("source"), F.col("next").alias("target"), F.col("ts").alias("time"),
-        F.col("value").alias("amount"), F.col("value").alias("usd"), "event_type",
+        F.col("value").alias("amount"), F.col("value").alias("usd"),
     )
 
 

@@ -457,6 +457,22 @@ def top_matches_with_free(edges: DataFrame, links: list[tuple[int, int]], roles:
         upto *= 8
 
 
+def first_tuples(edges: DataFrame, roles: int, k: int) -> DataFrame:
+    """The first ``k`` tuples of ``roles`` (two at least) different nodes of ``edges``, at a score of 0; the first two are in the order of their nodes.
+
+    None of them has a node past the first ``k + roles``, whichever of these
+    stands for such a node gives an earlier tuple; and as every pair is
+    completed by the other nodes, only the first ``k`` tuples of some roles go on.
+    """
+    nodes = save(edges.select(F.col("src").alias("node")).distinct().orderBy("node").limit(k + roles), "nodes")
+    out = nodes.select(F.col("node").alias("n_0"))
+    for r in range(1, roles):
+        bound = [F.col(c) < F.col("n_1") if r == 1 else F.col(c) != F.col(f"n_{r}") for c in out.columns]
+        out = out.crossJoin(nodes.select(F.col("node").alias(f"n_{r}"))).filter(reduce(lambda x, y: x & y, bound))
+        out = save(out.orderBy(*out.columns).limit(k), "tuples")
+    return out.withColumn("score", F.lit(0).cast("long"))
+
+
 def with_query_first(found: DataFrame, nodes: list[int]) -> DataFrame:
     """Search results with the query itself in front, at an infinite score."""
     spark = found.sparkSession

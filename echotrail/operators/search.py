@@ -14,7 +14,7 @@ from ..sources.work import save
 from . import observe, rescore
 from .knn import nearest, similarity
 from .marginal import link_attributes, marginal_graph, symmetric_edges
-from .pattern import one_per_node_set, pattern_of, top_matches_in_batches, top_matches_with_free, with_query_first
+from .pattern import first_tuples, one_per_node_set, pattern_of, top_matches_in_batches, top_matches_with_free, with_query_first
 
 # The constraints of a property match.
 EQUALS, NOT, PARTIAL_OPTIONAL, OPTIONAL_EQUALS, REQUIRED_PARTIAL = (
@@ -184,15 +184,17 @@ def linked_entities(dataset: Dataset, link: ForeignLink, links: DataFrame) -> Da
 
 def search_by_example(
     transactions: DataFrame, exemplars: list[int], k: int = 1000, max_results: int = 10, start: int = 0, hmm: bool = False,
-    start_time=None, end_time=None, vectors: DataFrame | None = None, graph: DataFrame | None = None,
+    start_time=None, end_time=None, vectors: DataFrame | None = None, graph: DataFrame | None = None, unlinked: bool = False,
 ) -> DataFrame:
     """Groups of nodes that are linked like the exemplars: (match, n_0, n_1, ..., score).
 
     The exemplars' links are the pattern; its k best matches are found, one
     for each set of nodes, the query itself first. With hmm, they are scored
     by their transactions over time instead. An exemplar without a link to
-    another stands for any other node. A single exemplar gives its
-    nearest neighbours (which needs ``vectors(id, vector)``).
+    another stands for any other node. Where no exemplar has a link there is no
+    result or, with ``unlinked``, all of them stand for any nodes, at a score
+    of 0. A single exemplar gives its nearest neighbours (which needs
+    ``vectors(id, vector)``).
     """
     spark = transactions.sparkSession
     if start_time is not None:
@@ -206,12 +208,14 @@ def search_by_example(
         ranked = found.select(F.col("rank").cast("long").alias("match"), F.col("neighbour").alias("n_0"), similarity(F.col("distance")).alias("score"))
         return ranked.orderBy("match").offset(start).limit(max_results)
     graph = marginal_graph(transactions) if graph is None else graph
-    known = pattern_of(spark, graph, exemplars)
-    if known is None:
-        return spark.createDataFrame([], "match long, n_0 long, score double")
-    pattern, nodes = known
-    edges, everyone = save(symmetric_edges(graph), "edges"), sorted(set(exemplars))
-    if len(nodes) == len(everyone):
+    known, everyone = pattern_of(spark, graph, exemplars), sorted(set(exemplars))
+    if known is None and not unlinked:
+        return spark.createDataFrame([], f"match long, {', '.join(f'n_{i} long' for i in range(len(everyone)))}, score double")
+    edges = save(symmetric_edges(graph), "edges")
+    pattern, nodes = known or (None, everyone)
+    if pattern is None:
+        found = first_tuples(edges, len(everyone), k)
+    elif len(nodes) == len(everyone):
         found = top_matches_in_batches(edges, pattern, k)
     else:
         at = [everyone.index(x) for x in nodes]

@@ -126,7 +126,7 @@ _GRAPHS_SQL = f"{V.EVENT_SQL}, {V.GRAPH_SQL}, {V.SYM_SQL}"
 
 @query("search_by_example", f"with {_GRAPHS_SQL}, {_SEARCHED_SQL} select match, n_0, n_1, n_2, score from matches order by score desc, n_0, n_1, n_2 limit 10")
 def search_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_by_example(V.txn_event(spark, sf_dir), EXAMPLE)
+    return S.search_by_example(V.txn_event(spark, sf_dir), EXAMPLE, unlinked=True)
 
 
 @query(

@@ -135,7 +135,7 @@ def search_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     select match, n_0, n_1, n_2, round(r.score + {OFF_TIES}, 6) as score from matches join rescored r using (match) order by r.score desc, n_0, n_1, n_2 limit 10""",
 )
 def search_by_example_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_by_example(V.txn_event(spark, sf_dir), EXAMPLE, hmm=True).withColumn("score", F.round(F.col("score") + OFF_TIES, 6))
+    return S.search_by_example(V.txn_event(spark, sf_dir), EXAMPLE, hmm=True, unlinked=True).withColumn("score", F.round(F.col("score") + OFF_TIES, 6))
 
 
 @query(

@@ -37,7 +37,7 @@ def test_exemplars_without_any_link_are_any_nodes(spark, tmp_path, users):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
     con.execute(f"create view events as select event_id, ts::timestamp as ts, user_id, event_type, value from '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("search_by_example",):
+    for name in ("search_by_example", "search_by_example_hmm"):
         got, want = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.ORACLES[name])
         assert got.columns == [c[0] for c in want.description] and [tuple(r) for r in got.collect()] == want.fetchall()
 

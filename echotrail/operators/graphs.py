@@ -356,6 +356,33 @@ class Whole:
         found = self.run(self.numbered, each, "number int, distance int, n long", at_once)
         return found.groupBy("number", "distance").agg(F.sum("n").alias("n")).join(self.numbered, "number").select("node", "distance", "n")
 
+    def most_hops(self, targets: DataFrame, at_once: int | None = None) -> int:
+        """The most hops that any node has to any of ``targets(node)`` it reaches."""
+
+        def each(held: R.Held, blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            yield pa.record_batch([pa.array([max((sum(1 for _ in held.hops(b)) for b in blocks), default=0)])], names=["hops"])
+
+        return self.run(targets, each, "hops long", at_once).agg(F.max("hops")).first()[0] or 0
+
+    def bounds(self, sources: DataFrame) -> DataFrame:
+        """(node, lo, hi, near, own): what searches from ``sources(node)``, one after another in a task, say of the nodes they reach; as for ``diameter``."""
+
+        def each(held: R.Held, blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            lo, hi, near, own = np.zeros(held.n), np.full(held.n, np.inf), np.full(held.n, np.inf), np.zeros(held.n, dtype=bool)
+            for source in (x for b in blocks for x in b):
+                far = held.depths(source)
+                at, e = np.flatnonzero(far >= 0), far.max()
+                d = far[at].astype(float)
+                lo[at], hi[at], near[at] = np.maximum(lo[at], np.maximum(e - d, d)), np.minimum(hi[at], e + d), np.minimum(near[at], d)
+                own[source] = True
+            for x in range(0, held.n, PACKED):
+                at = x + np.flatnonzero(np.isfinite(hi[x : x + PACKED]))
+                yield pa.record_batch([pa.array(at.astype(np.int32)), *[pa.array(c[at]) for c in (lo, hi, near, own)]], names=["number", "lo", "hi", "near", "own"])
+
+        found = self.run(sources, each, "number int, lo double, hi double, near double, own boolean", 16)
+        of = found.groupBy("number").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.min("near").alias("near"), F.max("own").alias("own"))
+        return of.join(self.numbered, "number").drop("number")
+
 
 #: Sources that a round of the diameter searches at most, and hops up to which it searches what is left by bits.
 AT_ONCE, SHALLOW = 1024, 32
@@ -375,9 +402,16 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
     are a few hops apart: if a component's hops are SHALLOW at most by its
     centre, all nodes left are searched by their bits. One-way edges have no
     such bounds: all sources are searched, in blocks of which only the maximum is kept.
+    Without weights, tasks hold the graph whole where it is no larger than
+    ``Whole`` allows, for all of this but the first search of each component.
     """
     spark, edges = edges.sparkSession, save(_lightest(edges, weighted), "edges")
-    if not edges.join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), ["src", "dst", "w"], "left_anti").isEmpty():
+    alike, fits = _alike(edges), not weighted and Whole.fits(edges)
+    whole = Whole(edges, alike) if fits else None
+    if not alike and whole is not None:
+        sources = edges.select(F.col("src").alias("node")).distinct()
+        return spark.createDataFrame([(float(whole.most_hops(edges.select(F.col("dst").alias("node")), at_once)) if whole.n else None, sources.count())], "diameter double, searched long")
+    if not alike:
         found = [(shortest_paths(edges, block).agg(F.max("distance")).first()[0], block.count()) for block in _blocks(edges.select(F.col("src").alias("node")), at_once or SOURCES_AT_ONCE)]
         return spark.createDataFrame([(max((d for d, _ in found if d is not None), default=None), sum(n for _, n in found))], "diameter double, searched long")
     rounds = Rounds(spark, "diameter")
@@ -399,12 +433,15 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
         n = picks.count()
         if not n:
             break
-        seen = graph.distances(picks)
-        reach = seen.groupBy("source").agg(F.max("distance").alias("e"))
-        bounds = seen.join(reach, "source").groupBy("node").agg(
-            F.max(F.greatest(F.col("e") - F.col("distance"), F.col("distance"))).alias("lo"), F.min(F.col("e") + F.col("distance")).alias("hi"),
-            F.min("distance").alias("near"), F.max(F.col("source") == F.col("node")).alias("own"),
-        )
+        if n_round and whole is not None:
+            seen = bounds = rounds.save(whole.bounds(picks))
+        else:
+            seen = graph.distances(picks)
+            reach = seen.groupBy("source").agg(F.max("distance").alias("e"))
+            bounds = seen.join(reach, "source").groupBy("node").agg(
+                F.max(F.greatest(F.col("e") - F.col("distance"), F.col("distance"))).alias("lo"), F.min(F.col("e") + F.col("distance")).alias("hi"),
+                F.min("distance").alias("near"), F.max(F.col("source") == F.col("node")).alias("own"),
+            )
         after = rounds.save(
             nodes.join(bounds, "node", "left").select(
                 "node", "component", "count", F.greatest("lower", F.coalesce("lo", F.lit(0.0))).alias("lower"), F.least("upper", F.coalesce("hi", unbound)).alias("upper"),
@@ -415,7 +452,13 @@ def diameter(edges: DataFrame, weighted: bool = False, at_once: int | None = Non
         nodes, best, searched, n_round = after, after.agg(F.max("lower")).first()[0], searched + n, n_round + 1
         if n_round == 1 and not weighted and 2 * nodes.agg(F.max("centre")).first()[0] <= SHALLOW:
             order = [F.desc("upper"), F.desc("count"), "node"]
-            while True:
+            while whole is not None:
+                left = rounds.save(nodes.filter(~F.col("done") & (F.col("upper") > best) & (2 * F.col("centre") > best)).select("node"))
+                n = left.count()
+                if n:
+                    best, searched = max(best, float(whole.most_hops(left, at_once))), searched + n
+                break
+            while whole is None:
                 left = nodes.filter(~F.col("done") & (F.col("upper") > best) & (2 * F.col("centre") > best))
                 picks = rounds.save(left.orderBy(*order).limit(at_once or BITS_AT_ONCE).select("node"))
                 n, hops = picks.count(), sum(1 for _ in hop_counts(edges, picks))

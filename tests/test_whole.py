@@ -58,3 +58,18 @@ def test_sizes_in_tasks_and_hop_by_hop(spark, monkeypatch, both):
         assert sizes() == dict(want)
     monkeypatch.setattr(G, "HELD_EDGES", 0)
     assert sizes() == dict(want)
+
+
+def test_diameters_in_tasks(spark, monkeypatch):
+    """A shallow graph, and a ring with tails that is too deep for bits: one search by fragments."""
+    rng = random.Random(9)
+    shallow = {(a, b) for a in range(50) for b in rng.sample(range(50), 3) if a != b} | {(100, 101)}
+    ring = {(i, (i + 1) % 60) for i in range(60)} | {(7, 70), (70, 71), (30, 80)}
+    calls, distances = [], G.Fragments.distances
+    monkeypatch.setattr(G.Fragments, "distances", lambda self, *a: calls.append(1) or distances(self, *a))
+    monkeypatch.setattr(G, "hop_counts", _never)
+    for half in (shallow, ring):
+        edges = half | {(b, a) for a, b in half}
+        calls.clear()
+        found = G.diameter(spark.createDataFrame([(a, b, 1) for a, b in edges], "src long, dst long, w long")).first()
+        assert found.diameter == max(max(_hops(edges, x).values()) for x, _ in edges) and len(calls) == 1
